@@ -8,15 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import table
+from folioflow.llm.elias_fano import token_shards
+from folioflow.llm.packing_lp import pack_documents
 from folioflow.llm.substring_dedup import drop_repeated_passages
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_elias_fano_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+def op7_configuration_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_passages(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_elias_fano_shards": op3_elias_fano_shards,
+    "op7_configuration_lp_packing": op7_configuration_lp_packing,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
