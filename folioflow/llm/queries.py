@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import table
+from folioflow.llm.decontam import contamination_digest, find_contamination
 from folioflow.llm.elias_fano import token_shards
 from folioflow.llm.packing_lp import pack_documents
 from folioflow.llm.substring_dedup import drop_repeated_passages
@@ -26,6 +27,10 @@ def op3_elias_fano_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op4_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op7_configuration_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
@@ -37,6 +42,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_elias_fano_shards": op3_elias_fano_shards,
+    "op4_prefix_filter_decontamination": op4_prefix_filter_decontamination,
     "op7_configuration_lp_packing": op7_configuration_lp_packing,
     "op8_substring_dedup": op8_substring_dedup,
 }
