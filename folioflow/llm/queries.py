@@ -11,6 +11,7 @@ from folioflow.llm.common import table
 from folioflow.llm.decontam import contamination_digest, find_contamination
 from folioflow.llm.elias_fano import token_shards
 from folioflow.llm.packing_lp import pack_documents
+from folioflow.llm.ppm_langid import identify_languages
 from folioflow.llm.substring_dedup import drop_repeated_passages
 
 
@@ -31,6 +32,10 @@ def op4_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return contamination_digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents")).drop("bits")
+
+
 def op7_configuration_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
@@ -43,6 +48,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_elias_fano_shards": op3_elias_fano_shards,
     "op4_prefix_filter_decontamination": op4_prefix_filter_decontamination,
+    "op6_ppm_language_id": op6_ppm_language_id,
     "op7_configuration_lp_packing": op7_configuration_lp_packing,
     "op8_substring_dedup": op8_substring_dedup,
 }
