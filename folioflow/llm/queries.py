@@ -13,7 +13,7 @@ from folioflow.llm.elias_fano import token_shards
 from folioflow.llm.packing_lp import pack_documents
 from folioflow.llm.ppm_langid import identify_languages
 from folioflow.llm.substring_dedup import drop_repeated_passages
-
+from folioflow.llm.subword_quality import score_quality
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +40,10 @@ def op7_configuration_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_passages(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_prefix_filter_decontamination": op4_prefix_filter_decontamination,
     "op6_ppm_language_id": op6_ppm_language_id,
     "op7_configuration_lp_packing": op7_configuration_lp_packing,
+    "op10_subword_quality": op10_subword_quality,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
