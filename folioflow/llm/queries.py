@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import table
 from folioflow.llm.decontam import contamination_digest, find_contamination
 from folioflow.llm.elias_fano import token_shards
+from folioflow.llm.gif_media import media_features, text_media
+from folioflow.llm.html_paths import extract_main_text
 from folioflow.llm.packing_lp import pack_documents
 from folioflow.llm.ppm_langid import identify_languages
 from folioflow.llm.substring_dedup import drop_repeated_passages
 from folioflow.llm.subword_quality import score_quality
+from folioflow.llm.warc_bundles import archive_pages
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,6 +27,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_elias_fano_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -32,6 +43,10 @@ def op4_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return contamination_digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(text_media(table(spark, sf_dir, "documents"))).drop("frames")
+
+
 def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents")).drop("bits")
 
@@ -50,8 +65,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_seekable_warc": op1_seekable_warc,
+    "op2_tag_path_text": op2_tag_path_text,
     "op3_elias_fano_shards": op3_elias_fano_shards,
     "op4_prefix_filter_decontamination": op4_prefix_filter_decontamination,
+    "op5_gif_media": op5_gif_media,
     "op6_ppm_language_id": op6_ppm_language_id,
     "op7_configuration_lp_packing": op7_configuration_lp_packing,
     "op10_subword_quality": op10_subword_quality,
