@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.bbit_minhash import near_duplicates
 from folioflow.llm.common import table
 from folioflow.llm.decontam import contamination_digest, find_contamination
 from folioflow.llm.elias_fano import token_shards
@@ -64,6 +65,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_tag_path_text": op2_tag_path_text,
@@ -72,8 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_gif_media": op5_gif_media,
     "op6_ppm_language_id": op6_ppm_language_id,
     "op7_configuration_lp_packing": op7_configuration_lp_packing,
-    "op10_subword_quality": op10_subword_quality,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_bbit_minhash": op9_bbit_minhash,
+    "op10_subword_quality": op10_subword_quality,
 }
 
 ORACLES: dict[str, str] = {}
