@@ -285,3 +285,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linkable.select("doc_id", "n", "id1", "id2").join(reps, ["id1", "id2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group of near-duplicates, the one of smallest id, all columns as they were."""
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")

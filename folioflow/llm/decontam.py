@@ -16,8 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import textkernels as K
@@ -178,6 +179,18 @@ def hits_of(batch: pa.RecordBatch, windows: Windows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(spans, kinds), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
 
 
+def window_slices(corpus: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, shingle: int, slice_bytes: int) -> Iterator[Windows]:
+    """The benchmark's windows with their prefixes chosen, in slices of at most about ``slice_bytes`` of text."""
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text_col}`").alias("text"))
+    n_slices = max(1, -(-text_bytes(items, "text") // slice_bytes))
+    for i in range(n_slices):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_slices)) == i).collect()  # bounded by slice_bytes
+        windows = windows_of([r["item"] for r in rows], [r["text"] for r in rows], window)
+        keys = all_shingles(windows, shingle)
+        choose_prefixes(windows, shingle, keys, count_frequencies(corpus, keys) if keys else {})
+        yield windows
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, slice_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, spans (word ranges inside occurring windows), items (ids as strings, sorted).
 
@@ -188,14 +201,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """
     spark = docs.sparkSession
     corpus = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text_col}`").alias("text"))
-    n_slices = max(1, -(-text_bytes(items, "text") // slice_bytes))
     parts = []
-    for i in range(n_slices):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_slices)) == i).collect()  # bounded by slice_bytes
-        windows = windows_of([r["item"] for r in rows], [r["text"] for r in rows], window)
-        keys = all_shingles(windows, shingle)
-        choose_prefixes(windows, shingle, keys, count_frequencies(corpus, keys) if keys else {})
+    for windows in window_slices(corpus, benchmark, item_col, item_text_col, window, shingle, slice_bytes):
         held = spark.sparkContext.broadcast(windows)
 
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -203,7 +210,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 yield hits_of(batch, held.value)
 
         parts.append(corpus.mapInArrow(find, FOUND))
-    if n_slices == 1:
+    if len(parts) == 1:
         return parts[0]
     every = parts[0]
     for part in parts[1:]:
@@ -229,3 +236,28 @@ def contamination_digest(found: DataFrame) -> DataFrame:
     """Counts and a digest of each document's hits."""
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
+
+
+def clean_text(spark: SparkSession, windows: Windows, text: Column) -> Column:
+    """Whether whole texts hold none of the windows."""
+    held = spark.sparkContext.broadcast(windows)
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = []
+        for lo in range(0, len(texts), 256):
+            part = pa.array(texts.iloc[lo : lo + 256], pa.string())
+            found = hits_of(pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), part], names=["doc_id", "text"]), held.value)
+            out += [not x for x in found.column(2).to_pylist()]
+        return pd.Series(out, dtype=bool)
+
+    return clean(text)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, slice_bytes: int = 16 << 20) -> DataFrame:
+    """The documents without any benchmark window, all their columns as they were; no row is shuffled."""
+    kept = docs
+    corpus = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    for windows in window_slices(corpus, benchmark, item_col, item_text_col, window, shingle, slice_bytes):
+        kept = kept.where(clean_text(docs.sparkSession, windows, F.col(f"`{text_col}`")))
+    return kept

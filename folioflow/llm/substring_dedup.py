@@ -35,7 +35,7 @@ class Part:
 
     def __init__(self, table: pa.Table, k: int, both: bool):
         order = pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
-        self.docs = table.select(["doc_id", "text"]).take(order)
+        self.docs = table.take(order)
         ids = self.docs["doc_id"]
         # Null ids sort last in Arrow; they count as the largest id.
         self.doc_id = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
@@ -67,7 +67,7 @@ def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, depth: int = 2, part_bytes: int = 8 << 20) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, depth: int = 2, part_bytes: int = 8 << 20, carry: tuple[str, ...] = (), untouched_as_is: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed and kept, the kept words joined by one space.
 
     Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return. A word is removed
@@ -76,6 +76,8 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     loses its window to the other. Null or empty texts give zero counts and an empty string, texts of fewer words than
     a window keep all of them; a null id counts as the largest. Other columns are ignored; an empty table gives no rows.
     ``depth`` is the sketch's number of rows; a row has at least as many cells as the corpus has bytes, some six a window.
+    Columns named in ``carry`` come out as a struct ``carried``; with ``untouched_as_is`` a text that loses no word is kept as
+    it was, white space and null included.
     """
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
@@ -83,7 +85,10 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     range_bits = max(3, int(max(shuffle_partitions(spark), total // (16 << 20)) - 1).bit_length())
     cell_bits = max(range_bits + 6, min(60, int(total).bit_length()))
     schema_cols = [F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(n_parts)).cast("int").alias("part"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
+    if carry:
+        schema_cols.append(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"))
     parts = docs.select(*schema_cols)
+    out_schema = OUT + (f", carried {parts.schema['carried'].dataType.simpleString()}" if carry else "")
 
     def sketch(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
@@ -177,12 +182,16 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         kept = []
         for i, text in enumerate(part.docs["text"].cast(pa.binary()).to_pylist()):
             words = text.split() if text else []
+            if untouched_as_is and not n_removed[i]:
+                kept.append(text)
+                continue
             if n_removed[i]:
                 words = compress(words, (~hit[part.words.first[i] : part.words.first[i + 1]]).tolist())
             kept.append(b" ".join(words))
-        return pa.table({"doc_id": part.docs["doc_id"].cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        out = {"doc_id": part.docs["doc_id"].cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+        return pa.table(out | ({"carried": part.docs["carried"]} if carry else {}))
 
     repeated = parts.groupBy("part").applyInArrow(sketch, CELLS).groupBy("range").applyInArrow(merge, REPEATED)
     sent = parts.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(keys, KEYS)
     gone = sent.groupBy("range").applyInArrow(later, LATER)
-    return parts.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(drop, OUT)
+    return parts.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(drop, out_schema)

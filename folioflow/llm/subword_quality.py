@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import textkernels as K
@@ -124,36 +124,50 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out_fol
     return [bytes(r["text"]) if r["text"] is not None else None for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out_fold: int = 0, threshold: float = 0.3, sample: int = 5000, text_chars: int = 4000, buckets: int = 1 << 17, dim: int = 8, grams: tuple[int, ...] = (3, 4), epochs: int = 6, rate: float = 0.5) -> DataFrame:
-    """The documents with held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 at ``threshold`` or more).
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out_fold: int = 0, sample: int = 5000, text_chars: int = 4000, buckets: int = 1 << 17, dim: int = 8, grams: tuple[int, ...] = (3, 4), epochs: int = 6, rate: float = 0.5) -> Embeddings:
+    """The model of at most ``sample`` labelled documents outside the held-out fold, cut to ``text_chars`` characters here only.
 
-    Fitted on at most ``sample`` labelled documents whose crc32(id as text) mod ``folds`` is not ``held_out_fold``, cut to
-    ``text_chars`` characters there only; every whole text is scored. Labels other than 0 and 1 and labels without a
-    document are ignored; a document with two labels counts with both. Null and empty texts get the score of the row all
-    documents have; without any label every score is 0.5. held_out is false for a null id. The result has the columns
-    doc_id, held_out, score, predicted; other columns are ignored; an empty table gives no rows.
+    Labels other than 0 and 1 and labels without a document are ignored; a document with two labels counts with both.
     """
-    spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     texts, known = labelled_sample(named, marked, folds, held_out_fold, sample, text_chars)
-    model = fit(texts, known, buckets, dim, grams, epochs, rate)
-    held = spark.sparkContext.broadcast(model.folded())
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, out, held_texts, size = batch.column(2).cast(pa.binary()), [], [], 0
-            for text in column.to_pylist():  # about a megabyte at a time
-                held_texts.append(text)
-                size += len(text or b"")
-                if size >= 1 << 20:
-                    out.append(scores(held_texts, held.value, grams))
-                    held_texts, size = [], 0
-            if held_texts:
-                out.append(scores(held_texts, held.value, grams))
-            got = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+    return fit(texts, known, buckets, dim, grams, epochs, rate)
 
+
+def quality_score(spark: SparkSession, model: Embeddings, text: Column) -> Column:
+    """Probability of label 1 for whole texts, null and empty ones included."""
+    held, grams = spark.sparkContext.broadcast(model.folded()), model.grams
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        out, waiting, size = [], [], 0
+        for t in texts:  # about a megabyte at a time
+            waiting.append(t.encode("utf-8") if t else None)
+            size += len(waiting[-1] or b"")
+            if size >= 1 << 20:
+                out.append(scores(waiting, held.value, grams))
+                waiting, size = [], 0
+        return pd.Series(np.concatenate([*out, scores(waiting, held.value, grams)] if waiting else [*out, np.zeros(0)]))
+
+    return score(text)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out_fold: int = 0, threshold: float = 0.3, **options) -> DataFrame:
+    """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 at ``threshold`` or more) per document.
+
+    Fitted as ``fit_quality`` says, on rows whose crc32(id as text) mod ``folds`` is not ``held_out_fold``. Null and empty
+    texts get the score of the row all documents have; without any label every score is 0.5. held_out is false for a null
+    id. Other columns are ignored; an empty table gives no rows.
+    """
+    model = fit_quality(docs, labels, id_col, text_col, folds=folds, held_out_fold=held_out_fold, **options)
+    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     held_out = F.coalesce(F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) == held_out_fold, F.lit(False))
-    id_type = named.schema["doc_id"].dataType.simpleString()
-    return named.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(score, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    scored = named.select("doc_id", held_out.alias("held_out"), quality_score(docs.sparkSession, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
+    """The documents that score ``threshold`` or more, all their columns as they were."""
+    model = fit_quality(docs, labels, id_col, text_col, **options)
+    return docs.where(quality_score(docs.sparkSession, model, F.col(f"`{text_col}`")) >= threshold)
