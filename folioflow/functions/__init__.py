@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""Column functions: page names and numbers, ranges, sizes and durations, geometry, hue."""

@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""DataFrame to DataFrame operators over pages, images, layers, content operators and jobs."""

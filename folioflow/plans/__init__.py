@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""Multi-step plans: manifests, chunking, ordered assembly and resumable stage tables."""

@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""Readers: image folders, path lists, and page-shaped views of relational tables."""

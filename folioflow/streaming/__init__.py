@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""Structured Streaming over job progress lines."""
