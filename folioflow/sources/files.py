@@ -41,27 +41,25 @@ def formats(files: DataFrame) -> DataFrame:
     return files.select("path", sniff_format(F.col("content")).alias("format"))
 
 
-@F.pandas_udf("width int, height int")
-def header_size(head: pd.Series) -> pd.DataFrame:
-    """Image size from the first bytes of a PNG or JPEG; null where they do not say."""
-    sizes = []
-    for raw in head:
-        raw, size = bytes(raw or b""), (None, None)
-        if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
-            size = struct.unpack(">II", raw[16:24])
-        elif raw[:2] == b"\xff\xd8":
-            at = 2
-            while at + 9 <= len(raw) and raw[at] == 0xFF:
-                marker, length = raw[at + 1], struct.unpack(">H", raw[at + 2 : at + 4])[0]
-                if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                    h, w = struct.unpack(">HH", raw[at + 5 : at + 9])
-                    size = (w, h)
-                    break
-                at += 2 + length
-        sizes.append(size)
-    return pd.DataFrame({"width": pd.array([s[0] for s in sizes], dtype="Int32"), "height": pd.array([s[1] for s in sizes], dtype="Int32")})
+def size_in_head(raw: bytes) -> tuple[int | None, int | None]:
+    """Width and height that the first bytes of a PNG or JPEG give, else nulls."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
+        return struct.unpack(">II", raw[16:24])
+    at = 2
+    while raw[:2] == b"\xff\xd8" and at + 9 <= len(raw) and raw[at] == 0xFF:
+        marker, length = raw[at + 1], struct.unpack(">H", raw[at + 2 : at + 4])[0]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return struct.unpack(">HH", raw[at + 5 : at + 9])[::-1]
+        at += 2 + length
+    return None, None
 
 
 def image_sizes(files: DataFrame, head_bytes: int = 65536) -> DataFrame:
     """path, width and height from the head of each file's content."""
+
+    @F.pandas_udf("width int, height int")
+    def header_size(head: pd.Series) -> pd.DataFrame:
+        sizes = [size_in_head(bytes(raw or b"")) for raw in head]
+        return pd.DataFrame({"width": pd.array([s[0] for s in sizes], dtype="Int32"), "height": pd.array([s[1] for s in sizes], dtype="Int32")})
+
     return files.select("path", header_size(F.substring("content", 1, head_bytes)).alias("size")).select("path", "size.width", "size.height")
