@@ -98,7 +98,7 @@ def train(texts: dict[str, list[str]], order: int = 3) -> Model:
             for c in range(0, len(contexts), 4096):
                 part = contexts[c : c + 4096]
                 row_of[(part[:, None] + tail[None, :]).ravel()] = np.repeat(bases[k] + c + np.arange(len(part)), len(tail)).astype(np.int32)
-    return Model(languages, order, symbol.astype(np.uint8), row_of, bits.reshape(-1, len(languages)))
+    return Model(languages, order, symbol.astype(np.uint8), row_of, bits.reshape(len(bits) * SYMBOLS, len(languages)))
 
 
 def code_lengths(column: pa.Array, model: Model) -> np.ndarray:
