@@ -13,6 +13,7 @@ from folioflow.operators import colour, content, health, jobs, raster, selection
 from folioflow.operators.scans import ordinals
 from folioflow.plans import assembly
 from folioflow.sources import files, views
+from folioflow.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,6 +243,32 @@ def morph_open(spark, sf):
     return views.vector_rasters(spark, sf).select("vec_id", F.array_join(opened(F.col("gray")), ",").alias("opened"))
 
 
+def vector_channels(spark, sf):
+    """vec_id, r, g, b: the first 20 triples of a raster as a 4 x 5 picture."""
+    at = F.sequence(F.lit(0), F.lit(19))
+    pick = lambda k: F.transform(at, lambda i: F.get("gray", i * 3 + k))
+    return views.vector_rasters(spark, sf).select("vec_id", *(pick(k).alias(c) for k, c in enumerate("rgb")))
+
+
+@query
+def ink_separation(spark, sf):
+    r, g, b = (F.col(c) for c in "rgb")
+    rows = vector_channels(spark, sf).select("vec_id", raster.luma(r, g, b).alias("y"), raster.chroma(r, g, b).alias("c"))
+    black, coloured = raster.ink_masks(F.col("y"), F.col("c"), 0.5, 0.15)
+    return rows.select("vec_id", F.array_join(black, ",").alias("black"), F.array_join(coloured, ",").alias("coloured"))
+
+
+@query
+def inkless_background(spark, sf):
+    rows = views.vector_rasters(spark, sf).withColumn("ink", F.transform("gray", lambda g: F.when(g < 115, 255).otherwise(0)))
+    return rows.select("vec_id", F.array_join(raster.background_half(F.col("gray"), F.col("ink"), 8, 8), ",").alias("paper"))
+
+
+@query
+def tone_curve(spark, sf):
+    return views.vector_rasters(spark, sf).select("vec_id", F.array_join(raster.sigmoidal(F.col("gray"), 3.5, 0.5), ",").alias("toned"))
+
+
 @query
 def pixel_equality(spark, sf):
     masks = views.vector_rasters(spark, sf).select("vec_id", raster.mask_digest(F.col("gray")).alias("digest"))
@@ -280,6 +307,12 @@ def job_latest(spark, sf):
     return rows.select("job", "lines", "finished", "seq", F.round("progress", 9).alias("progress"), "kind", "stage")
 
 
+@query
+def stream_progress(spark, sf):
+    """The latest states again, by a stream over the events."""
+    return progress.stream_events(spark, sf).select("job", "lines", "finished", "seq", F.round("progress", 9).alias("progress"), "kind", "stage")
+
+
 @query
 def job_admission(spark, sf):
     """Jobs by their first line wait, every third runs; the twelve next ones are admitted."""

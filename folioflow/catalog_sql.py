@@ -118,6 +118,15 @@ left(trim(replace(p_name, ' ', '') || 'v2'), 120) AS safe, p_name || '_slim.pdf'
     "page_sort": f"""WITH {PAGES}, {PLACED}, s AS (SELECT *, 'a' || CAST(page_no AS VARCHAR) || CASE WHEN page_no % 3 = 0 THEN '_b' ELSE '' END AS stem FROM placed)
 SELECT book, stem || '.jpg' AS name, TRY_CAST(nullif(regexp_extract(stem, '(\\d+)\\D*$', 1), '') AS BIGINT) AS engine, TRY_CAST(nullif(regexp_extract(stem, '(\\d+)$', 1), '') AS BIGINT) AS shell, ord FROM s""",
     "run_counters": f"""WITH {IMAGES} SELECT page, count(*) FILTER (WHERE NOT decoded) AS skipped, count(*) FILTER (WHERE decoded) AS made, CAST(sum(CASE WHEN bilevel THEN raw ELSE 0 END) AS BIGINT) AS selected_bytes, count(DISTINCT CASE WHEN bilevel THEN obj END) AS objects, array_to_string(list_sort(list(DISTINCT raw % 7000)), ',') AS sizes FROM images GROUP BY page""",
+    "ink_separation": f"""WITH {RASTERS}, px AS (SELECT vec_id, i, gray[3 * i + 1] AS r, gray[3 * i + 2] AS g, gray[3 * i + 3] AS b FROM rasters, range(20) t(i)),
+m AS (SELECT vec_id, i, (r * 299 + g * 587 + b * 114) // 1000 AS y, greatest(r, g, b) - least(r, g, b) AS c FROM px)
+SELECT vec_id, string_agg(CASE WHEN y < 127.5::DOUBLE AND c <= 38.25::DOUBLE THEN '255' ELSE '0' END, ',' ORDER BY i) AS black, string_agg(CASE WHEN y < 127.5::DOUBLE AND c > 38.25::DOUBLE THEN '255' ELSE '0' END, ',' ORDER BY i) AS coloured FROM m GROUP BY vec_id""",
+    "inkless_background": f"""WITH {RASTERS}, px AS (SELECT vec_id, i // 16 * 4 + i % 8 // 2 AS box, gray[i + 1] AS g FROM rasters, range(64) t(i)), m AS (SELECT vec_id, box, coalesce(sum(g) FILTER (WHERE g >= 115) // nullif(count(*) FILTER (WHERE g >= 115), 0), 255) AS v FROM px GROUP BY vec_id, box)
+SELECT vec_id, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY box) AS paper FROM m GROUP BY vec_id""",
+    "tone_curve": f"""WITH {RASTERS}, px AS (SELECT vec_id, i, 1.0::DOUBLE / (1.0::DOUBLE + exp(3.5::DOUBLE * (0.5::DOUBLE - gray[i + 1] / 255.0::DOUBLE))) AS v, 1.0::DOUBLE / (1.0::DOUBLE + exp(1.75::DOUBLE)) AS lo, 1.0::DOUBLE / (1.0::DOUBLE + exp(-1.75::DOUBLE)) AS hi FROM rasters, range(64) t(i))
+SELECT vec_id, string_agg(CAST(CAST(floor((v - lo) / (hi - lo) * 255.0::DOUBLE + 0.5::DOUBLE) AS INT) AS VARCHAR), ',' ORDER BY i) AS toned FROM px GROUP BY vec_id""",
     "layer_colours": f"WITH {RASTERS}, {PIXELS} SELECT label, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, count(*) AS n FROM pixels JOIN rasters USING (vec_id) GROUP BY label",
     "resume_stage": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality > 0)",
 }
+
+ORACLES["stream_progress"] = ORACLES["job_latest"]

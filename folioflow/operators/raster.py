@@ -72,6 +72,46 @@ def mask_digest(gray: Column, level_: int = 128) -> Column:
     return F.md5(F.concat_ws("", F.transform(gray, lambda g: F.when(g > level_, "1").otherwise("0"))))
 
 
+def luma(r: Column, g: Column, b: Column) -> Column:
+    """Gray levels of three channels by whole-number weights, halves down."""
+    both = F.zip_with(r, g, lambda x, y: x * 299 + y * 587)
+    return F.zip_with(both, b, lambda x, y: F.floor((x + y * 114) / 1000).cast("int"))
+
+
+def chroma(r: Column, g: Column, b: Column) -> Column:
+    """The C channel of hue, chroma and luma: greatest minus least."""
+    high = F.zip_with(F.zip_with(r, g, lambda x, y: F.greatest(x, y)), b, lambda x, y: F.greatest(x, y))
+    low = F.zip_with(F.zip_with(r, g, lambda x, y: F.least(x, y)), b, lambda x, y: F.least(x, y))
+    return F.zip_with(high, low, lambda x, y: x - y)
+
+
+def ink_masks(gray: Column, colourfulness: Column, dark: float, gate: float) -> tuple[Column, Column]:
+    """Black and coloured ink: dark pixels on either side of one and the same chroma gate, 255 where there is ink."""
+    dark_ = lambda g: g < F.lit(dark * 255.0)
+    pick = lambda keep: F.zip_with(gray, colourfulness, lambda g, c: F.when(dark_(g) & keep(c), 255).otherwise(0))
+    return pick(lambda c: c <= F.lit(gate * 255.0)), pick(lambda c: c > F.lit(gate * 255.0))
+
+
+def background_half(gray: Column, ink: Column, width: int, height: int) -> Column:
+    """Half the size by means of the pixels without ink; boxes that are all ink become white."""
+    places = F.sequence(F.lit(0), F.lit(width // 2 * (height // 2) - 1))
+
+    def mean(i: Column) -> Column:
+        at = (F.floor(i / (width // 2)) * 2 * width + i % (width // 2) * 2).cast("int")
+        box = F.filter(F.array(*(F.when(F.get(ink, at + d) == 0, F.get(gray, at + d)) for d in (0, 1, width, width + 1))), lambda g: g.isNotNull())
+        total = F.aggregate(box, F.lit(0), lambda s, g: s + g)
+        return F.when(F.size(box) == 0, 255).otherwise(F.floor(total / F.size(box)).cast("int"))
+
+    return F.transform(places, mean)
+
+
+def sigmoidal(gray: Column, contrast: float, middle: float) -> Column:
+    """Contrast along a sigmoid around the middle share, ends kept in place."""
+    curve = lambda x: 1.0 / (1.0 + F.exp(F.lit(contrast) * (F.lit(middle) - x)))
+    low, high = curve(F.lit(0.0)), curve(F.lit(1.0))
+    return F.transform(gray, lambda g: F.floor((curve(g / F.lit(255.0)) - low) / (high - low) * 255.0 + 0.5).cast("int"))
+
+
 def shifted(a: np.ndarray, radius: int, diamond: bool, fill: int) -> list[np.ndarray]:
     """Copies of (n, h, w) rasters moved by every offset of a structuring element."""
     _, h, w = a.shape
@@ -89,6 +129,16 @@ def dilate(a: np.ndarray, radius: int = 1, diamond: bool = True) -> np.ndarray:
     return np.max(shifted(a, radius, diamond, 0), axis=0)
 
 
+def unsharp(gray: np.ndarray, amount: float, limit: float) -> np.ndarray:
+    """(n, h, w) rasters sharpened against their 3 x 3 mean, edges repeated; differences up to the limit stay."""
+    _, h, w = gray.shape
+    padded = np.pad(gray.astype(np.float64), ((0, 0), (1, 1), (1, 1)), mode="edge")
+    mean = sum(padded[:, y : y + h, x : x + w] for y in range(3) for x in range(3)) / 9
+    differ = gray - mean
+    sharp = np.where(np.abs(differ) > limit * 255, gray + amount * differ, gray)
+    return np.clip(np.floor(sharp + 0.5), 0, 255).astype(np.int32)
+
+
 def morphology(kind: str, width: int, height: int, radius: int = 1, diamond: bool = True):
     """A column function of gray arrays: erode, dilate, open, close or smooth (open then close)."""
     steps = {"erode": (erode,), "dilate": (dilate,), "open": (erode, dilate), "close": (dilate, erode), "smooth": (erode, dilate, dilate, erode)}[kind]

@@ -46,8 +46,8 @@ def content_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("pos"), op.alias("op"), F.col("value"))
 
 
-def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """job, seq, line: events as a job's progress protocol."""
+def as_progress_lines(events: DataFrame) -> DataFrame:
+    """job, seq, line: events, streamed or not, as a job's progress protocol."""
     kind, seq = F.col("event_type"), F.col("event_id")
     line = (
         F.when(kind == "view", F.format_string("@@P binarize %d 20", seq % 20 + 1))
@@ -56,7 +56,11 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", F.format_string("@@DONE %d %d /out/book %d.pdf", seq * 100, seq % 9 + 1, seq))
         .otherwise(F.format_string("note %d", seq))
     )
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("job"), seq.alias("seq"), line.alias("line"))
+    return events.select(F.col("user_id").alias("job"), seq.alias("seq"), line.alias("line"))
+
+
+def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_progress_lines(read(spark, sf_dir, "events"))
 
 
 def recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators.jobs import decode, latest
+from folioflow.sources import views
 
 LINES = "job long, seq long, line string"
 
@@ -16,13 +20,28 @@ def read_lines(spark: SparkSession, folder: str, files_per_trigger: int = 16) ->
     return rows.where(F.col("line").isNotNull())
 
 
-def stream_latest(lines: DataFrame) -> DataFrame:
-    """Every job's latest state, for complete or update mode; state is one row per job."""
-    return latest(decode(lines))
+def run_latest(lines: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """Follows a stream of lines over all that is there and returns every job's latest state.
+
+    State is one row per job. Each trigger writes all states to a folder of its own below ``table``; the last is read, so
+    a trigger that is run again after a failure does no harm.
+    """
+    spark, last = lines.sparkSession, []
 
+    def keep(states: DataFrame, batch: int) -> None:
+        states.write.mode("overwrite").parquet(f"{table}/{batch}")
+        last[:] = [batch]
 
-def run_to_table(lines: DataFrame, name: str, checkpoint: str):
-    """Runs over all files that are there and leaves the states in an in-memory table of that name."""
-    query = stream_latest(lines).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    states = latest(decode(lines))
+    query = states.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return lines.sparkSession.table(name)
+    return spark.read.schema(states.schema).parquet(f"{table}/{last[0]}") if last else spark.createDataFrame([], states.schema)
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest states by a stream over the events table as a progress protocol."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    place = f"{shared.rstrip('/')}/progress-{uuid.uuid4().hex}"
+    schema = views.read(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return run_latest(views.as_progress_lines(events), f"{place}/states", f"{place}/log")

@@ -4,12 +4,14 @@ import json
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions.options import Options, check_paths, job_threads, usable_languages
 from folioflow.operators import colour, content, jobs, raster
 from folioflow.operators.scans import ordinals, running
 from folioflow.plans import assembly
-from folioflow.sources import files, views
+from folioflow.sources import files, pdf, views
 from folioflow.streaming import progress
 
 
@@ -126,7 +128,8 @@ def test_decode_keeps_spaces_in_paths(spark):
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     lines = views.progress_lines(spark, sf_dir)
     lines.repartition(5).write.json(str(tmp_path / "lines"))
-    got = progress.run_to_table(progress.read_lines(spark, str(tmp_path / "lines"), 2), "latest_jobs", str(tmp_path / "state"))
+    (tmp_path / "lines" / "broken.json").write_text('{"job": 1, "seq": 5\n')
+    got = progress.run_latest(progress.read_lines(spark, str(tmp_path / "lines"), 2), str(tmp_path / "states"), str(tmp_path / "log"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.latest(jobs.decode(lines)).collect()))
 
 
@@ -151,3 +154,35 @@ def test_list_documents_takes_each_path_once(spark, tmp_path):
 def test_json_lines_round_trip(spark):
     rows = spark.createDataFrame([('{"k": 1}',), ("{bad",), ('{"k": "x"}',)], "line string").select(F.from_json("line", "k long").alias("p")).where("p.k is not null").select(F.to_json("p").alias("x")).collect()
     assert [json.loads(r["x"]) for r in rows] == [{"k": 1}]
+
+
+def test_pdf_objects(spark, tmp_path):
+    body = b"%PDF-1.4\n1 0 obj << /Type /Pages /Count 2 >> endobj\n2 0 obj << /Type /Page /Resources << /Font << >> >> >> endobj\n3 0 obj << /Type /Page >> endobj\n"
+    body += b"4 0 obj << /Subtype /Image /Width 30 /Height 40 /BitsPerComponent 1 /Filter /CCITTFaxDecode /Length 5 >> stream\nabcde\nendstream endobj\n"
+    body += b"5 1 obj << /Type /XObject /Subtype /Image /Width 3 /Height 4 /ImageMask true /BitsPerComponent 1 /Filter [/FlateDecode] /Length 9 0 R >> stream\nx\nendstream endobj\n6 0 obj << /Subtype /Image /Width 7 /Height 8 >> endobj"
+    (tmp_path / "a.pdf").write_bytes(body)
+    (tmp_path / "b.pdf").write_bytes(b"nothing")
+    found = spark.read.format("binaryFile").load(str(tmp_path))
+    got = sorted(tuple(r)[1:] for r in pdf.image_objects(found).collect())
+    assert got == [(4, 0, 30, 40, 1, False, "CCITTFaxDecode", 5, True), (5, 1, 3, 4, 1, True, "FlateDecode", 0, False), (6, 0, 7, 8, 8, False, "", 0, False)]
+    assert {r["path"][-5:]: tuple(r)[1:] for r in pdf.page_counts(found).collect()} == {"a.pdf": (2, True, None), "b.pdf": (None, None, "not a PDF")}
+
+
+def test_unsharp_keeps_flat_pages():
+    flat = np.full((1, 6, 6), 77)
+    assert (raster.unsharp(flat, 1.2, 0.01) == 77).all()
+    edge = np.where(np.arange(6) < 3, 50, 200)[None, None, :].repeat(6, axis=1)
+    sharp = raster.unsharp(edge, 1.0, 0.01)
+    assert sharp[0, 2, 2] < 50 and sharp[0, 2, 3] > 200 and sharp[0, 2, 0] == 50
+
+
+def test_options():
+    assert Options().settled().width == 1800 and Options(mode="smooth").settled().width == 1400
+    assert Options(enhance=True).settled().threshold == "58%" and Options(threshold="60").settled().threshold == "60%"
+    assert Options(mode="gray", enhance=True, quality=60).arguments() == ["--mode", "gray", "--quality", "60", "--enhance"]
+    for wrong in (Options(mode="x"), Options(width=100)):
+        with pytest.raises(ValueError):
+            wrong.settled()
+    with pytest.raises(ValueError):
+        check_paths(["a", "b"], "a")
+    assert job_threads(10, 4) == 2 and usable_languages(["xx", "ko"], ["ko", "en"], "en") == ["ko"] and usable_languages(["xx"], ["ko"], "en") == ["en"]
