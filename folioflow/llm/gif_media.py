@@ -1,10 +1,9 @@
 """GIF media columns: lossless 8-bit samples in, timed frames and colour histograms out.
 
-``encode_gif`` stores bytes as the palette indices of a grey-scale GIF, 192 pixels a row, in as many frames as a frame's
-greatest height asks for. Its LZW code stream uses literal codes and a clear code before the table would outgrow nine
-bits, so that eight codes are nine bytes and a whole stream is packed by a few vector operations. ``decode_gif`` reads any
-GIF 87a or 89a: LZW streams of any code size and table growth, global and local palettes, interlacing, transparency,
-frame delays, and the disposal rules, and composes every frame's picture on the canvas.
+``encode_gif`` stores bytes as the palette indices of a grey-scale GIF, 192 pixels a row, LZW-compressed, in as many frames
+as a frame's greatest height asks for. ``decode_gif`` reads any GIF 87a or 89a: LZW streams of any code size and table
+growth, global and local palettes, interlacing, transparency, frame delays, and the disposal rules, and composes every
+frame's picture on the canvas. Media are stored as a table in the shared folder and features are read from it.
 """
 
 from __future__ import annotations
@@ -20,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import scratch_path
+
 ROW = 192
 TALLEST = 65535
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-#: Literal codes between clear codes: the table then has at most 258 + 253 entries, all of nine bits.
-RUN = 254
 
 
 @dataclass
@@ -40,27 +39,42 @@ class Frame:
     picture: np.ndarray | None
 
 
-def literal_stream(samples: np.ndarray) -> bytes:
-    """An LZW stream of 8-bit samples with nine-bit codes only."""
-    n = len(samples)
-    runs = -(-n // RUN)
-    codes = np.full((max(runs, 1), RUN + 1), 256, dtype=np.uint16)
-    body = codes[:, 1:]
-    whole = n // RUN
-    body[:whole] = samples[: whole * RUN].reshape(whole, RUN)
-    if n % RUN:
-        body[whole, : n % RUN] = samples[whole * RUN :]
-    codes = np.append(codes.ravel()[: n + max(runs, 1)], np.uint16(257))
-    padded = np.zeros(-(-len(codes) // 8) * 8, dtype=np.uint16)
-    padded[: len(codes)] = codes
-    lanes = padded.reshape(-1, 8)
-    out = np.empty((len(lanes), 9), dtype=np.uint8)
-    # Code k starts at bit 9k of its group: its low bits end byte k, its high bits begin byte k + 1.
-    out[:, 0] = lanes[:, 0]
-    for k in range(1, 8):
-        out[:, k] = (lanes[:, k - 1] >> (9 - k)) | (lanes[:, k] << k)
-    out[:, 8] = lanes[:, 7] >> 1
-    return out.tobytes()[: -(-len(codes) * 9 // 8)]
+def code_widths(count: int, minimum: int) -> np.ndarray:
+    """Bits of the first ``count`` codes after a clear code: one more each time the table outgrows them, up to 12."""
+    number = np.arange(1, count + 1) + (1 << minimum)
+    return np.clip(np.floor(np.log2(number)).astype(np.int64) + 1, minimum + 1, 12)
+
+
+def compress_lzw(samples: bytes, minimum: int = 8) -> bytes:
+    """An LZW stream of samples; the table is cleared when it is full."""
+    clear, most = 1 << minimum, 4096
+    runs: list[list[int]] = [[]]
+    table: dict[int, int] = {}
+    emit, find, free = runs[0].append, table.get, clear + 2
+    now = samples[0]
+    for s in samples[1:]:
+        key = now << 8 | s
+        code = find(key)
+        if code is not None:
+            now = code
+            continue
+        emit(now)
+        now = s
+        if free < most:
+            table[key] = free
+            free += 1
+        else:
+            emit(clear)
+            table.clear()
+            runs.append([])
+            emit, free = runs[-1].append, clear + 2
+    emit(now)
+    emit(clear + 1)
+    # A clear code comes first; then each run ends with its own clear or end code.
+    codes = np.concatenate([[clear], *runs]).astype(np.int64)
+    widths = np.concatenate([[minimum + 1], *(code_widths(len(r), minimum) for r in runs)])
+    bits = ((codes[:, None] >> np.arange(12)) & 1).astype(np.uint8)
+    return np.packbits(bits[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -75,9 +89,8 @@ def sub_blocks(data: bytes) -> bytes:
 
 def encode_gif(payload: bytes, delay: int = 10) -> bytes:
     """Payload bytes, a positive multiple of 192, as a grey-scale GIF89a."""
-    samples = np.frombuffer(payload, np.uint8)
-    height = len(samples) // ROW
-    if not height or height * ROW != len(samples):
+    height = len(payload) // ROW
+    if not height or height * ROW != len(payload):
         raise ValueError("the payload must be a positive multiple of 192 bytes")
     tallest = min(height, TALLEST)
     out = [b"GIF89a", struct.pack("<HHBBB", ROW, tallest, 0xF7, 0, 0), GREY]
@@ -85,95 +98,50 @@ def encode_gif(payload: bytes, delay: int = 10) -> bytes:
         rows = min(TALLEST, height - top)
         out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0))
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, ROW, rows, 0) + b"\x08")
-        out.append(sub_blocks(literal_stream(samples[top * ROW : (top + rows) * ROW])))
+        out.append(sub_blocks(compress_lzw(payload[top * ROW : (top + rows) * ROW])))
     return b"".join([*out, b"\x3b"])
 
 
-def read_codes(bits: np.ndarray, start: int, width: int, count: int) -> np.ndarray:
-    """Up to ``count`` codes of ``width`` bits from a bit position."""
-    count = min(count, (len(bits) - start) // width)
-    if count <= 0:
-        return np.zeros(0, dtype=np.int64)
-    lanes = bits[start : start + count * width].reshape(count, width)
-    return lanes @ (1 << np.arange(width, dtype=np.int64))
-
-
-def nine_bit_codes(data: np.ndarray) -> np.ndarray:
-    """All codes of a stream in which every code has nine bits."""
-    count = len(data) * 8 // 9
-    padded = np.zeros(-(-count // 8) * 9 + 9, dtype=np.uint16)
-    padded[: len(data)] = data
-    lanes = padded[: -(-count // 8) * 9].reshape(-1, 9)
-    out = np.empty((len(lanes), 8), dtype=np.uint16)
-    for k in range(8):
-        out[:, k] = (lanes[:, k] >> k | lanes[:, k + 1] << (8 - k)) & 511
-    return out.ravel()[:count]
-
-
-def decode_literal(data: bytes, pixels: int) -> np.ndarray | None:
-    """The samples of an 8-bit stream of literal nine-bit codes, or None where the stream is of another kind."""
-    codes = nine_bit_codes(np.frombuffer(data, np.uint8))
-    end = np.flatnonzero(codes == 257)
-    if not len(end):
-        return None
-    codes = codes[: end[0]]
-    clears = np.flatnonzero(codes == 256)
-    gaps = np.diff(np.concatenate([clears, [len(codes)]]))
-    if codes.max(initial=0) > 256 or not len(clears) or clears[0] or gaps.max(initial=0) > RUN + 1:
-        return None
-    return codes[codes < 256].astype(np.uint8)[:pixels]
-
-
 def decode_lzw(data: bytes, minimum: int, pixels: int) -> np.ndarray:
     """The samples of any GIF LZW stream; a damaged or short stream leaves zeros at the end.
 
-    A table entry is the text of one code and the first sample of the next, which lie side by side in the output: so
-    entries are kept as places in the output and a code is one slice copy.
+    Up to the next clear code, widths follow from the number of codes alone, so codes are unpacked a width at a time.
     """
-    if minimum == 8 and (fast := decode_literal(data, pixels)) is not None and len(fast) == pixels:
-        return fast
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").astype(np.int64)
-    out = np.zeros(pixels, dtype=np.uint8)
-    clear, end, at, filled = 1 << minimum, (1 << minimum) + 1, 0, 0
-    while True:
-        # Until the next clear code, code widths follow from the number of codes alone.
-        starts: list[int] = []  # output places of the codes since the clear code, entry i being code i and one more
-        sizes: list[int] = []
-        width, used, stop = minimum + 1, 0, None
-        while stop is None:
-            # Entry end + used appears with code number used + 1; the width grows when the table fills it.
-            room = (1 << width) - end - max(used, 1) if width < 12 else 1 << 12
-            codes = read_codes(bits, at, width, max(1, room))
-            if not len(codes):
-                return out
-            for code in codes.tolist():
-                at += width
-                if code == clear or code == end:
-                    stop = code
-                    break
-                if code < clear:
-                    size = 1
-                    if filled < pixels:
-                        out[filled] = code
-                elif code - end - 1 < len(sizes):
-                    start, size = starts[code - end - 1], sizes[code - end - 1] + 1
-                    for lo in range(0, size, size - 1 or 1):  # the entry of the code just read overlaps itself by one
-                        part = out[start + lo : min(start + size, start + lo + (size - 1 or 1))]
-                        room_left = max(0, pixels - filled - lo)
-                        out[filled + lo : filled + lo + min(len(part), room_left)] = part[:room_left]
-                else:
-                    return out
-                starts.append(filled)
-                sizes.append(size)
-                filled += size
-                used += 1
-                if used + end >= 1 << width and width < 12:
-                    width += 1
-                    break
-            if filled >= pixels and stop is None:
-                return out
-        if stop == end or filled >= pixels:
-            return out
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    clear, end = 1 << minimum, (1 << minimum) + 1
+    base = [bytes([i]) for i in range(min(clear, 256))] + [b""] * (end + 1 - min(clear, 256))
+    table, last, width, parts, filled, at = base.copy(), b"", minimum + 1, [], 0, 0
+    while filled < pixels:
+        # Codes of this width: until the table has an entry for its greatest value, without bound at 12 bits.
+        count = min((1 << width) - len(table) + (not last) if width < 12 else 4096, (len(bits) - at) // width)
+        if count <= 0:
+            break
+        codes = bits[at : at + count * width].reshape(count, width) @ (1 << np.arange(width))
+        stop = np.flatnonzero((codes == clear) | (codes == end))[:1]
+        for code in codes[: stop[0] if len(stop) else count].tolist():
+            if code < len(table):
+                text = table[code]
+            elif code == len(table) and last:
+                text = last + last[:1]
+            else:
+                at = len(bits)
+                break
+            if last and len(table) < 4096:
+                table.append(last + text[:1])
+            last = text
+            parts.append(text)
+            filled += len(text)
+        if at == len(bits):
+            break
+        if not len(stop):
+            at += count * width
+            width = min(width + 1, 12)
+            continue
+        at += (int(stop[0]) + 1) * width
+        if codes[stop[0]] == end:
+            break
+        table, last, width = base.copy(), b"", minimum + 1
+    return np.frombuffer(b"".join(parts)[:pixels].ljust(pixels, b"\0"), np.uint8)
 
 
 def decode_gif(data: bytes, pictures: bool = True) -> list[Frame]:
@@ -266,6 +234,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(*columns).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
 
+def stored_media(docs: DataFrame, **options) -> DataFrame:
+    """``text_media`` written to a table in the shared folder and read back from there."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "media")
+    text_media(docs, **options).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Decode the stored files of ``text_media``: sizes, digests of the samples and of the file, and frame features.
 

@@ -11,7 +11,7 @@ from folioflow.llm.bbit_minhash import near_duplicates
 from folioflow.llm.common import table
 from folioflow.llm.decontam import contamination_digest, find_contamination
 from folioflow.llm.elias_fano import token_shards
-from folioflow.llm.gif_media import media_features, text_media
+from folioflow.llm.gif_media import media_features, stored_media
 from folioflow.llm.html_paths import extract_main_text
 from folioflow.llm.packing_lp import pack_documents
 from folioflow.llm.ppm_langid import identify_languages
@@ -45,7 +45,7 @@ def op4_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 
 
 def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(text_media(table(spark, sf_dir, "documents"))).drop("frames")
+    return media_features(stored_media(table(spark, sf_dir, "documents"))).drop("frames")
 
 
 def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,11 +270,19 @@ def test_lzw_streams(minimum, n, colours):
     assert len(gif_media.decode_lzw(lzw(samples.tobytes(), minimum, rng)[:10], minimum, n)) == n
 
 
-@pytest.mark.parametrize("rows", [1, 2, 100, 65535, 65540])
-def test_payload_round_trip(rows):
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 3838, 3839, 3840, 3841, 50000])
+@pytest.mark.parametrize("colours", [1, 2, 256])
+def test_compressed_streams(n, colours):
+    samples = np.random.default_rng(n).integers(0, colours, n, dtype=np.uint8).tobytes()
+    assert gif_media.decode_lzw(gif_media.compress_lzw(samples), 8, n).tobytes() == samples
+
+
+@pytest.mark.parametrize("rows", [1, 2, 64, 65, 150])
+def test_payload_round_trip(rows, monkeypatch):
+    monkeypatch.setattr(gif_media, "TALLEST", 64)
     payload = np.random.default_rng(rows).integers(0, 256, rows * 192, dtype=np.uint8).tobytes()
     frames = gif_media.decode_gif(gif_media.encode_gif(payload), pictures=False)
-    assert b"".join(f.indices.tobytes() for f in frames) == payload and len(frames) == -(-rows // 65535)
+    assert b"".join(f.indices.tobytes() for f in frames) == payload and len(frames) == -(-rows // 64)
 
 
 def test_disposal_transparency_and_interlace():
@@ -298,7 +306,7 @@ def test_disposal_transparency_and_interlace():
 
 def test_media_query(spark):
     texts = [*AWKWARD, "same", "same", "z" * 192, "z" * 193]
-    rows = gif_media.media_features(gif_media.text_media(corpus(spark, texts))).collect()
+    rows = gif_media.media_features(gif_media.stored_media(corpus(spark, texts))).collect()
     for r in rows:
         raw = (texts[r["doc_id"]] or "").encode()
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
