@@ -45,6 +45,13 @@ class Windows:
         return np.minimum(self.size, shingle)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that their word arrays stay small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def windows_of(ids: list[str], texts: list[str | None], window: int) -> Windows:
     words = K.words_of(pa.array(texts, pa.string()), K.ALNUM, lower=True)
     codes, owners = words.codes(LANE), {}
@@ -121,7 +128,7 @@ def count_frequencies(docs: DataFrame, keys: dict[int, Lookup]) -> dict[tuple[in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {g: np.zeros(len(x.keys), dtype=np.int64) for g, x in held.value.items()}
-        for batch in batches:
+        for batch in small(batches):
             words = K.words_of(batch.column(0), K.ALNUM, lower=True)
             codes = words.codes(LANE)
             for g, x in held.value.items():
@@ -206,7 +213,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         held = spark.sparkContext.broadcast(windows)
 
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 yield hits_of(batch, held.value)
 
         parts.append(corpus.mapInArrow(find, FOUND))
