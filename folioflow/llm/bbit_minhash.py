@@ -8,8 +8,10 @@ links are found with alternating star contractions.
 Groups of copies are kept linear. Texts with equal sets are one class from the start. In each band bucket all members
 are first compared with the smallest one only. Then only buckets that still hold several components are looked at again,
 and there only pairs across components; in a bucket of more than ``block`` members its largest component is split into
-blocks that meet the other members one block at a time. A bucket that would still yield very many pairs gives its most
-similar ones first, and the rest in further rounds unless the links found meanwhile have joined their components.
+blocks that meet the other members one block at a time. Documents that are still unsettled there get a longer signature
+of ``fine`` one-bit minima, so that few pairs below the similarity are left to confirm. The first such round gives the most similar pairs that span a
+bucket's components, the second the eight most similar ones of every two components that confirmed links have not joined
+meanwhile, the third all that are left.
 """
 
 from __future__ import annotations
@@ -164,33 +166,66 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, broad
     return pairs.join(left, "a").join(right, "b").select("a", "b", "c_a", "c_b").mapInArrow(check, PAIR).distinct()
 
 
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(edges.select("v", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("node").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    return counts.where("low > 1 or (low > 0 and high > 0)").limit(1).count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every linked node: the smallest node that it reaches; by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-
-    def summary(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
-        return row["n"], row["h"]
-
-    before = summary(edges)
-    while before[0]:
+    while not is_star_forest(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", "m")).distinct()
         edges = stored(small, "edges")
-        now = summary(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def forest(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of the pairs, taken in order, join what the pairs before them have not joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = np.zeros(len(one), dtype=bool)
+    for k, (x, y) in enumerate(zip(one.tolist(), other.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x], kept[k] = y, True
+    return kept
+
+
+def long_signatures(ids: DataFrame, docs: DataFrame, family: Family, width: int, broadcast_ids: int) -> DataFrame:
+    """(rep, signature) of the documents named by ids, under a family that is only good for estimates."""
+    few = ids.count() <= broadcast_ids  # else both sides are shuffled by id
+    needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 32):
+                codes, cuts = shingle_sets(batch.column(1).slice(lo, 32), width)
+                full = np.flatnonzero(np.diff(cuts))
+                packed = family.pack(family.minima(codes, cuts[:-1][full])) if len(full) else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 32).take(pa.array(full)), pa.array([x.tobytes() for x in packed], pa.binary())], names=["rep", "signature"])
+
+    return needed.mapInArrow(run, "rep long, signature binary").dropDuplicates(["rep"])
+
+
 def bucket_pairs(members: DataFrame, family: Family, percent: int, block: int, most: int) -> DataFrame:
-    """Pairs across components inside buckets: (a, b), and rows without a pair for buckets that hold more.
+    """Pairs across components inside buckets: (a, b, more), and a row (-1, -1, true) for buckets that hold more.
 
-    members has key, rep, n, signature, label. A bucket of k members gives at most ``most * k`` pairs, the most similar.
+    members has key, rep, n, signature, bands, label. A pair counts in the bucket of the first band it shares and in no
+    other. Of every two components in a bucket the ``most`` most similar pairs are given; for ``most`` 0 only the most
+    similar ones that span the bucket's components, so fewer than it has members.
     """
     cut = percent / 100 - family.slack(percent / 100)
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("k"))
@@ -199,13 +234,14 @@ def bucket_pairs(members: DataFrame, family: Family, percent: int, block: int, m
     minor = F.col("label") != F.col("top")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = placed.withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    groups = placed.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "signature", "label", minor.alias("minor"))).alias("m"))
+    groups = placed.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "signature", "bands", "label", minor.alias("minor"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            for number, group in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, number, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 rows = group.values
+                bands = rows.field("bands").flatten().to_numpy().reshape(len(rows), -1)
                 rep, n, label = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "n", "label"))
                 minor_rows = np.flatnonzero(rows.field("minor").to_numpy(zero_copy_only=False))
                 words = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
@@ -218,34 +254,42 @@ def bucket_pairs(members: DataFrame, family: Family, percent: int, block: int, m
                     other &= major | (rep > rep[i]) if number == 0 else major
                     other &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
                     j = np.flatnonzero(other)
+                    j = j[bands[i, (bands[j] == bands[i]).argmax(axis=1)] == key] if len(j) else j
                     score = family.estimate(words[j], words[i])
                     good = score >= cut
                     found.append((np.full(int(good.sum()), i), j[good], score[good]))
                 if not found:
                     continue
                 i, j, score = (np.concatenate(x) for x in zip(*found))
-                if len(i) > most * len(rep):
-                    order = np.argsort(-score, kind="stable")[: most * len(rep)]
-                    i, j = i[order], j[order]
+                one, two = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                order = np.lexsort((-score, two, one))
+                new = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]) if len(order) else np.zeros(0, bool)
+                rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                chosen = order[rank < max(most, 1)]
+                if not most:
+                    chosen = chosen[np.argsort(-score[chosen], kind="stable")]
+                    chosen = chosen[forest(one[chosen], two[chosen])]
+                if len(chosen) < len(i):
                     out_a.append(np.array([-1]))
                     out_b.append(np.array([-1]))
+                i, j = i[chosen], j[chosen]
                 out_a.append(np.minimum(rep[i], rep[j]))
                 out_b.append(np.maximum(rep[i], rep[j]))
             a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (out_a, out_b))
             more = pa.array((a == -1) & (b == -1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), more], names=["a", "b", "more"])
 
-    return groups.select("block", "m").mapInArrow(run, "a long, b long, more boolean")
+    return groups.select("key", "block", "m").mapInArrow(run, "a long, b long, more boolean")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, bands: int = 28, rows: int = 4, bits: int = 2, block: int = 2048, broadcast_ids: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, bands: int = 28, rows: int = 4, bits: int = 2, fine: int = 2048, block: int = 2048, broadcast_ids: int = 500_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id it is linked with by any chain), kept.
 
     A-Z are lower-cased; words are runs of anything but ASCII white space; a document's set holds its distinct shingles of
     ``width`` words, or its whole word sequence if it has fewer. Two documents are linked when 100 * intersection >=
     ``percent`` * union. Texts without words are linked with nothing. kept is doc_id = component_id. Rows that share an id
     count as linked; rows without an id get a null component and are kept. Other columns are ignored; an empty table gives
-    no rows. A pair at exactly 75 % shares a band with probability 1 - 2.4e-5, and passes the estimate with 1 - 3.2e-5.
+    no rows. A pair at exactly 75 % shares a band with probability 1 - 2.4e-5, and passes each estimate with 1 - 3.2e-5.
     """
     family = Family(bands, rows, bits)
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -260,27 +304,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = buckets.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     tried = stored(plausible(stars, sets, family, percent), "tried")
     links = stored(confirmed(tried, named, width, percent, broadcast_ids), "links")
-    most = 8
-    while True:
-        labels = components(links)
-        label = F.coalesce("label", "rep").alias("label")
-        known = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label)
+    most, more = 0, True
+    while more:
+        labels = stored(components(links), "labels")
+        known = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
         mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        members = known.join(mixed, "key").join(sets, "rep")
-        found = stored(bucket_pairs(members, family, percent, block, most), "pairs")
+        still = stored(known.join(mixed, "key"), "members")
+        if not most:
+            finer = Family(1, fine, 1, seed=6)
+            named_ids = still.select(F.col("rep").alias("doc_id")).distinct()
+            signatures = stored(long_signatures(stored(named_ids, "unsettled"), named, finer, width, broadcast_ids).join(classes.select("rep", "n", "bands"), "rep"), "signatures")
+        found = stored(bucket_pairs(still.join(signatures, "rep"), finer, percent, block, most), "pairs")
         fresh = stored(found.where("not more").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
         more = found.where("more").limit(1).count() > 0
-        if not fresh.count():
-            if not more:
-                break
-        else:
-            added = stored(confirmed(fresh, named, width, percent, broadcast_ids), "links")
-            links = links.union(added)
+        if fresh.limit(1).count():
             tried = tried.union(fresh)
+            links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(confirmed(fresh, named, width, percent, broadcast_ids))
             if not more:
-                labels = components(links)
-                break
-        most *= 16
+                labels = stored(components(links), "labels")
+        most = 1 << 30 if most else 8
     reps = classes.select("id1", "id2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id1", "id2", F.coalesce("label", "rep").alias("component_id"))
     linked = linkable.select("doc_id", "n", "id1", "id2").join(reps, ["id1", "id2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
