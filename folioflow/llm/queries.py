@@ -13,6 +13,7 @@ from folioflow.llm.decontam import contamination_digest, find_contamination
 from folioflow.llm.elias_fano import token_shards
 from folioflow.llm.gif_media import media_features, stored_media
 from folioflow.llm.html_paths import extract_main_text
+from folioflow.llm.oracles import ORACLES  # noqa: F401  the registered SQL
 from folioflow.llm.packing_lp import pack_documents
 from folioflow.llm.ppm_langid import identify_languages
 from folioflow.llm.substring_dedup import drop_repeated_passages
@@ -81,5 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bbit_minhash": op9_bbit_minhash,
     "op10_subword_quality": op10_subword_quality,
 }
-
-ORACLES: dict[str, str] = {}
