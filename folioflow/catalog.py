@@ -112,9 +112,9 @@ def layer_align(spark, sf):
 def probe_grid(spark, sf):
     sample = selection.stride_sample(views.document_pages(spark, sf), "book", "page_no", 8)
     n = views.document_pages(spark, sf).groupBy("book").agg(F.count("*").alias("n_pages"))
-    cells = spark.createDataFrame([(w, q) for w in (1200, 1800, 2400) for q in (45, 60)], "width int, quality int")
-    # Six cells, each page once in every one.
-    each = sample.crossJoin(F.broadcast(cells)).withColumn("made", F.expr("bytes * width * quality div 240000"))
+    # Six cells, each sampled page once in every one.
+    cells = F.array(*(F.struct(F.lit(w).alias("width"), F.lit(q).alias("quality")) for w in (1200, 1800, 2400) for q in (45, 60)))
+    each = sample.withColumn("cell", F.explode(cells)).select("book", "bytes", "cell.*").withColumn("made", F.expr("bytes * width * quality div 240000"))
     rows = each.groupBy("book", "width", "quality").agg(F.count("*").alias("sampled"), F.sum("made").alias("made"))
     return rows.join(n, "book").select("book", "width", "quality", "sampled", F.expr("made div sampled").alias("per_page"), F.expr("made * n_pages div sampled").alias("whole_book"))
 
@@ -294,8 +294,8 @@ def text_geometry(spark, sf):
 def language_fallback(spark, sf):
     """Per document the labelled language pass with most confidence, the first at a tie; none gives the default."""
     docs, labels = views.read(spark, sf, "documents"), views.read(spark, sf, "labels")
-    tries = spark.createDataFrame([(0, "de"), (1, "en"), (2, "fr")], "ord int, try_lang string")
-    scored = docs.join(labels, "doc_id", "left").select("doc_id", "lang", "quality").crossJoin(F.broadcast(tries))
+    tries = F.posexplode(F.array(*map(F.lit, ("de", "en", "fr")))).alias("ord", "try_lang")
+    scored = docs.join(labels, "doc_id", "left").select("doc_id", "lang", "quality", tries)
     conf = F.when(F.col("lang") == F.col("try_lang"), 90).otherwise(F.lit(40) + F.coalesce("quality", F.lit(0)))
     best = F.max(F.struct(conf.alias("conf"), (-F.col("ord")).alias("rank"), F.col("try_lang").alias("lang")))
     return scored.groupBy("doc_id").agg(best.alias("b"), F.coalesce(F.avg(F.when(F.col("quality").isNotNull(), conf)), F.lit(0.0)).alias("mean")).select("doc_id", F.col("b.lang").alias("lang"), F.col("b.conf").alias("conf"), F.round("mean", 6).alias("mean"))
