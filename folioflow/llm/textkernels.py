@@ -201,8 +201,3 @@ def unpack_varint(data: bytes) -> np.ndarray:
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_varint(data))
-
-
-def bits_of(values: np.ndarray) -> np.ndarray:
-    """Counts of set bits, elementwise."""
-    return np.bitwise_count(values)
