@@ -46,32 +46,35 @@ def code_widths(count: int, minimum: int) -> np.ndarray:
 
 
 def compress_lzw(samples: bytes, minimum: int = 8) -> bytes:
-    """An LZW stream of samples; the table is cleared when it is full."""
-    clear, most = 1 << minimum, 4096
+    """An LZW stream of samples; the table is cleared when it is full.
+
+    Codes are kept shifted left by 8 bits here, so that a code and its next sample make a key by one operation.
+    """
+    clear, most = 1 << minimum, 4096 << 8
     runs: list[list[int]] = [[]]
     table: dict[int, int] = {}
-    emit, find, free = runs[0].append, table.get, clear + 2
-    now = samples[0]
-    for s in samples[1:]:
-        key = now << 8 | s
-        code = find(key)
+    emit, find, free = runs[0].append, table.get, clear + 2 << 8
+    rest = iter(samples)
+    now = next(rest) << 8
+    for s in rest:
+        code = find(now | s)
         if code is not None:
             now = code
             continue
         emit(now)
-        now = s
         if free < most:
-            table[key] = free
-            free += 1
+            table[now | s] = free
+            free += 256
         else:
-            emit(clear)
+            emit(clear << 8)
             table.clear()
             runs.append([])
-            emit, free = runs[-1].append, clear + 2
+            emit, free = runs[-1].append, clear + 2 << 8
+        now = s << 8
     emit(now)
-    emit(clear + 1)
+    emit(clear + 1 << 8)
     # A clear code comes first; then each run ends with its own clear or end code.
-    codes = np.concatenate([[clear], *runs]).astype(np.int64)
+    codes = np.concatenate([[clear << 8], *runs]).astype(np.int64) >> 8
     widths = np.concatenate([[minimum + 1], *(code_widths(len(r), minimum) for r in runs)])
     bits = ((codes[:, None] >> np.arange(12)) & 1).astype(np.uint8)
     return np.packbits(bits[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
@@ -118,20 +121,33 @@ def decode_lzw(data: bytes, minimum: int, pixels: int) -> np.ndarray:
             break
         codes = bits[at : at + count * width].reshape(count, width) @ (1 << np.arange(width))
         stop = np.flatnonzero((codes == clear) | (codes == end))[:1]
-        for code in codes[: stop[0] if len(stop) else count].tolist():
-            if code < len(table):
+        run = codes[: stop[0] if len(stop) else count].tolist()
+        fresh = len(parts)
+        if not last and run:
+            last = table[run[0]] if run[0] < clear else b""
+            if not last:
+                break
+            parts.append(last)
+            del run[0]
+        put, add, size, whole = parts.append, table.append, len(table), True
+        growing, full = run[: 4096 - size], run[4096 - size :]
+        for code in growing:
+            if code < size:
                 text = table[code]
-            elif code == len(table) and last:
+            elif code == size:
                 text = last + last[:1]
             else:
-                at = len(bits)
+                whole = False
                 break
-            if last and len(table) < 4096:
-                table.append(last + text[:1])
+            add(last + text[:1])
+            size += 1
+            put(text)
             last = text
-            parts.append(text)
-            filled += len(text)
-        if at == len(bits):
+        if whole and full:  # no more entries
+            parts += [table[code] for code in full]
+            last = parts[-1]
+        filled += sum(map(len, parts[fresh:]))
+        if not whole:
             break
         if not len(stop):
             at += count * width
