@@ -146,22 +146,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, broad
     needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, cuts = shingle_sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "codes"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                found, cuts = shingle_sets(batch.column(1), width)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "codes"])
 
     sets = stored(needed.mapInArrow(codes, "doc_id long, codes binary"), "shingles")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("codes").alias(f"c_{x}")) for x in "ab")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 128):
+                batch, good = whole.slice(lo, 128), []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep = pa.array(good, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "c_a", "c_b").mapInArrow(check, PAIR).distinct()
 

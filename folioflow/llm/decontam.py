@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -249,14 +248,14 @@ def clean_text(spark: SparkSession, windows: Windows, text: Column) -> Column:
     """Whether whole texts hold none of the windows."""
     held = spark.sparkContext.broadcast(windows)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         out = []
         for lo in range(0, len(texts), 256):
-            part = pa.array(texts.iloc[lo : lo + 256], pa.string())
+            part = texts.slice(lo, 256)
             found = hits_of(pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), part], names=["doc_id", "text"]), held.value)
             out += [not x for x in found.column(2).to_pylist()]
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     return clean(text)
 

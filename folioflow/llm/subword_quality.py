@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,16 +139,17 @@ def quality_score(spark: SparkSession, model: Embeddings, text: Column) -> Colum
     """Probability of label 1 for whole texts, null and empty ones included."""
     held, grams = spark.sparkContext.broadcast(model.folded()), model.grams
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out, waiting, size = [], [], 0
-        for t in texts:  # about a megabyte at a time
-            waiting.append(t.encode("utf-8") if t else None)
-            size += len(waiting[-1] or b"")
-            if size >= 1 << 20:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out, waiting, size = [np.zeros(0)], [], 0
+        for lo in range(0, len(texts), 64):  # about a megabyte at a time
+            for t in texts.slice(lo, 64).cast(pa.binary()).to_pylist():
+                waiting.append(t)
+                size += len(t or b"")
+            if size >= 1 << 20 or lo + 64 >= len(texts):
                 out.append(scores(waiting, held.value, grams))
                 waiting, size = [], 0
-        return pd.Series(np.concatenate([*out, scores(waiting, held.value, grams)] if waiting else [*out, np.zeros(0)]))
+        return pa.array(np.concatenate(out))
 
     return score(text)
 
