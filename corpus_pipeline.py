@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words under repeated 20-word windows; a document that loses none stays as it is, one that loses all stays empty."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = drop_repeated_passages(docs, carry=(*others, "n_chars"), untouched_as_is=True)
+    cut = drop_repeated_passages(docs, carry=(*others, "n_chars"), untouched_as_is=True, part_bytes=4 << 20)
     chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carried.n_chars"))
     made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": chars} | {c: F.col(f"carried.`{c}`") for c in others}
     return cut.select(*(made[c].alias(c) for c in docs.columns))
