@@ -11,6 +11,7 @@ from folioflow.functions.options import Options, check_paths, job_threads, usabl
 from folioflow.operators import colour, content, jobs, raster
 from folioflow.operators.scans import ordinals, running
 from folioflow.plans import assembly
+from folioflow.plans.closure import closure
 from folioflow.sources import files, pdf, views
 from folioflow.streaming import progress
 
@@ -186,3 +187,19 @@ def test_options():
     with pytest.raises(ValueError):
         check_paths(["a", "b"], "a")
     assert job_threads(10, 4) == 2 and usable_languages(["xx", "ko"], ["ko", "en"], "en") == ["ko"] and usable_languages(["xx"], ["ko"], "en") == ["en"]
+
+
+def test_closure_of_all_parts(spark, sf_dir):
+    parts = views.read(spark, sf_dir, "part")
+    steps = parts.select(F.col("p_partkey").alias("part"), F.expr("p_partkey div 2").alias("needs")).where("needs > 0")
+    want = {(r["p_partkey"], r["p_partkey"] >> k) for r in parts.collect() for k in range(1, 64) if r["p_partkey"] >> k}
+    got = [tuple(r) for r in closure(steps, "part", "needs").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_closure_of_long_chains_and_cycles(spark):
+    chain = [(k, k - 1) for k in range(1, 71)] + [(100, 101), (101, 102), (102, 100), (70, None), (70, 69)]
+    got = [tuple(r) for r in closure(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()]
+    want = {(i, j) for i in range(1, 71) for j in range(i)} | {(i, j) for i in (100, 101, 102) for j in (100, 101, 102)}
+    assert len(got) == len(want) and set(got) == want
+    assert closure(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
