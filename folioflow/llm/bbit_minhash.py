@@ -7,8 +7,8 @@ links are found with alternating star contractions.
 
 Groups of copies are kept linear. Texts with equal sets are one class from the start. In each band bucket all members
 are first compared with the smallest one only. Then only buckets that still hold several components are looked at again,
-and there only pairs across components; in a bucket of more than ``block`` members its largest component is split into
-blocks that meet the other members one block at a time. Documents that are still unsettled there get a longer signature
+and there only pairs across components; a bucket of more than ``block`` members is dealt into blocks that meet two at a
+time, so that no row holds more than about ``block`` members. Documents that are still unsettled there get a longer signature
 of ``fine`` one-bit minima, so that few pairs below the similarity are left to confirm. The first such round gives the most similar pairs that span a
 bucket's components, the second the eight most similar ones of every two components that confirmed links have not joined
 meanwhile, the third all that are left.
@@ -223,46 +223,65 @@ def long_signatures(ids: DataFrame, docs: DataFrame, family: Family, width: int,
     return needed.mapInArrow(run, "rep long, signature binary").dropDuplicates(["rep"])
 
 
+def bucket_tasks(members: DataFrame, block: int) -> DataFrame:
+    """(key, left, right, m): every two members of a bucket that carry different labels meet in one row, in no other.
+
+    A bucket of up to ``block`` members is one row. In a larger one the members of the most frequent label and all others
+    are dealt by hash into blocks of about half of ``block`` members each; a row holds two blocks, or one for its own
+    pairs. Two blocks of the most frequent label never meet. first tells the members of the left block.
+    """
+    half = max(block // 2, 1)
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("k"))
+    shape = sizes.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "label")).alias("top")).where(F.col("all") > block)
+    least_one = lambda n: F.greatest(F.ceil(n / half), F.lit(1)).cast("int")
+    hot = stored(shape.select("key", F.col("top.label").alias("top"), least_one(F.col("all") - F.col("top.k")).alias("minors"), least_one(F.col("top.k")).alias("majors")), "hot")
+    minors, majors = F.coalesce("minors", F.lit(1)), F.coalesce("majors", F.lit(1))
+    major = F.coalesce(F.col("label") == F.col("top"), F.lit(False))
+    dealt = F.xxhash64("rep")
+    own = F.when(major, minors + F.pmod(dealt, majors)).otherwise(F.pmod(dealt, minors)).cast("int")
+    last = F.when(major | F.col("top").isNull(), minors - 1).otherwise(minors + majors - 1)
+    placed = members.join(hot, "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
+    return placed.groupBy("key", "left", "right").agg(F.collect_list(F.struct("rep", "n", "signature", "bands", "label", (F.col("own") == F.col("left")).alias("first"))).alias("m"))
+
+
 def bucket_pairs(members: DataFrame, family: Family, percent: int, block: int, most: int) -> DataFrame:
-    """Pairs across components inside buckets: (a, b, more), and a row (-1, -1, true) for buckets that hold more.
+    """Pairs across components inside buckets: (a, b, more), and a row (-1, -1, true) for bucket tasks that hold more.
 
     members has key, rep, n, signature, bands, label. A pair counts in the bucket of the first band it shares and in no
-    other. Of every two components in a bucket the ``most`` most similar pairs are given; for ``most`` 0 only the most
-    similar ones that span the bucket's components, so fewer than it has members.
+    other. Of every two components in a bucket task the ``most`` most similar pairs are given; for ``most`` 0 only the
+    most similar ones that span the task's components, so fewer than it has members.
     """
     cut = percent / 100 - family.slack(percent / 100)
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("k"))
-    shape = sizes.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "label")).alias("top")).select("key", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.col("top.label").alias("top"))
-    placed = members.join(shape, "key")
-    minor = F.col("label") != F.col("top")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    groups = placed.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "signature", "bands", "label", minor.alias("minor"))).alias("m"))
+    groups = bucket_tasks(members, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            for key, number, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for key, left, right, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 rows = group.values
+                rep, n, label, first = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "n", "label", "first"))
+                if left == right:  # all but the most frequent label's members look at larger ids and at that label's
+                    names, counts = np.unique(label, return_counts=True)
+                    if len(names) < 2:
+                        continue
+                    passive = label == names[counts.argmax()]
+                elif first.all() or not first.any():
+                    continue
+                else:  # one block looks at the other
+                    passive = first if first.sum() > len(first) / 2 else ~first
                 bands = rows.field("bands").flatten().to_numpy().reshape(len(rows), -1)
-                rep, n, label = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("rep", "n", "label"))
-                minor_rows = np.flatnonzero(rows.field("minor").to_numpy(zero_copy_only=False))
                 words = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
-                major = np.ones(len(rep), dtype=bool)
-                major[minor_rows] = False
                 found = []
-                for i in minor_rows.tolist():
-                    # Pairs of two minor members are looked at in block 0 only, from the smaller id.
-                    other = label != label[i]
-                    other &= major | (rep > rep[i]) if number == 0 else major
+                for i in np.flatnonzero(~passive).tolist():
+                    other = passive | (rep > rep[i]) if left == right else passive.copy()
+                    other &= label != label[i]
                     other &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
                     j = np.flatnonzero(other)
                     j = j[bands[i, (bands[j] == bands[i]).argmax(axis=1)] == key] if len(j) else j
                     score = family.estimate(words[j], words[i])
                     good = score >= cut
                     found.append((np.full(int(good.sum()), i), j[good], score[good]))
-                if not found:
-                    continue
                 i, j, score = (np.concatenate(x) for x in zip(*found))
                 one, two = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
                 order = np.lexsort((-score, two, one))
@@ -282,7 +301,7 @@ def bucket_pairs(members: DataFrame, family: Family, percent: int, block: int, m
             more = pa.array((a == -1) & (b == -1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), more], names=["a", "b", "more"])
 
-    return groups.select("key", "block", "m").mapInArrow(run, "a long, b long, more boolean")
+    return groups.mapInArrow(run, "a long, b long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5, bands: int = 28, rows: int = 4, bits: int = 2, fine: int = 2048, block: int = 2048, broadcast_ids: int = 500_000) -> DataFrame:

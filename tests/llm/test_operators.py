@@ -508,6 +508,36 @@ def test_near_duplicates(spark, options):
     assert got == brute_components(enumerate(texts))
 
 
+@pytest.mark.parametrize("top", [0, 300])
+def test_bucket_rows_stay_small(spark, top):
+    """A hot bucket of unlinked members, with and without a large component, meets pair by pair in rows of bounded size."""
+    labels = {i: i for i in range(400)} | {1000 + i: 1000 for i in range(top)}
+    rows = [(key, rep, 9, b"", [7], label) for key, least in ((7, 0), (8, 990)) for rep, label in labels.items() if least <= rep < least + 1010]
+    members = spark.createDataFrame(rows + [(9, 1, 9, b"", [7], 1), (9, 2, 9, b"", [7], 2)], "key long, rep long, n int, signature binary, bands array<long>, label long")
+    met = defaultdict(int)
+    for r in bbit_minhash.bucket_tasks(members, 40).collect():
+        assert len(r["m"]) <= 80
+        for k, x in enumerate(r["m"]):
+            for y in r["m"][:k]:
+                if x["label"] != y["label"] and (r["left"] == r["right"] or x["first"] != y["first"]):
+                    met[r["key"], *sorted((x["rep"], y["rep"]))] += 1
+    want = {(key, a[1], b[1]) for key in (7, 8) for a in rows for b in rows if a[0] == b[0] == key and a[1] < b[1] and a[5] != b[5]} | {(9, 1, 2)}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_unlinked_documents_of_one_template(spark):
+    rng = np.random.default_rng(8)
+    base, texts = word_list(120, 21), []
+    for i in range(160):  # most pairs under the similarity, a few linked ones among them
+        w = list(base)
+        for j in rng.choice(120, 6, replace=False):
+            w[j] = f"own{i // 2 if i % 5 == 0 else i}x{j}"
+        texts.append(" ".join(w))
+    texts += [t + " end" for t in texts[::9]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in bbit_minhash.near_duplicates(corpus(spark, texts), block=16).collect()}
+    assert got == brute_components(enumerate(texts))
+
+
 def test_near_duplicate_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (9, None), (9, ""), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     rows = bbit_minhash.near_duplicates(docs).collect()
