@@ -6,7 +6,8 @@ times one plus its mean punctuation, on a log scale. Ratios are smoothed along t
 headline or a one-word paragraph gets its share of its surroundings, and fused with the path's own ratio. The fused
 scores weigh the text under every path prefix; the longest prefix that still holds the ``share`` threshold of the page's
 weight is the content. Subtrees that declare themselves as menus, adverts, forms and the like are left out before, and
-paths that are nearly all link text after.
+paths that are nearly all link text after. Inside an article only plain names do that; for words such as search, legal or
+related the element's own ratio decides.
 """
 
 from __future__ import annotations
@@ -36,6 +37,14 @@ NOISE_WORDS = frozenset(
     search form share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond
     pagination pager widget widgets toolbar copyright legal disclaimer complementary contentinfo dialog alert skip hidden tracking paywall""".split()
 )
+#: Inside an article these words alone, or joined with plain parts as in ad-slot-1 or comments-section, leave an element out.
+#: Any other noise word there only makes it doubtful: its text decides.
+PLAIN_NOISE = frozenset("ad ads adv advert adverts advertisement adsense adsbygoogle comment comments commentlist disqus share sharing social newsletter subscribe signup breadcrumb breadcrumbs pagination sidebar cookie cookies popup modal paywall promo sponsored hidden tracking".split())
+PLAIN_PARTS = frozenset("section list area wrapper wrap container box bar bars button buttons slot block unit item body form links icons thread widget top bottom inline visually".split())
+NOISE_ROLES = frozenset("navigation search banner complementary contentinfo dialog alertdialog".split())
+#: Of an id, which may be a heading's words, only these.
+ID_NOISE = frozenset("ad ads advert advertisement comment comments commentlist disqus".split())
+PARAGRAPH_NOISE = frozenset("comment comments reply ad ads advert advertisement sponsored promo notice cookie cookies copyright disclaimer newsletter".split())
 #: Start tags that end an open paragraph, and what ends an open element of the same family.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table select".split())
@@ -45,20 +54,38 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/><]*)(?P<attrs>(?:[^>\"'<]|\"[^\"]*\"|'[^']*')*+)>|<[/a-z][^>]*>|<[!?][^>]*>",
     re.I | re.S,
 )
+HEADING = re.compile(r"h[1-6](\.|$)")
+NAMED_LABEL = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
 
+def plainly_noise(attrs: str, tag: str) -> bool:
+    """Whether whole class, id or role values mark an element inside an article as something beside it."""
+    for kind, *values in NAMED_LABEL.findall(attrs):
+        known = NOISE_ROLES if kind.lower() == "role" else PLAIN_NOISE if kind.lower() == "class" else ID_NOISE
+        if kind.lower() == "id" and HEADING.match(tag):
+            continue
+        for token in "".join(values).lower().split():
+            parts = {x for x in re.split(r"[-_\d]+", token) if x}
+            if token in known or parts & known and parts <= known | PLAIN_PARTS or kind.lower() == "class" and tag in ("p", "h1") and token in PARAGRAPH_NOISE:
+                return True
+    return False
+
+
 class Node:
-    """An open block element: its path, and whether it or an ancestor is left out."""
+    """An open block element: its path, whether it or an ancestor is left out, and whether it is in an article or doubtful there."""
 
-    __slots__ = ("parent", "tag", "path", "noise", "soft")
+    __slots__ = ("parent", "tag", "path", "noise", "soft", "inside", "doubt")
 
-    def __init__(self, parent: Node | None, tag: str, label: str, noise: bool, soft: bool):
+    def __init__(self, parent: Node | None, tag: str, label: str, noise: bool, soft: bool, doubt: bool = False):
         self.parent, self.tag, self.noise, self.soft = parent, tag, noise, soft
         self.path = (parent.path if parent else ()) + (f"{tag}.{label}" if label else tag,)
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        #: The outermost doubtful element at or above this one.
+        self.doubt: Node | None = parent.doubt if parent is not None and parent.doubt else self if doubt else None
 
     def left_out(self) -> bool:
         node = self
@@ -140,12 +167,17 @@ def blocks_of(page: str) -> list[Block]:
         words = set(WORD.findall(" ".join(labels).lower()))
         noise = tag in NOISE_TAGS or bool(attrs) and re.search(r"\shidden\b(?!\s*=)", attrs, re.I) is not None
         soft = bool(words & NOISE_WORDS) and tag not in ("html", "body", "article", "main", "p", "h1")
+        doubt = False
+        if node.inside and tag not in ("article", "main"):
+            noise = noise or bool(words & (NOISE_WORDS | NOISE_ROLES)) and plainly_noise(attrs, tag)
+            doubt = soft and not words & NOISE_WORDS <= {"header", "headers"}  # as the header element is kept there
+            soft = False
         if tag == "header":
             up = node
             while up and up.tag not in ("article", "main"):
                 up = up.parent
             noise = noise or up is None
-        if tag in ("article", "p", "h1") and words & {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "notice", "cookie", "cookies", "copyright", "disclaimer", "newsletter"}:
+        if (tag == "article" or tag in ("p", "h1") and not node.inside) and words & PARAGRAPH_NOISE:
             noise = True
         elif tag in ("article", "main"):
             up = node  # a wrapper of the article is no advert, whatever its class says
@@ -155,7 +187,7 @@ def blocks_of(page: str) -> list[Block]:
                 up = up.parent
         first = CLASS.search(attrs) if attrs else None
         name = "-".join(sorted(next(x for x in first.groups() if x is not None).lower().split())) if first else ""
-        node = Node(node, tag, name or ("-".join(sorted(words & NOISE_WORDS)) if soft else ""), noise, soft)
+        node = Node(node, tag, name or ("-".join(sorted(words & NOISE_WORDS)) if soft or doubt else ""), noise, soft, doubt)
     say(page[at:])
     flush()
     return found
@@ -171,19 +203,56 @@ def smooth(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
+def sums(blocks: list[Block], key) -> dict:
+    """Blocks, characters, punctuation and linked characters per key."""
+    totals: dict = {}
+    for b in blocks:
+        t = totals.setdefault(key(b), [0, 0, 0, 0])
+        for i, x in enumerate((1, len(b.text), len(PUNCTUATION.findall(b.text)), b.linked)):
+            t[i] += x
+    return totals
+
+
+def text_ratio(n: int, chars: int, marks: int, linked: int) -> float:
+    """Mean length times one plus mean punctuation on a log scale; links count little."""
+    return math.log1p(chars / n * (1 + marks / n) * (1 - 0.9 * min(1, linked / chars)))
+
+
+def page_threshold(blocks: list[Block]) -> float:
+    """Half of the mean path ratio, every path weighed by its text."""
+    totals = sums(blocks, lambda b: b.node.path)
+    return 0.5 * sum(text_ratio(*t) * t[1] for t in totals.values()) / sum(t[1] for t in totals.values())
+
+
+def settle_doubts(blocks: list[Block]) -> list[Block]:
+    """Without doubtful elements whose text is not like the page's: mostly links, or short and without punctuation.
+
+    A heading in a doubtful element stays if the element is not mostly links.
+    """
+    doubtful = [b for b in blocks if b.node.doubt]
+    if not doubtful:
+        return blocks
+    threshold = page_threshold([b for b in blocks if not b.node.doubt] or blocks)
+    whole, paths = sums(doubtful, lambda b: b.node.doubt), sums(doubtful, lambda b: (b.node.doubt, b.node.path))
+
+    def stays(b: Block) -> bool:
+        n, chars, marks, linked = whole[b.node.doubt]
+        if linked >= 0.5 * chars:
+            return False
+        return HEADING.match(b.node.path[-1]) is not None or max(text_ratio(n, chars, marks, linked), text_ratio(*paths[b.node.doubt, b.node.path])) >= threshold
+
+    return [b for b in blocks if not b.node.doubt or stays(b)]
+
+
 def main_text(page: str | None, share: float = 0.6, link_share: float = 0.75) -> str:
     """The page's content blocks joined by one space; an empty page has none."""
     if not page:
         return ""
-    blocks = [b for b in blocks_of(page) if not b.node.left_out()]
+    blocks = settle_doubts([b for b in blocks_of(page) if not b.node.left_out()])
     if not blocks:
         return ""
-    totals: dict[tuple[str, ...], list[float]] = {}
-    for b in blocks:
-        t = totals.setdefault(b.node.path, [0, 0, 0, 0])
-        for i, x in enumerate((1, len(b.text), len(PUNCTUATION.findall(b.text)), b.linked)):
-            t[i] += x
-    ratio = {p: math.log1p(chars / n * (1 + marks / n) * (1 - 0.9 * min(1, linked / chars))) for p, (n, chars, marks, linked) in totals.items()}
+    totals = sums(blocks, lambda b: b.node.path)
+    ratio = {p: text_ratio(*t) for p, t in totals.items()}
     own = [ratio[b.node.path] for b in blocks]
     fused = [max(a, s) * (1 - 0.9 * min(1, totals[b.node.path][3] / totals[b.node.path][1])) for a, s, b in zip(own, smooth(own), blocks)]
     weight: dict[tuple[str, ...], float] = {}

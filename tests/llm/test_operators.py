@@ -129,6 +129,29 @@ def test_main_text(page, text):
     assert html_paths.main_text(page) == text
 
 
+PROSE = "A sentence of the article, with some length to it. And another one, which goes on for a while."
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ('<div class="article-header"><h1>Title</h1></div><p>@</p>', "Title @"),
+        ('<h2 class="section-header">Part one</h2><p>@</p>', "Part one @"),
+        ('<h2 id="legal_status">Legal status</h2><p>@</p><h2 id="sharing">Sharing</h2><p>@</p>', "Legal status @ Sharing @"),
+        ('<p>@</p><section id="related-work"><h2>Related work</h2><p>@</p></section>', "@ Related work @"),
+        ('<p>@</p><section id="search-methods"><p>@</p></section><div class="form-of-life">@</div>', "@ @ @"),
+        ('<p>@</p><p class="social-history">@</p><p id="copyright_law">@</p><p class="copyright">@</p>', "@ @ @"),
+        ('<p>@</p><div class="comments"><p>@</p></div><div id="comments-section"><p>@</p></div>', "@"),
+        ('<p>@</p><div class="ad-slot-1">@</div><div class="share-bar">Share this</div><div role="search">Find, here.</div>', "@"),
+        ('<p>@</p><div class="related"><h3>Related</h3><ul><li><a href=x>One more</a></li><li><a href=y>And another</a></li></ul></div>', "@"),
+        ('<p>@</p><div class="article-notice">Log in</div>', "@"),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_noise_words_inside_an_article(tag, inner, text):
+    assert html_paths.main_text(f"<body><nav><a href=/>Home</a></nav><{tag}>{inner}</{tag}></body>".replace("@", PROSE)) == text.replace("@", PROSE)
+
+
 def test_main_text_of_the_pages_table(spark, sf_dir):
     rows = queries.op2_tag_path_text(spark, sf_dir).collect()
     pages = {r["page_id"]: r for r in table(spark, sf_dir, "pages").collect()}
