@@ -4,8 +4,9 @@ A page is cut into blocks of text, each under the path of its open block element
 do not count). Per path, text length and punctuation are summed over its blocks: the path's ratio is its mean length
 times one plus its mean punctuation, on a log scale. Ratios are smoothed along the page with a Gaussian, so that a
 headline or a one-word paragraph gets its share of its surroundings, and fused with the path's own ratio. The fused
-scores weigh the text under every path prefix; the longest prefix that still holds the ``share`` threshold of the page's
-weight is the content. Subtrees that declare themselves as menus, adverts, forms and the like are left out before, and
+scores weigh the text under every path prefix. Every article and main element is content. On a page without them every path
+is content whose ratio (for a heading: fused score) reaches half of the page's mean, and all under the longest prefix that
+still holds the ``share`` threshold of the page's weight, which adds short siblings. Subtrees that declare themselves as menus, adverts, forms and the like are left out before, and
 paths that are nearly all link text after. Inside an article only plain names do that; for words such as search, legal or
 related the element's own ratio decides.
 """
@@ -265,12 +266,11 @@ def main_text(page: str | None, share: float = 0.6, link_share: float = 0.75) ->
     leaf = re.compile(r"(p|h[1-6]|li|dt|dd|td|th|tr|pre|blockquote|ul|ol|dl|tbody|figure|figcaption|center|address)(\.|$)")
     named = [p for p in weight if re.match(r"(article|main)(\.|$)", p[-1]) and weight[p] > 0]
     fit = [p for p in weight if weight[p] >= share * whole and not leaf.match(p[-1])]
-    if named:
-        most = max(weight[p] for p in named)
-        chosen = [p for p in named if weight[p] >= 0.2 * most]
-    else:
-        chosen = [max(fit, key=len)] if fit else [blocks[0].node.path[:1]]
-    kept = [b for b in blocks if any(b.node.path[: len(c)] == c for c in chosen)]
+    # The container adds low-scoring siblings; whatever scores high by itself stays wherever it is, headings by their surroundings.
+    chosen = named or [max(fit, key=len) if fit else blocks[0].node.path[:1]]
+    threshold = math.inf if named else page_threshold(blocks)
+    near = [f if HEADING.match(b.node.path[-1]) else ratio[b.node.path] for f, b in zip(fused, blocks)]
+    kept = [b for b, score in zip(blocks, near) if score >= threshold or any(b.node.path[: len(c)] == c for c in chosen)]
 
     def links_only(path: tuple[str, ...]) -> bool:
         n, chars, marks, linked = totals[path]

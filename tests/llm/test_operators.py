@@ -152,6 +152,21 @@ def test_noise_words_inside_an_article(tag, inner, text):
     assert html_paths.main_text(f"<body><nav><a href=/>Home</a></nav><{tag}>{inner}</{tag}></body>".replace("@", PROSE)) == text.replace("@", PROSE)
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<div class="story"><div class="lead"><p>@</p></div><div class="rest"><p>@ @</p></div></div>', "@ @ @"),
+        ('<div class="wrap"><h1>The title of it</h1><div class="content"><p>@</p><p>@</p></div></div>', "The title of it @ @"),
+        ('<div class="a"><p>@</p></div><div class="links"><a href=x>One more</a> <a href=y>Another</a></div><div class="b"><p>@ @</p><p>Short</p></div>', "@ @ @ Short"),
+        ('<div class="logo">Site</div><div class="text"><p>@</p><div class="by">Me</div></div>', "@ Me"),
+        ('<article class="short"><p>@</p></article><article class="long"><p>@ @ @ @ @ @ @ @</p></article>', "@ @ @ @ @ @ @ @ @"),
+        ('<article class="long"><p>@ @</p></article><article class="comment"><p>@</p></article>', "@ @"),
+    ],
+)
+def test_split_bodies(body, text):
+    assert html_paths.main_text(f"<body><nav><a href=/>Home</a></nav>{body}</body>".replace("@", PROSE)) == text.replace("@", PROSE)
+
+
 def test_main_text_of_the_pages_table(spark, sf_dir):
     rows = queries.op2_tag_path_text(spark, sf_dir).collect()
     pages = {r["page_id"]: r for r in table(spark, sf_dir, "pages").collect()}
