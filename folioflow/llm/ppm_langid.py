@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import crc32_of_id
 from folioflow.llm.textkernels import buffer_of
 
+#: Symbols at least: the start of a text, every byte value of the training texts, and one for all others.
 SYMBOLS = 128
 
 
@@ -36,24 +37,25 @@ class Model:
     symbol: np.ndarray
     row_of: np.ndarray
     bits: np.ndarray
+    size: int = SYMBOLS
 
 
-def pack(symbols: np.ndarray, order: int) -> np.ndarray:
+def pack(symbols: np.ndarray, order: int, size: int = SYMBOLS) -> np.ndarray:
     """At every place the packed ``order`` symbols before it; symbol 0 stands before a text's start."""
     padded = np.concatenate([np.zeros(order, np.int64), symbols])
     out = np.zeros(len(symbols), dtype=np.int64)
     for k in range(order):
-        out = out * SYMBOLS + padded[k : k + len(symbols)]
+        out = out * size + padded[k : k + len(symbols)]
     return out
 
 
-def count_contexts(symbols: list[np.ndarray], order: int) -> list[dict[str, np.ndarray]]:
+def count_contexts(symbols: list[np.ndarray], order: int, size: int = SYMBOLS) -> list[dict[str, np.ndarray]]:
     """For context lengths 0 to order: the distinct (context, symbol) codes of some texts and their counts."""
     tables = []
     for k in range(order + 1):
-        codes = np.concatenate([pack(s, k) * SYMBOLS + s for s in symbols] or [np.zeros(0, np.int64)])
+        codes = np.concatenate([pack(s, k, size) * size + s for s in symbols] or [np.zeros(0, np.int64)])
         code, n = np.unique(codes, return_counts=True)
-        context, place = np.unique(code // SYMBOLS, return_inverse=True)
+        context, place = np.unique(code // size, return_inverse=True)
         total = np.bincount(place, n, len(context))
         distinct = np.bincount(place, minlength=len(context))
         tables.append({"code": code, "n": n, "place": place, "context": context, "total": total, "distinct": distinct})
@@ -68,37 +70,38 @@ def train(texts: dict[str, list[str]], order: int = 3) -> Model:
     for lang in languages:
         for t in raw[lang]:
             seen += np.bincount(t, minlength=256)
-    # Symbol 0 is the text's start and any byte beyond the most frequent SYMBOLS - 1.
-    symbol = np.zeros(256, dtype=np.int64)
-    ranked = [b for b in np.argsort(-seen, kind="stable").tolist() if seen[b]][: SYMBOLS - 1]
+    # Symbol 0 is the text's start alone; byte values that no training text has share the last one, as no tree knows them.
+    ranked = [b for b in np.argsort(-seen, kind="stable").tolist() if seen[b]]
+    size = max(SYMBOLS, len(ranked) + 2)
+    symbol = np.full(256, size - 1, dtype=np.int64)
     symbol[ranked] = np.arange(1, len(ranked) + 1)
-    trees = {lang: count_contexts([symbol[t] for t in raw[lang]], order) for lang in languages}
+    trees = {lang: count_contexts([symbol[t] for t in raw[lang]], order, size) for lang in languages}
 
     known = [np.unique(np.concatenate([trees[lang][k]["context"] for lang in languages])) if languages else np.zeros(0, np.int64) for k in range(order + 1)]
     bases = np.concatenate([[0], np.cumsum([len(x) for x in known])])
-    bits = np.full((max(1, int(bases[-1])), SYMBOLS, len(languages)), math.log2(SYMBOLS), dtype=np.float32)
-    row_of = np.zeros(SYMBOLS**order, dtype=np.int32)
+    bits = np.full((max(1, int(bases[-1])), size, len(languages)), math.log2(size), dtype=np.float32)
+    row_of = np.zeros(size**order, dtype=np.int32)
     for k, contexts in enumerate(known):
         if k:
-            shorter = contexts % SYMBOLS ** (k - 1)
+            shorter = contexts % size ** (k - 1)
             up = np.searchsorted(known[k - 1], shorter)  # a known context's suffix is known
             block = bits[bases[k - 1] + up].copy()
         else:
-            block = np.full((len(contexts), SYMBOLS, len(languages)), math.log2(SYMBOLS), dtype=np.float32)
+            block = np.full((len(contexts), size, len(languages)), math.log2(size), dtype=np.float32)
         for j, lang in enumerate(languages):
             t = trees[lang][k]
             at = np.searchsorted(contexts, t["context"])
             escape = -np.log2(t["distinct"] / (t["total"] + t["distinct"]))
             block[at, :, j] += escape[:, None].astype(np.float32)
             p = t["n"] / (t["total"] + t["distinct"])[t["place"]]
-            block[at[t["place"]], t["code"] % SYMBOLS, j] = -np.log2(p)
+            block[at[t["place"]], t["code"] % size, j] = -np.log2(p)
         bits[bases[k] : bases[k + 1]] = block
         if len(contexts):
-            tail = np.arange(SYMBOLS ** (order - k), dtype=np.int64) * SYMBOLS**k
+            tail = np.arange(size ** (order - k), dtype=np.int64) * size**k
             for c in range(0, len(contexts), 4096):
                 part = contexts[c : c + 4096]
                 row_of[(part[:, None] + tail[None, :]).ravel()] = np.repeat(bases[k] + c + np.arange(len(part)), len(tail)).astype(np.int32)
-    return Model(languages, order, symbol.astype(np.uint8), row_of, bits.reshape(len(bits) * SYMBOLS, len(languages)))
+    return Model(languages, order, symbol.astype(np.int16), row_of, bits.reshape(len(bits) * size, len(languages)), size)
 
 
 def code_lengths(column: pa.Array, model: Model) -> np.ndarray:
@@ -120,8 +123,8 @@ def code_lengths(column: pa.Array, model: Model) -> np.ndarray:
             for ahead in range(back):  # symbols from before a document's start count as 0
                 at = starts + ahead - lo
                 past[at[(at >= 0) & (at < hi - lo)]] = 0
-            context = context * SYMBOLS + past
-        cost = model.bits[model.row_of[context].astype(np.int64) * SYMBOLS + symbols[lo - begin :]]
+            context = context * model.size + past
+        cost = model.bits[model.row_of[context].astype(np.int64) * model.size + symbols[lo - begin :]]
         first, last = np.searchsorted(offsets, lo, side="right") - 1, np.searchsorted(offsets, hi, side="left")
         cuts = np.clip(offsets[first:last], lo, hi) - lo
         filled = np.diff(np.append(cuts, hi - lo)) > 0

@@ -390,6 +390,19 @@ def test_code_lengths_against_counting():
     assert got[-1][0] < got[-1][1]
 
 
+def test_more_byte_values_than_ascii():
+    """Every byte value of the training texts is a symbol of its own, and none is the start of a text."""
+    wide = "".join(chr(c) for c in [*range(32, 127), *range(0x80, 0x800, 64), *range(0x800, 0x10000, 4096)] if not 0xD800 <= c < 0xE000)
+    every = wide + "".join(chr(0x80 + k) for k in range(64))
+    model = ppm_langid.train({"a": [every * 3, "\u0561\u0562" * 40], "b": [every * 3, "\u05d0\u05d1" * 40]}, 3)
+    used = sorted(set(every.encode()) | set("\u0561\u0562\u05d0\u05d1".encode()))
+    assert len(used) > 127 and len({int(model.symbol[b]) for b in used} | {0}) == len(used) + 1
+    got = ppm_langid.code_lengths(pa.array(["\u0561\u0562" * 5, "\u05d0\u05d1" * 5]), model)
+    assert got[0][0] < got[0][1] and got[1][1] < got[1][0]
+    few = ppm_langid.train({"a": ["abc abc"]}, 3)
+    assert few.symbol[ord("q")] != 0
+
+
 def test_language_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = queries.op6_ppm_language_id(spark, sf_dir).join(docs, "doc_id").collect()
