@@ -1,120 +1,154 @@
 """Packing documents into sequences by a configuration linear program.
 
-The pieces' length histogram, at most ``capacity`` counts, is all that reaches the driver. Over it we solve the
-covering program "fewest bins whose configurations hold every length as often as it occurs" by multiplicative
-weights: each round prices lengths by their weights, an unbounded-knapsack dynamic program finds the best
-configuration, and the lengths it covers lose weight. The fractional plan is rounded down, the rest goes through the
-program again, and what is too little for another round is filled up largest first. Pieces are then ranked within
-their length by salted window functions and look their place up in the plan, which does not grow with the corpus.
+The pieces' length histogram, at most ``capacity`` counts, is all that reaches the driver. The program over it is "fewest
+bins whose configurations hold every length as often as it occurs". Multiplicative weights solve it: a length's price
+starts as its share of a bin and falls as the length gets covered, an unbounded-knapsack dynamic program finds the best
+configuration at these prices and, from the same table, the best one around every length, and these cover their lengths
+further. Any prices bound the optimum from below: their total over all pieces divided by the best configuration's price.
+
+Rounding goes on against what is left: in every round the configurations within a tolerance of the best price are taken
+as often as a share of the remaining bins allows, whole bins only, and prices follow the shares of each length that are
+left, so that scarce and large lengths are used before they block. What no full bin can be made of is filled up largest
+first. Pieces then look their place up in the plan by their rank among those of their length, counted where they were cut.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import shuffle_partitions, stored
+from folioflow.llm.common import pieces, stored
 from folioflow.llm.wordbpe import chunk_ids
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", sequence_id long, offset long"
+CUT = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, within long"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def best_configuration(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is in the configuration of greatest value; lengths ascend.
+@dataclass
+class Plan:
+    """Configurations as (lengths, counts, bins), and the greatest lower bound on the number of bins that any prices gave."""
 
-    best[c] is the greatest value of total length exactly c or less; each capacity is one vector step over the lengths.
+    bins: list[tuple[np.ndarray, np.ndarray, int]]
+    bound: float
+
+    @property
+    def size(self) -> int:
+        return sum(n for *_, n in self.bins)
+
+
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to ``capacity`` the greatest value of lengths that fit, and the length taken last; lengths ascend.
+
+    Each room is one vector step over the lengths; of equal values the longest is taken. -1: nothing fits.
     """
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(int(lengths[0]), capacity + 1):
-        k = fits[c]
-        got = (values[:k] + best[c - lengths[:k]])[::-1]  # of equal values the longest piece
-        i = k - 1 - int(got.argmax())
-        best[c], choice[c] = got[i], i
-    counts, c = np.zeros(len(lengths), dtype=np.int64), capacity
-    while choice[c] >= 0:
-        counts[choice[c]] += 1
-        c -= int(lengths[choice[c]])
-    return counts
-
-
-def trimmed(counts: np.ndarray, left: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """A configuration that uses no length more often than it is left, filled up again largest first."""
-    counts = np.minimum(counts, left)
-    room = capacity - int(counts @ lengths)
-    spare = left - counts
-    while room:
-        i = int(np.searchsorted(lengths, room, side="right")) - 1
-        usable = np.flatnonzero(spare[: i + 1])
+    for room in range(int(lengths[0]), capacity + 1):
+        k = fits[room]
+        got = (values[:k] + best[room - lengths[:k]])[::-1]
+        i = int(got.argmax())
+        best[room], choice[room] = got[i], k - 1 - i
+    return best, choice
+
+
+def best_around(which: np.ndarray, lengths: np.ndarray, choice: np.ndarray, capacity: int) -> np.ndarray:
+    """A row for each of some lengths: the best configuration that holds it, as indices of lengths, padded with -1."""
+    room, taken = capacity - lengths[which], [which]
+    while (got := choice[room]).max() >= 0:
+        taken.append(got)
+        room = np.where(got >= 0, room - lengths[got], room)
+    return np.stack(taken, axis=1)
+
+
+def lower_bound(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, rate: float) -> float:
+    """The program by multiplicative weights: the best lower bound on its optimum within some rounds.
+
+    A round's configurations are weighed by how near they come to the best one and scaled so that no length is covered
+    more than once; then the prices of covered lengths fall.
+    """
+    covered, bound = np.zeros(len(lengths)), 0.0
+    every = np.arange(len(lengths))
+    for _ in range(rounds):
+        price = lengths / capacity * np.exp(-rate * (covered - covered.mean()))
+        best, choice = knapsack(lengths, price, capacity)
+        bound = max(bound, float(need @ price) / best[capacity])
+        value = price + best[capacity - lengths]
+        weight = np.exp(100 * (value / best[capacity] - 1))
+        rows = best_around(every, lengths, choice, capacity)
+        held = rows >= 0
+        gain = np.bincount(rows[held], np.repeat(weight, held.sum(axis=1)), len(lengths)) / need
+        covered += gain / gain.max()
+    return bound
+
+
+def fill(left: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """One bin filled largest first from what is left: indices and counts."""
+    room, which, counts = capacity, [], []
+    while True:
+        reach = np.searchsorted(lengths, room, side="right")
+        usable = np.flatnonzero(left[: min(reach, which[-1]) if which else reach])
         if not len(usable):
             break
-        i = usable[-1]
-        n = min(room // int(lengths[i]), int(spare[i]))
-        counts[i] += n
-        spare[i] -= n
+        i = int(usable[-1])
+        n = min(room // int(lengths[i]), int(left[i]))
+        which.append(i)
+        counts.append(n)
         room -= n * int(lengths[i])
-    return counts
+    return np.array(which), np.array(counts)
 
 
-def fractional_plan(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[np.ndarray, float]]:
-    """Multiplicative weights on the covering program: configurations and how many bins of each.
+def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 30, share: float = 0.15, rate: float = 0.1, bend: float = 0.3, near: float = 0.03, most: int = 400) -> Plan:
+    """Configurations that together hold every length exactly as often as the histogram says.
 
-    Weights start as each length's share of all ids, so that a price starts as the length itself.
+    Rounds of rounding price a length as its share of a bin to the power of 1 + ``bend`` (of equally full bins those with
+    long lengths come first) times exp(``rate`` * share of the length that is left). With ``most`` 0 no program is solved.
     """
-    covered, found = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        price = lengths * np.exp(-rate * (covered - covered.min()))
-        counts = trimmed(best_configuration(lengths, price, capacity), need, lengths, capacity)
-        used = counts > 0
-        step = float((need[used] / counts[used]).min())
-        covered[used] += step * counts[used] / need[used]
-        key = counts.tobytes()
-        found[key] = (counts, found.get(key, (None, 0.0))[1] + step)
-    # Scaled so that on average every length is covered once.
-    mean = float((covered * need * lengths).sum() / (need * lengths).sum())
-    return [(c, x / mean) for c, x in found.values()]
-
-
-def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 40, phases: int = 6, rate: float = 4.0) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Configurations as (lengths, counts, bins), together holding every length exactly as often as the histogram says."""
     lengths = np.array(sorted(n for n, k in histogram.items() if k and n < capacity), dtype=np.int64)
-    left = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    bins = [(np.array([capacity]), np.array([1]), int(histogram[capacity]))] if histogram.get(capacity) else []
-
-    def take(counts: np.ndarray, wanted: int) -> None:
-        used = counts > 0
-        n = min(wanted, int((left[used] // counts[used]).min()))
-        if n > 0:
-            left[used] -= n * counts[used]
-            bins.append((lengths[used], counts[used], n))
-
-    for _ in range(phases):
-        open_ = left > 0
-        if int(left @ lengths) < 4 * capacity or not open_.any():
-            break
-        before = int(left.sum())
-        where = np.flatnonzero(open_)
-        plan = fractional_plan(lengths[where], left[where], capacity, rounds, rate)
-        plan.sort(key=lambda x: (-int(x[0] @ lengths[where] == capacity), -x[1]))
-        for counts, x in plan:
-            full = np.zeros(len(lengths), dtype=np.int64)
-            full[where] = counts
-            if int(full @ lengths) >= capacity - capacity // 256:
-                take(full, max(1, round(x)))
-        if int(left.sum()) > 0.98 * before:
+    need = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
+    whole = int(histogram.get(capacity, 0))
+    bins = [(np.array([capacity]), np.array([1]), whole)] if whole else []
+    left, slack = need.copy(), 0
+    bound = lower_bound(lengths, need, capacity, rounds if most else 1, 0.05) if len(lengths) else 0.0
+
+    def take(which: np.ndarray, counts: np.ndarray, n: int) -> None:
+        left[which] -= n * counts
+        bins.append((lengths[which], counts, n))
+
+    for _ in range(most):
+        open_ = np.flatnonzero(left)
+        total = int(left @ lengths) // capacity
+        if total < 3 or slack > capacity // 32:
             break
+        size, rest = lengths[open_], left[open_] / need[open_]
+        price = (size / capacity) ** (1 + bend) * np.exp(rate * (rest - np.average(rest, weights=size * left[open_])))
+        best, choice = knapsack(size, price, capacity)
+        value = price + best[capacity - size]
+        which = np.flatnonzero(value >= (1 - near) * best[capacity]) if not slack else np.arange(len(size))
+        which = which[np.argsort(-value[which], kind="stable")]
+        rows = best_around(which, size, choice, capacity)
+        rows = rows[np.where(rows >= 0, size[rows], 0).sum(axis=1) >= capacity - slack]
+        allowed = budget = max(1, int(total * share))
+        for row in rows:
+            i, counts = np.unique(open_[row[row >= 0]], return_counts=True)
+            n = int((left[i] // counts).min())
+            if n:
+                n = min(max(1, int(2 * share * n)), budget)
+                take(i, counts, n)
+                budget -= n
+            if not budget:
+                break
+        if budget == allowed:  # no full bin at these prices: allow a little room, then more
+            slack = max(1, 2 * slack)
     while left.any():
-        counts = np.zeros(len(lengths), dtype=np.int64)
-        counts[np.flatnonzero(left)[-1]] = 1
-        counts = trimmed(counts, left, lengths, capacity)
-        take(counts, int(left.sum()))
-    return bins
+        which, counts = fill(left, lengths, capacity)
+        take(which, counts, int((left[which] // counts).min()))
+    return Plan(bins, bound + whole)
 
 
 def placement_table(bins: list[tuple[np.ndarray, np.ndarray, int]]) -> dict[str, np.ndarray]:
@@ -133,42 +167,58 @@ def placement_table(bins: list[tuple[np.ndarray, np.ndarray, int]]) -> dict[str,
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """Every document's ids with the end id, cut into pieces of ``capacity`` ids where longer: a row per piece."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = chunk_ids(tokenizer_path)
-        for batch in batches:
-            rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([store.ids(text), [end_id]]).astype("<u4")
-                for i, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((name, i, start, len(part), zlib.crc32(part)))
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(cut, PIECES)
+    """Every document's ids with the end id, cut into pieces of ``capacity`` ids where longer: a row per piece.
 
+    within counts the pieces of one length inside a task, whose number is part.
+    """
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40, phases: int = 6) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, part = chunk_ids(tokenizer_path), TaskContext.get().partitionId()
+        end, seen = np.array([end_id], "<u4"), np.zeros(capacity + 1, np.int64)
+        for batch in pieces(batches, 1):
+            ids, cuts = store.encode(batch.column(1))
+            number, first = np.diff(cuts) + 1, []
+            n_pieces = -(-number // capacity)
+            heads = np.cumsum(n_pieces) - n_pieces
+            doc = np.repeat(np.arange(len(number)), n_pieces)
+            piece = np.arange(len(doc)) - heads[doc]
+            start = piece * capacity
+            length = np.minimum(number[doc] - start, capacity)
+            crc = []
+            for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist()):
+                a, b = cuts[d] + s, min(cuts[d] + s + n, cuts[d + 1])
+                part_ids = ids[a:b].astype("<u4")
+                crc.append(zlib.crc32(end, zlib.crc32(part_ids)) if b - a < n else zlib.crc32(part_ids))
+            order = np.argsort(length, kind="stable")
+            first = np.concatenate([[True], np.diff(length[order]) > 0])
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            within = seen[length] + rank
+            np.add.at(seen, length, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(within)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "within"])
+
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(cut, CUT)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids: one row per piece with its sequence and offset.
 
     A null or empty text is the end id alone. Only documents longer than ``capacity`` are cut; rows that share an id
-    are separate documents. Offsets in a sequence are gapless from 0. An empty table gives no rows. Other columns are
-    ignored.
+    are separate documents, and so are rows without one. Offsets in a sequence are gapless from 0. An empty table gives no
+    rows. Other columns are ignored. A full piece is a sequence of its own with a negative number; it is never shuffled.
     """
     spark = docs.sparkSession
-    pieces = stored(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
-    salts = shuffle_partitions(spark)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
-    places = spark.sparkContext.broadcast(placement_table(plan_bins(histogram, capacity, rounds, phases)))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("within", within).join(bases, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ranked") + F.col("within") - 1).alias("rank"))
+    cut = stored(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
+    full, rest = cut.where(F.col("length") == capacity), cut.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # fewer than capacity rows
+    places = spark.sparkContext.broadcast(placement_table(plan_bins(histogram, capacity, **options).bins))
+    # Within has no gaps in a task, so tasks' totals by length, a fraction of the pieces, give every piece's rank.
+    counts = rest.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked"))
+    ranked = rest.join(bases, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ranked") + F.col("within")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = places.value
@@ -182,4 +232,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
             offset = at["offset"][row] + k % at["copies"][row] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PLACED)
+    alone = -(F.col("part").cast("long") * F.lit(1 << 32) + F.col("within") + 1)
+    whole = full.select("doc_id", "piece", "start", "length", "ids_crc32", alone.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(place, PLACED).unionByName(whole)

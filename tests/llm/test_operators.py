@@ -187,16 +187,20 @@ def test_very_long_and_broken_pages_end():
 
 def test_shard_random_access():
     rng = np.random.default_rng(0)
-    for lengths in ([1] * 2000, rng.integers(1, 2000, 700).tolist(), [1, 300000, 1, 1], [5]):
+    for lengths in ([1] * 2000, rng.integers(1, 2000, 700).tolist(), [1, 300000, 1, 1], [5], [1] * 255, [1] * 256, [100000] * 300):
         ids = [rng.integers(0, 60000, n).astype("<u2") for n in lengths]
         names = [None, *range(-3, len(lengths) - 4)]
-        image = elias_fano.write_shard(names, ids, np.dtype("<u2"))
-        shard = elias_fano.Shard(image)
-        assert shard.doc_ids == names and (shard.boundaries() == np.concatenate([[0], np.cumsum(lengths)])).all()
+        image = elias_fano.write_shard(names, ids, lengths, np.dtype("<u2"))
+        shard, bounds = elias_fano.Shard(image), np.concatenate([[0], np.cumsum(lengths)])
+        assert shard.doc_ids == names
         for i in sorted({0, len(lengths) - 1, *rng.integers(0, len(lengths), 200).tolist()}):
-            assert (shard.document(i) == ids[i]).all()
-    boundary_bytes = len(image) - sum(len(x) * 2 for x in ids)
-    assert boundary_bytes < 200
+            assert shard.boundary(i) == bounds[i] and (shard.document(i) == ids[i]).all()
+        seen = 0
+        for first, found in shard.spans():
+            assert first == seen and (found == bounds[first : first + len(found)]).all() and len(found) <= 257
+            seen = first + len(found) - 1
+        assert seen == len(lengths)
+        assert len(image) - sum(lengths) * 2 < 100 + 3 * len(lengths) + sum(lengths) / 1000
 
 
 def encoded(texts, end):
@@ -209,22 +213,29 @@ def encoded(texts, end):
 TOKENS = [*AWKWARD, "It's <|endoftext|> we'll 12,345 A-B_c!! don't", "ﬁ Σίσυφος    x", "A" * 300 + " b", " ".join(word_list(3000)), "same same", "same same"]
 
 
-def test_chunked_ids_equal_whole_text_ids():
-    store = wordbpe.chunk_ids(queries.tokenizer_path())
-    for text, want in zip(TOKENS, encoded(TOKENS, 2)):
-        assert store.ids(text).tolist() == want[:-1]
-    small = wordbpe.ChunkIds(queries.tokenizer_path(), 3)
-    assert all((small.ids(t) == store.ids(t)).all() for t in TOKENS) and len(small) <= 3
+@pytest.mark.parametrize("bits", [20, 4])
+def test_chunked_ids_equal_whole_text_ids(bits):
+    store = wordbpe.ChunkIds(queries.tokenizer_path(), bits)
+    for texts in (TOKENS, TOKENS[::-1], [" ".join(word_list(20000, 9, 200000))], TOKENS):
+        ids, cuts = store.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [x[:-1] for x in encoded(texts, 2)]
+    assert store.entries <= 3 << bits - 2 and not len(store.encode(pa.array([], pa.string()))[0])
 
 
 def test_token_shards(spark):
-    docs = corpus(spark, TOKENS).union(corpus(spark, ["null id"]).withColumn("doc_id", F.lit(None).cast("long")))
-    got = elias_fano.token_shards(docs, queries.tokenizer_path(), 2, shard_ids=500).collect()
+    nulls = [f"null id {i}" for i in range(40)]
+    docs = corpus(spark, TOKENS).union(corpus(spark, nulls).withColumn("doc_id", F.lit(None).cast("long"))).union(corpus(spark, ["again", "again", "more"], 5).withColumn("doc_id", F.lit(5).cast("long")))
+    got = elias_fano.token_shards(docs, queries.tokenizer_path(), 2, shard_ids=500).orderBy("start").collect()
+    want = defaultdict(list)
+    for i, ids in [*zip([None] * 40, encoded(nulls, 2)), *enumerate(encoded(TOKENS, 2)), *zip([5] * 3, encoded(["again", "again", "more"], 2))]:
+        want[i].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     start = 0
-    for i, ids in [(None, encoded(["null id"], 2)[0]), *enumerate(encoded(TOKENS, 2))]:
-        r = next(r for r in got if r["doc_id"] == i)
-        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i))
+    for r in got:
+        assert r["start"] == start
+        want[r["doc_id"]].remove((r["n_tokens"], r["ids_crc32"]))
+        start += r["n_tokens"]
+    assert not any(want.values())
     assert elias_fano.token_shards(docs.limit(0), queries.tokenizer_path(), 2).count() == 0
 
 
@@ -426,19 +437,53 @@ def test_language_edge_cases(spark):
 # 7. Packing
 
 
+def brute_knapsack(lengths, values, room):
+    return max([0.0] + [v + brute_knapsack(lengths, values, room - n) for n, v in zip(lengths, values) if n <= room])
+
+
 def test_configurations_against_small_optimum():
-    counts = packing_lp.best_configuration(np.array([3, 5, 7]), np.array([3.0, 5.5, 7.2]), 13)
-    assert counts @ [3, 5, 7] <= 13 and counts @ [3.0, 5.5, 7.2] == pytest.approx(14.0)
-    assert sum(n for *_, n in packing_lp.plan_bins({6: 4, 4: 4}, 10)) == 4
-    assert packing_lp.plan_bins({}, 10) == []
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        lengths = np.unique(rng.integers(2, 12, 4))
+        values, room = rng.random(len(lengths)), 23
+        best, choice = packing_lp.knapsack(lengths, values, room)
+        assert best[room] == pytest.approx(brute_knapsack(lengths, values, room))
+        for i, row in enumerate(packing_lp.best_around(np.arange(len(lengths)), lengths, choice, room)):
+            held = row[row >= 0]
+            assert held[0] == i and lengths[held].sum() <= room and values[held].sum() == pytest.approx(values[i] + best[room - lengths[i]])
+    assert packing_lp.plan_bins({6: 4, 4: 4}, 10).size == 4
+    assert packing_lp.plan_bins({}, 10).bins == []
+
+
+def planted_triplets():
+    rng, found = np.random.default_rng(0), []
+    while len(found) < 2000:
+        a, b = rng.integers(520, 1009, 2)
+        if 520 <= 2048 - a - b <= 1008:
+            found.append((a, b, 2048 - a - b))
+    return np.array(found).ravel()
+
+
+@pytest.mark.parametrize("lengths, optimum", [(planted_triplets(), 2000), (np.random.default_rng(1).integers(400, 1100, 6000), None)])
+def test_the_program_is_what_packs(lengths, optimum):
+    histogram = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True))}
+    plan = packing_lp.plan_bins(histogram, 2048)
+    assert plan.bound <= (optimum or plan.size) and plan.size <= 1.01 * plan.bound
+    assert packing_lp.plan_bins(histogram, 2048, most=0).size > 1.04 * plan.size  # largest first alone
+
+
+def test_the_bound_sees_more_than_volume():
+    """Lengths over half of a bin need one bin each, though two thirds of the volume would do."""
+    plan = packing_lp.plan_bins({1400: 500, 1100: 500}, 2048)
+    assert plan.size == 1000 and plan.bound >= 990
 
 
 @pytest.mark.parametrize("n", [1, 50, 3000])
 def test_plans_hold_every_length(n):
     lengths = np.random.default_rng(n).integers(1, 2049, n)
     histogram = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True))}
-    bins, held = packing_lp.plan_bins(histogram, 2048), defaultdict(int)
-    for size, count, times in bins:
+    plan, held = packing_lp.plan_bins(histogram, 2048), defaultdict(int)
+    for size, count, times in plan.bins:
         assert size @ count <= 2048
         for a, b in zip(size.tolist(), count.tolist()):
             held[a] += b * times
@@ -449,7 +494,7 @@ def test_plans_hold_every_length(n):
         if fit is not None:
             rooms.remove(fit)
         rooms.append((fit or 2048) - x)
-    assert sum(times for *_, times in bins) <= 1.01 * len(rooms) + 1
+    assert plan.bound <= plan.size <= 1.01 * len(rooms) + 1
 
 
 def check_packing(rows, ids):
@@ -477,6 +522,20 @@ def test_packing(spark):
     assert packing_lp.pack_documents(corpus(spark, texts).limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_of_rows_that_share_an_id(spark):
+    texts = ["one text", "one text", "another", None, " ".join(word_list(4000, 3))] * 2
+    docs = corpus(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 5, 7).cast("long"))
+    rows = packing_lp.pack_documents(docs, queries.tokenizer_path()).collect()
+    want = sorted((str(d), i, a, len(got[a : a + 2048])) for d, got in zip(["7"] * 5 + ["None"] * 5, encoded(texts, 0)) for i, a in enumerate(range(0, len(got), 2048)))
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"]) for r in rows) == want
+    places = defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spots in places.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(spots)])
+        assert [o for o, _ in sorted(spots)] == ends[:-1].tolist() and ends[-1] <= 2048
+
+
 # 8. Substring dedup
 
 
