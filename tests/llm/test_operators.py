@@ -268,12 +268,34 @@ def test_contamination(spark):
     bench = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, doc_id string")
     want = brute_hits(list(enumerate(texts)), items)
     for size in (1 << 20, 40):
-        got = {r["doc_id"]: tuple(r)[1:] for r in decontam.contamination_digest(decontam.find_contamination(docs, bench, slice_bytes=size)).collect()}
+        got = {r["doc_id"]: tuple(r)[1:] for r in decontam.contamination_digest(decontam.find_contamination(docs, bench, broadcast_bytes=size)).collect()}
         assert got == want
-        clean = decontam.drop_contaminated(docs, bench, slice_bytes=size)
+        clean = decontam.drop_contaminated(docs, bench, broadcast_bytes=size)
         assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, x in want.items() if not x[-1]}
+        assert decontam.find_contamination(docs.limit(0), bench, broadcast_bytes=size).count() == 0
     assert not decontam.contamination_digest(decontam.find_contamination(docs, bench.limit(0))).where("contaminated").count()
-    assert decontam.find_contamination(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("size", [0, 20, 40, 16 << 20])
+def test_contamination_of_rows_that_share_an_id(spark, size):
+    """Rows are rows whatever their ids and the benchmark's size."""
+    a = word_list(30, 5)
+    texts = ["clean words here", " ".join(a[:14]), " ".join(a[2:20]) + " and on " + " ".join(a[2:20]), "clean words here", None, " ".join(a[:14])]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (1, texts[4]), (None, texts[5])]
+    items = [(4, " ".join(a[:12])), (5, " ".join(a[8:])), (4, "twice one id"), (None, "lone")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    named = [(str(i) if i is not None else "null", t) for i, t in items]
+    want = brute_hits(enumerate(texts), named)
+    got = decontam.contamination_digest(decontam.find_contamination(docs, bench, broadcast_bytes=size)).collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((rows[i][0], *x)) for i, x in want.items())
+    kept = decontam.drop_contaminated(docs, bench, broadcast_bytes=size).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(repr(rows[i]) for i, x in want.items() if not x[-1])
+
+
+def test_many_windows_are_cut_without_a_loop():
+    text = " ".join(word_list(200_000, 5, 100_000))
+    windows = decontam.windows_of(["a", "b"], [text, text + " more"], 10)
+    assert len(windows.start) == 200_000 - 9 + 1 and (np.diff(windows.owned) >= 1).all() and len(windows.owner) == 2 * (200_000 - 9) + 1
 
 
 # 5. GIF
