@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,19 +170,89 @@ def test_split_bodies(body, text):
     assert html_paths.main_text(f"<body><nav><a href=/>Home</a></nav>{body}</body>".replace("@", PROSE)) == text.replace("@", PROSE)
 
 
+def article_text(page):
+    """The article's text by a reader of its own: tags but <b> and <br> part blocks."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = re.split(r"<(?!/?b>|br>)[^>]*>", inner)
+    texts = (" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in blocks)
+    return " ".join(t for t in texts if t)
+
+
+def renamed(page):
+    return re.sub(r"(</?)article", r"\1div", page)
+
+
+def bare(page):
+    """Without what names tell: no article element and no class."""
+    return re.sub(r' class="[^"]*"', "", renamed(page))
+
+
 def test_main_text_of_the_pages_table(spark, sf_dir):
     rows = queries.op2_tag_path_text(spark, sf_dir).collect()
     pages = {r["page_id"]: r for r in table(spark, sf_dir, "pages").collect()}
     assert len(rows) == len(pages)
     for r in rows:
-        want = html_paths.main_text(re.search(r"<article>.*?</article>", pages[r["page_id"]]["html"], re.S)[0])
+        want = article_text(pages[r["page_id"]]["html"])
         assert r["text"] == want and r["n_chars"] == len(want) > 0 and r["url"] == pages[r["page_id"]]["url"]
 
 
+def test_ratios_decide(sf_dir, monkeypatch):
+    """The article is found without its element and, on nine pages of ten, without any class; never by a constant ratio."""
+    pages = [x["html"] for x in pa.parquet.read_table(f"{sf_dir}/pages.parquet").to_pylist()]
+    want = [article_text(x) for x in pages]
+    same = lambda change: sum(html_paths.main_text(change(x)) == w for x, w in zip(pages, want))
+    assert same(lambda x: x) == same(renamed) == len(pages) and same(bare) >= 0.88 * len(pages)
+    monkeypatch.setattr(html_paths, "text_ratio", lambda *_: 1.0)
+    assert same(lambda x: x) == same(renamed) == same(bare) == 0
+
+
+def brute_scores(page):
+    """Ratios and scores anew: plain sums over tag paths spelled out, plain sums over every container's descendants."""
+    spelled = {id(b): [] for b in page.blocks}
+    for b in page.blocks:
+        n = b.node
+        while n:
+            spelled[id(b)].insert(0, n)
+            n = n.parent
+    ratio = lambda blocks, n: np.log1p(sum(len(b.text) for b in blocks) / n) + np.log1p(sum(b.marks for b in blocks) / n) + np.log(1 - 0.95 * sum(b.linked for b in blocks) / sum(len(b.text) for b in blocks))
+    mates = lambda b: [x for x in page.blocks if x.node.path == b.node.path]
+    own = [ratio(mates(b), len(mates(b))) + 1.5 * (b.node.tag in html_paths.HEADINGS) for b in page.blocks]
+    fused = []
+    for i, b in enumerate(page.blocks):
+        near = [(np.exp(-((i - j) ** 2) / 2) * (1 if x.node.container is b.node.container else 0.1), own[j]) for j, x in enumerate(page.blocks) if abs(i - j) <= 2]
+        inside = [x for x in page.blocks if b.node.container in spelled[id(x)]]
+        fused.append((sum(w * v for w, v in near) / sum(w for w, _ in near) + ratio(inside, 1)) / 2 + page.priors[b.node.path])
+    score = {b.node.path: sum(f * len(x.text) for f, x in zip(fused, page.blocks) if x.node.path == b.node.path) / sum(len(x.text) for x in mates(b)) for b in page.blocks}
+    top = max(score, key=lambda p: max(score[p], 0) * sum(len(x.text) for x in page.blocks if x.node.path == p))
+    return score, score[top]
+
+
+@pytest.mark.parametrize("source", [PAGE, f"<body><div><h1>T</h1><p>{PROSE}</p><ul><li>a<li>b, c</ul><p>{PROSE} {PROSE}</p></div><div><a href=x>More of it</a> <p>Short, too.</p></div>"])
+def test_scores_by_brute_force(source):
+    page = html_paths.read_page(source)
+    score, mark = brute_scores(page)
+    found = html_paths.path_scores(page, html_paths.fused_ratios(page, html_paths.path_ratios(page)))
+    assert found.keys() == score.keys() and all(found[p] == pytest.approx(score[p]) for p in score) and html_paths.page_mark(page, found) == pytest.approx(mark)
+    good = {id(b) for b in html_paths.content_blocks(page)}
+    assert all((id(b) in good) >= (score[b.node.path] >= mark - 2.0) and (id(b) in good) <= (score[b.node.path] >= mark - 7) for b in page.blocks)
+
+
 def test_very_long_and_broken_pages_end():
     assert html_paths.main_text("<p>" + "word " * 200000) == " ".join(["word"] * 200000)
-    assert html_paths.main_text('<a b="' * 20000) is not None
     assert html_paths.main_text("<div>" * 2000 + "deep") == "deep"
+    began = time.process_time()
+    for page in ("<div>x y z. " * 10000, '<a b="' * 20000, '<a b="' * 20000 + ">", "<div>" * 10000 + "deep" + "</p>" * 10000, "<li><div>" * 10000, "<!--" * 30000, "<p " * 50000):
+        html_paths.main_text(page)
+    assert time.process_time() - began < 7
+
+
+def test_page_rows_stay_what_they_are(spark):
+    rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (None, None, "<p>alone</p>", None), (2, "v", None, "x"), (2, "v", "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((str(r["page_id"]), str(r["url"]), r["text"], r["n_chars"]) for r in html_paths.extract_main_text(pages).collect())
+    want = html_paths.main_text(PAGE)
+    assert got == sorted([("1", "u", want, len(want))] * 2 + [("None", "None", "alone", 5)] + [("2", "v", "", 0)] * 2)
+    assert html_paths.extract_main_text(pages.limit(0)).count() == 0
 
 
 # 3. Elias-Fano
