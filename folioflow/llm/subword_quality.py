@@ -1,10 +1,11 @@
 """Quality scores from supervised subword embeddings.
 
-A document's features are its words and the character n-grams inside its words (byte n-grams, with the word's two
-borders as characters), each hashed to a row of an embedding table, a marker word after every word that repeats the one
-before it (no single word's row can learn that), and one row that every document has. The document
-vector is the mean of its features' rows; a softmax over the classes follows. Table and softmax are learned together by
-stochastic gradient descent in numpy, one document a step, with a falling rate.
+A document's features are its words, its pairs of consecutive words and the character n-grams inside its words (the
+word's two borders count as characters), each hashed to a row of an embedding table, and one row that every document has.
+The document vector is the mean of its features' rows, taken kind by kind so that the many n-grams do not drown the pairs,
+and these means weighed; a softmax over the classes follows. Rows that training never touched are zero. Table and softmax are learned
+together by stochastic gradient descent in numpy, one document a step, with a falling rate. Features of the labelled sample
+are counted in Spark tasks, over whole texts; only the counts reach the driver.
 
 With two classes the difference of the two logits is linear in every row, so for scoring each row is folded into one
 number: a document's score is the logistic of the mean of its features' numbers. That is the same model, exactly.
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import textkernels as K
-from folioflow.llm.common import crc32_of_id
+from folioflow.llm.common import crc32_of_id, pieces
 
-#: Code of the marker word.
-AGAIN = np.uint64(0xA5A5F00DC0FFEE11)
+#: Odd multipliers that tell pairs of words and places in an n-gram apart.
+PAIR, PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Weights of the kinds of features (words, pairs of words, n-grams) and of the row that every document has.
+KINDS, OWN = (0.2, 0.6, 0.2), 0.02
 
 
 @dataclass
@@ -44,48 +47,54 @@ class Embeddings:
         return (self.rows @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float32)
 
 
-def features(texts: list[bytes | None], buckets: int, grams: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of (document of each feature, ascending; its bucket): first words, then n-grams of each length.
+def features(texts: pa.Array, buckets: int, grams: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Batches of features: kind, where each text's begin (one more at the end), and their buckets.
 
-    Buckets are a power of two. A gram may touch a border at its ends only.
+    Words come first, then pairs of words, then n-grams of each length. Buckets are a power of two. A gram may touch a border
+    at its ends only. Grams are of characters, not of bytes.
     """
     shift = np.uint64(64 - int(buckets).bit_length() + 1)
-    lengths = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
-    ends = np.cumsum(lengths + 1)
-    buf = np.frombuffer(b" ".join([b"", *[t or b"" for t in texts], b""]), np.uint8)
-    words = K.find_words(buf[1:], np.concatenate([[0], ends]), K.SPACED, lower=False)
-    codes, document = words.codes(K.LANES[0]), words.document()
-    yield document, (codes >> shift).astype(np.int64)
-    again = np.flatnonzero((codes[1:] == codes[:-1]) & (document[1:] == document[:-1])) + 1
-    yield document[again], np.full(len(again), int(AGAIN >> shift), dtype=np.int64)
-    inside = K.SPACED[buf]
-    symbol = np.where(inside, buf, 32).astype(np.uint64)
+    words = K.words_of(texts, K.SPACED, lower=False)
+    codes, first = words.codes(K.LANES[0]), words.first
+    yield 0, first, (codes >> shift).astype(np.int64)
+    ends = np.zeros(len(codes), dtype=bool)
+    ends[first[1:][words.counts > 0] - 1] = True
+    follows = np.flatnonzero(~ends)
+    yield 1, np.concatenate([[0], np.cumsum(np.maximum(words.counts - 1, 0))]), (K.mix(codes[follows] * PAIR + codes[follows + 1]) >> shift).astype(np.int64)
+    every = [t or "" for t in texts.to_pylist()]
+    symbol = np.frombuffer(" ".join(["", *every, ""]).encode("utf-32-le"), np.uint32)
+    inside = (symbol != 32) & ((symbol < 9) | (symbol > 13))
+    symbol = np.where(inside, symbol, 32).astype(np.uint64)
+    # Place p > 0 is character p - 1 of the texts joined by one border; a first border belongs to the text after it.
+    cuts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in every])])
     for n in grams:
-        count = len(buf) - n + 1
-        if count <= 0:
-            continue
-        packed = np.zeros(count, dtype=np.uint64)
-        good = np.ones(count, dtype=bool)
-        for j in range(n):
-            packed = (packed << np.uint64(8)) | symbol[j : j + count]
-            if 0 < j < n - 1:
+        count = max(len(symbol) - n + 1, 0)
+        packed, good = symbol[:count].copy(), np.ones(count, dtype=bool)
+        for j in range(1, n):
+            packed *= PLACE
+            packed += symbol[j : j + count]
+            if j < n - 1:
                 good &= inside[j : j + count]
         at = np.flatnonzero(good)
-        code = K.mix(packed[at] + np.uint64(n << 56))
-        # Buffer place p > 0 is byte p - 1 of the documents joined by one border; a first border belongs to the document after it.
-        yield np.searchsorted(ends, at, side="right"), (code >> shift).astype(np.int64)
+        yield 2, np.searchsorted(at, cuts), (K.mix(packed[at] + np.uint64(n << 56)) >> shift).astype(np.int64)
 
 
-def fit(texts: list[bytes | None], labels: np.ndarray, buckets: int, dim: int, grams: tuple[int, ...], epochs: int, rate: float, seed: int = 11) -> Embeddings:
+def bag(text: pa.Array, buckets: int, grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of one text's features with the row that every document has, and their weights, which add up to one."""
+    found = [(kind, bucket) for kind, _, bucket in features(text, buckets, grams)]
+    sizes = np.bincount([kind for kind, b in found], [len(b) for _, b in found], len(KINDS))
+    index = np.concatenate([*(b for _, b in found), [buckets]])
+    weight = np.concatenate([*(np.full(len(b), KINDS[kind] / max(sizes[kind], 1)) for kind, b in found), [OWN]])
+    which, place = np.unique(index, return_inverse=True)
+    share = np.bincount(place, weight)
+    return which.astype(np.int32), (share / share.sum()).astype(np.float32)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int, dim: int, grams: tuple[int, ...], epochs: int, rate: float, seed: int = 11) -> Embeddings:
     """Stochastic gradient descent over documents in a seeded order, one a step; the rate falls linearly to zero."""
     rng = np.random.default_rng(seed)
     rows = rng.uniform(-1 / dim, 1 / dim, (buckets + 1, dim)).astype(np.float32)
-    softmax = np.zeros((dim, 2), dtype=np.float32)
-    bags = []
-    for t in texts:
-        found = np.concatenate([b for _, b in features([t], buckets, grams)] + [[buckets]])
-        index, n = np.unique(found, return_counts=True)
-        bags.append((index.astype(np.int32), (n / n.sum()).astype(np.float32)))
+    softmax, touched = np.zeros((dim, 2), dtype=np.float32), np.zeros(buckets + 1, dtype=bool)
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -101,38 +110,59 @@ def fit(texts: list[bytes | None], labels: np.ndarray, buckets: int, dim: int, g
             softmax -= now * np.outer(hidden, p)
             # A row's gradient is its share of the mean; divided by the largest share, as rare features would never move.
             rows[index] = mine - now * (share / share.max())[:, None] * back
+            touched[index] = True
             done += 1
+    rows[~touched] = 0
     return Embeddings(rows, softmax, grams)
 
 
-def scores(texts: list[bytes | None], folded: np.ndarray, grams: tuple[int, ...]) -> np.ndarray:
+def scores(texts: pa.Array, folded: np.ndarray, grams: tuple[int, ...]) -> np.ndarray:
     """Probability of class 1 for each text."""
     n_docs, buckets = len(texts), len(folded) - 1
-    total, count = np.full(n_docs, float(folded[-1])), np.ones(n_docs)
-    for doc, bucket in features(texts, buckets, grams):
-        total += np.bincount(doc, folded[bucket], n_docs)
-        count += np.bincount(doc, minlength=n_docs)
-    return 1 / (1 + np.exp(-np.clip(total / count, -30, 30)))
+    total, count = np.zeros((len(KINDS), n_docs)), np.zeros((len(KINDS), n_docs))
+    for kind, cuts, bucket in features(texts, buckets, grams):
+        sums = np.concatenate([[0.0], np.cumsum(folded[bucket], dtype=np.float64)])
+        total[kind] += np.diff(sums[cuts])
+        count[kind] += np.diff(cuts)
+    weight = np.where(count > 0, np.array(KINDS)[:, None], 0.0)
+    logit = ((weight * total / np.maximum(count, 1)).sum(axis=0) + OWN * float(folded[-1])) / (weight.sum(axis=0) + OWN)
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, sample: int, text_chars: int) -> tuple[list[bytes | None], np.ndarray]:
-    """At most ``sample`` labelled documents outside the held-out fold, the first by a hash of their ids."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) != held_out_fold))
-    chosen = chosen.select("doc_id", "label").orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "label").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.substring("text", 1, text_chars).cast("binary").alias("text"))
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["label"], bytes(r["text"] or b"")))  # bounded by sample
-    return [bytes(r["text"]) if r["text"] is not None else None for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
+def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int, sample: int) -> DataFrame:
+    """(doc_id, label) of at most ``sample`` labels outside the held-out fold whose document is there, the first by a hash.
+
+    Ids alone are shuffled for it.
+    """
+    good = F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) != held_out_fold)
+    present = labels.where(good).select("doc_id", "label").join(docs.select("doc_id"), "doc_id", "left_semi")
+    return present.orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "label").limit(sample)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out_fold: int = 0, sample: int = 5000, text_chars: int = 4000, buckets: int = 1 << 17, dim: int = 8, grams: tuple[int, ...] = (3, 4), epochs: int = 6, rate: float = 0.5) -> Embeddings:
-    """The model of at most ``sample`` labelled documents outside the held-out fold, cut to ``text_chars`` characters here only.
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out_fold: int = 0, sample: int = 2500, buckets: int = 1 << 17, dim: int = 8, grams: tuple[int, ...] = (3, 4), epochs: int = 6, least_steps: int = 4000, rate: float = 0.5) -> Embeddings:
+    """The model of the whole texts of at most ``sample`` labels outside the held-out fold.
 
-    Labels other than 0 and 1 and labels without a document are ignored; a document with two labels counts with both.
+    A small sample is gone through more often than ``epochs`` times, until ``least_steps`` steps are made.
+
+    Labels other than 0 and 1 and labels without a document are ignored; a document with two labels counts with both, and
+    rows that share an id count each.
     """
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    texts, known = labelled_sample(named, marked, folds, held_out_fold, sample, text_chars)
-    return fit(texts, known, buckets, dim, grams, epochs, rate)
+    chosen = labelled_sample(named, marked, folds, held_out_fold, sample)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2):
+            for i in range(batch.num_rows):
+                index, share = bag(batch.column(2).slice(i, 1), buckets, grams)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([index.tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())], names=["doc_id", "label", "index", "share"])
+
+    id_type = named.schema["doc_id"].dataType.simpleString()
+    counted = named.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(count, f"doc_id {id_type}, label int, index binary, share binary")
+    rows = sorted(counted.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["label"], r["index"], r["share"]))  # bounded by sample
+    bags = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows]
+    rounds = max(epochs, -(-least_steps // max(len(bags), 1)))
+    return fit(bags, np.array([r["label"] for r in rows], dtype=np.int64), buckets, dim, grams, rounds, rate)
 
 
 def quality_score(spark: SparkSession, model: Embeddings, text: Column) -> Column:
@@ -141,15 +171,8 @@ def quality_score(spark: SparkSession, model: Embeddings, text: Column) -> Colum
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        out, waiting, size = [np.zeros(0)], [], 0
-        for lo in range(0, len(texts), 64):  # about a megabyte at a time
-            for t in texts.slice(lo, 64).cast(pa.binary()).to_pylist():
-                waiting.append(t)
-                size += len(t or b"")
-            if size >= 1 << 20 or lo + 64 >= len(texts):
-                out.append(scores(waiting, held.value, grams))
-                waiting, size = [], 0
-        return pa.array(np.concatenate(out))
+        parts = pieces([pa.RecordBatch.from_arrays([texts], names=["text"])], 0, 1 << 18)
+        return pa.array(np.concatenate([np.zeros(0), *(scores(part.column(0), held.value, grams) for part in parts)]))
 
     return score(text)
 

@@ -793,17 +793,75 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert np.mean([g > b for g in good for b in bad]) > 0.9
 
 
+def brute_features(text, grams=(3, 4)):
+    """Words, pairs and character n-grams as strings, kind by kind."""
+    words = SPACED.findall(text or "")
+    return [words, list(zip(words, words[1:])), [f" {w} "[i : i + n] for w in words for n in grams for i in range(len(w) + 3 - n)]]
+
+
+FEW = ["good words here", "bad!! bad!! bad!!", None, "né à été 漢字漢", "", "a", "x" * 3000]
+
+
+def test_features_are_of_characters():
+    """Equal strings get equal buckets and the same counts; borders stand at the ends of words only."""
+    shown, buckets = defaultdict(set), 1 << 30
+    for text in FEW:
+        got = [np.concatenate([b for k, _, b in subword_quality.features(pa.array([text], pa.string()), buckets, (3, 4)) if k == kind]) for kind in range(3)]
+        for mine, want in zip(got, brute_features(text)):
+            assert sorted(np.unique(mine, return_counts=True)[1]) == sorted(np.unique([str(x) for x in want], return_counts=True)[1])
+            if len(set(want)) == len(want) == 1:
+                shown[want[0]].add(int(mine[0]))
+    assert all(len(x) == 1 for x in shown.values())
+
+
+def test_features_of_a_batch_are_those_of_its_texts():
+    alone = [[(k, b.tolist()) for k, _, b in subword_quality.features(pa.array([t], pa.string()), 1 << 20, (3, 4))] for t in FEW]
+    for n, (kind, cuts, bucket) in enumerate(subword_quality.features(pa.array(FEW, pa.string()), 1 << 20, (3, 4))):
+        assert [(kind, bucket[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])] == [x[n] for x in alone]
+
+
 def test_folded_scores_equal_the_model():
-    texts = [b"good words here", b"bad!! bad!! bad!!", None, "né à été".encode(), b""]
-    model = subword_quality.fit(texts * 20, np.array([1, 0, 1, 1, 1] * 20), 1 << 12, 6, (3, 4), 3, 0.5)
+    texts, size = pa.array(FEW, pa.string()), 1 << 12
+    bags = [subword_quality.bag(texts.slice(i, 1), size, (3, 4)) for i in range(len(FEW))]
+    assert all(share.sum() == pytest.approx(1) for _, share in bags)
+    model = subword_quality.fit(bags * 20, np.array([1, 0, 1, 1, 1, 1, 1] * 20), size, 6, (3, 4), 3, 0.5)
     got = subword_quality.scores(texts, model.folded(), (3, 4))
-    for text, score in zip(texts, got):
-        found = np.concatenate([b for _, b in subword_quality.features([text], 1 << 12, (3, 4))] + [[1 << 12]])
-        logit = model.rows[found].mean(axis=0) @ model.softmax
+    for (index, share), score in zip(bags, got):
+        logit = (share[:, None] * model.rows[index]).sum(axis=0) @ model.softmax
         assert score == pytest.approx(1 / (1 + np.exp(logit[0] - logit[1])), rel=1e-4)
     assert got[1] < got[0]
 
 
+def test_fit_by_brute_force():
+    """The same steps written out with one matrix product a document and no sparse rows."""
+    rng, size, dim = np.random.default_rng(2), 16, 4
+    bags, labels = [], rng.integers(0, 2, 9)
+    for _ in labels:
+        index = np.unique(rng.integers(0, size, 5))
+        bags.append((index.astype(np.int32), np.full(len(index), 1 / len(index), np.float32)))
+    model = subword_quality.fit(bags, labels, size, dim, (3,), 4, 0.3, seed=3)
+    order = np.random.default_rng(3)
+    rows, softmax = order.uniform(-1 / dim, 1 / dim, (size + 1, dim)), np.zeros((dim, 2))
+    for step, i in enumerate(np.concatenate([order.permutation(9) for _ in range(4)])):
+        x = np.zeros(size + 1)
+        x[bags[i][0]] = bags[i][1]
+        p = np.exp(x @ rows @ softmax)
+        error, now = p / p.sum() - np.eye(2)[labels[i]], 0.3 * (1 - step / 36)
+        back = softmax @ error
+        softmax = softmax - now * np.outer(x @ rows, error)
+        rows = rows - now * np.outer(x / x.max(), back)
+    rows[[k for k in range(size + 1) if not any(k in b for b, _ in bags)]] = 0
+    assert np.allclose(model.rows, rows, atol=1e-5) and np.allclose(model.softmax, softmax, atol=1e-5)
+
+
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    texts = ["fine text"] * 3 + ["junk ### junk"] * 3 + ["fine " * 300_000]
+    docs = corpus(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 6, F.col("doc_id") % 2).cast("long"))
+    labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0)], "doc_id long, quality int")
+    rows = subword_quality.score_quality(docs, labels).collect()
+    assert len(rows) == 7 and len({r["score"] for r in rows}) == 3 and sum(r["doc_id"] is None for r in rows) == 1
+
+
 def test_quality_edge_cases(spark):
     docs = corpus(spark, [*AWKWARD, "fine text", "junk ### junk"])
     labels = spark.createDataFrame([(9, 1, 0), (10, 0, 0), (10, None, 0), (99, 1, 0), (None, 1, 0), (8, 7, 0)], "doc_id long, quality int, toxic int")
