@@ -1,12 +1,13 @@
 """Substring dedup with a count-min prefilter.
 
-Documents are dealt into parts by their id. Every part makes a sparse count-min sketch of its windows (``depth``
-rows of cells); the sketches are merged cell by cell, each range of cells in its own task, and each part gets
-back the cells that other parts fill too. The sketch never underestimates, so a window that occurs in two parts is
-never lost. A second pass sends only windows estimated repeated, with 128-bit codes, to be grouped exactly. Copies
-inside one part are found exactly in that part. Neither sketch nor windows ever meet in one task or the driver, and
-a passage that a third of all documents share is sent once per part. The texts are shuffled once; the three passes
-read the same exchange.
+Documents are dealt into parts by their id and text. Every part makes a sparse count-min sketch of its windows:
+``depth`` rows of cells that count to ``FULL`` and stay there, of which only filled ones are sent. The sketches are added
+cell by cell, each range of cells in its own task, and each part gets back those of its cells whose sum says that a window
+may repeat. A window's estimate is the least of its cells; no cell counts less than the windows that fall into it, so a
+window that occurs twice anywhere is never lost. A second pass sends only windows estimated repeated, with two 64-bit codes
+over two independent codes of every word, to be grouped exactly; a part sends each of them once, where it is earliest, and
+settles copies inside itself. Neither sketch nor windows ever meet in one task or the driver, and a passage that a third of
+all documents share is sent once per part. The texts are shuffled once; the three passes read the same exchange.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from folioflow.llm import textkernels as K
 from folioflow.llm.common import shuffle_partitions, text_bytes
 
-CELLS = "range int, part int, cells binary"
+CELLS = "range int, part int, once binary, full binary"
 REPEATED = "part int, range int, cells binary"
 KEYS = "range int, part int, hi binary, lo binary, window binary, doc binary, pos binary"
 LATER = "part int, window binary"
+#: A counter's greatest value: a window that occurs so often is repeated, however often it is.
+FULL = 2
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -40,9 +43,8 @@ class Part:
         # Null ids sort last in Arrow; they count as the largest id.
         self.doc_id = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
         self.words = K.words_of(self.docs["text"], K.SPACED, lower=False)
-        codes = self.words.codes(K.LANES[0])
-        self.hi, self.at = K.window_codes(codes, self.words.first, k, K.LANES[0])
-        self.lo = K.window_codes(codes, self.words.first, k, K.LANES[1])[0] if both else None
+        self.hi, self.at = K.window_codes(self.words.codes(K.LANES[0]), self.words.first, k, K.LANES[0])
+        self.lo = K.window_codes(self.words.codes(K.LANES[1]), self.words.first, k, K.LANES[1])[0] if both else None
 
     def place(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document ids and positions in their documents of windows."""
@@ -60,6 +62,19 @@ def distinct_sorted(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
+def cell_counts(codes: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filled cells of one row of a part's sketch, ascending, and their counters."""
+    found = np.sort(cells_of(codes, row, bits))
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
+    return found[first], np.minimum(np.diff(np.append(first, len(found))), FULL)
+
+
+def full_cells(once: list[np.ndarray], full: list[np.ndarray]) -> np.ndarray:
+    """The cells whose counters add up to FULL or more: those full somewhere, and those that two parts have at least."""
+    every = np.sort(np.concatenate([*once, *full, *full]))
+    return distinct_sorted(every[1:][every[1:] == every[:-1]])
+
+
 def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Whether each value is in a sorted array."""
     if not len(of):
@@ -73,7 +88,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return. A word is removed
     when a window of ``window`` words that covers it starts earlier too: in a document of smaller id, or earlier in the
     same document. All windows are judged on the input. Rows that share an id and a start are equally early, so neither
-    loses its window to the other. Null or empty texts give zero counts and an empty string, texts of fewer words than
+    loses its window to the other; rows without an id, or with one that many rows share, are spread by their texts. Null or empty texts give zero counts and an empty string, texts of fewer words than
     a window keep all of them; a null id counts as the largest. Other columns are ignored; an empty table gives no rows.
     ``depth`` is the sketch's number of rows; a row has at least as many cells as the corpus has bytes, some six a window.
     Columns named in ``carry`` come out as a struct ``carried``; with ``untouched_as_is`` a text that loses no word is kept as
@@ -84,30 +99,31 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     n_parts = max(shuffle_partitions(spark), -(-total // part_bytes), 1)
     range_bits = max(3, int(max(shuffle_partitions(spark), total // (16 << 20)) - 1).bit_length())
     cell_bits = max(range_bits + 6, min(60, int(total).bit_length()))
-    schema_cols = [F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(n_parts)).cast("int").alias("part"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
+    schema_cols = [F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), F.lit(n_parts)).cast("int").alias("part"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
     if carry:
         schema_cols.append(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"))
-    parts = docs.select(*schema_cols)
+    parts = docs.select(*schema_cols).repartition(n_parts, "part")
     out_schema = OUT + (f", carried {parts.schema['carried'].dataType.simpleString()}" if carry else "")
 
     def sketch(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
         codes = Part(table, window, both=False).hi
-        ranges, cells = [], []
+        ranges, once, full = [], [], []
         for row in range(depth):
-            found = distinct_sorted(cells_of(codes, row, cell_bits))
+            found, count = cell_counts(codes, row, cell_bits)
             cuts = np.searchsorted(found, np.arange((1 << range_bits) + 1) << (cell_bits - range_bits))
             for r in np.flatnonzero(np.diff(cuts)):
+                mine, n = found[cuts[r] : cuts[r + 1]] - (int(r) << (cell_bits - range_bits)), count[cuts[r] : cuts[r + 1]]
                 ranges.append((row << range_bits) + int(r))
-                cells.append(K.pack_sorted(found[cuts[r] : cuts[r + 1]] - (int(r) << (cell_bits - range_bits))))
-        return pa.table({"range": pa.array(ranges, pa.int32()), "part": pa.array([part] * len(ranges), pa.int32()), "cells": pa.array(cells, pa.binary())})
+                once.append(K.pack_sorted(mine[n < FULL]))
+                full.append(K.pack_sorted(mine[n >= FULL]))
+        return pa.table({"range": pa.array(ranges, pa.int32()), "part": pa.array([part] * len(ranges), pa.int32()), "once": pa.array(once, pa.binary()), "full": pa.array(full, pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        lists = [K.unpack_sorted(x) for x in table["cells"].to_pylist()]
+        once, full = ([K.unpack_sorted(x) for x in table[c].to_pylist()] for c in ("once", "full"))
         parts_, r = table["part"].to_pylist(), table["range"][0].as_py()
-        every = np.sort(np.concatenate(lists))
-        shared = distinct_sorted(every[1:][every[1:] == every[:-1]])
-        out = [(p, mine) for p, x in zip(parts_, lists) if len(mine := x[member(x, shared)])]
+        shared = full_cells(once, full)
+        out = [(p, mine) for p, x, y in zip(parts_, once, full) if len(mine := np.sort(np.concatenate([x[member(x, shared)], y])))]
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "range": pa.array([r] * len(out), pa.int32()), "cells": pa.array([K.pack_sorted(x) for _, x in out], pa.binary())})
 
     def keys(table: pa.Table, repeated: pa.Table) -> pa.Table:
@@ -132,7 +148,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         for r in np.flatnonzero(np.diff(cuts)):
             w = np.sort(at[cuts[r] : cuts[r + 1]])
             doc, pos = part.place(w)
-            rows.append((int(r), p, part.hi[w].tobytes(), (part.lo[w] >> np.uint64(32)).astype(np.uint32).tobytes(), K.pack_sorted(w), zlib.compress(doc.tobytes(), 1), zlib.compress(pos.astype(np.int64).tobytes(), 1)))
+            rows.append((int(r), p, part.hi[w].tobytes(), part.lo[w].tobytes(), K.pack_sorted(w), zlib.compress(doc.tobytes(), 1), zlib.compress(pos.astype(np.int64).tobytes(), 1)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), empty.schema.types)], schema=empty.schema) if rows else empty
 
     def later(table: pa.Table) -> pa.Table:
@@ -140,7 +156,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             return np.concatenate([np.frombuffer(get(x), kind) for x in table[name].to_pylist()])
 
         windows = [K.unpack_sorted(x) for x in table["window"].to_pylist()]
-        hi, lo = joined("hi", np.uint64), joined("lo", np.uint32)
+        hi, lo = joined("hi", np.uint64), joined("lo", np.uint64)
         doc, pos = joined("doc", np.int64, zlib.decompress), joined("pos", np.int64, zlib.decompress)
         part, w = np.repeat(np.array(table["part"].to_pylist()), [len(x) for x in windows]), np.concatenate(windows)
         order = np.argsort(hi, kind="stable")
@@ -150,7 +166,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         order = order[np.lexsort((pos[order], doc[order], lo[order], hi[order]))]
         if not len(order):
             return pa.table({"part": pa.array([], pa.int32()), "window": pa.array([], pa.binary())})
-        new = np.concatenate([[True], (np.diff(hi[order]) != 0) | (np.diff(lo[order].astype(np.int64)) != 0)])
+        new = np.concatenate([[True], (np.diff(hi[order]) != 0) | (np.diff(lo[order]) != 0)])
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         gone = order[(doc[head] != doc[order]) | (pos[head] != pos[order])]
         gone = gone[np.lexsort((w[gone], part[gone]))]
