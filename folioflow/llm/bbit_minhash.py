@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import textkernels as K
-from folioflow.llm.common import stored
+from folioflow.llm.common import drop_scratch, pieces, scratch_mark, stored
 
 SIGNED = "doc_id long, n int, id1 long, id2 long, signature binary, bands array<long>"
 PAIR = "a long, b long"
@@ -103,22 +103,21 @@ def sign(docs: DataFrame, family: Family, width: int) -> DataFrame:
     """A row per document: size and 128-bit identity of its shingle set, packed signature, band keys (none if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                ids, texts = batch.column(0).slice(lo, 64), batch.column(1).slice(lo, 64)
-                codes, cuts = shingle_sets(texts, width)
-                n = np.diff(cuts)
-                full = np.flatnonzero(n)
-                id1, id2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                signatures, bands = [None] * len(n), [None] * len(n)
-                if len(full):
-                    heads = cuts[:-1][full]
-                    id1[full] = np.add.reduceat(K.mix(codes), heads).astype(np.int64)
-                    id2[full] = np.add.reduceat(K.mix(codes * np.uint64(0x9E3779B97F4A7C15)), heads).astype(np.int64)
-                    minima = family.minima(codes, heads)
-                    for i, s, k in zip(full.tolist(), family.pack(minima), family.band_keys(minima)):
-                        signatures[i], bands[i] = s.tobytes(), k
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(id1), pa.array(id2), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "id1", "id2", "signature", "bands"])
+        for batch in pieces(batches, 1, 1 << 18):
+            ids, texts = batch.column(0), batch.column(1)
+            codes, cuts = shingle_sets(texts, width)
+            n = np.diff(cuts)
+            full = np.flatnonzero(n)
+            id1, id2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            signatures, bands = [None] * len(n), [None] * len(n)
+            if len(full):
+                heads = cuts[:-1][full]
+                id1[full] = np.add.reduceat(K.mix(codes), heads).astype(np.int64)
+                id2[full] = np.add.reduceat(K.mix(codes * np.uint64(0x9E3779B97F4A7C15)), heads).astype(np.int64)
+                minima = family.minima(codes, heads)
+                for i, s, k in zip(full.tolist(), family.pack(minima), family.band_keys(minima)):
+                    signatures[i], bands[i] = s.tobytes(), k
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(id1), pa.array(id2), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "id1", "id2", "signature", "bands"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -139,34 +138,29 @@ def plausible(pairs: DataFrame, sets: DataFrame, family: Family, percent: int) -
     return joined.mapInArrow(run, PAIR)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_ids: int, load: int = 1 << 20) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity.
+
+    Sets meet inside the JVM, so that no batch of them is built. The first member of a pair may be that of very many: its
+    pairs are dealt into groups whose second members' sets have about ``load`` codes, and its set is sent once to each.
+    """
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
     few = ids.count() <= broadcast_ids  # else both sides are shuffled by id
     needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 64):
-                batch = whole.slice(lo, 64)
-                found, cuts = shingle_sets(batch.column(1), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "codes"])
+        for batch in pieces(batches, 1):
+            found, cuts = shingle_sets(batch.column(1), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(found.view(np.int64)))], names=["doc_id", "codes"])
 
-    sets = stored(needed.mapInArrow(codes, "doc_id long, codes binary"), "shingles")
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("codes").alias(f"c_{x}")) for x in "ab")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                batch, good = whole.slice(lo, 128), []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "c_a", "c_b").mapInArrow(check, PAIR).distinct()
+    sets = stored(needed.mapInArrow(codes, "doc_id long, codes array<long>"), "shingles")
+    sizes = sets.select("doc_id", F.size("codes").cast("long").alias("n"))
+    groups = pairs.join(sizes.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.ceil(F.sum("n") / load).cast("int").alias("k"))
+    dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("group"))
+    seconds = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("c_b")), "b")
+    firsts = sets.join(groups.withColumnRenamed("a", "doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("group"), F.col("codes").alias("c_a"))
+    both = F.size(F.array_intersect("c_a", "c_b"))
+    return seconds.join(firsts, ["a", "group"]).where(100 * both >= percent * (F.size("c_a") + F.size("c_b") - both)).select("a", "b").distinct()
 
 
 def is_star_forest(edges: DataFrame) -> bool:
@@ -213,12 +207,13 @@ def long_signatures(ids: DataFrame, docs: DataFrame, family: Family, width: int,
     needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 32):
-                codes, cuts = shingle_sets(batch.column(1).slice(lo, 32), width)
+        for whole in pieces(batches, 1):
+            for lo in range(0, whole.num_rows, 128):
+                batch = whole.slice(lo, 128)
+                codes, cuts = shingle_sets(batch.column(1), width)
                 full = np.flatnonzero(np.diff(cuts))
                 packed = family.pack(family.minima(codes, cuts[:-1][full])) if len(full) else []
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 32).take(pa.array(full)), pa.array([x.tobytes() for x in packed], pa.binary())], names=["rep", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array([x.tobytes() for x in packed], pa.binary())], names=["rep", "signature"])
 
     return needed.mapInArrow(run, "rep long, signature binary").dropDuplicates(["rep"])
 
@@ -313,6 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count as linked; rows without an id get a null component and are kept. Other columns are ignored; an empty table gives
     no rows. A pair at exactly 75 % shares a band with probability 1 - 2.4e-5, and passes each estimate with 1 - 3.2e-5.
     """
+    mark, spark = scratch_mark(), docs.sparkSession
     family = Family(bands, rows, bits)
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     signed = stored(sign(named, family, width), "signed")
@@ -348,7 +344,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.select("id1", "id2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id1", "id2", F.coalesce("label", "rep").alias("component_id"))
     linked = linkable.select("doc_id", "n", "id1", "id2").join(reps, ["id1", "id2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    result = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    drop_scratch(spark, mark, result)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

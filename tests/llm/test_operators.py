@@ -661,6 +661,44 @@ def test_repeated_passages(spark):
     assert substring_dedup.drop_repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_sketches_never_underestimate():
+    """Counters of merged parts against plain counts: least over the rows, never below a window's own count."""
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(0, 400, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (300, 40, 1, 0, 500)]
+    true = defaultdict(int)
+    for x in np.concatenate(parts).tolist():
+        true[x] += 1
+    over = 0
+    for bits in (6, 10, 16):
+        repeated = []
+        for row in range(2):
+            sums, once, full = defaultdict(int), [], []
+            for x in parts:
+                cells, n = substring_dedup.cell_counts(x, row, bits)
+                for c, k in zip(cells.tolist(), n.tolist()):
+                    sums[c] += k
+                once.append(cells[n < substring_dedup.FULL])
+                full.append(cells[n >= substring_dedup.FULL])
+            assert substring_dedup.full_cells(once, full).tolist() == sorted(c for c, n in sums.items() if n >= 2)
+            repeated.append(sums)
+        codes = np.array(sorted(true), np.uint64)
+        least = np.min([[repeated[row][c] for c in substring_dedup.cells_of(codes, row, bits).tolist()] for row in range(2)], axis=0)
+        counts = np.array([true[x] for x in codes.tolist()])
+        assert (least >= np.minimum(counts, 2)).all()
+        over += ((least >= 2) != (counts >= 2)).sum() if bits == 16 else 0
+    assert over < 0.02 * len(counts)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    """Null ids are one key, but their rows go to many parts."""
+    texts = [" ".join(word_list(25, i)) for i in range(60)] * 2
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    rows = substring_dedup.drop_repeated_passages(docs, part_bytes=500)
+    assert {(r["n_words"], r["n_removed"]) for r in rows.collect()} == {(25, 0)}
+    seen = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(seen) > 8 and max(r["count"] for r in seen) < 40
+
+
 def test_repeated_ids_lose_nothing_to_each_other(spark):
     text = " ".join(word_list(30, 1))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
