@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.bbit_minhash import drop_near_duplicates
-from folioflow.llm.common import stored, table
+from folioflow.llm.common import drop_scratch, scratch_mark, stored, table
 from folioflow.llm.decontam import drop_contaminated
 from folioflow.llm.packing_lp import pack_documents
 from folioflow.llm.queries import tokenizer_path
@@ -56,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents table, each one's rows stored and read again by the next."""
+    """The stages over the documents table, each one's rows stored and read again by the next.
+
+    What a stage wrote besides is deleted once its rows are stored.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        mark = scratch_mark()
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        drop_scratch(spark, mark, docs)
     return docs
