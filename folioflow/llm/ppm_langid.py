@@ -3,184 +3,233 @@
 For every language a tree of byte contexts up to ``order`` bytes long is counted on training text and then frozen.
 A byte costs -log2 of its probability in the longest context the tree knows; a byte that this context has not seen
 costs the context's escape probability (distinct followers / (count + distinct followers)) and goes on to the next
-shorter context, at last to a uniform choice. A text's score in a language is its exact code length in bits.
+shorter context, at last to a uniform choice of 256. Symbols are all 256 byte values and the start of a text. A text's
+score in a language is its exact code length in bits.
 
-Frozen trees make every cost a fixed number, so all languages' trees are compiled into two arrays: ``row_of`` maps
-the last ``order`` byte symbols to the row of the longest context that any tree knows, and ``bits`` holds for that row
-and the next symbol the code length in every language. Scoring a batch is two gathers and a sum per document.
+Whole training texts are counted in Spark tasks; the driver gets the counts by language, context and byte. Frozen trees make
+every cost a fixed number, so all trees are compiled into sparse tables: by (context, byte) that any tree has seen the code
+length in every language, by context the escapes. Nearly every byte of a text is one look-up in the longest contexts' table.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import crc32_of_id
+from folioflow.llm.common import crc32_of_id, pieces
 from folioflow.llm.textkernels import buffer_of
 
-#: Symbols at least: the start of a text, every byte value of the training texts, and one for all others.
-SYMBOLS = 128
+#: Symbol 0 is the start of a text, symbol b + 1 the byte b.
+BASE = 257
+UNIFORM_BITS = 8.0
+
+
+class Rows:
+    """Row numbers of some distinct keys: open addressing in numpy, for look-ups of many keys at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(3 * len(keys)).bit_length())
+        self.key, self.row = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        place, left = self.home(keys), np.arange(len(keys))
+        while len(left):
+            free = self.key[place[left]] < 0
+            _, first = np.unique(place[left[free]], return_index=True)
+            won = left[free][first]
+            self.key[place[won]], self.row[place[won]] = keys[won], won
+            left = left[self.key[place[left]] != keys[left]]
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+
+    @property
+    def nbytes(self) -> int:
+        return self.key.nbytes + self.row.nbytes
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for unknown ones."""
+        place = self.home(keys)
+        held = self.key[place]
+        out = np.where(held == keys, self.row[place], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+            held = self.key[place[left]]
+            same = held == keys[left]
+            out[left[same]] = self.row[place[left[same]]]
+            left = left[~same & (held >= 0)]
+        return out
 
 
 @dataclass
 class Model:
-    """Compiled trees: symbol of each byte, row by packed context, bits by (row, symbol, language)."""
+    """Compiled trees: by context length the rows and bits of (context, byte) pairs, and the rows and escapes of contexts."""
 
     languages: list[str]
-    order: int
-    symbol: np.ndarray
-    row_of: np.ndarray
-    bits: np.ndarray
-    size: int = SYMBOLS
-
-
-def pack(symbols: np.ndarray, order: int, size: int = SYMBOLS) -> np.ndarray:
-    """At every place the packed ``order`` symbols before it; symbol 0 stands before a text's start."""
-    padded = np.concatenate([np.zeros(order, np.int64), symbols])
-    out = np.zeros(len(symbols), dtype=np.int64)
-    for k in range(order):
-        out = out * size + padded[k : k + len(symbols)]
-    return out
+    pairs: list[tuple[Rows, np.ndarray]]
+    contexts: list[tuple[Rows, np.ndarray]]
+
+    @property
+    def order(self) -> int:
+        return len(self.pairs) - 1
+
+    @property
+    def nbytes(self) -> int:
+        return sum(rows.nbytes + bits.nbytes for rows, bits in [*self.pairs, *self.contexts])
+
+
+def padded_symbols(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols with ``order`` start symbols before every text, and the places of the bytes among them."""
+    place = np.arange(len(buf)) + order * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
+    out = np.zeros(len(buf) + order * (len(offsets) - 1), dtype=np.uint16)
+    out[place] = buf
+    out[place] += 1
+    return out, place
+
+
+def codes_at(symbols: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` symbols that end at each place as one number."""
+    code = np.zeros(len(place), dtype=np.int64)
+    for back in range(length - 1, -1, -1):
+        code = code * BASE + symbols[place - back]
+    return code
 
 
-def count_contexts(symbols: list[np.ndarray], order: int, size: int = SYMBOLS) -> list[dict[str, np.ndarray]]:
-    """For context lengths 0 to order: the distinct (context, symbol) codes of some texts and their counts."""
-    tables = []
+def count_pairs(texts: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For context lengths 0 to order: the distinct (context, byte) codes of some texts and their counts."""
+    symbols, place = padded_symbols(*buffer_of(texts), order)
     for k in range(order + 1):
-        codes = np.concatenate([pack(s, k, size) * size + s for s in symbols] or [np.zeros(0, np.int64)])
-        code, n = np.unique(codes, return_counts=True)
-        context, place = np.unique(code // size, return_inverse=True)
-        total = np.bincount(place, n, len(context))
-        distinct = np.bincount(place, minlength=len(context))
-        tables.append({"code": code, "n": n, "place": place, "context": context, "total": total, "distinct": distinct})
-    return tables
-
-
-def train(texts: dict[str, list[str]], order: int = 3) -> Model:
-    """Count, freeze and compile the trees of some training texts by language."""
-    languages = sorted(texts)
-    raw = {lang: [np.frombuffer(t.encode("utf-8"), np.uint8) for t in texts[lang]] for lang in languages}
-    seen = np.zeros(256, dtype=np.int64)
-    for lang in languages:
-        for t in raw[lang]:
-            seen += np.bincount(t, minlength=256)
-    # Symbol 0 is the text's start alone; byte values that no training text has share the last one, as no tree knows them.
-    ranked = [b for b in np.argsort(-seen, kind="stable").tolist() if seen[b]]
-    size = max(SYMBOLS, len(ranked) + 2)
-    symbol = np.full(256, size - 1, dtype=np.int64)
-    symbol[ranked] = np.arange(1, len(ranked) + 1)
-    trees = {lang: count_contexts([symbol[t] for t in raw[lang]], order, size) for lang in languages}
-
-    known = [np.unique(np.concatenate([trees[lang][k]["context"] for lang in languages])) if languages else np.zeros(0, np.int64) for k in range(order + 1)]
-    bases = np.concatenate([[0], np.cumsum([len(x) for x in known])])
-    bits = np.full((max(1, int(bases[-1])), size, len(languages)), math.log2(size), dtype=np.float32)
-    row_of = np.zeros(size**order, dtype=np.int32)
-    for k, contexts in enumerate(known):
-        if k:
-            shorter = contexts % size ** (k - 1)
-            up = np.searchsorted(known[k - 1], shorter)  # a known context's suffix is known
-            block = bits[bases[k - 1] + up].copy()
-        else:
-            block = np.full((len(contexts), size, len(languages)), math.log2(size), dtype=np.float32)
+        code, n = np.unique(codes_at(symbols, place, k + 1), return_counts=True)
+        yield k, code, n
+
+
+def compiled(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]], model_bytes: int = 1 << 62) -> Model:
+    """The model of every language's counted codes by context length; the order is lowered until it has ``model_bytes``."""
+    languages = sorted(counts)
+    orders = max((len(x) for x in counts.values()), default=0)
+    pairs, contexts, shorter = [], [], None
+    for k in range(orders):
+        every = np.unique(np.concatenate([counts[lang][k][0] for lang in languages]))
+        above = np.unique(every // BASE)
+        if k and 24 * (len(every) + len(above)) + 4 * len(languages) * (len(every) + len(above)) + Model(languages, pairs, contexts).nbytes > model_bytes:
+            break
+        bits = np.full((len(every), len(languages)), UNIFORM_BITS, dtype=np.float32)
+        if shorter is not None:
+            bits[:] = shorter[1][shorter[0].find(every % BASE**k)]  # a pair's shorter one was seen with it
+        escapes = np.zeros((len(above), len(languages)), dtype=np.float32)
         for j, lang in enumerate(languages):
-            t = trees[lang][k]
-            at = np.searchsorted(contexts, t["context"])
-            escape = -np.log2(t["distinct"] / (t["total"] + t["distinct"]))
-            block[at, :, j] += escape[:, None].astype(np.float32)
-            p = t["n"] / (t["total"] + t["distinct"])[t["place"]]
-            block[at[t["place"]], t["code"] % size, j] = -np.log2(p)
-        bits[bases[k] : bases[k + 1]] = block
-        if len(contexts):
-            tail = np.arange(size ** (order - k), dtype=np.int64) * size**k
-            for c in range(0, len(contexts), 4096):
-                part = contexts[c : c + 4096]
-                row_of[(part[:, None] + tail[None, :]).ravel()] = np.repeat(bases[k] + c + np.arange(len(part)), len(tail)).astype(np.int32)
-    return Model(languages, order, symbol.astype(np.int16), row_of, bits.reshape(len(bits) * size, len(languages)), size)
-
-
-def code_lengths(column: pa.Array, model: Model) -> np.ndarray:
-    """Exact code length in bits of each text in each language."""
-    buf, offsets = buffer_of(column)
-    out = np.zeros((len(offsets) - 1, len(model.languages)))
-    # About a megabyte at a time; a longer document is summed over several steps.
-    step, pad = 1 << 20, model.order
+            code, n = counts[lang][k]
+            mine, context = np.unique(code // BASE, return_inverse=True)
+            distinct, total = np.bincount(context, minlength=len(mine)), np.bincount(context, n, len(mine))
+            escapes[np.searchsorted(above, mine), j] = -np.log2(distinct / (total + distinct))
+            bits[:, j] += escapes[np.searchsorted(above, every // BASE), j]
+            bits[np.searchsorted(every, code), j] = -np.log2(n / (total + distinct)[context])
+        shorter = (Rows(every), bits)
+        pairs.append(shorter)
+        contexts.append((Rows(above), escapes))
+    return Model(languages, pairs, contexts)
+
+
+def code_lengths(texts: pa.Array, model: Model, step: int = 1 << 18) -> np.ndarray:
+    """Exact code length in bits of each text in each language; a long text is summed over several steps."""
+    buf, offsets = buffer_of(texts)
+    out = np.zeros((len(texts), len(model.languages)))
+    if not model.pairs:
+        return out
+    symbols, place = padded_symbols(buf, offsets, model.order)
     for lo in range(0, len(buf), step):
-        hi = min(lo + step, len(buf))
-        begin = max(0, lo - pad)
-        symbols = model.symbol[buf[begin:hi]].astype(np.int32)
-        context = np.zeros(hi - lo, dtype=np.int32)
-        starts = offsets[:-1][(offsets[:-1] >= begin) & (offsets[:-1] < hi)]
-        for back in range(pad, 0, -1):
-            past = np.zeros(hi - lo, dtype=np.int32)
-            from_ = max(lo - back, 0)
-            past[from_ + back - lo :] = symbols[from_ - begin : hi - back - begin]
-            for ahead in range(back):  # symbols from before a document's start count as 0
-                at = starts + ahead - lo
-                past[at[(at >= 0) & (at < hi - lo)]] = 0
-            context = context * model.size + past
-        cost = model.bits[model.row_of[context].astype(np.int64) * model.size + symbols[lo - begin :]]
-        first, last = np.searchsorted(offsets, lo, side="right") - 1, np.searchsorted(offsets, hi, side="left")
-        cuts = np.clip(offsets[first:last], lo, hi) - lo
-        filled = np.diff(np.append(cuts, hi - lo)) > 0
-        if filled.any():
-            out[np.arange(first, last)[filled]] += np.add.reduceat(cost, cuts[filled], axis=0, dtype=np.float64)
+        here = place[lo : lo + step]
+        cost = np.zeros((len(here), len(model.languages)), dtype=np.float32)
+        left = np.arange(len(here))
+        for k in range(model.order, -1, -1):
+            code = codes_at(symbols, here[left], k + 1)
+            rows, bits = model.pairs[k]
+            row = rows.find(code)
+            hit = row >= 0
+            cost[left[hit]] += bits[row[hit]]
+            left, code = left[~hit], code[~hit]
+            if not len(left):
+                break
+            rows, escapes = model.contexts[k]
+            row = rows.find(code // BASE)
+            cost[left[row >= 0]] += escapes[row[row >= 0]]
+        cost[left] += UNIFORM_BITS
+        sums = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)])
+        cuts = np.clip(offsets - lo, 0, len(here))
+        out += sums[cuts[1:]] - sums[cuts[:-1]]
     return out
 
 
-def training_texts(docs: DataFrame, per_language: int, text_chars: int) -> dict[str, list[str]]:
-    """At most ``per_language`` texts of each language, spread over all rows by a hash of id; each cut to ``text_chars``.
-
-    This bounds the fit; scoring is never bounded.
-    """
-    from pyspark.sql import Window
-
+def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text) of at most ``per_language`` rows of each language, spread over all rows by a hash of id."""
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not counts:
-        return {}
+        return docs.select("lang", "text")
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * (per_language + 20) / n)))])
     bucket = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    some = docs.where(bucket < F.element_at(share, F.col("lang"))).select("lang", "doc_id", F.substring("text", 1, text_chars).alias("text"))
+    some = docs.where(bucket < F.element_at(share, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text"))
-    out: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in some.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("lang", "rank").collect():
-        out[r["lang"]].append(r["text"])
-    return out
-
-
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2, order: int = 3, per_language: int = 400, text_chars: int = 2000) -> DataFrame:
+    return some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
+
+
+def train(rows: DataFrame, order: int, model_bytes: int) -> Model:
+    """Count the trees of (lang, text) rows in tasks, and compile them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            for lang in batch.column(0).unique().to_pylist():
+                mine = pc.equal(batch.column(0), lang)
+                for k, code, n in count_pairs(batch.column(1).filter(mine), order):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(np.full(len(code), k, np.int32)), pa.array(code), pa.array(n, pa.int64())], names=["lang", "k", "code", "n"])
+
+    total = rows.mapInArrow(count, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow()
+    names, which = np.unique(np.array(total["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True) if len(total) else (np.array([]), np.array([]))
+    k, code, n = (total[c].to_numpy() for c in ("k", "code", "n"))
+    counts = {}
+    for j, lang in enumerate(names.tolist()):
+        tables = []
+        for length in range(order + 1):
+            mine = np.flatnonzero((which == j) & (k == length))
+            mine = mine[np.argsort(code[mine], kind="stable")]
+            tables.append((code[mine], n[mine]))
+        if len(tables[0][0]):
+            counts[lang] = tables
+    return compiled(counts, model_bytes)
+
+
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2, order: int = 3, per_language: int = 400, longest: int = 1 << 16, model_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, and bits, the code length in each language.
 
-    The model is fitted on at most ``per_language`` texts of each language (cut to ``text_chars`` characters there only)
+    The model is fitted on the whole texts of at most ``per_language`` rows of each language, of at most ``longest`` bytes,
     whose crc32(id as text) mod ``folds`` is not ``held_out_fold`` and whose language, id and text are not null; every whole
-    text is scored. lang_pred is the language of least code length, ties to the first by name, and score the posterior
-    probability of that language when code lengths are read as -log2 probabilities. Texts that are null or hold no
-    letter, and all texts when nothing could be learned, get ``und`` with score 0. held_out is false for a null id.
+    text is scored. With very many languages the order is lowered until the model has at most ``model_bytes``. lang_pred is
+    the language of least code length, ties to the first by name, and score the posterior probability of that language
+    when code lengths are read as -log2 probabilities. Texts that are null or hold no letter, and all texts when nothing
+    could be learned, get ``und`` with score 0. held_out is false for a null id; rows that share an id are scored each.
     Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     held_out = F.coalesce(F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) == held_out_fold, F.lit(False))
-    known = named.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out)
-    model = train(training_texts(known, per_language, text_chars), order)
-    held = spark.sparkContext.broadcast(model)
+    known = named.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out & (F.octet_length("text") <= longest))
+    held = spark.sparkContext.broadcast(train(training_rows(known, per_language), order, model_bytes))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*held.value.languages, "und"], dtype=object)
-        for batch in batches:
-            texts = batch.column(2)
-            bits = code_lengths(texts, held.value)
-            n = len(names) - 1
+        n = len(names) - 1
+        kinds = pa.list_(pa.struct([("lang", pa.string()), ("bits", pa.float64())]))
+        for batch in pieces(batches, 2):
+            bits = code_lengths(batch.column(2), held.value)
             letters = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) & (n > 0)
             best = bits.argmin(axis=1) if n else np.zeros(len(bits), np.int64)
             gap = bits - bits.min(axis=1, keepdims=True) if n else bits
             score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1) if n else np.zeros(len(bits))
-            kinds = pa.list_(pa.struct([("lang", pa.string()), ("bits", pa.float64())]))
             detail = [[{"lang": names[j], "bits": float(b)} for j, b in enumerate(row)] for row in bits]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[np.where(letters, best, n)], pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(detail, kinds)], names=["doc_id", "held_out", "lang_pred", "score", "bits"])
 

@@ -463,50 +463,74 @@ def test_media_query(spark):
 # 6. Language
 
 
+def fitted(texts, order=3, **options):
+    return ppm_langid.compiled({lang: [(code, n) for _, code, n in ppm_langid.count_pairs(pa.array(x), order)] for lang, x in texts.items()}, **options)
+
+
+def brute_bits(known, text, order=3):
+    """Contexts in dictionaries, byte by byte."""
+    counts = [defaultdict(lambda: defaultdict(int)) for _ in range(order + 1)]
+    symbols = lambda t: [None] * order + list(t.encode())
+    for s in map(symbols, known):
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[k][tuple(s[i - k : i])][s[i]] += 1
+    total, s = 0.0, symbols(text)
+    for i in range(order, len(s)):
+        for k in range(order, -1, -1):
+            seen = counts[k].get(tuple(s[i - k : i]))
+            if not seen:
+                continue
+            n, d = sum(seen.values()), len(seen)
+            if s[i] in seen:
+                total -= np.log2(seen[s[i]] / (n + d))
+                break
+            total -= np.log2(d / (n + d))
+        else:
+            total += 8
+    return total
+
+
 def test_code_lengths_against_counting():
     texts = {"a": ["banana band", "ananas été"], "b": ["xyz zyx banane"]}
-    model = ppm_langid.train(texts, 3)
-
-    def bits(known, text):
-        counts = [defaultdict(lambda: defaultdict(int)) for _ in range(4)]
-        symbols = lambda t: [0] * 3 + [int(model.symbol[b]) for b in t.encode()]
-        for s in map(symbols, known):
-            for i in range(3, len(s)):
-                for k in range(4):
-                    counts[k][tuple(s[i - k : i])][s[i]] += 1
-        total, s = 0.0, symbols(text)
-        for i in range(3, len(s)):
-            for k in range(3, -1, -1):
-                seen = counts[k].get(tuple(s[i - k : i]))
-                if not seen:
-                    continue
-                n, d = sum(seen.values()), len(seen)
-                if s[i] in seen:
-                    total -= np.log2(seen[s[i]] / (n + d))
-                    break
-                total -= np.log2(d / (n + d))
-            else:
-                total += 7
-        return total
-
+    model = fitted(texts)
     tests = ["banana été", "", "qqq", "b", "xyz banana", "éa", "banana" * 300000]
     got = ppm_langid.code_lengths(pa.array(tests), model)
     for text, row in zip(tests[:-1], got):
-        assert np.allclose(row, [bits(texts[x], text) for x in "ab"], rtol=1e-5)
+        assert np.allclose(row, [brute_bits(texts[x], text) for x in "ab"], rtol=1e-5)
     assert got[-1][0] < got[-1][1]
+    assert np.allclose(ppm_langid.code_lengths(pa.array(tests[:-1]), model, step=3), got[:-1])
 
 
-def test_more_byte_values_than_ascii():
-    """Every byte value of the training texts is a symbol of its own, and none is the start of a text."""
-    wide = "".join(chr(c) for c in [*range(32, 127), *range(0x80, 0x800, 64), *range(0x800, 0x10000, 4096)] if not 0xD800 <= c < 0xE000)
+def test_every_byte_value_is_a_symbol():
+    """Texts of all byte values that UTF-8 has, and bytes that no training text holds, cost what counting says."""
+    wide = "".join(chr(c) for c in [*range(1, 127), *range(0x80, 0x800, 64), *range(0x800, 0x10000, 4096), 0x10000, 0x40000] if not 0xD800 <= c < 0xE000)
     every = wide + "".join(chr(0x80 + k) for k in range(64))
-    model = ppm_langid.train({"a": [every * 3, "\u0561\u0562" * 40], "b": [every * 3, "\u05d0\u05d1" * 40]}, 3)
-    used = sorted(set(every.encode()) | set("\u0561\u0562\u05d0\u05d1".encode()))
-    assert len(used) > 127 and len({int(model.symbol[b]) for b in used} | {0}) == len(used) + 1
-    got = ppm_langid.code_lengths(pa.array(["\u0561\u0562" * 5, "\u05d0\u05d1" * 5]), model)
-    assert got[0][0] < got[0][1] and got[1][1] < got[1][0]
-    few = ppm_langid.train({"a": ["abc abc"]}, 3)
-    assert few.symbol[ord("q")] != 0
+    texts = {"a": [every * 2, "\u0561\u0562" * 40], "b": [every[::-1], "\u05d0\u05d1" * 40], "c": ["abc"]}
+    assert len(set("".join(sum(texts.values(), [])).encode())) > 190
+    tests = ["\u0561\u0562" * 5, "\u05d0\u05d1" * 5, every, "zz\x00\u3042"]
+    got = ppm_langid.code_lengths(pa.array(tests), fitted(texts))
+    for text, row in zip(tests, got):
+        assert np.allclose(row, [brute_bits(texts[x], text) for x in "abc"], rtol=1e-5)
+    assert got[0].argmin() == 0 and got[1].argmin() == 1
+
+
+def test_models_are_bounded_by_their_order():
+    texts = {"a": [" ".join(word_list(300, 1))], "b": [" ".join(word_list(300, 2))]}
+    whole = fitted(texts)
+    small = fitted(texts, model_bytes=whole.nbytes // 3)
+    assert whole.order == 3 and 0 <= small.order < 3 and small.nbytes <= whole.nbytes // 3
+    test = "w1 w2 w3 other"
+    assert np.allclose(ppm_langid.code_lengths(pa.array([test]), small)[0], [brute_bits(texts[x], test, small.order) for x in "ab"], rtol=1e-5)
+    assert ppm_langid.code_lengths(pa.array(["a"]), fitted({})).shape == (1, 0)
+
+
+def test_ties_and_repeated_ids_of_languages(spark):
+    """Two languages of equal texts tie: the first name wins with half the probability."""
+    rows = [(i % 7, "le chat est sur le tapis", lang) for i in range(40) for lang in ("fr", "ca")] + [(1, "the cat sat on the mat", "en")] * 3 + [(None, "le chat", "fr")]
+    got = ppm_langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in got if r["lang_pred"] != "en"} == {("ca", 0.5)}
 
 
 def test_language_query(spark, sf_dir):
