@@ -3,7 +3,8 @@
 ``encode_gif`` stores bytes as the palette indices of a grey-scale GIF, 192 pixels a row, LZW-compressed, in as many frames
 as a frame's greatest height asks for. ``decode_gif`` reads any GIF 87a or 89a: LZW streams of any code size and table
 growth, global and local palettes, interlacing, transparency, frame delays, and the disposal rules, and composes every
-frame's picture on the canvas. Media are stored as a table in the shared folder and features are read from it.
+frame's picture on the canvas. Media are stored as a table in the shared folder; features are read from it: frames with their
+times, places and the colour histograms of their composed pictures, and digests of the samples.
 """
 
 from __future__ import annotations
@@ -19,24 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import scratch_path
+from folioflow.llm.common import pieces, scratch_path
 
 ROW = 192
 TALLEST = 65535
+PLACE = ("start", "delay", "left", "top", "width", "height")
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
 @dataclass
 class Frame:
-    """One image of a file: place, delay in hundredths of a second, palette indices and composed RGBA picture."""
+    """One image of a file: start and delay in hundredths of a second, place, palette indices and composed RGBA picture."""
 
+    start: int
     left: int
     top: int
     delay: int
     disposal: int
     transparent: int | None
     indices: np.ndarray
-    picture: np.ndarray | None
+    picture: np.ndarray
 
 
 def code_widths(count: int, minimum: int) -> np.ndarray:
@@ -91,7 +94,7 @@ def sub_blocks(data: bytes) -> bytes:
 
 
 def encode_gif(payload: bytes, delay: int = 10) -> bytes:
-    """Payload bytes, a positive multiple of 192, as a grey-scale GIF89a."""
+    """Payload bytes, a positive multiple of 192, as a grey-scale GIF89a; every frame starts on a cleared canvas."""
     height = len(payload) // ROW
     if not height or height * ROW != len(payload):
         raise ValueError("the payload must be a positive multiple of 192 bytes")
@@ -99,7 +102,7 @@ def encode_gif(payload: bytes, delay: int = 10) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", ROW, tallest, 0xF7, 0, 0), GREY]
     for top in range(0, height, TALLEST):
         rows = min(TALLEST, height - top)
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0))
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 2 << 2, delay, 0, 0))
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, ROW, rows, 0) + b"\x08")
         out.append(sub_blocks(compress_lzw(payload[top * ROW : (top + rows) * ROW])))
     return b"".join([*out, b"\x3b"])
@@ -160,8 +163,8 @@ def decode_lzw(data: bytes, minimum: int, pixels: int) -> np.ndarray:
     return np.frombuffer(b"".join(parts)[:pixels].ljust(pixels, b"\0"), np.uint8)
 
 
-def decode_gif(data: bytes, pictures: bool = True) -> list[Frame]:
-    """All frames of a file, composed on its canvas where ``pictures`` asks for it."""
+def decode_gif(data: bytes) -> Iterator[Frame]:
+    """All frames of a file in order; a frame's picture is the canvas itself and good until the next frame is asked for."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -169,8 +172,8 @@ def decode_gif(data: bytes, pictures: bool = True) -> list[Frame]:
     if flags & 0x80:
         size = 3 << (flags & 7) + 1
         palette, at = np.frombuffer(data, np.uint8, size, at).reshape(-1, 3), at + size
-    canvas = np.zeros((high, wide, 4), dtype=np.uint8) if pictures else None
-    frames, delay, disposal, clear = [], 0, 0, None
+    canvas = np.zeros((high, wide, 4), dtype=np.uint8)
+    start, delay, disposal, clear = 0, 0, 0, None
 
     def block_data(at: int) -> tuple[bytes, int]:
         parts = []
@@ -203,29 +206,35 @@ def decode_gif(data: bytes, pictures: bool = True) -> list[Frame]:
             straight = np.empty_like(indices)
             straight[order] = indices
             indices = straight
-        picture = None
-        if canvas is not None:
-            before = canvas.copy() if disposal == 3 else None
-            region = canvas[top : top + h, left : left + w]
-            shown = indices[: region.shape[0], : region.shape[1]]
-            table = np.zeros((256, 4), dtype=np.uint8)
-            if colours is not None:
-                table[: len(colours), :3], table[: len(colours), 3] = colours, 255
-            opaque = np.ones(shown.shape, bool) if clear is None else shown != clear
+        before = canvas.copy() if disposal == 3 else None
+        region = canvas[top : top + h, left : left + w]
+        shown = indices[: region.shape[0], : region.shape[1]]
+        table = np.zeros((256, 4), dtype=np.uint8)
+        if colours is not None:
+            table[: len(colours), :3], table[: len(colours), 3] = colours, 255
+        if clear is None:
+            region[:] = table[shown]
+        else:
+            opaque = shown != clear
             region[opaque] = table[shown[opaque]]
-            picture = canvas.copy()
-            if disposal == 2:
-                region[:] = 0
-            elif disposal == 3:
-                canvas = before
-        frames.append(Frame(left, top, delay, disposal, clear, indices, picture))
+        yield Frame(start, left, top, delay, disposal, clear, indices, canvas)
+        if disposal == 2:
+            region[:] = 0
+        elif disposal == 3:
+            canvas = before
+        start += delay
         delay, disposal, clear = 0, 0, None
-    return frames
 
 
-def histogram(indices: np.ndarray, bins: int = 16) -> np.ndarray:
-    """Pixels in each of ``bins`` equal ranges of sample values."""
-    return np.bincount(indices.ravel(), minlength=256).reshape(bins, -1).sum(axis=1)
+def colour_histogram(picture: np.ndarray, band: int = 1 << 18) -> np.ndarray:
+    """Opaque pixels in 16 equal ranges of red, of green and of blue, one after another; worked out in bands of pixels."""
+    pixels, out = picture.reshape(-1, 4), np.zeros(48, dtype=np.int64)
+    for lo in range(0, len(pixels), band):
+        part = pixels[lo : lo + band]
+        part = part if (part[:, 3] == 255).all() else part[part[:, 3] > 0]
+        for c in range(3):
+            out[16 * c : 16 * c + 16] += np.bincount(part[:, c], minlength=256).reshape(16, 16).sum(axis=1)
+    return out
 
 
 def padded_payload(text: str | None) -> bytes:
@@ -238,13 +247,11 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_bytes and media: each whole text as a GIF. A null text counts as empty; other columns are ignored."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 256):
-                texts = column.slice(lo, 256).to_pylist()
-                media = [encode_gif(padded_payload(t), delay) for t in texts]
-                sizes = [len((t or "").encode("utf-8")) for t in texts]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for batch in pieces(batches, 1):
+            texts = batch.column(1).to_pylist()
+            media = [encode_gif(padded_payload(t), delay) for t in texts]
+            sizes = [len((t or "").encode("utf-8")) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     columns = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
     return docs.select(*columns).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
@@ -261,22 +268,29 @@ def stored_media(docs: DataFrame, **options) -> DataFrame:
 def media_features(media: DataFrame) -> DataFrame:
     """Decode the stored files of ``text_media``: sizes, digests of the samples and of the file, and frame features.
 
-    frames holds every frame's delay, height and 16-bin histogram; feature is those histograms over all frames as text.
+    frames holds every frame's start and delay in hundredths of a second, place, size, and the colour histogram of its composed
+    picture; feature is the number of frames and those histograms over all frames as text. A file without frames has an
+    empty payload. Rows that share an id are read each; an empty table gives no rows.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("delay", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
-        for batch in batches:
-            rows = []
-            for data in batch.column(2).to_pylist():
-                frames = decode_gif(data, pictures=False)
-                payload = b"".join(f.indices.tobytes() for f in frames)
-                counts = [histogram(f.indices) for f in frames]
-                shown = [{"delay": f.delay, "height": f.indices.shape[0], "histogram": c.tolist()} for f, c in zip(frames, counts)]
-                feature = f"{len(frames)}:" + ",".join(map(str, np.sum(counts, axis=0).tolist()))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, shown))
-            if rows:
-                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), kinds)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"])
-
-    return media.mapInArrow(decode, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<delay:int,height:int,histogram:array<long>>>")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch, rows = whole.slice(lo, 256), []
+                for data in batch.column(2):
+                    data, samples, shown, total = data.as_py(), [], [], np.zeros(48, np.int64)
+                    for f in decode_gif(data):
+                        counts = colour_histogram(f.picture)
+                        h, w = f.indices.shape
+                        samples.append(f.indices.tobytes())
+                        shown.append({"start": f.start, "delay": f.delay, "left": f.left, "top": f.top, "width": w, "height": h, "histogram": counts.tolist()})
+                        total += counts
+                    payload = b"".join(samples)
+                    feature = f"{len(shown)}:" + ",".join(map(str, total.tolist()))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, shown))
+                if rows:
+                    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([(x, pa.int32()) for x in PLACE] + [("histogram", pa.list_(pa.int64()))])))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"])
+
+    kinds = ",".join(f"{x}:int" for x in PLACE)
+    return media.mapInArrow(decode, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<{kinds},histogram:array<long>>>")

@@ -46,7 +46,7 @@ def op4_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 
 
 def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(stored_media(table(spark, sf_dir, "documents"))).drop("frames")
+    return media_features(stored_media(table(spark, sf_dir, "documents")))
 
 
 def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -425,7 +425,7 @@ def test_compressed_streams(n, colours):
 def test_payload_round_trip(rows, monkeypatch):
     monkeypatch.setattr(gif_media, "TALLEST", 64)
     payload = np.random.default_rng(rows).integers(0, 256, rows * 192, dtype=np.uint8).tobytes()
-    frames = gif_media.decode_gif(gif_media.encode_gif(payload), pictures=False)
+    frames = list(gif_media.decode_gif(gif_media.encode_gif(payload)))
     assert b"".join(f.indices.tobytes() for f in frames) == payload and len(frames) == -(-rows // 64)
 
 
@@ -445,7 +445,34 @@ def test_disposal_transparency_and_interlace():
     order = [0, 8, 4, 2, 6, 1, 3, 5, 7]
     want = np.zeros(9, int)
     want[order] = [0, 1, 2, 3, 0, 1, 2, 3, 0]
-    assert gif_media.decode_gif(tall, False)[0].indices.ravel().tolist() == want.tolist()
+    assert next(gif_media.decode_gif(tall)).indices.ravel().tolist() == want.tolist()
+
+
+def test_features_of_coloured_frames(spark, monkeypatch):
+    """Palettes, transparency, disposal and times count in the frames' histograms; long payloads take several frames."""
+    rng = np.random.default_rng(1)
+    palette = bytes([0, 0, 0, 255, 0, 0, 0, 128, 0, 16, 32, 255])
+
+    def image(w, samples, disposal, clear, delay):
+        control = b"\x21\xf9\x04" + bytes([disposal << 2 | (clear is not None), delay, 0, clear or 0, 0])
+        return control + b"\x2c" + b"".join(x.to_bytes(2, "little") for x in (0, 0, w, 1)) + b"\x00\x02" + gif_media.sub_blocks(lzw(bytes(samples), 2, rng))
+
+    data = b"GIF89a\x03\x00\x01\x00\xf1\x00\x00" + palette + image(3, [1, 1, 2], 1, None, 5) + image(3, [0, 3, 0], 2, 0, 7) + image(1, [2], 0, None, 1) + b"\x3b"
+    row = gif_media.media_features(spark.createDataFrame([(1, 3, bytearray(data))] * 2 + [(None, 0, bytearray(b"GIF89a\x03\x00\x01\x00\x00\x00\x00" + b"\x3b"))], "doc_id long, n_bytes long, media binary")).collect()
+    full = lambda colours: [sum(c[k] // 16 == b for c in colours) for k in range(3) for b in range(16)]
+    red, green, blue = (255, 0, 0), (0, 128, 0), (16, 32, 255)
+    want = [(0, 5, full([red, red, green])), (5, 7, full([red, blue, green])), (12, 1, full([green]))]
+    assert [(f["start"], f["delay"], f["histogram"]) for f in row[0]["frames"]] == want and row[0] == row[1]
+    monkeypatch.setattr(gif_media, "TALLEST", 2)
+    payload = bytes(range(192)) * 5
+    assert sum(gif_media.colour_histogram(f.picture) for f in gif_media.decode_gif(gif_media.encode_gif(payload))).tolist() == np.bincount(np.frombuffer(payload, np.uint8) // 16, minlength=16).tolist() * 3
+
+
+def test_media_of_null_ids_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None, "a", 1), (None, "a", 2), (3, None, 3)], "doc_id long, text string, media int")
+    rows = gif_media.media_features(gif_media.stored_media(docs)).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in rows) == [("3", 0), ("None", 1), ("None", 1)]
+    assert gif_media.media_features(gif_media.stored_media(docs.limit(0))).count() == 0
 
 
 def test_media_query(spark):
@@ -455,7 +482,10 @@ def test_media_query(spark):
         raw = (texts[r["doc_id"]] or "").encode()
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert sum(r["frames"][0]["histogram"]) == len(payload) and r["frames"][0]["delay"] == 10
+        grey = np.bincount(np.frombuffer(payload, np.uint8) // 16, minlength=16).tolist()
+        frame = r["frames"][0].asDict()
+        assert len(r["frames"]) == 1 and frame == {"start": 0, "delay": 10, "left": 0, "top": 0, "width": 192, "height": len(payload) // 192, "histogram": grey * 3}
+        assert r["feature"] == "1:" + ",".join(map(str, grey * 3))
     same = [tuple(r)[1:] for r in rows if texts[r["doc_id"]] == "same"]
     assert len(rows) == len(texts) and same[0] == same[1]
 
