@@ -1,4 +1,10 @@
-"""The corpus pipeline: five training-data operators, each over all that the one before it kept."""
+"""The corpus pipeline: five training-data operators, each over all that the one before it kept.
+
+Every stage takes any rows with the columns of documents, and more columns of any names: null and empty texts, null ids and
+rows that share an id are rows like others, and an empty table gives an empty table. A null text scores as an empty one,
+has no shingles, no windows and no hits, and is packed as its end id alone. Rows that share an id are linked as near-duplicates
+and stay or go together; rows without an id stay. What each stage returns beyond this is said at its operator.
+"""
 
 from __future__ import annotations
 
