@@ -11,9 +11,9 @@ from folioflow.functions import geometry as G
 from folioflow.functions import text as T
 from folioflow.operators import colour, content, health, jobs, raster, selection
 from folioflow.operators.scans import ordinals
-from folioflow.plans import assembly
+from folioflow.plans import assembly, stages
 from folioflow.plans.closure import closure
-from folioflow.sources import files, views
+from folioflow.sources import files, streams, views
 from folioflow.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def page_filter(spark, sf):
     pages = views.document_pages(spark, sf)
     include = views.read(spark, sf, "labels").select("doc_id")
     exclude = views.read(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    kept = selection.select_pages(pages, "page_no", include, exclude, (3, 100_000_000))
+    kept = selection.select_pages(pages, "page_no", include, exclude, (3, None))
     return kept.where(T.is_page_image(F.col("fname"))).select("book", "page_no", "bytes")
 
 
@@ -245,9 +245,9 @@ def morph_open(spark, sf):
 
 
 def vector_channels(spark, sf):
-    """vec_id, r, g, b: the first 20 triples of a raster as a 4 x 5 picture."""
-    at = F.sequence(F.lit(0), F.lit(19))
-    pick = lambda k: F.transform(at, lambda i: F.get("gray", i * 3 + k))
+    """vec_id, r, g, b: the triples of a raster as a picture of 2 rows, 11 wide, the last one going on at the first levels."""
+    at = F.sequence(F.lit(0), F.lit(21))
+    pick = lambda k: F.transform(at, lambda i: F.get("gray", (i * 3 + k) % 64))
     return views.vector_rasters(spark, sf).select("vec_id", *(pick(k).alias(c) for k, c in enumerate("rgb")))
 
 
@@ -314,12 +314,32 @@ def stream_progress(spark, sf):
     return progress.stream_events(spark, sf).select("job", "lines", "finished", "seq", F.round("progress", 9).alias("progress"), "kind", "stage")
 
 
+def event_queue(spark, sf):
+    """Jobs by their first line: one of three by number runs, the others wait."""
+    firsts = views.progress_lines(spark, sf).groupBy("job").agg(F.min("seq").alias("asked"))
+    return firsts.withColumn("state", F.when(F.col("job") % 3 == 0, "running").otherwise("waiting"))
+
+
 @query
 def job_admission(spark, sf):
-    """Jobs by their first line wait, every third runs; the twelve next ones are admitted."""
-    firsts = views.progress_lines(spark, sf).groupBy("job").agg(F.min("seq").alias("asked"))
-    queue = firsts.withColumn("state", F.when(F.col("job") % 3 == 0, "running").otherwise("waiting"))
-    return jobs.admit(queue, "asked", 12).select("job", "asked", "state")
+    """Which waiting jobs may start when twelve more than the running ones, as many as are running now, may run."""
+    queue = event_queue(spark, sf).where("state = 'waiting' or job % 6 = 0 and job < 60")
+    return jobs.admit(queue, "asked", 22).select("job", "asked", "state")
+
+
+@query
+def queue_counts(spark, sf):
+    queue = event_queue(spark, sf).withColumn("shelf", F.col("job") % 7)
+    return jobs.queue_counts(queue.withColumn("state", F.when(F.col("job") % 5 == 0, "done").otherwise(F.col("state"))), "shelf")
+
+
+@query
+def line_framing(spark, sf):
+    """Progress lines sent in chunks that break anywhere; each job's last line has no end."""
+    line = F.col("line")
+    cut = F.col("seq") % 4
+    chunks = views.progress_lines(spark, sf).select("job", (F.col("seq") * 2).alias("seq"), F.concat(F.lit("\n"), F.left(line, cut.cast("int"))).alias("text")).unionByName(views.progress_lines(spark, sf).select("job", (F.col("seq") * 2 + 1).alias("seq"), F.substr(line, (cut + 1).cast("int")).alias("text")))
+    return jobs.framed_lines(chunks, "job", "seq", "text")
 
 
 @query
@@ -362,10 +382,9 @@ def dir_size(spark, sf):
 
 @query
 def dependency_closure(spark, sf):
-    """What every tenth part up to 2000 needs by way of k to k div 2: the rows that its SQL asks for."""
-    keys = views.read(spark, sf, "part").where("p_partkey <= 2000").select("p_partkey")
-    steps = keys.select(F.col("p_partkey").alias("part"), F.expr("p_partkey div 2").alias("needs")).where("needs > 0")
-    return closure(steps, "part", "needs").where("part % 10 = 0")
+    """What every part needs by way of k to k div 2."""
+    steps = views.read(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.expr("p_partkey div 2").alias("needs")).where("needs > 0")
+    return closure(steps, "part", "needs")
 
 
 @query
@@ -385,10 +404,11 @@ def json_rows(spark, sf):
 
 @query
 def page_sort(spark, sf):
-    """Two numbering rules for names with a letter after the digits, and the position by number and name."""
-    names = views.document_pages(spark, sf).select("book", F.concat(F.lit("a"), F.col("page_no").cast("string"), F.when(F.col("page_no") % 3 == 0, "_b").otherwise(""), F.lit(".jpg")).alias("name"), "page_no")
+    """Two numbering rules for names with a letter after the digits, and the position by number and name, numbers repeated."""
+    number = F.floor(F.col("page_no") / 3)
+    names = views.document_pages(spark, sf).select("book", F.concat(F.lit("a"), number.cast("string"), F.element_at(F.array(F.lit("_b"), F.lit(""), F.lit("_c")), (F.col("page_no") % 3 + 1).cast("int")), F.lit(".jpg")).alias("name"))
     numbered = names.withColumn("engine", T.last_number(T.stem(F.col("name")))).withColumn("shell", T.trailing_number(T.stem(F.col("name"))))
-    return ordinals(numbered, ["book"], "page_no").select("book", "name", "engine", "shell", "ord")
+    return ordinals(numbered, ["book"], "engine", ties=("name",)).select("book", "name", "engine", "shell", "ord")
 
 
 @query
@@ -399,7 +419,7 @@ def run_counters(spark, sf):
 
 @query
 def log_tail(spark, sf):
-    return jobs.log_tail(views.progress_lines(spark, sf), 400, 300)
+    return jobs.log_tail(views.progress_lines(spark, sf))
 
 
 @query
@@ -419,3 +439,107 @@ def resume_stage(spark, sf):
     pages = views.read(spark, sf, "documents").select("doc_id", key(F.col("doc_id")).alias("key"))
     stage = views.read(spark, sf, "labels").select(key(F.col("doc_id")).alias("key"), (F.col("quality") * 10).alias("length"))
     return assembly.to_do(pages, stage, "key").select("doc_id")
+
+
+@query
+def content_text(spark, sf):
+    """Content streams parsed; per page its operators, the text carried over as a stream, and the matrix at its first image."""
+    pages = views.page_streams(spark, sf)
+    ops = streams.stream_operators(pages, "page", "stream")
+    text = content.carried_text(ops, "page", "pos", "op", streams.written(F.col("op"), F.col("args")))
+    ctm = content.placement(streams.matrices(ops), "page", "pos", "op", "m")
+    counts = ops.groupBy("page").agg(F.count("*").alias("n_ops"))
+    found = pages.select("page").join(counts, "page", "left").join(text, "page", "left").join(ctm, "page", "left")
+    return found.select("page", "n_ops", "text", *(F.col("ctm")[i].alias(f"m{i}") for i in range(6)))
+
+
+@query
+def stage_complete(spark, sf):
+    """Per source the documents without a label: how many of how many, and the first."""
+    docs = views.read(spark, sf, "documents").select("source", "doc_id")
+    return stages.missing_report(docs, docs.join(views.read(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), "source", "doc_id")
+
+
+@query
+def replaced_streams(spark, sf):
+    """Documents' streams against results that exist for some of them: the smaller one stays."""
+    images = views.document_pages(spark, sf).select("book", "page_no", F.col("bytes").alias("raw"))
+    made = views.read(spark, sf, "labels").groupBy("doc_id").agg(F.max((F.col("quality") * 4000 + F.col("doc_id") % 3000).cast("bigint")).alias("made")).withColumnRenamed("doc_id", "page_no")
+    return assembly.replaced(images, made, ["page_no"], "raw", "made").groupBy("book").agg(F.count("*").alias("images"), F.count_if("is_new").alias("replaced"), F.sum("raw").alias("before"), F.sum("kept").alias("after"))
+
+
+@query
+def remade_pages(spark, sf):
+    """All pages, remade ones in place of the originals."""
+    pages = views.document_pages(spark, sf).select("page_no", F.concat(F.lit("page "), F.col("page_no").cast("string")).alias("body"))
+    made = views.read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("page_no"), F.lit("remade").alias("body")).distinct()
+    return assembly.remade(pages, made, "page_no", "body")
+
+
+@query
+def page_colours(spark, sf):
+    """Pages joined with the ink colours found on them."""
+    found = colour.ink_colours(colour.hue_histogram(views.vector_pixels(spark, sf), "vec_id"), "vec_id")
+    pages = views.read(spark, sf, "embeddings").select("vec_id", "label")
+    return pages.join(found, "vec_id").groupBy("vec_id", "label").agg(F.count("*").alias("colours"), F.max("n").alias("largest"))
+
+
+@query
+def layer_order(spark, sf):
+    """Layers in the order they are drawn: the background first, then by name; and that order after a user's swap."""
+    names = F.explode(F.array(F.lit("/M1"), F.lit("/Bg"), F.lit("/M0"), F.lit("/Im"))).alias("name")
+    layers = assembly.draw_order(views.read(spark, sf, "embeddings").select("vec_id", names), "vec_id", "name", "/Bg")
+    return assembly.swapped(layers.withColumn("moved", F.col("ord")), "vec_id", "moved", F.col("vec_id") % 5)
+
+
+@query
+def existing_outputs(spark, sf):
+    """Outputs of chosen jobs that exist."""
+    asked = views.document_pages(spark, sf).select("book", T.with_suffix(F.concat(F.lit("p"), F.col("page_no").cast("string"), F.lit(".pdf")), "_slim").alias("name"))
+    there = views.read(spark, sf, "labels").select(F.format_string("p%d_slim.pdf", F.col("doc_id")).alias("name")).distinct()
+    return asked.join(there, "name", "left_semi").select("book", "name")
+
+
+@query
+def bilevel_selection(spark, sf):
+    """Only documents for which recompression saves something, with their saving."""
+    return pdf_health(spark, sf).where("saving is not null").select("doc", "saving")
+
+
+@query
+def binarize_page(spark, sf):
+    """Rasters levelled, sharpened and thresholded, margins whitened."""
+    run = raster.kernel(lambda a: raster.binarized(a, 1800, 0.55, ("level", "unsharp")), 8, 8)
+    return views.vector_rasters(spark, sf).select("vec_id", F.array_join(run("gray"), ",").alias("mask"))
+
+
+@query
+def shrink_page(spark, sf):
+    """Rasters at half their width."""
+    run = raster.kernel(lambda a: raster.shrunk(a, 4), 8, 8)
+    return views.vector_rasters(spark, sf).select("vec_id", F.array_join(run("gray"), ",").alias("half"))
+
+
+@query
+def smooth_page(spark, sf):
+    run = raster.kernel(lambda a: raster.smoothed(a, 8, 0.55, ("level", "unsharp")), 8, 8)
+    return views.vector_rasters(spark, sf).select("vec_id", F.array_join(run("gray"), ",").alias("mask"))
+
+
+@query
+def fine_structure(spark, sf):
+    """Coloured ink of pictures of 2 rows, less its large areas."""
+    run = raster.colour_kernel(raster.fine_structure, 11, 2)
+    return vector_channels(spark, sf).select("vec_id", F.array_join(run("r", "g", "b"), ",").alias("ink"))
+
+
+@query
+def page_scalars(spark, sf):
+    """Sizes, margins, specs, titles and text lines of parts."""
+    part = views.read(spark, sf, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    spec = F.concat_ws(",", key.cast("string"), F.format_string("%d-%d", size, size + 3), F.when(key % 3 == 0, "x").when(key % 3 == 1, " "))
+    fit, margin = G.raster_size(size * 20.0, F.col("p_retailprice"), F.lit(100)), G.border((key % 4000).cast("int"), size * 100, 2)
+    line = T.text_line(F.col("p_brand"), F.col("p_retailprice") / 7, size + 0.25, key / F.lit(8.0), size / F.lit(4.0))
+    numbers = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return part.select("p_partkey", fit["h"].alias("height"), margin["x"].alias("left"), margin["y"].alias("top"), F.round(G.zoom_back((size * 60).cast("int"), F.lit(1200)), 6).alias("zoom"), numbers(T.parse_page_spec(spec)).alias("strict"), numbers(T.parse_ranges(spec)).alias("loose"), T.ranges_error(spec).alias("wrong"), T.title_or_stem(F.when(key % 2 == 0, F.col("p_name")).when(key % 4 == 1, " "), F.concat(F.lit("/a/b."), key.cast("string"), F.lit(".pdf"))).alias("title"), T.failure_text(F.encode(F.concat(F.lit("  "), F.repeat("p_name", F.lit(40))), "UTF-8")).alias("failure"), F.regexp_extract(line, r"^(\S+ \S+ Tf) ", 1).alias("font"))

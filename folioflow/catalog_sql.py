@@ -7,7 +7,7 @@ PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pag
 IMAGES = "images AS (SELECT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS page, l_partkey AS obj, l_linestatus = 'F' AS bilevel, l_returnflag <> 'R' AS decoded, CAST(l_quantity AS BIGINT) * 1000 AS raw, CAST(CAST(l_quantity AS BIGINT) * 1000 * (100 - CAST(round(l_discount * 100) AS BIGINT)) // 100 AS BIGINT) AS made FROM lineitem)"
 ONCE = "once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, obj ORDER BY page, raw, made, bilevel, decoded) AS k FROM images) WHERE k = 1)"
 RASTERS = "rasters AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + CAST(0.6 AS DOUBLE)) * CAST(200.0 AS DOUBLE)))) AS INT)) AS gray FROM embeddings)"
-PIXELS = "pixels AS (SELECT vec_id, i, gray[3 * i + 1] AS r, gray[3 * i + 2] AS g, gray[3 * i + 3] AS b FROM rasters, range(21) t(i))"
+PIXELS = "pixels AS (SELECT vec_id, i, gray[3 * i % 64 + 1] AS r, gray[(3 * i + 1) % 64 + 1] AS g, gray[(3 * i + 2) % 64 + 1] AS b FROM rasters, range(22) t(i))"
 HUES = """chan AS (SELECT vec_id, r, g, b, CAST(r AS DOUBLE) / 255.0::DOUBLE AS x, CAST(g AS DOUBLE) / 255.0::DOUBLE AS y, CAST(b AS DOUBLE) / 255.0::DOUBLE AS z FROM pixels),
 ext AS (SELECT *, greatest(x, y, z) AS hi, least(x, y, z) AS lo FROM chan),
 hls AS (SELECT *, (hi + lo) / 2.0::DOUBLE AS light,
@@ -33,7 +33,7 @@ SELECT book, CAST(chunk AS BIGINT) AS chunk, count(*) AS pages, min(page_no) AS
 found AS (SELECT *, TRY_CAST(nullif(regexp_extract(regexp_replace(name, '\\.[^.]*$', ''), '(\\d+)\\D*$', 1), '') AS BIGINT) AS k FROM names),
 kinds AS (SELECT doc, count(k) = count(*) AND count(DISTINCT k) = count(*) AS numbered FROM found GROUP BY doc)
 SELECT doc, name, numbered, CASE WHEN numbered THEN k ELSE row_number() OVER (PARTITION BY doc ORDER BY name) END AS page_no FROM found JOIN kinds USING (doc)""",
-    "page_filter": f"""WITH {PAGES} SELECT book, page_no, bytes FROM pages WHERE page_no BETWEEN 3 AND 100000000 AND page_no IN (SELECT doc_id FROM labels) AND page_no NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "page_filter": f"""WITH {PAGES} SELECT book, page_no, bytes FROM pages WHERE page_no >= 3 AND page_no IN (SELECT doc_id FROM labels) AND page_no NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "parse_ranges": """WITH specs AS (SELECT DISTINCT unnest([printf('%d,7,%d-%d', r_regionkey, r_regionkey + 2, r_regionkey + 5), printf(' %d , ,4', r_regionkey), printf('10-%d', r_regionkey), printf('-%d,%d', r_regionkey + 1, r_regionkey), '']) AS spec FROM region),
 pieces AS (SELECT spec, trim(unnest(string_split(spec, ','))) AS p FROM specs), ends AS (SELECT spec, CAST(regexp_extract(p, '^(-?\\d+)', 1) AS BIGINT) AS a, CASE WHEN regexp_matches(p, '^-?\\d+\\s*-') THEN CAST(regexp_extract(p, '-\\s*(-?\\d+)$', 1) AS BIGINT) ELSE CAST(regexp_extract(p, '^(-?\\d+)', 1) AS BIGINT) END AS b FROM pieces WHERE p <> ''),
 numbers AS (SELECT DISTINCT spec, unnest(range(a, b + 1)) AS k FROM ends) SELECT spec, coalesce((SELECT string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FROM numbers WHERE numbers.spec = specs.spec), '') AS numbers FROM specs""",
@@ -104,7 +104,22 @@ SELECT doc_id, max(CASE WHEN k = 1 THEN tl END) AS lang, max(CASE WHEN k = 1 THE
 p AS (SELECT *, CASE WHEN kind IN ('P', 'S') THEN f[2] ELSE '' END AS stage, CASE WHEN kind = 'P' AND f[2] = 'jbig2' THEN 0.74::DOUBLE + 0.19::DOUBLE * (CAST(f[3] AS DOUBLE) / CAST(f[4] AS DOUBLE)) WHEN kind = 'P' THEN CAST(f[3] AS DOUBLE) / CAST(f[4] AS DOUBLE) * 0.72::DOUBLE WHEN kind = 'S' THEN 0.74::DOUBLE WHEN kind = 'DONE' THEN 1.0::DOUBLE END AS progress FROM d),
 last AS (SELECT job, seq, progress, kind, stage FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq DESC) AS k FROM p WHERE progress IS NOT NULL) WHERE k = 1)
 SELECT job, lines, finished, seq, round(progress, 9) AS progress, kind, coalesce(stage, '') AS stage FROM (SELECT job, count(*) AS lines, count(*) FILTER (WHERE kind = 'DONE') AS finished FROM p GROUP BY job) LEFT JOIN last USING (job)""",
-    "job_admission": "SELECT user_id AS job, min(event_id) AS asked, 'waiting' AS state FROM events WHERE user_id % 3 <> 0 GROUP BY user_id ORDER BY asked LIMIT 12",
+    "job_admission": """WITH q AS (SELECT user_id AS job, min(event_id) AS asked FROM events GROUP BY user_id), going AS (SELECT count(*) AS n FROM q WHERE job % 6 = 0 AND job < 60), r AS (SELECT *, row_number() OVER (ORDER BY asked) AS k FROM q WHERE job % 3 <> 0)
+SELECT job, asked, 'waiting' AS state FROM r WHERE k <= 22 - (SELECT n FROM going)""",
+    "queue_counts": """WITH q AS (SELECT DISTINCT user_id AS job FROM events), s AS (SELECT job % 7 AS shelf, job % 5 = 0 AS done, job % 3 = 0 AS going FROM q)
+SELECT shelf, count(*) FILTER (WHERE NOT done AND NOT going) AS waiting, count(*) FILTER (WHERE NOT done AND going) AS running, count(*) FILTER (WHERE NOT done) AS active FROM s GROUP BY shelf""",
+    "line_framing": f"""WITH {LINES}, n AS (SELECT job, line, row_number() OVER (PARTITION BY job ORDER BY seq) AS line_no, count(*) OVER (PARTITION BY job) AS k FROM lines)
+SELECT job, 0::BIGINT AS line_no, '' AS line, true AS whole FROM n WHERE line_no = 1 UNION ALL SELECT job, line_no, line, line_no < k AS whole FROM n""",
+    "log_tail": f"""WITH RECURSIVE {LINES}, n AS (SELECT job, line, row_number() OVER (PARTITION BY job ORDER BY seq) AS k FROM lines),
+w AS (SELECT job, 1::BIGINT AS k, right(line || chr(10), 30000) AS log FROM n WHERE k = 1 UNION ALL SELECT w.job, n.k, CASE WHEN length(w.log) + length(n.line) + 1 > 40000 THEN right(w.log || n.line || chr(10), 30000) ELSE w.log || n.line || chr(10) END FROM w JOIN n ON n.job = w.job AND n.k = w.k + 1)
+SELECT job, arg_max(log, k) AS log FROM w GROUP BY job""",
+    "affine_fold": """WITH RECURSIVE o AS (SELECT user_id AS page, event_id AS pos, CASE event_type WHEN 'signup' THEN 'q' WHEN 'error' THEN 'Q' WHEN 'click' THEN 'cm' WHEN 'purchase' THEN 'cm' ELSE CASE WHEN event_id % 5 <> 0 THEN 're' ELSE 'Do' END END AS op,
+  [CAST(event_id % 7 % 2 + 1 AS DOUBLE), event_id % 7 % 3, 0, 1, event_id % 7, -(event_id % 7)] AS m FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS k FROM o),
+w AS (SELECT page, 0::BIGINT AS k, [1.0::DOUBLE, 0, 0, 1, 0, 0] AS now, CAST([] AS DOUBLE[][]) AS saved, false AS hit FROM (SELECT DISTINCT page FROM n)
+UNION ALL SELECT w.page, n.k, CASE WHEN op = 'Q' AND len(saved) > 0 THEN saved[len(saved)] WHEN op = 'cm' THEN [m[1] * now[1] + m[2] * now[3], m[1] * now[2] + m[2] * now[4], m[3] * now[1] + m[4] * now[3], m[3] * now[2] + m[4] * now[4], m[5] * now[1] + m[6] * now[3] + now[5], m[5] * now[2] + m[6] * now[4] + now[6]] ELSE now END,
+  CASE WHEN op = 'q' THEN list_append(saved, now) WHEN op = 'Q' AND len(saved) > 0 THEN saved[1:len(saved) - 1] ELSE saved END, op = 'Do' FROM w JOIN n ON n.page = w.page AND n.k = w.k + 1 WHERE NOT w.hit)
+SELECT page, now[1] AS m0, now[2] AS m1, now[3] AS m2, now[4] AS m3, now[5] AS m4, now[6] AS m5 FROM w WHERE hit""",
     "active_dedup": f"WITH {LINES}, a AS (SELECT seq, CAST(job AS VARCHAR) || ' ' || left(line, 6) AS args FROM lines) SELECT DISTINCT args FROM a WHERE args NOT IN (SELECT args FROM a WHERE seq % 10 = 0)",
     "progress_milestones": f"WITH {PAGES}, {PLACED} SELECT book, page_no, ord, n FROM placed WHERE ord % greatest(1, n // 20) = 0 OR ord = n",
     "free_name": f"WITH {PAGES}, used AS (SELECT DISTINCT book, page_no // 20 + 2 AS n FROM pages WHERE (page_no // 20 + 2) % 5 <> 4), tries AS (SELECT DISTINCT book, k FROM used, range(2, 12) t(k)) SELECT book, min(k) AS free FROM tries WHERE (book, k) NOT IN (SELECT (book, n) FROM used) GROUP BY book",
@@ -112,13 +127,13 @@ SELECT job, lines, finished, seq, round(progress, 9) AS progress, kind, coalesce
 SELECT p_partkey, CASE WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576.0::DOUBLE) ELSE printf('%.0f KB', size / 1024.0::DOUBLE) END AS human,
 CASE WHEN sec < 60 THEN printf('%ds', sec) WHEN sec < 3600 AND sec % 60 = 0 THEN printf('%dm', sec // 60) WHEN sec < 3600 THEN printf('%dm %ds', sec // 60, sec % 60) ELSE printf('%dh %dm', sec // 3600, sec % 3600 // 60) END AS took,
 left(trim(replace(p_name, ' ', '') || 'v2'), 120) AS safe, p_name || '_slim.pdf' AS slim, printf('p%05d.png', p_partkey) AS page, CAST(p_size AS VARCHAR) || '%' AS pct, p_brand || CASE WHEN p_size > 25 THEN ' · ' || p_type ELSE '' END || ' · x' AS summary, regexp_replace(hex(encode(p_brand)), '(..)', '00\\1', 'g') AS utf16 FROM p""",
-    "dependency_closure": "WITH RECURSIVE r AS (SELECT p_partkey AS part, p_partkey // 2 AS needs FROM part WHERE p_partkey <= 2000 AND p_partkey // 2 > 0 UNION SELECT r.part, r.needs // 2 FROM r WHERE r.needs // 2 > 0) SELECT part, needs FROM r WHERE part % 10 = 0",
+    "dependency_closure": "WITH RECURSIVE r AS (SELECT p_partkey AS part, p_partkey // 2 AS needs FROM part WHERE p_partkey // 2 > 0 UNION SELECT r.part, r.needs // 2 FROM r WHERE r.needs // 2 > 0) SELECT part, needs FROM r",
     "source_union": """WITH u AS (SELECT 0 AS arg, source || '/' || CAST(doc_id % 100 AS VARCHAR) || '.pdf' AS path FROM documents UNION ALL SELECT 1, 'src' || CAST(conv_id % 20 AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.pdf' FROM conversations) SELECT path, CAST(min(arg) AS INT) AS arg, regexp_extract(path, '([^/]*)$', 1) AS name FROM u GROUP BY path""",
     "json_rows": """WITH e AS (SELECT event_id, TRY_CAST(json_extract_string(TRY_CAST(CASE WHEN event_id % 11 = 0 THEN '{bad' ELSE props END AS JSON), '$.k') AS BIGINT) AS k FROM events) SELECT event_id, k, '{"' || CAST(event_id AS VARCHAR) || '":' || CAST(k AS VARCHAR) || '}' AS out FROM e WHERE k IS NOT NULL""",
-    "page_sort": f"""WITH {PAGES}, {PLACED}, s AS (SELECT *, 'a' || CAST(page_no AS VARCHAR) || CASE WHEN page_no % 3 = 0 THEN '_b' ELSE '' END AS stem FROM placed)
-SELECT book, stem || '.jpg' AS name, TRY_CAST(nullif(regexp_extract(stem, '(\\d+)\\D*$', 1), '') AS BIGINT) AS engine, TRY_CAST(nullif(regexp_extract(stem, '(\\d+)$', 1), '') AS BIGINT) AS shell, ord FROM s""",
+    "page_sort": f"""WITH {PAGES}, s AS (SELECT book, 'a' || CAST(page_no // 3 AS VARCHAR) || CASE page_no % 3 WHEN 0 THEN '_b' WHEN 1 THEN '' ELSE '_c' END AS stem, page_no // 3 AS k FROM pages)
+SELECT book, stem || '.jpg' AS name, k AS engine, CASE WHEN stem LIKE '%\\_%' ESCAPE '\\' THEN NULL ELSE k END AS shell, row_number() OVER (PARTITION BY book ORDER BY k, stem || '.jpg') AS ord FROM s""",
     "run_counters": f"""WITH {IMAGES} SELECT page, count(*) FILTER (WHERE NOT decoded) AS skipped, count(*) FILTER (WHERE decoded) AS made, CAST(sum(CASE WHEN bilevel THEN raw ELSE 0 END) AS BIGINT) AS selected_bytes, count(DISTINCT CASE WHEN bilevel THEN obj END) AS objects, array_to_string(list_sort(list(DISTINCT raw % 7000)), ',') AS sizes FROM images GROUP BY page""",
-    "ink_separation": f"""WITH {RASTERS}, px AS (SELECT vec_id, i, gray[3 * i + 1] AS r, gray[3 * i + 2] AS g, gray[3 * i + 3] AS b FROM rasters, range(20) t(i)),
+    "ink_separation": f"""WITH {RASTERS}, px AS (SELECT vec_id, i, gray[3 * i % 64 + 1] AS r, gray[(3 * i + 1) % 64 + 1] AS g, gray[(3 * i + 2) % 64 + 1] AS b FROM rasters, range(22) t(i)),
 m AS (SELECT vec_id, i, (r * 299 + g * 587 + b * 114) // 1000 AS y, greatest(r, g, b) - least(r, g, b) AS c FROM px)
 SELECT vec_id, string_agg(CASE WHEN y < 127.5::DOUBLE AND c <= 38.25::DOUBLE THEN '255' ELSE '0' END, ',' ORDER BY i) AS black, string_agg(CASE WHEN y < 127.5::DOUBLE AND c > 38.25::DOUBLE THEN '255' ELSE '0' END, ',' ORDER BY i) AS coloured FROM m GROUP BY vec_id""",
     "inkless_background": f"""WITH {RASTERS}, px AS (SELECT vec_id, i // 16 * 4 + i % 8 // 2 AS box, gray[i + 1] AS g FROM rasters, range(64) t(i)), m AS (SELECT vec_id, box, coalesce(sum(g) FILTER (WHERE g >= 115) // nullif(count(*) FILTER (WHERE g >= 115), 0), 255) AS v FROM px GROUP BY vec_id, box)
@@ -127,6 +142,36 @@ SELECT vec_id, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY box)
 SELECT vec_id, string_agg(CAST(CAST(floor((v - lo) / (hi - lo) * 255.0::DOUBLE + 0.5::DOUBLE) AS INT) AS VARCHAR), ',' ORDER BY i) AS toned FROM px GROUP BY vec_id""",
     "layer_colours": f"WITH {RASTERS}, {PIXELS} SELECT label, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b, count(*) AS n FROM pixels JOIN rasters USING (vec_id) GROUP BY label",
     "resume_stage": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality > 0)",
+    "content_text": """SELECT conv_id * 1000 + turn AS page, CAST(CASE WHEN turn % 4 = 3 THEN 3 ELSE 11 END AS BIGINT) AS n_ops,
+CASE WHEN turn % 4 <> 3 THEN 'BT' || chr(10) || '/F' || CAST(turn % 3 AS VARCHAR) || ' 12 Tf' || chr(10) || '(a\\(b (' || role || ') c) Tj' || chr(10) || 'ET' || chr(10) || 'BT' || chr(10) || '[<00' || printf('%02X', turn % 256) || '> -12 (x)] TJ' || chr(10) || 'ET' END AS text,
+CASE WHEN turn % 4 = 3 THEN 1.0::DOUBLE ELSE CAST(turn + 1 AS DOUBLE) END AS m0, 0.0::DOUBLE AS m1, 0.0::DOUBLE AS m2, CASE WHEN turn % 4 = 3 THEN 1.0::DOUBLE ELSE CAST(turn + 2 AS DOUBLE) END AS m3, CASE WHEN turn % 4 = 3 THEN 0.0::DOUBLE ELSE 5.0::DOUBLE END AS m4, CASE WHEN turn % 4 = 3 THEN 0.0::DOUBLE ELSE -7.0::DOUBLE END AS m5 FROM conversations""",
+    "stage_complete": "SELECT source, count(*) AS expected, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, min(doc_id) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS first_missing FROM documents GROUP BY source",
+    "replaced_streams": f"""WITH {PAGES}, made AS (SELECT doc_id, max(quality * 4000 + doc_id % 3000) AS made FROM labels GROUP BY doc_id), j AS (SELECT book, bytes, made FROM pages LEFT JOIN made ON doc_id = page_no)
+SELECT book, count(*) AS images, count(*) FILTER (WHERE made < bytes) AS replaced, CAST(sum(bytes) AS BIGINT) AS before, CAST(sum(CASE WHEN made < bytes THEN made ELSE bytes END) AS BIGINT) AS after FROM j GROUP BY book""",
+    "remade_pages": "SELECT doc_id AS page_no, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'remade' ELSE 'page ' || CAST(doc_id AS VARCHAR) END AS body FROM documents",
+    "layer_order": """WITH l AS (SELECT vec_id, name, pos FROM embeddings, (VALUES ('/Bg', 1), ('/Im', 2), ('/M0', 3), ('/M1', 4)) t(name, pos))
+SELECT vec_id, name, CAST(pos AS BIGINT) AS ord, CAST(CASE WHEN vec_id % 5 BETWEEN 1 AND 3 AND pos = vec_id % 5 THEN pos + 1 WHEN vec_id % 5 BETWEEN 1 AND 3 AND pos = vec_id % 5 + 1 THEN pos - 1 ELSE pos END AS BIGINT) AS moved FROM l""",
+    "existing_outputs": f"WITH {PAGES} SELECT book, printf('p%d_slim.pdf', page_no) AS name FROM pages WHERE page_no IN (SELECT doc_id FROM labels)",
+    "binarize_page": f"""WITH {RASTERS}, lev AS (SELECT vec_id, list_transform(gray, lambda g: CAST(least(255, greatest(0, floor((g - CAST({0.15 * 255.0!r} AS DOUBLE)) * 255.0::DOUBLE / CAST({(0.88 - 0.15) * 255.0!r} AS DOUBLE) + 0.5::DOUBLE))) AS INT)) AS g FROM rasters),
+px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, g[i + 1] AS g FROM lev, range(64) t(i)), moves AS (SELECT a.d AS dy, b.d AS dx FROM (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d)),
+s AS (SELECT c.vec_id, c.y, c.x, any_value(c.g) AS g, CAST(sum(d.g) AS DOUBLE) / 9 AS mean FROM px c, moves m, px d WHERE d.vec_id = c.vec_id AND d.y = least(7, greatest(0, c.y + m.dy)) AND d.x = least(7, greatest(0, c.x + m.dx)) GROUP BY ALL),
+u AS (SELECT vec_id, y, x, CASE WHEN abs(g - mean) > CAST({0.01 * 255!r} AS DOUBLE) THEN least(255, greatest(0, floor(g + 1.2::DOUBLE * (g - mean) + 0.5::DOUBLE))) ELSE g END AS g FROM s)
+SELECT vec_id, string_agg(CASE WHEN g > CAST({0.55 * 255.0!r} AS DOUBLE) THEN '255' ELSE '0' END, ',' ORDER BY y, x) AS mask FROM u GROUP BY vec_id""",
+    "shrink_page": f"""WITH {RASTERS}, h AS (SELECT vec_id, i AS box, gray[(i // 4) * 16 + (i % 4) * 2 + 1] + gray[(i // 4) * 16 + (i % 4) * 2 + 2] + gray[(i // 4) * 16 + (i % 4) * 2 + 9] + gray[(i // 4) * 16 + (i % 4) * 2 + 10] AS s FROM rasters, range(16) t(i))
+SELECT vec_id, string_agg(CAST((s + 2) // 4 AS VARCHAR), ',' ORDER BY box) AS half FROM h GROUP BY vec_id""",
+    "fine_structure": f"""WITH {RASTERS}, {PIXELS}, ink AS (SELECT vec_id, i // 11 AS y, i % 11 AS x, CASE WHEN greatest(r, g, b) - least(r, g, b) > 38.25::DOUBLE AND (r * 299 + g * 587 + b * 114) // 1000 <= CAST({0.72 * 255.0!r} AS DOUBLE) THEN 255 ELSE 0 END AS v FROM pixels),
+near AS (SELECT a.vec_id, a.y, a.x, a.v, b.y AS y2, b.x AS x2, b.v AS v2 FROM ink a JOIN ink b ON a.vec_id = b.vec_id AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 36),
+low AS (SELECT vec_id, y, x, any_value(v) AS v, min(v2) AS e FROM near GROUP BY vec_id, y, x), big AS (SELECT a.vec_id, a.y, a.x, any_value(a.v) - max(b.e) AS v FROM low a JOIN low b ON a.vec_id = b.vec_id AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 36 GROUP BY a.vec_id, a.y, a.x),
+e AS (SELECT a.vec_id, a.y, a.x, min(greatest(b.v, 0)) AS v FROM big a JOIN big b ON a.vec_id = b.vec_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY a.vec_id, a.y, a.x), d AS (SELECT a.vec_id, a.y, a.x, max(b.v) AS v FROM e a JOIN e b ON a.vec_id = b.vec_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY a.vec_id, a.y, a.x)
+SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY y, x) AS ink FROM d GROUP BY vec_id""",
+    "page_scalars": """WITH p AS (SELECT *, p_partkey AS k, CAST(p_size AS INT) AS z FROM part), n AS (SELECT k, list_sort(list_distinct([k, z, z + 1, z + 2, z + 3])) AS numbers FROM p)
+SELECT k AS p_partkey, CAST(greatest(1, round_even(100 * p_retailprice / (z * 20.0::DOUBLE), 0)) AS INT) AS height, CAST((k % 4000) * 2 * 15 // 1000 AS INT) AS "left", CAST(z * 100 * 2 * 10 // 1000 AS INT) AS top, round(CASE WHEN 1200 < z * 60 THEN 1200 / CAST(z * 60 AS DOUBLE) * 25 ELSE 25 END, 6) AS zoom,
+CASE WHEN k % 3 = 2 THEN array_to_string(numbers, ',') END AS strict, CASE WHEN k % 3 <> 0 THEN array_to_string(numbers, ',') END AS loose, CASE WHEN k % 3 = 0 THEN 'no range: x' END AS wrong,
+CASE WHEN k % 2 = 0 THEN p_name ELSE 'b.' || CAST(k AS VARCHAR) END AS title, left(trim('  ' || repeat(p_name, 40)), 300) AS failure,
+'/SPF ' || printf('%.2f', p_retailprice / 7) || ' Tf' AS font FROM p JOIN n USING (k)""",
 }
 
 ORACLES["stream_progress"] = ORACLES["job_latest"]
+
+ORACLES["bilevel_selection"] = f"SELECT doc, saving FROM ({ORACLES['pdf_health']}) WHERE saving IS NOT NULL"
+ORACLES["page_colours"] = f"SELECT t.vec_id, e.label, count(*) AS colours, max(t.n) AS largest FROM ({ORACLES['top3_hues']}) t JOIN embeddings e USING (vec_id) GROUP BY t.vec_id, e.label"

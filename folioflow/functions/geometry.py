@@ -29,6 +29,21 @@ def scaled_height(w: Column, h: Column, target: Column) -> Column:
     return F.rint(h * target / w).cast("bigint")
 
 
+def raster_size(page_w: Column, page_h: Column, width: Column) -> Column:
+    """Whole width and height, 1 at least, of a page drawn ``width`` wide; halves to even."""
+    return F.struct(width.cast("int").alias("w"), F.greatest(F.lit(1), F.rint(width * page_h / page_w).cast("int")).alias("h"))
+
+
+def border(w: Column, h: Column, supersample: int = 1) -> Column:
+    """Margins to whiten: 15 thousandths of the width and 10 of the height, of the supersampled size."""
+    return F.struct(F.expr("0").alias("zero"), F.floor(w * supersample * 15 / 1000).cast("int").alias("x"), F.floor(h * supersample * 10 / 1000).cast("int").alias("y")).dropFields("zero")
+
+
+def zoom_back(w: Column, target: Column) -> Column:
+    """Percent that bring a page enlarged four times to its target width, which never exceeds its own."""
+    return F.when((target > 0) & (target < w), target).otherwise(w) / w * 25.0
+
+
 def text_box(chars: Column, w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
     """Font size and horizontal scaling (1 to 1000 %) that stretch a line over its box."""
     size = F.greatest(F.lit(1.0), h * page_h)

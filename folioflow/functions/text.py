@@ -33,16 +33,42 @@ def is_page_image(name: Column) -> Column:
     return ~name.startswith(".") & F.lower(name).rlike(rf"\.({'|'.join(IMAGE_EXTENSIONS)})$")
 
 
-def parse_ranges(spec: Column) -> Column:
-    """'3,7,10-12' as the sorted distinct numbers; blanks are skipped, a leading '-' is a sign, 10-5 is empty."""
-    pieces = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+def parse_ranges(spec: Column, most: int = 1_000_000) -> Column:
+    """'3,7,10-12' as the sorted distinct numbers; blanks are skipped, a leading '-' is a sign, 10-5 is empty.
 
-    def numbers(p: Column) -> Column:
-        first = F.regexp_extract(p, r"^(-?\d+)", 1).try_cast("bigint")
-        last = F.when(p.rlike(r"^-?\d+\s*-"), F.regexp_extract(p, r"^-?\d+\s*-\s*(-?\d+)\s*$", 1).try_cast("bigint")).otherwise(first)
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    Null for a spec that ``ranges_error`` refuses.
+    """
+    numbers = lambda p: F.when(range_start(p) <= range_end(p), F.sequence(range_start(p), range_end(p))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(ranges_error(spec, most).isNull(), F.array_sort(F.array_distinct(F.flatten(F.transform(range_pieces(spec), numbers)))))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(pieces, numbers))))
+
+def range_pieces(spec: Column) -> Column:
+    return F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def range_start(piece: Column) -> Column:
+    return F.regexp_extract(piece, r"^(-?\d+)", 1).try_cast("bigint")
+
+
+def range_end(piece: Column) -> Column:
+    return F.coalesce(F.regexp_extract(piece, r"^-?\d+\s*-\s*(-?\d+)$", 1).try_cast("bigint"), range_start(piece))
+
+
+def ranges_error(spec: Column, most: int = 1_000_000, strict: bool = False) -> Column:
+    """What is wrong with a spec, null if nothing: pieces that are no range, and more than ``most`` numbers.
+
+    The strict form refuses blank pieces and signs as well.
+    """
+    pieces = F.split(spec, ",") if strict else range_pieces(spec)
+    shape = r"^\s*\d+(\s*-\s*\d+)?\s*$" if strict else r"^-?\d+(\s*-\s*-?\d+)?$"
+    wrong = F.filter(pieces, lambda p: ~p.rlike(shape) | range_start(F.trim(p)).isNull() | range_end(F.trim(p)).isNull())
+    count = F.aggregate(pieces, F.lit(0).cast("decimal(38,0)"), lambda n, p: n + F.greatest(F.lit(0).cast("decimal(38,0)"), range_end(F.trim(p)).cast("decimal(38,0)") - range_start(F.trim(p)) + 1).cast("decimal(38,0)"))
+    return F.when(F.size(wrong) > 0, F.concat(F.lit("no range: "), F.get(wrong, F.lit(0)))).when(count > most, F.lit("too many numbers"))
+
+
+def parse_page_spec(spec: Column, most: int = 1_000_000) -> Column:
+    """The strict form: numbers and ranges alone, else null."""
+    return F.when(ranges_error(spec, most, strict=True).isNull(), parse_ranges(spec, most))
 
 
 def padded(prefix: str, number: Column, suffix: str = "") -> Column:
@@ -84,3 +110,33 @@ def sniff_format(content: Column) -> Column:
     """The true format from the first bytes; unknown ones as their first four bytes in hex."""
     head = F.hex(F.substring(content, 1, 4))
     return F.when(head.startswith("FFD8"), "jpeg").when(head == "89504E47", "png").when(head.isin("49492A00", "4D4D002A"), "tiff").when(head == "25504446", "pdf").otherwise(F.lower(head))
+
+
+def failure_text(raw: Column, most: int = 300) -> Column:
+    """Bytes as UTF-8, wrong ones replaced, trimmed and cut to ``most`` characters."""
+    return F.left(F.trim(F.make_valid_utf8(raw.cast("string"))), F.lit(most))
+
+
+def title_or_stem(title: Column, path: Column) -> Column:
+    """The title, or the output's name without extension where it is null or blank."""
+    return F.coalesce(F.when(F.trim(title) != "", title), stem(base_name(path)))
+
+
+def summary(*parts: Column) -> Column:
+    """Parts of a job's summary that are there, with dots between."""
+    return F.concat_ws(" · ", *parts)
+
+
+def text_line(text: Column, size: Column, stretch: Column, x: Column, y: Column, font: str = "/SPF") -> Column:
+    """The operators that place one invisible line: font and size, scaling, matrix, and UTF-16BE code units."""
+    return F.format_string(f"{font} %.2f Tf %.1f Tz 1 0 0 1 %.2f %.2f Tm <%s> Tj", size, stretch, x, y, F.hex(F.encode(text, "UTF-16BE")))
+
+
+def unicode_map(block: int = 100) -> str:
+    """A character map in which every code stands for itself: 256 ranges of one high byte, at most ``block`` in a block."""
+    ranges = [f"<{high:02X}00> <{high:02X}FF> <{high:02X}00>" for high in range(256)]
+    blocks = [ranges[i : i + block] for i in range(0, 256, block)]
+    #: What a map of this kind must say before and after its ranges.
+    before = ["/CIDInit /ProcSet findresource begin", "12 dict begin", "begincmap", "/CMapName /Identity-UTF16 def", "/CMapType 2 def", "1 begincodespacerange", "<0000> <FFFF>", "endcodespacerange"]
+    after = ["endcmap", "CMapName currentdict /CMap defineresource pop", "end", "end"]
+    return "\n".join([*before, *(line for b in blocks for line in (f"{len(b)} beginbfrange", *b, "endbfrange")), *after, ""])

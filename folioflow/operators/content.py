@@ -43,6 +43,13 @@ def placement(operators: DataFrame, page: str, pos: str, op: str, matrix: str) -
     return folded.select(page, F.aggregate("ops", start, step, lambda s: s["found"]).alias("ctm")).where("ctm is not null")
 
 
+def carried_text(operators: DataFrame, page: str, pos: str, op: str, line: Column) -> DataFrame:
+    """Per page the operators from BT to ET, both included, as a stream of their own; pages without text give no row."""
+    kept = text_islands(operators.withColumn("__line", line), page, pos, op).where("inside")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("__line").alias("t"))))
+    return kept.groupBy(page).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
+
+
 def reading_order(boxes: DataFrame, page: str, x: str, y: str, tie: str, gap: float = 0.02) -> DataFrame:
     """Adds band and ord: top to bottom in bands that a vertical gap of more than ``gap`` separates, left to right inside."""
     down = Window.partitionBy(page).orderBy(F.desc(y), tie)

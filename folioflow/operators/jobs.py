@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators.scans import running
+
 #: How far a page stage, the encoding stage and the assembly bring a job.
 BINARIZE, OTHER_PAGES, ENCODE_FROM, ENCODE, ASSEMBLE = 0.72, 0.85, 0.74, 0.19, 0.93
 
@@ -38,9 +40,18 @@ def latest(decoded: DataFrame) -> DataFrame:
     return rows.select("job", "lines", "finished", F.col("top.seq").alias("seq"), F.col("top.progress").alias("progress"), F.col("top.kind").alias("kind"), F.coalesce("top.stage", F.lit("")).alias("stage"))
 
 
-def admit(jobs: DataFrame, order: str, free: int) -> DataFrame:
-    """The next ``free`` waiting jobs in order."""
-    return jobs.where(F.col("state") == "waiting").orderBy(order).limit(free)
+def queue_counts(jobs: DataFrame, group: str) -> DataFrame:
+    """Per group how many jobs wait, run, and are active, that is either."""
+    waiting, going = F.col("state") == "waiting", F.col("state") == "running"
+    return jobs.groupBy(group).agg(F.count_if(waiting).alias("waiting"), F.count_if(going).alias("running"), F.count_if(waiting | going).alias("active"))
+
+
+def admit(jobs: DataFrame, order: str, concurrency: int) -> DataFrame:
+    """The waiting jobs that may start now: first come first served, as many as running ones leave of ``concurrency``."""
+    going = jobs.where(F.col("state") == "running").agg(F.count("*").alias("__going"))
+    first = jobs.where(F.col("state") == "waiting").orderBy(order).limit(concurrency)  # bounded by the setting
+    placed = first.withColumn("__rank", F.row_number().over(Window.orderBy(order)))
+    return placed.join(F.broadcast(going), placed["__rank"] <= concurrency - going["__going"]).select(*jobs.columns)
 
 
 def new_jobs(requests: DataFrame, active: DataFrame, key: str) -> DataFrame:
@@ -49,9 +60,32 @@ def new_jobs(requests: DataFrame, active: DataFrame, key: str) -> DataFrame:
 
 
 def log_tail(lines: DataFrame, limit: int = 40000, keep: int = 30000) -> DataFrame:
-    """Per job its log, cut to the last ``keep`` characters whenever it outgrows ``limit``; lines in order of seq."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "line")))
-    grown = lambda acc, x: F.concat(acc, x["line"], F.lit("\n"))
-    fold = F.aggregate(F.col("lines"), F.lit(""), lambda acc, x: F.when(F.length(grown(acc, x)) > limit, F.right(grown(acc, x), F.lit(keep))).otherwise(grown(acc, x)))
-    # No line before the last ``limit`` of a job can be in its log, as every line adds a character at least.
-    return lines.groupBy("job").agg(ordered.alias("lines")).select("job", fold.alias("log"))
+    """Per job its log, cut to the last ``keep`` characters whenever it outgrows ``limit``; lines in order of seq.
+
+    What is left depends on line lengths alone: they are folded first, and only the lines that reach into the log, at most
+    ``limit`` characters, are put together. Lines of equal seq are taken by their text.
+    """
+    sized = lines.select("job", "seq", "line", (F.length("line") + 1).cast("bigint").alias("n"))
+    placed = running(sized, ["job"], "seq", ties=("line",), upto=("sum", F.col("n")))
+    lengths = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line_rank", "n"))), lambda x: x["n"])
+    ranked = placed.withColumn("line_rank", F.col("upto"))
+    left = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda have, n: F.when(have + n > limit, F.lit(keep).cast("bigint")).otherwise(have + n))
+    totals = ranked.groupBy("job").agg(F.max("upto").alias("total"), lengths.alias("lengths")).select("job", "total", left.alias("left"))
+    near = ranked.join(totals, "job").where(F.col("upto") > F.col("total") - F.col("left"))
+    tail = near.groupBy("job", "left").agg(F.array_sort(F.collect_list(F.struct("upto", "line"))).alias("t"))
+    whole = F.array_join(F.transform("t", lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return tail.select("job", F.right(whole, F.col("left").cast("int")).alias("log"))
+
+
+def framed_lines(chunks: DataFrame, job: str, seq: str, text: str) -> DataFrame:
+    """Lines of byte streams that arrive in chunks: job, line_no (from 0), line and whole (false for one not ended yet).
+
+    A line may reach over any number of chunks; it is put together from its pieces alone, so no job's stream is one row.
+    """
+    cut = chunks.select(F.col(job).alias("job"), F.col(seq).alias("seq"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("parts"))
+    placed = running(cut, ["job"], "seq", before=("sum_before", (F.size("parts") - 1).cast("bigint")))
+    each = placed.select("job", "seq", "before", F.size("parts").alias("k"), F.posexplode("parts").alias("i", "part"))
+    pieces = each.select("job", (F.col("before") + F.col("i")).alias("line_no"), "seq", "part", (F.col("i") < F.col("k") - 1).alias("ended"))
+    whole = pieces.groupBy("job", "line_no").agg(F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("p"), F.bool_or("ended").alias("whole"))
+    line = F.array_join(F.transform("p", lambda x: x["part"]), "")
+    return whole.select("job", "line_no", line.alias("line"), "whole").where(F.col("whole") | (F.col("line") != ""))

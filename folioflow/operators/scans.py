@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, group: list[str], order: str, width: int = 65536, **values: tuple[str, Column]) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: str, width: int = 65536, ties: tuple[str, ...] = (), **values: tuple[str, Column]) -> DataFrame:
     """Adds running sums or maxima within each group in the order of a numeric column.
 
     ``values`` maps a new column's name to ('sum', 'max', 'sum_before' or 'max_before', expression); the latter two leave
     out the row itself. Groups are cut into slices of ``width`` order values: rows are scanned slice by slice, slice totals
-    are scanned per group, and both are combined, so that a group is never one task's work, however large. Ties in
-    ``order`` are scanned in an arbitrary order. A sum before the first row is 0, a maximum null.
+    are scanned per group, and both are combined, so that a group is never one task's work, however large; ``width`` should
+    be some ten thousand rows' span of the column. Rows of equal ``order`` are scanned by the columns ``ties``, and in an
+    arbitrary order where these are equal too. A sum before the first row is 0, a maximum null.
     """
     fold = {"sum": F.sum, "max": F.max}
     kinds = {name: kind.removesuffix("_before") for name, (kind, _) in values.items()}
@@ -25,7 +26,7 @@ def running(df: DataFrame, group: list[str], order: str, width: int = 65536, **v
     carried = totals.select(*group, "__slice", *(fold[kind](f"__{name}").over(before).alias(f"__before_{name}") for name, kind in kinds.items()))
     scanned = sliced
     for name, kind in kinds.items():
-        inside = Window.partitionBy(*group, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, ends[name])
+        inside = Window.partitionBy(*group, "__slice").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, ends[name])
         scanned = scanned.withColumn(f"__{name}", fold[kind](f"__{name}").over(inside))
     same = [scanned[c].eqNullSafe(carried[c]) for c in [*group, "__slice"]]
     joined = scanned.join(carried, same, "left")
@@ -37,6 +38,6 @@ def running(df: DataFrame, group: list[str], order: str, width: int = 65536, **v
     return joined.select(*out)
 
 
-def ordinals(df: DataFrame, group: list[str], order: str, name: str = "ord", width: int = 65536) -> DataFrame:
-    """Adds the 1-based position of each row in its group."""
-    return running(df, group, order, width, **{name: ("sum", F.lit(1).cast("bigint"))})
+def ordinals(df: DataFrame, group: list[str], order: str, name: str = "ord", width: int = 65536, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the 1-based position of each row in its group, rows of equal order by ``ties``."""
+    return running(df, group, order, width, ties, **{name: ("sum", F.lit(1).cast("bigint"))})

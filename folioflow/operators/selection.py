@@ -7,28 +7,38 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import last_number, stem
 from folioflow.operators.scans import ordinals
+from folioflow.plans.scratch import stored
 
 
 def number_pages(names: DataFrame, group: str, name: str) -> DataFrame:
     """Adds numbered and page_no: the last digits of a stem, or positions by name where any is missing or repeated.
 
-    Positions are only worked out for groups that need them.
+    Positions are only worked out for groups that need them, by ranges of names that follow the rows: every range counts
+    its names, ranges' counts are added up, and no task ranks a whole group.
     """
     found = names.withColumn("__number", last_number(stem(F.col(name))))
     counts = found.groupBy(group, "__number").agg(F.count("*").alias("n"))
     kinds = counts.groupBy(group).agg((F.bool_and(F.col("__number").isNotNull()) & (F.max("n") == 1)).alias("numbered"))
     marked = found.join(kinds, group)
-    position = F.row_number().over(Window.partitionBy(group).orderBy(name))
     good = marked.where("numbered").withColumn("page_no", F.col("__number"))
-    rest = marked.where("not numbered").withColumn("page_no", position.cast("bigint"))
-    return good.unionByName(rest).drop("__number")
+    ranged = marked.where("not numbered").repartitionByRange(group, name).withColumn("__range", F.spark_partition_id())
+    within = Window.partitionBy(group, "__range").orderBy(name)
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # Ranges are cut by a sample, so they are stored before two branches read them.
+    placed = stored(ranged, "ranges").withColumn("__within", F.row_number().over(within))
+    bases = placed.groupBy(group, "__range").agg(F.max("__within").alias("__n")).select(group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    rest = placed.join(bases, [group, "__range"]).withColumn("page_no", (F.col("__base") + F.col("__within")).cast("bigint"))
+    return good.unionByName(rest.select(*good.columns)).drop("__number")
 
 
-def select_pages(pages: DataFrame, number: str, include: DataFrame | None = None, exclude: DataFrame | None = None, span: tuple[int, int] | None = None) -> DataFrame:
-    """Pages in the included set and the inclusive span, but not in the excluded set; sets have one number column each."""
+def select_pages(pages: DataFrame, number: str, include: DataFrame | None = None, exclude: DataFrame | None = None, span: tuple[int, int | None] | None = None) -> DataFrame:
+    """Pages in the included set and the inclusive span (None: no end), but not in the excluded set.
+
+    Sets have one number column each. ``plans.stages.require_rows`` makes an empty result an error.
+    """
     kept = pages
     if span:
-        kept = kept.where(F.col(number).between(*span))
+        kept = kept.where((F.col(number) >= span[0]) & (F.col(number) <= span[1] if span[1] is not None else F.lit(True)))
     if include is not None:
         kept = kept.join(include.select(F.col(include.columns[0]).alias(number)).distinct(), number, "left_semi")
     if exclude is not None:

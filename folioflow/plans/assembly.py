@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators.scans import ordinals, running
@@ -58,6 +58,34 @@ def replace_if_smaller(size: Column, made: Column) -> Column:
     return F.when(made < size, made).otherwise(size)
 
 
+def replaced(images: DataFrame, made: DataFrame, keys: list[str], size: str, new_size: str) -> DataFrame:
+    """All images with kept, the new size where a result exists and is strictly smaller, and is_new: a left join."""
+    new = made.select(*keys, F.col(new_size).alias("__new"))
+    joined = images.join(new, keys, "left")
+    smaller = F.coalesce(F.col("__new") < F.col(size), F.lit(False))
+    return joined.withColumn("kept", F.when(smaller, F.col("__new")).otherwise(F.col(size))).withColumn("is_new", smaller).drop("__new")
+
+
+def remade(pages: DataFrame, made: DataFrame, key: str, value: str) -> DataFrame:
+    """All pages with their remade value, the original one where there is none: a left join."""
+    new = made.select(key, F.col(value).alias("__new"))
+    return pages.join(new, key, "left").withColumn(value, F.coalesce("__new", value)).drop("__new")
+
+
+def draw_order(layers: DataFrame, page: str, name: str, background: str) -> DataFrame:
+    """Adds ord: the background first, then by name; a page's layers are few."""
+    turn = Window.partitionBy(page).orderBy((F.col(name) != background).cast("int"), name)
+    return layers.withColumn("ord", F.row_number().over(turn).cast("bigint"))
+
+
+def swapped(rows: DataFrame, group: str, order: str, at: Column) -> DataFrame:
+    """The order after a user swaps the row at position ``at`` with the next one; a swap beyond the end changes nothing."""
+    n = rows.groupBy(group).agg(F.max(order).alias("__n"))
+    real = (at >= 1) & (at < F.col("__n"))
+    new = F.when(real & (F.col(order) == at), F.col(order) + 1).when(real & (F.col(order) == at + 1), F.col(order) - 1).otherwise(F.col(order))
+    return rows.join(n, group).withColumn(order, new).drop("__n")
+
+
 def start_offsets(inputs: DataFrame, group: list[str], order: str, pages: str) -> DataFrame:
     """Adds start: the pages of all earlier inputs."""
     scanned = running(inputs, group, order, upto=("sum", F.col(pages).cast("bigint")))

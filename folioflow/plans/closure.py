@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.plans.scratch import shared_folder
+
 
 def closure(steps: DataFrame, start: str, end: str) -> DataFrame:
     """Distinct (start, end) pairs with a path of one or more steps; cycles reach themselves.
@@ -15,8 +16,7 @@ def closure(steps: DataFrame, start: str, end: str) -> DataFrame:
     Rounds go on until one adds no pair, so paths may have any length. Each round is written to the shared folder.
     """
     spark = steps.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    place = f"{shared.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
 
     def stored(pairs: DataFrame, number: int) -> DataFrame:
         pairs.write.parquet(f"{place}/{number}")

@@ -34,9 +34,9 @@ def vector_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, i, r, g, b: consecutive triples of the levels as 21 pixels."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(20)))
-    return vector_rasters(spark, sf_dir).select("vec_id", at.alias("i"), "gray").select("vec_id", "i", *(F.col("gray")[F.col("i") * 3 + k].alias(c) for k, c in enumerate("rgb")))
+    """vec_id, i, r, g, b: consecutive triples of the levels as 22 pixels, the last one going on at the first levels."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(21)))
+    return vector_rasters(spark, sf_dir).select("vec_id", at.alias("i"), "gray").select("vec_id", "i", *(F.col("gray")[(F.col("i") * 3 + k) % 64].alias(c) for k, c in enumerate("rgb")))
 
 
 def content_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,14 @@ def content_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("pos"), op.alias("op"), F.col("value"))
 
 
+def page_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, stream: conversation turns as content streams; three of four pages hold text, in two islands."""
+    turn = F.col("turn")
+    text = F.format_string("q %d 0 0 %d 5 -7 cm\n%% BT no text (\nBT\n/F%d 12 Tf\n(a\\(b (%s) c) Tj ET /Im%d Do Q\nBT [<00%02X> -12 (x)] TJ\nET", turn + 1, turn + 2, turn % 3, F.col("role"), turn, turn % 256)
+    stream = F.when(turn % 4 == 3, F.lit("q /Im1 Do Q")).otherwise(text)
+    return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + turn).alias("page"), "conv_id", "turn", "role", stream.alias("stream"))
+
+
 def as_progress_lines(events: DataFrame) -> DataFrame:
     """job, seq, line: events, streamed or not, as a job's progress protocol."""
     kind, seq = F.col("event_type"), F.col("event_id")

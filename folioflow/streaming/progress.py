@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators.jobs import decode, latest
 from folioflow.sources import views
+from folioflow.plans.scratch import shared_folder
 
 LINES = "job long, seq long, line string"
 
@@ -40,8 +40,7 @@ def run_latest(lines: DataFrame, table: str, checkpoint: str) -> DataFrame:
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest states by a stream over the events table as a progress protocol."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    place = f"{shared.rstrip('/')}/progress-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
     schema = views.read(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return run_latest(views.as_progress_lines(events), f"{place}/states", f"{place}/log")
