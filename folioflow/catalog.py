@@ -372,7 +372,7 @@ def format_scalars(spark, sf):
     key = F.col("p_partkey")
     size = (F.col("p_retailprice") * 1000).cast("bigint") * F.col("p_size") + key
     name = F.concat(F.lit(" "), F.translate("p_name", " ", "/"), F.lit(":v\\2 "))
-    return part.select("p_partkey", T.human_size(size).alias("human"), T.duration(key * 37 % 9000).alias("took"), T.safe_name(name).alias("safe"), T.with_suffix(F.concat(F.col("p_name"), F.lit(".pdf")), "_slim").alias("slim"), T.padded("p", key, ".png").alias("page"), T.percent_literal((F.col("p_size")).cast("string")).alias("pct"), F.concat_ws(" · ", "p_brand", F.when(F.col("p_size") > 25, F.col("p_type")), F.lit("x")).alias("summary"), F.upper(F.hex(F.encode("p_brand", "UTF-16BE"))).alias("utf16"))
+    return part.select("p_partkey", T.human_size(size).alias("human"), T.duration(key * 37 % 9000).alias("took"), T.safe_name(name).alias("safe"), T.with_suffix(F.concat(F.col("p_name"), F.lit(".pdf")), "_slim").alias("slim"), T.padded("p", key, ".png").alias("page"), T.percent_literal((F.col("p_size")).cast("string")).alias("pct"), T.summary(F.col("p_brand"), F.when(F.col("p_size") > 25, F.col("p_type")), F.lit("x")).alias("summary"), F.upper(F.hex(F.encode("p_brand", "UTF-16BE"))).alias("utf16"))
 
 
 @query
@@ -492,6 +492,22 @@ def layer_order(spark, sf):
     return assembly.swapped(layers.withColumn("moved", F.col("ord")), "vec_id", "moved", F.col("vec_id") % 5)
 
 
+@query
+def first_clashes(spark, sf):
+    """The first five outputs that would be written over."""
+    there = views.read(spark, sf, "labels").select(F.format_string("image%05d.jpg", F.col("doc_id")).alias("fname"))
+    return stages.first_clashes(views.document_pages(spark, sf), there, "fname")
+
+
+@query
+def masked_hues(spark, sf):
+    """Hue histograms of the pixels that a mask lets through, and the state that a later run reads back."""
+    pixels = views.vector_pixels(spark, sf).withColumn("mask", F.col("r") + F.col("i") * 3)
+    found = colour.ink_colours(colour.hue_histogram(pixels, "vec_id", "mask"), "vec_id")
+    back = colour.colours_from_json(colour.colours_as_json(found, "vec_id"), "vec_id")
+    return found.select("vec_id", "slot", "peak", "n").join(back, ["vec_id", "slot"]).select("vec_id", "slot", "peak", "n", *(F.round(c, 8).alias(c) for c in "rgb"))
+
+
 @query
 def existing_outputs(spark, sf):
     """Outputs of chosen jobs that exist."""

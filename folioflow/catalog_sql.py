@@ -175,3 +175,5 @@ ORACLES["stream_progress"] = ORACLES["job_latest"]
 
 ORACLES["bilevel_selection"] = f"SELECT doc, saving FROM ({ORACLES['pdf_health']}) WHERE saving IS NOT NULL"
 ORACLES["page_colours"] = f"SELECT t.vec_id, e.label, count(*) AS colours, max(t.n) AS largest FROM ({ORACLES['top3_hues']}) t JOIN embeddings e USING (vec_id) GROUP BY t.vec_id, e.label"
+ORACLES["first_clashes"] = "SELECT printf('image%05d.jpg', doc_id) AS fname FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) ORDER BY fname LIMIT 5"
+ORACLES["masked_hues"] = ORACLES["top3_hues"].replace("rasters, range(22) t(i))", "rasters, range(22) t(i) WHERE gray[3 * i % 64 + 1] + i * 3 > 128)")

@@ -39,6 +39,13 @@ class Options:
             raise ValueError("a width under 200 is none, and 0 keeps the scan's own")
         return Options(**{f.name: getattr(self, f.name) for f in fields(self)} | {"width": width, "threshold": threshold.rstrip("%") + "%"})
 
+    @classmethod
+    def saved(cls, values: dict) -> Options:
+        """Saved values over today's defaults: unknown names are left out, nulls and values of another type are defaults."""
+        known = {f.name: f.default for f in fields(cls)}
+        kept = {k: v for k, v in values.items() if k in known and v is not None and (known[k] is None or isinstance(v, type(known[k])))}
+        return cls(**kept)
+
     def arguments(self) -> list[str]:
         """Only what differs from the defaults, in the order of the fields."""
         out = []
@@ -65,3 +72,8 @@ def job_threads(cores: int, jobs: int) -> int:
 def usable_languages(wanted: list[str], supported: list[str], default: str) -> list[str]:
     """Wanted languages that are supported, in their order; the default if there are none."""
     return [x for x in wanted if x in supported] or [default]
+
+
+def migrated(value: str | None, legacy: tuple[str, ...], default: str) -> str:
+    """A saved value, or today's default where nothing was saved or it was the default of an earlier version."""
+    return default if value is None or value in legacy else value

@@ -13,8 +13,12 @@ from folioflow.functions.geometry import hue_bin, hue_lightness_saturation
 BINS, SATURATED, CORE, SLOTS, SPAN, SHARE = 36, 0.15, 0.55, 3, 4, 0.08
 
 
-def hue_histogram(pixels: DataFrame, page: str) -> DataFrame:
-    """Per page and hue bin: pixels, stroke-core pixels, and the cores' channel sums; grey pixels are left out."""
+def hue_histogram(pixels: DataFrame, page: str, mask: str | None = None) -> DataFrame:
+    """Per page and hue bin: pixels, stroke-core pixels, and the cores' channel sums; grey pixels are left out.
+
+    With a mask column only its pixels over 128 count.
+    """
+    pixels = pixels if mask is None else pixels.where(F.col(mask) > 128)
     hls = hue_lightness_saturation(*(F.col(c) / F.lit(255.0) for c in "rgb"))
     seen = pixels.withColumn("hls", hls).where(F.col("hls.saturation") >= SATURATED)
     core = F.col("hls.lightness") < CORE
@@ -80,3 +84,16 @@ def hue_runs(histogram: DataFrame, page: str) -> DataFrame:
     island = F.col("bin") - F.row_number().over(Window.partitionBy(page).orderBy("bin"))
     runs = histogram.withColumn("island", island).groupBy(page, "island").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.sum("n").alias("n"))
     return runs.select(page, "first", "last", "n", (F.col("first") * 100 / F.lit(float(BINS))).alias("lo"), ((F.col("last") + 1) * 100 / F.lit(float(BINS))).alias("hi"))
+
+
+def colours_as_json(colours: DataFrame, page: str) -> DataFrame:
+    """One JSON object a page, from its number to its colours in the order of slots: a stage's state that a later run reads."""
+    rgb = F.array_sort(F.collect_list(F.struct("slot", F.array("r", "g", "b").alias("rgb"))))
+    return colours.groupBy(page).agg(F.transform(rgb, lambda x: x["rgb"]).alias("c")).select(F.to_json(F.create_map(F.col(page).cast("string"), F.col("c"))).alias("value"))
+
+
+def colours_from_json(lines: DataFrame, page: str) -> DataFrame:
+    """The state read back: page, slot, r, g, b; lines that are no such object are left out."""
+    read = lines.select(F.from_json("value", "map<string,array<array<double>>>").alias("m")).where("m is not null")
+    each = read.select(F.explode("m").alias("key", "c")).select(F.col("key").try_cast("bigint").alias(page), F.posexplode("c").alias("slot", "rgb"))
+    return each.where(f"{page} is not null").select(page, "slot", *(F.get("rgb", F.lit(i)).alias(c) for i, c in enumerate("rgb")))

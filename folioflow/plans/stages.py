@@ -31,6 +31,11 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(checked.select("__one")), "__one", "left_semi").drop("__one")
 
 
+def first_clashes(wanted: DataFrame, there: DataFrame, name: str, most: int = 5) -> DataFrame:
+    """The first names, by name, that would be written over: an example for a question, not all of them."""
+    return wanted.select(name).distinct().join(there.select(name).distinct(), name, "left_semi").orderBy(name).limit(most)
+
+
 def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import base_name, is_page_image, sniff_format
+from folioflow.functions.text import IMAGE_EXTENSIONS, base_name, is_page_image, sniff_format, stem, trailing_number
 from folioflow.operators.selection import number_pages
 
 
@@ -20,14 +24,27 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_documents(spark: SparkSession, inputs: list[str]) -> DataFrame:
-    """PDFs of the inputs in order, folders one level deep by name, each path once: arg, path, name, length."""
-    found = None
-    for i, path in enumerate(inputs):
-        where = path if path.lower().endswith(".pdf") else f"{path}/*"
-        files = spark.read.format("binaryFile").load(where).select(F.lit(i).alias("arg"), "path", "length")
-        found = files if found is None else found.unionByName(files)
-    named = found.withColumn("name", base_name(F.col("path"))).where(F.lower("name").endswith(".pdf") & ~F.col("name").startswith("."))
-    return named.groupBy("path", "name", "length").agg(F.min("arg").alias("arg")).orderBy("arg", "name")
+    """PDFs of the inputs in order, folders one level deep by name, each path once: arg, path, name, length.
+
+    All inputs are one read. An input that is named as another kind of file is refused, as is one that is not there.
+    """
+    for one in inputs:
+        if re.search(r"\.(?!pdf$)[a-z0-9]{1,5}$", one.rsplit("/", 1)[-1], re.I):
+            raise ValueError(f"not a PDF: {one}")
+    files = spark.read.format("binaryFile").load([x if x.lower().endswith(".pdf") else f"{x.rstrip('/')}/*" for x in inputs]).select("path", "length")
+    plain = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?(?=/)", "")
+    folder = F.regexp_replace(plain, r"/[^/]*$", "")
+    turns = [F.when((plain == bare) | (folder == bare), i) for i, x in enumerate(inputs) if (bare := re.sub(r"^[a-z]+:(//[^/]*)?(?=/)", "", x.rstrip("/"))) is not None]
+    named = files.withColumn("name", base_name(F.col("path"))).where(F.lower("name").endswith(".pdf") & ~F.col("name").startswith("."))
+    return named.withColumn("arg", F.coalesce(*turns)).groupBy("path", "name", "length").agg(F.min("arg").alias("arg")).orderBy("arg", "name")
+
+
+def adopt(spark: SparkSession, picks: list[str]) -> tuple[str, DataFrame]:
+    """The folder of a folder or of some picked images, and the picked images' names and numbers (none: the whole folder)."""
+    images = [x for x in picks if re.search(rf"\.({'|'.join(IMAGE_EXTENSIONS)})$", x, re.I)]
+    folder = picks[0].rstrip("/") if not images else images[0].rsplit("/", 1)[0]
+    names = spark.createDataFrame([(x.rsplit("/", 1)[1],) for x in images], "name string")
+    return folder, names.withColumn("number", trailing_number(stem(F.col("name"))))
 
 
 def folder_size(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,9 +59,18 @@ def formats(files: DataFrame) -> DataFrame:
 
 
 def size_in_head(raw: bytes) -> tuple[int | None, int | None]:
-    """Width and height that the first bytes of a PNG or JPEG give, else nulls."""
+    """Width and height that the first bytes of a PNG, JPEG or TIFF give, else nulls."""
     if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
         return struct.unpack(">II", raw[16:24])
+    if raw[:4] in (b"II*\0", b"MM\0*") and len(raw) >= 8:
+        order = "<" if raw[:2] == b"II" else ">"
+        at, found = struct.unpack_from(order + "I", raw, 4)[0], {}
+        for k in range(struct.unpack_from(order + "H", raw, at)[0] if at + 2 <= len(raw) else 0):
+            if at + 14 + 12 * k > len(raw):
+                break
+            tag, kind, _ = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * k)
+            found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), raw, at + 10 + 12 * k)[0]
+        return found.get(256), found.get(257)
     at = 2
     while raw[:2] == b"\xff\xd8" and at + 9 <= len(raw) and raw[at] == 0xFF:
         marker, length = raw[at + 1], struct.unpack(">H", raw[at + 2 : at + 4])[0]
@@ -54,6 +80,64 @@ def size_in_head(raw: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
+def png_pixels(raw: bytes) -> np.ndarray:
+    """(h, w, 3) colours of a PNG of 8 bits a channel without interlacing."""
+    at, body, palette = 8, [], None
+    while at < len(raw):
+        size, kind = struct.unpack(">I4s", raw[at : at + 8])
+        data = raw[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", data)
+            if depth != 8 or interlace:
+                raise ValueError("only 8 bits a channel without interlacing")
+        elif kind == b"PLTE":
+            palette = np.frombuffer(data, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            body.append(data)
+        at += 12 + size
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
+    out = np.zeros((h + 1, w + 1, n), dtype=np.int32)  # a row above and a pixel before, of zeros
+    for y in range(h):
+        kind, line, above = int(lines[y, 0]), lines[y, 1:].reshape(w, n).astype(np.int32), out[y]
+        mine = out[y + 1]
+        if kind in (0, 2):
+            mine[1:] = (line + (above[1:] if kind == 2 else 0)) & 255
+        elif kind == 1:
+            mine[1:] = np.cumsum(line, axis=0) & 255
+        else:
+            for x in range(1, w + 1):  # each pixel needs the one before
+                a, b, c = mine[x - 1], above[x], above[x - 1]
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+                mine[x] = (line[x - 1] + guess) & 255
+    pixels = out[1:, 1:]
+    if colour == 3:
+        return palette[pixels[..., 0]].astype(np.int32)
+    return np.repeat(pixels[..., :1], 3, axis=2) if n < 3 else pixels[..., :3]
+
+
+def image_pixels(files: DataFrame) -> DataFrame:
+    """path, width, height and the channels r, g, b of PNG files (path, content), row by row; one file is one row.
+
+    Files of other formats have nulls.
+    """
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, raw in zip(part["path"], part["content"]):
+                row = {"path": path, "width": None, "height": None, "r": None, "g": None, "b": None}
+                if raw is not None and bytes(raw[:8]) == b"\x89PNG\r\n\x1a\n":
+                    found = png_pixels(bytes(raw))
+                    row |= {"height": found.shape[0], "width": found.shape[1]} | {c: found[..., k].ravel() for k, c in enumerate("rgb")}
+                yield pd.DataFrame([row])
+
+    return files.select("path", "content").mapInPandas(decode, "path string, width int, height int, r array<int>, g array<int>, b array<int>")
+
+
 def image_sizes(files: DataFrame, head_bytes: int = 65536) -> DataFrame:
     """path, width and height from the head of each file's content."""
 

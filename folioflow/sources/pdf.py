@@ -5,7 +5,7 @@ Files are rows of binaryFile, so one file is one row; contents never leave the e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OBJECT = r"(?s)(\d+) (\d+) obj\s*<<(?:(?!endobj).)*?/Subtype\s*/Image(?:(?!endobj).)*?(?:stream|endobj)"
@@ -42,3 +42,27 @@ def page_counts(files: DataFrame) -> DataFrame:
     good = text.startswith("%PDF")
     pages = F.size(F.regexp_extract_all(text, F.lit(r"/Type\s*/Page\b(?!s)"), F.lit(0))).cast("bigint")
     return files.select("path", F.when(good, pages).alias("pages"), F.when(good, text.rlike(r"/Font\b")).alias("has_font"), F.when(~good, F.lit("not a PDF")).alias("error"))
+
+
+def page_rows(files: DataFrame, deepest: int = 64) -> DataFrame:
+    """A row per page in document order: path, page_no (from 1), num of the page's object, its own media box or null.
+
+    The page tree is followed from its root, level by level; files without a tree have no rows.
+    """
+    text = F.decode("content", "ISO-8859-1")
+    objects = files.select("path", F.explode(F.regexp_extract_all(text, F.lit(r"(?s)(\d+ \d+ obj\b(?:(?!endobj).)*)"), F.lit(1))).alias("o"))
+    kids = F.regexp_extract_all(F.regexp_extract("o", r"(?s)/Kids\s*\[([^\]]*)\]", 1), F.lit(r"(\d+)\s+\d+\s+R"), F.lit(1))
+    box = F.regexp_extract("o", r"/MediaBox\s*\[([^\]]*)\]", 1)
+    nodes = objects.select("path", F.regexp_extract("o", r"^(\d+)", 1).cast("int").alias("num"), F.col("o").rlike(r"/Type\s*/Page\b(?!s)").alias("leaf"), F.col("o").rlike(r"/Type\s*/Pages\b").alias("inner"), F.col("o").rlike(r"/Parent\b").alias("below"), kids.alias("kids"), F.when(box != "", F.trim(box)).alias("box"))
+    tree = nodes.where("leaf or inner").cache()
+    level = tree.where("inner and not below").select("path", "num", F.array().cast("array<int>").alias("place"))
+    pages = None
+    for _ in range(deepest):
+        here = level.join(tree, ["path", "num"])
+        found = here.where("leaf").select("path", "num", "place", "box")
+        pages = found if pages is None else pages.unionByName(found)
+        level = here.where("inner").select("path", "place", F.posexplode("kids").alias("at", "kid")).select("path", F.col("kid").cast("int").alias("num"), F.concat("place", F.array("at")).alias("place"))
+        if not level.limit(1).count():
+            break
+    turn = F.row_number().over(Window.partitionBy("path").orderBy("place"))  # one file's pages
+    return pages.select("path", turn.cast("bigint").alias("page_no"), "num", "box")

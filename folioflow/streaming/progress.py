@@ -38,6 +38,16 @@ def run_latest(lines: DataFrame, table: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(states.schema).parquet(f"{table}/{last[0]}") if last else spark.createDataFrame([], states.schema)
 
 
+def follow_probes(lines: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """Probe results as they come: rows of JSON lines tagged @@J are appended to a table that can be read meanwhile."""
+    spark = lines.sparkSession
+    probe = F.from_json(F.substring_index("line", "@@J", -1), "path string, size bigint, ratio double")
+    rows = lines.where(F.col("line").startswith("@@J")).select("job", "seq", probe.alias("p")).where("p.path is not null").select("job", "seq", "p.path", "p.size", "p.ratio")
+    query = rows.writeStream.format("parquet").outputMode("append").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(table)
+
+
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest states by a stream over the events table as a progress protocol."""
     place = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import os
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions.options import Options, migrated
+
 from folioflow.functions import geometry as G
 from folioflow.functions import text as T
-from folioflow.operators import content, jobs, raster, selection
+from folioflow.operators import colour, content, jobs, raster, selection
 from folioflow.operators.scans import ordinals
 from folioflow.plans import assembly, stages
-from folioflow.sources import streams
+from folioflow.sources import files, pdf, streams
+from folioflow.streaming import progress
 
 
 def brute_resize(a, height, width):
@@ -210,3 +215,76 @@ def test_results_replace_streams_and_pages(spark):
     got = {r["obj"]: (r["kept"], r["is_new"]) for r in assembly.replaced(images, made, ["obj"], "raw", "made").collect()}
     assert got == {1: (60, True), 2: (100, False), 3: (100, False), 4: (None, False)}
     assert sorted((r["obj"], r["raw"]) for r in assembly.remade(images, made.withColumnRenamed("made", "raw"), "obj", "raw").collect())[:3] == [(1, 60), (2, 100), (3, 100)]
+
+
+def png(pixels, kinds, colour=2, palette=None):
+    """A PNG whose lines are filtered by the given kinds."""
+    h, w, n = pixels.shape
+    flat, out = np.zeros((h + 1, w + 1, n), int), b""
+    flat[1:, 1:] = pixels
+    for y in range(h):
+        a, b, c = flat[y + 1, :-1], flat[y, 1:], flat[y, :-1]
+        p = a + b - c
+        near = np.where((abs(p - a) <= abs(p - b)) & (abs(p - a) <= abs(p - c)), a, np.where(abs(p - b) <= abs(p - c), b, c))
+        guess = [0, a, b, (a + b) // 2, near][kinds[y]]
+        out += bytes([kinds[y]]) + ((pixels[y] - guess) & 255).astype(np.uint8).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0))
+    return b"\x89PNG\r\n\x1a\n" + head + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def test_pixels_of_png_files(spark):
+    rng = np.random.default_rng(4)
+    rgb, grey, indices = rng.integers(0, 256, (7, 5, 3)), rng.integers(0, 256, (5, 6, 1)), rng.integers(0, 2, (2, 3, 1))
+    rows = [("a", bytearray(png(rgb, [0, 1, 2, 3, 4, 4, 3]))), ("b", bytearray(png(grey, [4, 3, 2, 1, 0], 0))), ("c", bytearray(png(indices, [0, 1], 3, bytes([9, 8, 7, 1, 2, 3])))), ("d", bytearray(b"GIF89a")), ("e", None)]
+    got = {r["path"]: r for r in files.image_pixels(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert [got["a"][c] for c in "rgb"] == [rgb[..., k].ravel().tolist() for k in range(3)] and (got["a"]["width"], got["a"]["height"]) == (5, 7)
+    assert got["b"]["r"] == got["b"]["b"] == grey.ravel().tolist() and got["c"]["g"] == [(8, 2)[i] for i in indices.ravel()]
+    assert got["d"]["r"] is None and got["e"]["width"] is None
+
+
+def test_tiff_heads():
+    for order, mark in (("<", b"II*\0"), (">", b"MM\0*")):
+        entry = lambda tag, kind, value: struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+        raw = mark + struct.pack(order + "I", 8) + struct.pack(order + "H", 3) + entry(254, 4, 0) + entry(256, 3, 1000) + entry(257, 4, 70000)
+        assert files.size_in_head(raw) == (1000, 70000) and files.size_in_head(raw[:20]) == (None, None) and files.size_in_head(mark) == (None, None)
+
+
+def test_pdf_pages_in_document_order(spark):
+    body = b"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj 2 0 obj <</Type/Pages /Kids [9 0 R 3 0 R 5 0 R] /Count 4>> endobj\n"
+    body += b"3 0 obj <</Type /Pages /Parent 2 0 R /Kids [8 0 R 7 0 R]>> endobj 5 0 obj <</Type /Page /Parent 2 0 R>> endobj 7 0 obj <</Type /Page /Parent 3 0 R /MediaBox [0 0 10 20]>> endobj 8 0 obj <</Type /Page /Parent 3 0 R>> endobj 9 0 obj <</Type /Page /Parent 2 0 R>> endobj"
+    df = spark.createDataFrame([("a", bytearray(body)), ("b", bytearray(b"no"))], "path string, content binary")
+    got = [(r["path"], r["page_no"], r["num"], r["box"]) for r in pdf.page_rows(df).orderBy("page_no").collect()]
+    assert got == [("a", 1, 9, None), ("a", 2, 8, None), ("a", 3, 7, "0 0 10 20"), ("a", 4, 5, None)]
+
+
+def test_inputs_that_are_refused_and_picked(spark, tmp_path):
+    for name in ("b.pdf", "x.txt", "img007.png"):
+        (tmp_path / name).write_bytes(b"%PDF")
+    for wrong in (f"{tmp_path}/x.txt", f"{tmp_path}/img007.PNG"):
+        with pytest.raises(ValueError, match="not a PDF"):
+            files.list_documents(spark, [f"{tmp_path}/b.pdf", wrong])
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        files.list_documents(spark, [f"{tmp_path}/absent"]).collect()
+    folder, names = files.adopt(spark, [f"{tmp_path}/img007.png", f"{tmp_path}/x.txt"])
+    assert folder == str(tmp_path) and [tuple(r) for r in names.collect()] == [("img007.png", 7)]
+    assert files.adopt(spark, [f"{tmp_path}/"])[0] == str(tmp_path) and files.adopt(spark, [str(tmp_path)])[1].count() == 0
+
+
+def test_saved_settings():
+    got = Options.saved({"mode": "gray", "quality": 60, "enhance": "yes", "gone": 1, "width": None, "supersample": 2})
+    assert (got.mode, got.quality, got.enhance, got.width, got.supersample) == ("gray", 60, False, None, 2)
+    assert migrated("en", ("en", "en,de"), "en,de,ko") == "en,de,ko" and migrated("fr", ("en",), "en,ko") == "fr" and migrated(None, (), "x") == "x"
+
+
+def test_colour_state_is_read_back(spark):
+    found = spark.createDataFrame([(3, 1, 4.5, 5.0, 6.0), (3, 0, 1.0, 2.0, 3.0), (9, 0, 0.0, 0.0, 0.0)], "page bigint, slot int, r double, g double, b double")
+    lines = colour.colours_as_json(found, "page").unionByName(spark.createDataFrame([("{bad",), ('{"x": [[1, 2, 3]]}',)], "value string"))
+    assert sorted(map(tuple, colour.colours_from_json(lines, "page").collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_probe_rows_are_appended(spark, tmp_path):
+    rows = [(1, i, f'@@J{{"path": "/a b/{i}.pdf", "size": {i}, "ratio": 0.5}}') for i in range(6)] + [(1, 90, "@@P x 1 2"), (1, 91, "@@J{bad")]
+    spark.createDataFrame(rows, "job long, seq long, line string").repartition(4).write.json(str(tmp_path / "lines"))
+    got = progress.follow_probes(progress.read_lines(spark, str(tmp_path / "lines"), 1), str(tmp_path / "out"), str(tmp_path / "log"))
+    assert sorted((r["seq"], r["path"], r["size"]) for r in got.collect()) == [(i, f"/a b/{i}.pdf", i) for i in range(6)]
