@@ -844,6 +844,15 @@ def test_near_duplicate_edges(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "2", "9", "9", "None"] and kept.columns == ["doc_id", "text", "kept"]
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    """Two long texts that differ in few words are linked, one that shares half of them is not."""
+    base = word_list(60_000, 31, 200_000)
+    edited = [f"e{i}" if i % 200 == 0 else w for i, w in enumerate(base)]
+    texts = [" ".join(base), " ".join(edited), " ".join(base[:30_000] + word_list(30_000, 32, 200_000)), " ".join(base)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in bbit_minhash.near_duplicates(corpus(spark, texts)).collect()}
+    assert got == brute_components(enumerate(texts)) and [got[i][1] for i in range(4)] == [0, 0, 2, 0]
+
+
 def test_estimates_are_unbiased():
     family, rng = bbit_minhash.Family(28, 4, 2), np.random.default_rng(0)
     errors = []
