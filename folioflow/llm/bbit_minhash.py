@@ -170,17 +170,23 @@ def is_star_forest(edges: DataFrame) -> bool:
     return counts.where("low > 1 or (low > 0 and high > 0)").limit(1).count() == 0
 
 
+def with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): every pair with the least of u and all v that u is paired with.
+
+    A node with very many pairs meets them in 64 deals; the least is carried there by one row a deal.
+    """
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(64)))
+    deals = dealt.groupBy("u", "deal").agg(F.min("v").alias("m"))
+    least = deals.groupBy("u").agg(F.least(F.min("m"), F.first("u")).alias("least"))
+    return dealt.join(deals.join(least, "u").select("u", "deal", F.col("least").alias("m")), ["u", "deal"]).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every linked node: the smallest node that it reaches; by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     while not is_star_forest(edges):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(64)))
-        # A node with very many neighbours meets them in 64 deals; least is carried there by one row a deal.
-        deals = both.groupBy("u", "deal").agg(F.min("v").alias("m"))
-        least = deals.join(deals.groupBy("u").agg(F.least(F.min("m"), F.first("u")).alias("least")), "u").select("u", "deal", F.col("least").alias("m"))
-        large = both.join(least, ["u", "deal"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", "m")).distinct()
+        large = with_least(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = with_least(large.where("u != v")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         edges = stored(small, "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
