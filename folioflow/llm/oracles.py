@@ -35,9 +35,22 @@ links AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m AS component_id, d.doc_id = m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)"""
 
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '{TERM}') AS w FROM documents),
+each AS (SELECT lang, source, row, unnest(w) AS term FROM d), terms AS (SELECT lang, term, count(*) AS total FROM each GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+seen AS (SELECT lang, source, term, count(*) AS c FROM each JOIN terms USING (lang, term) GROUP BY ALL), groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM terms GROUP BY lang), n AS (SELECT lang, source, sum(c) AS n FROM seen GROUP BY ALL),
+p AS (SELECT g.lang, g.source, terms.term, coalesce(c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 2) // (coalesce(n.n, 0) + 2 * v.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (total + 2) // (v.n + 2 * v.v) AS whole
+  FROM groups g JOIN terms USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN seen ON seen.lang = g.lang AND seen.source = g.source AND seen.term = terms.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - whole) * (p - whole) // (p + whole) AS value FROM p WHERE c > 0 AND p > whole)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pair UNION ALL FROM term) QUALIFY part = 'pair' OR rank <= 10"""
+
 ORACLES = {
     "op1_seekable_warc": WARC,
     "op4_prefix_filter_decontamination": CONTAMINATION,
     "op8_substring_dedup": PASSAGES,
     "op9_bbit_minhash": NEAR,
+    "op11_source_divergence": DIVERGENCE,
 }

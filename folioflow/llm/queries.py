@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.bbit_minhash import near_duplicates
+from folioflow.llm.boosted_rules import judge_documents
 from folioflow.llm.common import table
 from folioflow.llm.decontam import contamination_digest, find_contamination
+from folioflow.llm.divergence_audit import audit_sources
 from folioflow.llm.elias_fano import token_shards
 from folioflow.llm.gif_media import media_features, stored_media
 from folioflow.llm.html_paths import extract_main_text
 from folioflow.llm.oracles import ORACLES  # noqa: F401  the registered SQL
 from folioflow.llm.packing_lp import pack_documents
+from folioflow.llm.period_runs import find_periodic_runs, run_digest, with_repeated_tails
 from folioflow.llm.ppm_langid import identify_languages
 from folioflow.llm.substring_dedup import drop_repeated_passages
 from folioflow.llm.subword_quality import score_quality
@@ -70,6 +73,18 @@ def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(find_periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_tag_path_text": op2_tag_path_text,
@@ -81,4 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bbit_minhash": op9_bbit_minhash,
     "op10_subword_quality": op10_subword_quality,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_boosted_rules": op12_boosted_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }

@@ -201,3 +201,14 @@ def unpack_varint(data: bytes) -> np.ndarray:
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_varint(data))
+
+
+def word_numbers(words: Words, inside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for every word, equal for equal bytes and only for these, and the words in order of their numbers.
+
+    ``inside`` is the byte class that the words were found with: its bytes, one after the other, are the words.
+    """
+    length, data = words.end - words.start, words.buf[inside[words.buf]]
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
