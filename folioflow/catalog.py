@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
 from folioflow.functions import text as T
-from folioflow.operators import colour, content, health, jobs, raster, selection
+from folioflow.operators import colour, content, health, jobs, raster, selection, tiles
 from folioflow.operators.scans import ordinals
 from folioflow.plans import assembly, stages
 from folioflow.plans.closure import closure
@@ -549,6 +549,24 @@ def fine_structure(spark, sf):
     return vector_channels(spark, sf).select("vec_id", F.array_join(run("r", "g", "b"), ",").alias("ink"))
 
 
+@query
+def binarize_scan(spark, sf):
+    """Whole scans, tile by tile: shrunk from 500 to 400, levelled, sharpened, thresholded, margins whitened; sums a row."""
+    return tiles.row_sums(tiles.tiled(views.text_scans(spark, sf), "book", tiles.binarizing(400), tile=256), "book")
+
+
+@query
+def smooth_scan(spark, sf):
+    """A sheet of any height thresholded at four times its size, outlines smoothed, brought to 100 and three levels."""
+    return tiles.row_sums(tiles.tiled(views.vector_sheet(spark, sf), "sheet", tiles.smoothing(100), tile=64), "sheet")
+
+
+@query
+def fine_scan(spark, sf):
+    """Coloured ink of a sheet at twice its size, less its large areas."""
+    return tiles.row_sums(tiles.tiled(views.vector_sheet(spark, sf, 3), "sheet", [tiles.by_factor(2), *tiles.fine_structure()], tile=64, bands=3), "sheet")
+
+
 @query
 def page_scalars(spark, sf):
     """Sizes, margins, specs, titles and text lines of parts."""

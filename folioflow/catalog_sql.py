@@ -177,3 +177,62 @@ ORACLES["bilevel_selection"] = f"SELECT doc, saving FROM ({ORACLES['pdf_health']
 ORACLES["page_colours"] = f"SELECT t.vec_id, e.label, count(*) AS colours, max(t.n) AS largest FROM ({ORACLES['top3_hues']}) t JOIN embeddings e USING (vec_id) GROUP BY t.vec_id, e.label"
 ORACLES["first_clashes"] = "SELECT printf('image%05d.jpg', doc_id) AS fname FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) ORDER BY fname LIMIT 5"
 ORACLES["masked_hues"] = ORACLES["top3_hues"].replace("rasters, range(22) t(i))", "rasters, range(22) t(i) WHERE gray[3 * i % 64 + 1] + i * 3 > 128)")
+
+
+def _sharp(size: str) -> str:
+    """Levels and sharpening of a table px (page, h, w, y, x, g) as sharp; weights as in the operator."""
+    from folioflow.operators.tiles import gaussian
+
+    near = lambda k, axis: f"coalesce({'lag' if k < 0 else 'lead'}(g, {abs(k)}) OVER {axis}, {'low' if k < 0 else 'high'})" if k else "g"
+    sums = lambda axis: " + ".join(f"{w} * {near(k - 4, axis)}" for k, w in enumerate(gaussian()))
+    return f"""lev AS (SELECT page, h, w, y, x, CAST(least(255, greatest(0, (2 * (100 * g - 3825) + 73) // 146)) AS BIGINT) AS g FROM {size}),
+ends AS (SELECT *, g AS g0, arg_min(g, y) OVER (PARTITION BY page, x) AS low, arg_max(g, y) OVER (PARTITION BY page, x) AS high FROM lev),
+down AS (SELECT page, h, w, y, x, g0, {sums("a")} AS g FROM ends WINDOW a AS (PARTITION BY page, x ORDER BY y)),
+sides AS (SELECT *, arg_min(g, x) OVER (PARTITION BY page, y) AS low, arg_max(g, x) OVER (PARTITION BY page, y) AS high FROM down),
+mean AS (SELECT page, h, w, y, x, g0, {sums("a")} AS m FROM sides WINDOW a AS (PARTITION BY page, y ORDER BY x)),
+sharp AS MATERIALIZED (SELECT page, h, w, y, x, CASE WHEN abs(g0 * 4294967296 - m) * 100 > 255 * 4294967296 THEN least(255, greatest(0, (2 * (10 * g0 * 4294967296 + 12 * (g0 * 4294967296 - m)) + 10 * 4294967296) // (20 * 4294967296))) ELSE g0 END AS g FROM mean)"""
+
+
+def _shrunk(source: str, width: str, made_w: str, made_h: str, name: str) -> str:
+    """A table (page, h, w, y, x, g) by shares of covered cells, one axis after the other."""
+    return f"""{name}_x AS (SELECT page, h, w, y, o AS x, sum(g * (least((o + 1) * w, (x + 1) * {made_w}) - greatest(o * w, x * {made_w}))) AS s FROM (SELECT *, unnest(range(x * {made_w} // w, ((x + 1) * {made_w} - 1) // w + 1)) AS o FROM {source}) GROUP BY page, h, w, y, o),
+{name} AS (SELECT page, {made_h} AS h, {made_w} AS w, o AS y, x, CAST((2 * sum(s * (least((o + 1) * h, (y + 1) * {made_h}) - greatest(o * h, y * {made_h}))) + any_value(h * w)) // (2 * any_value(h * w)) AS BIGINT) AS g FROM (SELECT *, unnest(range(y * {made_h} // h, ((y + 1) * {made_h} - 1) // h + 1)) AS o FROM {name}_x) GROUP BY page, h, w, o, x)"""
+
+
+def _grown(source: str, factor: int, name: str, value: str = "g") -> str:
+    """A table (page, h, w, y, x and values) enlarged, linear between the centres of cells."""
+    place = lambda o, n: f"least(greatest((2 * {o} + 1) * {n} - {factor} * {n}, 0), 2 * {factor} * {n} * ({n} - 1))"
+    unit = lambda n: f"(2 * {factor} * {n})"
+    values = value.split(",")
+    mix = ", ".join(f"CAST((2 * ((a.{v} * (uy - ry) + coalesce(c.{v}, 0) * ry) * (ux - rx) + (coalesce(b.{v}, 0) * (uy - ry) + coalesce(d.{v}, 0) * ry) * rx) + uy * ux) // (2 * uy * ux) AS BIGINT) AS {v}" for v in values)
+    return f"""{name}_at AS (SELECT page, h, w, Y, X, {place("Y", "h")} AS py, {place("X", "w")} AS px, {unit("h")} AS uy, {unit("w")} AS ux FROM (SELECT page, h, w, Y, unnest(range({factor} * w)) AS X FROM (SELECT page, h, w, unnest(range({factor} * h)) AS Y FROM (SELECT DISTINCT page, h, w FROM {source})))),
+{name}_to AS (SELECT *, py // uy AS fy, py % uy AS ry, px // ux AS fx, px % ux AS rx FROM {name}_at),
+{name} AS MATERIALIZED (SELECT t.page, {factor} * t.h AS h, {factor} * t.w AS w, t.Y AS y, t.X AS x, {mix} FROM {name}_to t JOIN {source} a ON a.page = t.page AND a.y = fy AND a.x = fx LEFT JOIN {source} b ON b.page = t.page AND b.y = fy AND b.x = fx + 1 LEFT JOIN {source} c ON c.page = t.page AND c.y = fy + 1 AND c.x = fx LEFT JOIN {source} d ON d.page = t.page AND d.y = fy + 1 AND d.x = fx + 1)"""
+
+
+def _shape(source: str, name: str, best: str, inside: str, reach: int) -> str:
+    offsets = f"(SELECT a.k - {reach} AS dy, b.k - {reach} AS dx FROM range({2 * reach + 1}) a(k), range({2 * reach + 1}) b(k) WHERE {inside})"
+    return f"{name} AS MATERIALIZED (SELECT page, h, w, y, x, {best}(g) AS g FROM (SELECT page, h, w, y + dy AS y, x + dx AS x, g FROM {source}, {offsets}) WHERE y BETWEEN 0 AND h - 1 AND x BETWEEN 0 AND w - 1 GROUP BY page, h, w, y, x)"
+
+
+_SCANS = """d AS (SELECT source, doc_id, text, length(text) AS n, (length(text) + 499) // 500 AS rows FROM documents WHERE length(text) > 0),
+placed AS (SELECT *, CAST(sum(rows) OVER (PARTITION BY source ORDER BY doc_id) - rows AS BIGINT) AS y0, CAST(sum(rows) OVER (PARTITION BY source) AS BIGINT) AS h FROM d),
+chars AS (SELECT source, h, y0, unnest(string_split(text, '')) AS c, unnest(range(n)) AS i FROM placed),
+scan AS (SELECT source AS page, h, CAST(500 AS BIGINT) AS w, y0 + i // 500 AS y, i % 500 AS x, CAST(unicode(c) * 7 % 256 AS BIGINT) AS g FROM chars
+  UNION ALL SELECT source, h, 500, y0 + i // 500, i % 500, 255 FROM (SELECT source, h, y0, unnest(range(n, rows * 500)) AS i FROM placed))"""
+_MARGINS = "(x >= w * 15 // 1000 AND x < w - w * 15 // 1000 AND y >= h * 10 // 1000 AND y < h - h * 10 // 1000)"
+_SUMS = "y, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (x + 1)) AS BIGINT) AS moment"
+_SHEET = f"""{RASTERS}, v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, gray FROM rasters), tall AS (SELECT CAST((count(*) + 1) // 2 AS BIGINT) AS h FROM v),
+drawn AS (SELECT k // 2 AS y, k % 2 * 64 + i AS x, CAST(gray[i + 1] AS BIGINT) AS r, CAST(gray[(i + 1) % 64 + 1] AS BIGINT) AS s, CAST(gray[(i + 2) % 64 + 1] AS BIGINT) AS t FROM v, range(64) z(i)),
+sheet AS MATERIALIZED (SELECT 0 AS page, h, CAST(128 AS BIGINT) AS w, a.k AS y, b.k AS x, coalesce(r, 255) AS g, coalesce(s, 255) AS g2, coalesce(t, 255) AS g3 FROM tall, (SELECT unnest(range(h)) AS k FROM tall) a, range(128) b(k) LEFT JOIN drawn ON drawn.y = a.k AND drawn.x = b.k)"""
+_SMOOTH = [_shape(a, b, best, "abs(a.k - 2) + abs(b.k - 2) <= 2", 2) for a, b, best in (("cut", "s1", "min"), ("s1", "s2", "max"), ("s2", "s3", "max"), ("s3", "s4", "min"))]
+_FINE = [_shape("ink", "f1", "min", "(a.k - 6) * (a.k - 6) + (b.k - 6) * (b.k - 6) <= 36", 6), _shape("f1", "f2", "max", "(a.k - 6) * (a.k - 6) + (b.k - 6) * (b.k - 6) <= 36", 6)]
+_FINE += ["thin AS MATERIALIZED (SELECT ink.page, ink.h, ink.w, ink.y, ink.x, greatest(ink.g - f2.g, 0) AS g FROM ink JOIN f2 USING (page, y, x))", _shape("thin", "f3", "min", "abs(a.k - 1) + abs(b.k - 1) <= 1", 1), _shape("f3", "f4", "max", "abs(a.k - 1) + abs(b.k - 1) <= 1", 1)]
+
+ORACLES["binarize_scan"] = f"""WITH {_SCANS}, {_shrunk("scan", "500", "400", "((8 * h + 5) // 10)", "small")}, {_sharp("small")}
+SELECT page AS book, {_SUMS} FROM (SELECT page, y, x, CASE WHEN {_MARGINS} AND g * 100 <= 55 * 255 THEN 0 ELSE 255 END AS v FROM sharp) GROUP BY page, y"""
+ORACLES["smooth_scan"] = f"""WITH {_SHEET}, {_sharp("sheet")}, {_grown("sharp", 4, "large")}, cut AS MATERIALIZED (SELECT page, h, w, y, x, CASE WHEN g * 100 > 55 * 255 THEN 255 ELSE 0 END AS g FROM large), {", ".join(_SMOOTH)},
+{_shrunk("s4", "512", "100", "CAST(round_even(h // 4 * 100 / 128.0::DOUBLE, 0) AS BIGINT)", "back")}, levels AS (SELECT *, (2 * ((4 * g + 255) // 510) * 255 + 2) // 4 AS p FROM back)
+SELECT page AS sheet, {_SUMS} FROM (SELECT page, y, x, CASE WHEN {_MARGINS} THEN p ELSE 255 END AS v FROM levels) GROUP BY page, y"""
+ORACLES["fine_scan"] = f"""WITH {_SHEET}, {_grown("sheet", 2, "large", "g,g2,g3")}, ink AS MATERIALIZED (SELECT page, h, w, y, x, CASE WHEN (greatest(g, g2, g3) - least(g, g2, g3)) * 100 > 15 * 255 AND (g * 299 + g2 * 587 + g3 * 114) // 1000 * 100 <= 72 * 255 THEN 255 ELSE 0 END AS g FROM large), {", ".join(_FINE)}
+SELECT page AS sheet, {_SUMS} FROM (SELECT page, y, x, g AS v FROM f4) GROUP BY page, y"""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import last_number, padded, stem
+from folioflow.operators.scans import ordinals, running
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,3 +79,39 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, page, text: conversation turns as pages of recognised text."""
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "role", "text")
+
+
+def text_scans(spark: SparkSession, sf_dir: str, width: int = 500, strip: int = 64) -> DataFrame:
+    """book and pieces of a raster: the characters of a source's documents as levels, each document from a new row on.
+
+    A character's level is its code point times 7, modulo 256; the rest of a document's last row is white.
+    """
+    docs = read(spark, sf_dir, "documents").where("length(text) > 0")
+    rows = docs.select(F.col("source").alias("book"), "doc_id", F.ceil(F.length("text") / width).cast("bigint").alias("rows"))
+    heights = rows.groupBy("book").agg(F.sum("rows").cast("int").alias("height"))
+    placed = running(rows, ["book"], "doc_id", y=("sum_before", F.col("rows"))).join(heights, "book")
+    texts = placed.join(docs.select("doc_id", "text"), "doc_id").select("book", "height", F.lit(width).alias("width"), F.col("y").cast("int"), "text")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book, height, y, text in zip(*(batch.column(c).to_pylist() for c in ("book", "height", "y", "text"))):
+                levels = np.frombuffer(text.encode("utf-32-le"), np.uint32) * 7 % 256
+                a = np.full(-(-len(levels) // width) * width, 255, dtype=np.uint8)
+                a[: len(levels)] = levels
+                cuts = list(range(0, len(a) // width, strip))
+                parts = [a[k * width : (k + strip) * width].tobytes() for k in cuts]
+                n = len(cuts)
+                columns = [pa.array([book] * n, pa.string()), *(pa.array(v, pa.int32()) for v in ([height] * n, [width] * n, [y + k for k in cuts], [0] * n, [len(part) // width for part in parts], [width] * n)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["book", "height", "width", "y", "x", "h", "w", "samples"])
+
+    return texts.mapInArrow(draw, "book string, height int, width int, y int, x int, h int, w int, samples binary")
+
+
+def vector_sheet(spark: SparkSession, sf_dir: str, bands: int = 1) -> DataFrame:
+    """sheet (0) and pieces of one raster of all vectors in order of their ids, two a row; band k begins at level k."""
+    vectors = ordinals(vector_rasters(spark, sf_dir).withColumn("sheet", F.lit(0)), ["sheet"], "vec_id")
+    height = -(-read(spark, sf_dir, "embeddings").count() // 2)
+    at = F.sequence(F.lit(0), F.lit(63))
+    hexed = F.concat_ws("", F.flatten(F.transform(at, lambda i: F.array(*(F.lpad(F.hex(F.get("gray", (i + k) % 64)), 2, "0") for k in range(bands))))))
+    place = F.col("ord") - 1
+    return vectors.select("sheet", F.lit(height).alias("height"), F.lit(128).alias("width"), F.floor(place / 2).cast("int").alias("y"), (place % 2 * 64).cast("int").alias("x"), F.lit(1).alias("h"), F.lit(64).alias("w"), F.unhex(hexed).alias("samples"))
