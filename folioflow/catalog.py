@@ -422,6 +422,12 @@ def log_tail(spark, sf):
     return jobs.log_tail(views.progress_lines(spark, sf))
 
 
+@query
+def log_tail_cut(spark, sf):
+    """Logs that are cut again and again: at 400 characters to the last 300, over slices of 2048 numbers."""
+    return jobs.log_tail(views.progress_lines(spark, sf), 400, 300, width=2048, fan=2)
+
+
 @query
 def layer_colours(spark, sf):
     """Mean levels per label as nested rows: a map from label to its channels, then read back."""

@@ -171,6 +171,7 @@ CASE WHEN k % 2 = 0 THEN p_name ELSE 'b.' || CAST(k AS VARCHAR) END AS title, le
 '/SPF ' || printf('%.2f', p_retailprice / 7) || ' Tf' AS font FROM p JOIN n USING (k)""",
 }
 
+ORACLES["log_tail_cut"] = ORACLES["log_tail"].replace("40000", "400").replace("30000", "300")
 ORACLES["stream_progress"] = ORACLES["job_latest"]
 
 ORACLES["bilevel_selection"] = f"SELECT doc, saving FROM ({ORACLES['pdf_health']}) WHERE saving IS NOT NULL"

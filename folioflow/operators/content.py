@@ -17,30 +17,43 @@ def text_islands(operators: DataFrame, page: str, pos: str, op: str) -> DataFram
     return scanned.withColumn("inside", inside).drop("opened", "closed")
 
 
-def placement(operators: DataFrame, page: str, pos: str, op: str, matrix: str) -> DataFrame:
+def placement(operators: DataFrame, page: str, pos: str, op: str, matrix: str, width: int = 4096) -> DataFrame:
     """The matrix at each page's first Do: cm multiplies onto the current one, q saves and Q restores it.
 
-    Operators of a page are folded in order with a stack; a Q too many changes nothing; pages without Do give no row.
+    A Q too many changes nothing; pages without Do give no row, nor do pages where a cm before it has no six numbers. No stack
+    is folded: a cm counts at the Do exactly if no Q between them goes below its depth, and depths, which never fall under 0,
+    are sums and minima of +1 and -1. Pages are cut into slices of ``width`` positions; a slice carries its sum and its
+    minima from the left and, towards the Do, its least depth from the right. The matrices that count are multiplied slice by
+    slice and then slice products in two more levels (products of fractions may differ in the last bits from a fold in
+    order), so that no page is one row, nor one task.
     """
-    six = "array<double>"
+    six = F.col(matrix).cast("array<double>")
+    ops = operators.where(F.col(op).isin("q", "Q", "cm", "Do")).select(F.col(page).alias("page"), F.col(pos).alias("pos"), F.col(op).alias("op"), F.when(F.col(op) == "cm", six).alias("m"))
+    spoilt = (F.col("op") == "cm") & F.coalesce((F.size("m") != 6) | F.exists("m", lambda x: x.isNull()), F.lit(True))
+    ends = ops.groupBy("page").agg(F.min(F.when(F.col("op") == "Do", F.col("pos"))).alias("stop"), F.min(F.when(spoilt, F.col("pos"))).alias("spoilt"))
+    ends = ends.where("stop is not null and (spoilt is null or spoilt > stop)").select("page", "stop")
+    step = F.when(F.col("op") == "q", 1).when(F.col("op") == "Q", -1).otherwise(0).cast("bigint")
+    before_do = ops.join(ends, "page").where("pos <= stop").select("page", "pos", "op", "m", step.alias("step"), F.floor(F.col("pos") / width).alias("slice"))
+    here = Window.partitionBy("page", "slice").orderBy("pos")
+    past, ahead = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(1, Window.unboundedFollowing)
+    earlier = Window.partitionBy("page").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("page").orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    summed = before_do.withColumn("own", F.sum("step").over(past)).withColumn("least", F.min("own").over(past))
+    slices = summed.groupBy("page", "slice").agg(F.sum("step").alias("own"), F.min("own").alias("least"))
+    slices = slices.withColumn("base", F.coalesce(F.sum("own").over(earlier), F.lit(0))).withColumn("lowest", F.min(F.col("base") + F.col("least")).over(earlier)).select("page", "slice", "base", "lowest")
+    # What a sum is under 0 at its lowest so far are Qs that had nothing to restore.
+    under = F.least(F.lit(0), F.coalesce("lowest", F.lit(0)), F.col("base") + F.col("least"))
+    deep = summed.join(slices, ["page", "slice"]).select("page", "slice", "pos", "op", "m", (F.col("base") + F.col("own") - under).alias("depth"))
+    least_after = deep.groupBy("page", "slice").agg(F.min("depth").alias("depth")).select("page", "slice", F.min("depth").over(later).alias("after"))
+    reached = deep.withColumn("next", F.min("depth").over(ahead)).join(least_after, ["page", "slice"])
+    counts = (F.col("op") == "Do") | ((F.col("op") == "cm") & (F.col("depth") <= F.coalesce(F.least("next", "after"), F.col("depth"))))
     unit = F.array(*(F.lit(float(x)) for x in (1, 0, 0, 1, 0, 0)))
-    start = F.struct(unit.cast(six).alias("now"), F.array().cast(f"array<{six}>").alias("saved"), F.lit(None).cast(six).alias("found"))
-
-    def step(s: Column, x: Column) -> Column:
-        now, saved, found = s["now"], s["saved"], s["found"]
-        made = lambda n, v, f: F.struct(n.alias("now"), v.alias("saved"), f.alias("found"))
-        return (
-            F.when(found.isNotNull(), s)
-            .when(x["op"] == "q", made(now, F.concat(saved, F.array(now)), found))
-            .when((x["op"] == "Q") & (F.size(saved) > 0), made(F.element_at(saved, -1), F.slice(saved, 1, F.size(saved) - 1), found))
-            .when(x["op"] == "cm", made(multiply(x["m"], now), saved, found))
-            .when(x["op"] == "Do", made(now, saved, now))
-            .otherwise(s)
-        )
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(op).alias("op"), F.col(matrix).cast(six).alias("m"))))
-    folded = operators.where(F.col(op).isin("q", "Q", "cm", "Do")).groupBy(page).agg(ordered.alias("ops"))
-    return folded.select(page, F.aggregate("ops", start, step, lambda s: s["found"]).alias("ctm")).where("ctm is not null")
+    found = reached.where(counts).select("page", "slice", F.col("pos").alias("at"), F.coalesce("m", unit).alias("m"))
+    for level in (F.col("slice"), F.floor(F.col("slice") / width), F.lit(0)):
+        ordered = F.array_sort(F.collect_list(F.struct("at", "m")))
+        grouped = found.groupBy("page", level.alias("slice")).agg(ordered.alias("ms"))
+        found = grouped.select("page", "slice", F.col("slice").alias("at"), F.aggregate("ms", unit, lambda now, x: multiply(x["m"], now)).alias("m"))
+    return found.select(F.col("page").alias(page), F.col("m").alias("ctm"))
 
 
 def carried_text(operators: DataFrame, page: str, pos: str, op: str, line: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,22 +61,77 @@ def new_jobs(requests: DataFrame, active: DataFrame, key: str) -> DataFrame:
     return requests.join(active.select(key).distinct(), key, "left_anti").dropDuplicates([key])
 
 
-def log_tail(lines: DataFrame, limit: int = 40000, keep: int = 30000) -> DataFrame:
+LENGTHS = "total long, above array<long>, left array<long>"
+
+
+def what_lines_do(sizes: np.ndarray, limit: int, keep: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """What lines do to a log's length, as (total, above, left).
+
+    A length over ``above[k]``, for the first such k, becomes ``left[k]``; one over none grows by ``total``. The bounds fall:
+    a longer log is cut at an earlier line, and what follows a cut does not depend on what was before it.
+    """
+    upto, n = np.cumsum(sizes), len(sizes)
+    total = int(upto[-1]) if n else 0
+    follows = np.searchsorted(upto, upto + limit - keep, side="right").tolist()
+    after = [0] * n
+    for k in range(n - 1, -1, -1):
+        after[k] = after[follows[k]] if follows[k] < n else keep + total - int(upto[k])
+    first = min(n, int(np.searchsorted(upto, limit, side="right")) + 1)  # an empty log is cut here at the latest
+    return total, limit - upto[:first], np.array(after[:first], dtype=np.int64)
+
+
+def applied(length: np.ndarray, total: int, above: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A log's lengths after what lines do."""
+    k = np.searchsorted(-above, -length, side="right")
+    return np.where(k < len(above), np.append(left, 0)[k], length + total)
+
+
+def one_after_other(first: tuple, then: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """Two such functions as one."""
+    total, above, left = first
+    # Over the first function's least bound it has cut already, and its own values go through the second.
+    more = then[1] - total
+    reach = more < (above[-1] if len(above) else np.iinfo(np.int64).max)
+    at, value = np.append(above, more[reach]), np.append(applied(left, *then), then[2][reach])
+    asked = 1 + int(np.searchsorted(-at, 0, side="right"))  # no log is shorter than empty
+    return total + then[0], at[:asked], value[:asked].astype(np.int64)
+
+
+def log_tail(lines: DataFrame, limit: int = 40000, keep: int = 30000, width: int = 65536, fan: int = 256) -> DataFrame:
     """Per job its log, cut to the last ``keep`` characters whenever it outgrows ``limit``; lines in order of seq.
 
-    What is left depends on line lengths alone: they are folded first, and only the lines that reach into the log, at most
-    ``limit`` characters, are put together. Lines of equal seq are taken by their text.
+    What is left depends on line lengths alone. A slice of lines (``width`` values of seq) is a function from the log's length
+    before it to that after it; functions of ``fan`` slices in a row are composed into one, level by level, and the
+    last one is asked for an empty log. Only the lines that reach into what is left, at most ``limit`` characters, are put
+    together. Lines of equal seq are taken by their text; a null line is empty.
     """
-    sized = lines.select("job", "seq", "line", (F.length("line") + 1).cast("bigint").alias("n"))
+    sized = lines.select("job", "seq", F.coalesce("line", F.lit("")).alias("line")).withColumn("n", (F.length("line") + 1).cast("bigint"))
     placed = running(sized, ["job"], "seq", ties=("line",), upto=("sum", F.col("n")))
-    lengths = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line_rank", "n"))), lambda x: x["n"])
-    ranked = placed.withColumn("line_rank", F.col("upto"))
-    left = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda have, n: F.when(have + n > limit, F.lit(keep).cast("bigint")).otherwise(have + n))
-    totals = ranked.groupBy("job").agg(F.max("upto").alias("total"), lengths.alias("lengths")).select("job", "total", left.alias("left"))
-    near = ranked.join(totals, "job").where(F.col("upto") > F.col("total") - F.col("left"))
+    job = f"job {lines.schema['job'].dataType.simpleString()}, slice long, "
+
+    def read(rows: pd.DataFrame) -> tuple:
+        return int(rows["total"]), np.asarray(rows["above"], dtype=np.int64), np.asarray(rows["left"], dtype=np.int64)
+
+    def of_lines(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total, above, left = what_lines_do(rows.sort_values("upto")["n"].to_numpy(), limit, keep)
+        return pd.DataFrame([(*key, total, above, left)], columns=["job", "slice", "total", "above", "left"])
+
+    def of_slices(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        made = None
+        for _, row in rows.sort_values("slice").iterrows():
+            made = read(row) if made is None else one_after_other(made, read(row))
+        return pd.DataFrame([(*key, *made)], columns=["job", "slice", "total", "above", "left"])
+
+    slices = placed.select("job", F.floor(F.col("seq") / width).alias("slice"), "upto", "n").groupBy("job", "slice").applyInPandas(of_lines, job + LENGTHS)
+    for _ in range(2):
+        slices = slices.groupBy("job", F.floor(F.col("slice") / fan).alias("slice")).applyInPandas(of_slices, job + LENGTHS)
+    last = slices.groupBy("job", F.lit(0).cast("long").alias("slice")).applyInPandas(of_slices, job + LENGTHS)
+    cut = F.filter(F.arrays_zip("above", "left"), lambda x: x["above"] < 0)
+    totals = last.select("job", "total", F.coalesce(F.get(cut, F.lit(0))["left"], F.col("total")).alias("left"))
+    near = placed.join(totals, "job").where(F.col("upto") > F.col("total") - F.col("left"))
     tail = near.groupBy("job", "left").agg(F.array_sort(F.collect_list(F.struct("upto", "line"))).alias("t"))
-    whole = F.array_join(F.transform("t", lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    return tail.select("job", F.right(whole, F.col("left").cast("int")).alias("log"))
+    text = F.array_join(F.transform("t", lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return tail.select("job", F.right(text, F.col("left").cast("int")).alias("log"))
 
 
 def framed_lines(chunks: DataFrame, job: str, seq: str, text: str) -> DataFrame:

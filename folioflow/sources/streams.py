@@ -46,8 +46,8 @@ def written(op: Column, args: Column) -> Column:
 
 
 def matrices(operators: DataFrame) -> DataFrame:
-    """Operators with m, the operands of a cm of six numbers; another cm has none and changes nothing."""
+    """Operators with m, the operands of a cm of six; null where one is no number. A cm of more or fewer does nothing."""
     six = F.transform("args", lambda x: x.try_cast("double"))
-    good = (F.col("op") == "cm") & (F.size("args") == 6) & F.forall(six, lambda x: x.isNotNull())
-    op = F.when((F.col("op") == "cm") & ~good, "cm?").otherwise(F.col("op"))
-    return operators.select("page", "pos", op.alias("op"), F.when(good, six).alias("m"))
+    whole = (F.col("op") == "cm") & (F.size("args") == 6)
+    op = F.when((F.col("op") == "cm") & ~whole, "cm?").otherwise(F.col("op"))
+    return operators.select("page", "pos", op.alias("op"), F.when(whole & F.forall(six, lambda x: x.isNotNull()), six).alias("m"))

@@ -117,6 +117,10 @@ def test_text_is_carried_and_matrices_are_found(spark):
     assert [r["op"] for r in again] == ["BT", "Tr", "Tj", "ET"]
     found = {r["page"]: r["ctm"] for r in content.placement(streams.matrices(ops), "page", "pos", "op", "m").collect()}
     assert found == {1: [0.0, -594.0, 420.0, 0.0, 0.0, 594.0], 2: [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]}
+    # Six operands of which one is no number: no matrix for that page, unless its image comes first.
+    odd = spark.createDataFrame([(3, "q 1 0 0 /bad 2 3 cm /Im0 Do Q"), (4, "2 0 0 2 0 0 cm /Im0 Do 1 0 0 /bad 2 3 cm")], "page int, stream string")
+    found = content.placement(streams.matrices(streams.stream_operators(odd, "page", "stream")), "page", "pos", "op", "m").collect()
+    assert [(r["page"], r["ctm"]) for r in found] == [(4, [2.0, 0.0, 0.0, 2.0, 0.0, 0.0])]
 
 
 def test_gaps_end_a_job_with_their_number_and_first(spark):
