@@ -6,8 +6,9 @@ costs the context's escape probability (distinct followers / (count + distinct f
 shorter context, at last to a uniform choice of 256. Symbols are all 256 byte values and the start of a text. A text's
 score in a language is its exact code length in bits.
 
-Whole training texts are counted in Spark tasks; the driver gets the counts by language, context and byte. Frozen trees make
-every cost a fixed number, so all trees are compiled into sparse tables: by (context, byte) that any tree has seen the code
+Whole training texts are counted in Spark tasks, and every language's ``most_pairs`` most frequent (context, byte) pairs make
+its tree; a pair's shorter one is at least as frequent and comes first at a tie, so that trees stay trees. The driver gets no
+more than these pairs, of at most ``most_languages`` languages. Frozen trees make every cost a fixed number, so all trees are compiled into sparse tables: by (context, byte) that any tree has seen the code
 length in every language, by context the escapes. Nearly every byte of a text is one look-up in the longest contexts' table.
 """
 
@@ -109,16 +110,14 @@ def count_pairs(texts: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray,
         yield k, code, n
 
 
-def compiled(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]], model_bytes: int = 1 << 62) -> Model:
-    """The model of every language's counted codes by context length; the order is lowered until it has ``model_bytes``."""
+def compiled(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Model:
+    """The model of every language's counted codes by context length."""
     languages = sorted(counts)
     orders = max((len(x) for x in counts.values()), default=0)
     pairs, contexts, shorter = [], [], None
     for k in range(orders):
         every = np.unique(np.concatenate([counts[lang][k][0] for lang in languages]))
         above = np.unique(every // BASE)
-        if k and 24 * (len(every) + len(above)) + 4 * len(languages) * (len(every) + len(above)) + Model(languages, pairs, contexts).nbytes > model_bytes:
-            break
         bits = np.full((len(every), len(languages)), UNIFORM_BITS, dtype=np.float32)
         if shorter is not None:
             bits[:] = shorter[1][shorter[0].find(every % BASE**k)]  # a pair's shorter one was seen with it
@@ -166,20 +165,25 @@ def code_lengths(texts: pa.Array, model: Model, step: int = 1 << 18) -> np.ndarr
     return out
 
 
-def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
-    """(lang, text) of at most ``per_language`` rows of each language, spread over all rows by a hash of id."""
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+def training_rows(docs: DataFrame, per_language: int, most_languages: int) -> DataFrame:
+    """(lang, text) of at most ``per_language`` rows of each language, spread over all rows by a hash of id and text.
+
+    More than ``most_languages`` languages are an error, as that column then names something else.
+    """
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not counts:
         return docs.select("lang", "text")
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * (per_language + 20) / n)))])
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    bucket = F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     some = docs.where(bucket < F.element_at(share, F.col("lang")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit(7)), "doc_id", "text"))
     return some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
 
 
-def train(rows: DataFrame, order: int, model_bytes: int) -> Model:
-    """Count the trees of (lang, text) rows in tasks, and compile them."""
+def train(rows: DataFrame, order: int, most_pairs: int) -> Model:
+    """Count the trees of (lang, text) rows in tasks, keep the most frequent pairs of each language, and compile them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -188,7 +192,9 @@ def train(rows: DataFrame, order: int, model_bytes: int) -> Model:
                 for k, code, n in count_pairs(batch.column(1).filter(mine), order):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(np.full(len(code), k, np.int32)), pa.array(code), pa.array(n, pa.int64())], names=["lang", "k", "code", "n"])
 
-    total = rows.mapInArrow(count, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow()
+    summed = rows.mapInArrow(count, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "k", "code"))
+    total = summed.withColumn("rank", rank).where(F.col("rank") <= most_pairs).drop("rank").toArrow()  # bounded by both limits
     names, which = np.unique(np.array(total["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True) if len(total) else (np.array([]), np.array([]))
     k, code, n = (total[c].to_numpy() for c in ("k", "code", "n"))
     counts = {}
@@ -200,15 +206,15 @@ def train(rows: DataFrame, order: int, model_bytes: int) -> Model:
             tables.append((code[mine], n[mine]))
         if len(tables[0][0]):
             counts[lang] = tables
-    return compiled(counts, model_bytes)
+    return compiled(counts)
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2, order: int = 3, per_language: int = 400, longest: int = 1 << 16, model_bytes: int = 64 << 20) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, and bits, the code length in each language.
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2, order: int = 3, per_language: int = 400, most_pairs: int = 1 << 17, most_languages: int = 256, with_bits: bool = True) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score, and ``with_bits`` bits, the code length in each language.
 
-    The model is fitted on the whole texts of at most ``per_language`` rows of each language, of at most ``longest`` bytes,
-    whose crc32(id as text) mod ``folds`` is not ``held_out_fold`` and whose language, id and text are not null; every whole
-    text is scored. With very many languages the order is lowered until the model has at most ``model_bytes``. lang_pred is
+    The model is fitted on the whole texts of at most ``per_language`` rows of each language whose crc32(id as text) mod
+    ``folds`` is not ``held_out_fold`` and whose language, id and text are not null; every whole text is scored. A language's
+    tree has at most ``most_pairs`` (context, byte) pairs; over ``most_languages`` languages are an error. lang_pred is
     the language of least code length, ties to the first by name, and score the posterior probability of that language
     when code lengths are read as -log2 probabilities. Texts that are null or hold no letter, and all texts when nothing
     could be learned, get ``und`` with score 0. held_out is false for a null id; rows that share an id are scored each.
@@ -217,8 +223,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     held_out = F.coalesce(F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) == held_out_fold, F.lit(False))
-    known = named.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out & (F.octet_length("text") <= longest))
-    held = spark.sparkContext.broadcast(train(training_rows(known, per_language), order, model_bytes))
+    known = named.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
+    held = spark.sparkContext.broadcast(train(training_rows(known, per_language, most_languages), order, most_pairs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*held.value.languages, "und"], dtype=object)
@@ -230,9 +236,12 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             best = bits.argmin(axis=1) if n else np.zeros(len(bits), np.int64)
             gap = bits - bits.min(axis=1, keepdims=True) if n else bits
             score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1) if n else np.zeros(len(bits))
-            detail = [[{"lang": names[j], "bits": float(b)} for j, b in enumerate(row)] for row in bits]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[np.where(letters, best, n)], pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(detail, kinds)], names=["doc_id", "held_out", "lang_pred", "score", "bits"])
+            columns = [batch.column(0), batch.column(1), pa.array(names[np.where(letters, best, n)], pa.string()), pa.array(np.where(letters, score, 0.0))]
+            if with_bits:
+                columns.append(pa.array([[{"lang": names[j], "bits": float(b)} for j, b in enumerate(row)] for row in bits], kinds))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "bits"][: len(columns)])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     id_type = named.schema["doc_id"].dataType.simpleString()
-    return named.select("doc_id", held_out.alias("held_out"), "text", letter.alias("letter")).mapInArrow(predict, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, bits array<struct<lang:string,bits:double>>")
+    made = f"doc_id {id_type}, held_out boolean, lang_pred string, score double" + ", bits array<struct<lang:string,bits:double>>" * with_bits
+    return named.select("doc_id", held_out.alias("held_out"), "text", letter.alias("letter")).mapInArrow(predict, made)

@@ -53,7 +53,7 @@ def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_languages(table(spark, sf_dir, "documents")).drop("bits")
+    return identify_languages(table(spark, sf_dir, "documents"), with_bits=False)
 
 
 def op7_configuration_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out_fol
     Ids alone are shuffled for it.
     """
     good = F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) != held_out_fold)
-    present = labels.where(good).select("doc_id", "label").join(docs.select("doc_id"), "doc_id", "left_semi")
+    present = labels.where(good).select("doc_id", "label").distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
     return present.orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "label").limit(sample)
 
 
@@ -144,8 +144,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     A small sample is gone through more often than ``epochs`` times, until ``least_steps`` steps are made.
 
-    Labels other than 0 and 1 and labels without a document are ignored; a document with two labels counts with both, and
-    rows that share an id count each.
+    Labels other than 0 and 1 and labels without a document are ignored; a document with two labels counts with both; of rows
+    that share an id the one of least text counts, so that the driver gets no more than ``sample`` bags.
     """
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -158,7 +158,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([index.tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())], names=["doc_id", "label", "index", "share"])
 
     id_type = named.schema["doc_id"].dataType.simpleString()
-    counted = named.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(count, f"doc_id {id_type}, label int, index binary, share binary")
+    one_each = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    counted = one_each.mapInArrow(count, f"doc_id {id_type}, label int, index binary, share binary")
     rows = sorted(counted.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["label"], r["index"], r["share"]))  # bounded by sample
     bags = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows]
     rounds = max(epochs, -(-least_steps // max(len(bags), 1)))

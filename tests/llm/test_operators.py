@@ -545,16 +545,34 @@ def test_every_byte_value_is_a_symbol():
     assert got[0].argmin() == 0 and got[1].argmin() == 1
 
 
-def test_models_are_bounded_by_their_order():
+def test_models_are_bounded_by_their_most_frequent_pairs(spark):
+    """A tree of the most frequent pairs costs what counting these pairs says; whole trees what brute force says."""
     texts = {"a": [" ".join(word_list(300, 1))], "b": [" ".join(word_list(300, 2))]}
-    whole = fitted(texts)
-    small = fitted(texts, model_bytes=whole.nbytes // 3)
-    assert whole.order == 3 and 0 <= small.order < 3 and small.nbytes <= whole.nbytes // 3
+    rows = spark.createDataFrame([(lang, t) for lang, x in texts.items() for t in x], "lang string, text string")
     test = "w1 w2 w3 other"
-    assert np.allclose(ppm_langid.code_lengths(pa.array([test]), small)[0], [brute_bits(texts[x], test, small.order) for x in "ab"], rtol=1e-5)
+    whole = ppm_langid.train(rows, 3, 1 << 20)
+    assert np.allclose(ppm_langid.code_lengths(pa.array([test]), whole)[0], [brute_bits(texts[x], test) for x in "ab"], rtol=1e-5)
+    small = ppm_langid.train(rows, 3, 200)
+    counts = {}
+    for lang, x in texts.items():
+        every = sorted(((-int(c), k, int(code)) for k, codes, n in ppm_langid.count_pairs(pa.array(x), 3) for code, c in zip(codes, n)))[:200]
+        counts[lang] = [tuple(np.array(v, dtype=np.int64) for v in zip(*sorted((code, -n) for n, k, code in every if k == length))) or (np.zeros(0, np.int64),) * 2 for length in range(4)]
+    want = ppm_langid.compiled(counts)
+    assert np.allclose(ppm_langid.code_lengths(pa.array([test, "", "zz"]), small), ppm_langid.code_lengths(pa.array([test, "", "zz"]), want)) and small.nbytes < whole.nbytes
     assert ppm_langid.code_lengths(pa.array(["a"]), fitted({})).shape == (1, 0)
 
 
+def test_many_languages_and_too_many(spark):
+    """200 languages whose model is bounded; an id of a third of all rows; very long texts and clashing columns."""
+    rows = [(i, f"{chr(0x3041 + i % 200)}{chr(0x4E00 + i % 200)} " * 30, f"l{i % 200:03}", "s", "b") for i in range(800)]
+    rows += [(5, f"{chr(0x3041)}{chr(0x4E00)} " * 30, "l000", "s", "b")] * 400 + [(10_000, "\u3041\u4e00 " * 100_000, "l000", "s", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, bits string")
+    got = ppm_langid.identify_languages(docs, most_pairs=64).collect()
+    assert len(got) == len(rows) and sum(r["lang_pred"] == dict((x[0], x[2]) for x in rows)[r["doc_id"]] for r in got if r["doc_id"] != 5) >= 0.99 * 801
+    with pytest.raises(ValueError, match="more than 100 languages"):
+        ppm_langid.identify_languages(docs, most_languages=100)
+
+
 def test_ties_and_repeated_ids_of_languages(spark):
     """Two languages of equal texts tie: the first name wins with half the probability."""
     rows = [(i % 7, "le chat est sur le tapis", lang) for i in range(40) for lang in ("fr", "ca")] + [(1, "the cat sat on the mat", "en")] * 3 + [(None, "le chat", "fr")]
@@ -963,6 +981,21 @@ def test_quality_of_repeated_ids_and_long_texts(spark):
     assert len(rows) == 7 and len({r["score"] for r in rows}) == 3 and sum(r["doc_id"] is None for r in rows) == 1
 
 
+def test_quality_of_many_rows_on_one_labelled_id(spark):
+    """A third of 60,000 rows on one labelled id: one bag for it, however many rows it has."""
+    i = F.col("id")
+    docs = spark.range(60_000).select(F.when(i % 3 == 0, 7).otherwise(i).alias("doc_id"), F.concat(F.lit("words of row "), i).alias("text"))
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0), (11, 1)], "doc_id long, quality int")
+    fits = []
+    real = subword_quality.fit
+    try:
+        subword_quality.fit = lambda bags, *args, **kw: fits.append(len(bags)) or real(bags, *args, **kw)
+        assert subword_quality.score_quality(docs, labels, least_steps=10).count() == 60_000
+    finally:
+        subword_quality.fit = real
+    assert fits[0] <= 3
+
+
 def test_quality_edge_cases(spark):
     docs = corpus(spark, [*AWKWARD, "fine text", "junk ### junk"])
     labels = spark.createDataFrame([(9, 1, 0), (10, 0, 0), (10, None, 0), (99, 1, 0), (None, 1, 0), (8, 7, 0)], "doc_id long, quality int, toxic int")
