@@ -373,3 +373,8 @@ def row_sums(tiles: DataFrame, page: str) -> DataFrame:
 
     made = tiles.select(F.col(page).alias("page"), "y", "x", "h", "w", "samples").mapInArrow(sums, f"page {kind}, y long, total long, moment long")
     return made.groupBy("page", "y").agg(F.sum("total").alias("total"), F.sum("moment").alias("moment")).withColumnRenamed("page", page)
+
+
+def grey() -> Point:
+    """Grey levels of colours by whole-number weights, halves down."""
+    return Point(lambda rgb: (rgb.astype(np.int64) @ np.array([299, 587, 114]) // 1000).astype(np.uint8))

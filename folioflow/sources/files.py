@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import IMAGE_EXTENSIONS, base_name, is_page_image, sniff_format, stem, trailing_number
 from folioflow.operators.selection import number_pages
+from folioflow.sources.pixels import read_bands
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,15 +23,24 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return number_pages(named.withColumn("book", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)), "book", "name")
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark reads is a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.exists(place) and system.getFileStatus(place).isDirectory())
+
+
 def list_documents(spark: SparkSession, inputs: list[str]) -> DataFrame:
     """PDFs of the inputs in order, folders one level deep by name, each path once: arg, path, name, length.
 
-    All inputs are one read. An input that is named as another kind of file is refused, as is one that is not there.
+    All inputs are one read. The file system is asked what is a folder, whatever its name; another input that is not named as
+    a PDF is refused, as is one that is not there.
     """
-    for one in inputs:
-        if re.search(r"\.(?!pdf$)[a-z0-9]{1,5}$", one.rsplit("/", 1)[-1], re.I):
+    folders = [is_folder(spark, one) for one in inputs]
+    for one, folder in zip(inputs, folders):
+        if not folder and not one.lower().endswith(".pdf"):
             raise ValueError(f"not a PDF: {one}")
-    files = spark.read.format("binaryFile").load([x if x.lower().endswith(".pdf") else f"{x.rstrip('/')}/*" for x in inputs]).select("path", "length")
+    files = spark.read.format("binaryFile").load([f"{x.rstrip('/')}/*" if folder else x for x, folder in zip(inputs, folders)]).select("path", "length")
     plain = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?(?=/)", "")
     folder = F.regexp_replace(plain, r"/[^/]*$", "")
     turns = [F.when((plain == bare) | (folder == bare), i) for i, x in enumerate(inputs) if (bare := re.sub(r"^[a-z]+:(//[^/]*)?(?=/)", "", x.rstrip("/"))) is not None]
@@ -80,62 +89,23 @@ def size_in_head(raw: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
-def png_pixels(raw: bytes) -> np.ndarray:
-    """(h, w, 3) colours of a PNG of 8 bits a channel without interlacing."""
-    at, body, palette = 8, [], None
-    while at < len(raw):
-        size, kind = struct.unpack(">I4s", raw[at : at + 8])
-        data = raw[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", data)
-            if depth != 8 or interlace:
-                raise ValueError("only 8 bits a channel without interlacing")
-        elif kind == b"PLTE":
-            palette = np.frombuffer(data, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            body.append(data)
-        at += 12 + size
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h + 1, w + 1, n), dtype=np.int32)  # a row above and a pixel before, of zeros
-    for y in range(h):
-        kind, line, above = int(lines[y, 0]), lines[y, 1:].reshape(w, n).astype(np.int32), out[y]
-        mine = out[y + 1]
-        if kind in (0, 2):
-            mine[1:] = (line + (above[1:] if kind == 2 else 0)) & 255
-        elif kind == 1:
-            mine[1:] = np.cumsum(line, axis=0) & 255
-        else:
-            for x in range(1, w + 1):  # each pixel needs the one before
-                a, b, c = mine[x - 1], above[x], above[x - 1]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
-                mine[x] = (line[x - 1] + guess) & 255
-    pixels = out[1:, 1:]
-    if colour == 3:
-        return palette[pixels[..., 0]].astype(np.int32)
-    return np.repeat(pixels[..., :1], 3, axis=2) if n < 3 else pixels[..., :3]
-
-
 def image_pixels(files: DataFrame) -> DataFrame:
-    """path, width, height and the channels r, g, b of PNG files (path, content), row by row; one file is one row.
+    """path, width, height, the channels r, g, b row by row, and error, of PNG and TIFF files (path, content); a file is a row.
 
-    Files of other formats have nulls.
+    Files of other formats have nulls, and so have files that cannot be read, with the reason in error.
     """
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, raw in zip(part["path"], part["content"]):
-                row = {"path": path, "width": None, "height": None, "r": None, "g": None, "b": None}
-                if raw is not None and bytes(raw[:8]) == b"\x89PNG\r\n\x1a\n":
-                    found = png_pixels(bytes(raw))
+                bands, error = read_bands(bytes(raw or b""))
+                row = {"path": path, "width": None, "height": None, "r": None, "g": None, "b": None, "error": error}
+                if bands:
+                    found = np.concatenate([b for _, b in bands]).astype(np.int32)
                     row |= {"height": found.shape[0], "width": found.shape[1]} | {c: found[..., k].ravel() for k, c in enumerate("rgb")}
                 yield pd.DataFrame([row])
 
-    return files.select("path", "content").mapInPandas(decode, "path string, width int, height int, r array<int>, g array<int>, b array<int>")
+    return files.select("path", "content").mapInPandas(decode, "path string, width int, height int, r array<int>, g array<int>, b array<int>, error string")
 
 
 def image_sizes(files: DataFrame, head_bytes: int = 65536) -> DataFrame:
