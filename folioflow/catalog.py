@@ -314,6 +314,12 @@ def stream_progress(spark, sf):
     return progress.stream_events(spark, sf).select("job", "lines", "finished", "seq", F.round("progress", 9).alias("progress"), "kind", "stage")
 
 
+@query
+def stream_framing(spark, sf):
+    """Lines put together by a stream whose chunks end in the middle of lines."""
+    return progress.stream_framed_events(spark, sf).select("job", "line_no", "line")
+
+
 def event_queue(spark, sf):
     """Jobs by their first line: one of three by number runs, the others wait."""
     firsts = views.progress_lines(spark, sf).groupBy("job").agg(F.min("seq").alias("asked"))

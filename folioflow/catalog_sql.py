@@ -172,6 +172,7 @@ CASE WHEN k % 2 = 0 THEN p_name ELSE 'b.' || CAST(k AS VARCHAR) END AS title, le
 }
 
 ORACLES["log_tail_cut"] = ORACLES["log_tail"].replace("40000", "400").replace("30000", "300")
+ORACLES["stream_framing"] = f"WITH {LINES} SELECT job, row_number() OVER (PARTITION BY job ORDER BY seq) - 1 AS line_no, line FROM lines"
 ORACLES["stream_progress"] = ORACLES["job_latest"]
 
 ORACLES["bilevel_selection"] = f"SELECT doc, saving FROM ({ORACLES['pdf_health']}) WHERE saving IS NOT NULL"

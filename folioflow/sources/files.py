@@ -36,16 +36,16 @@ def list_documents(spark: SparkSession, inputs: list[str]) -> DataFrame:
     All inputs are one read. The file system is asked what is a folder, whatever its name; another input that is not named as
     a PDF is refused, as is one that is not there.
     """
-    folders = [is_folder(spark, one) for one in inputs]
-    for one, folder in zip(inputs, folders):
-        if not folder and not one.lower().endswith(".pdf"):
+    named = {one: one.lower().endswith(".pdf") and not is_folder(spark, one) for one in inputs}
+    for one, is_pdf in named.items():
+        if not is_pdf and re.search(r"\.[a-z0-9]{1,5}$", one, re.I) and not is_folder(spark, one):
             raise ValueError(f"not a PDF: {one}")
-    files = spark.read.format("binaryFile").load([f"{x.rstrip('/')}/*" if folder else x for x, folder in zip(inputs, folders)]).select("path", "length")
+    files = spark.read.format("binaryFile").load([x if is_pdf else f"{x.rstrip('/')}/*" for x, is_pdf in named.items()]).select("path", "length")
     plain = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?(?=/)", "")
     folder = F.regexp_replace(plain, r"/[^/]*$", "")
     turns = [F.when((plain == bare) | (folder == bare), i) for i, x in enumerate(inputs) if (bare := re.sub(r"^[a-z]+:(//[^/]*)?(?=/)", "", x.rstrip("/"))) is not None]
-    named = files.withColumn("name", base_name(F.col("path"))).where(F.lower("name").endswith(".pdf") & ~F.col("name").startswith("."))
-    return named.withColumn("arg", F.coalesce(*turns)).groupBy("path", "name", "length").agg(F.min("arg").alias("arg")).orderBy("arg", "name")
+    pdfs = files.withColumn("name", base_name(F.col("path"))).where(F.lower("name").endswith(".pdf") & ~F.col("name").startswith("."))
+    return pdfs.withColumn("arg", F.coalesce(*turns)).groupBy("path", "name", "length").agg(F.min("arg").alias("arg")).orderBy("arg", "name")
 
 
 def adopt(spark: SparkSession, picks: list[str]) -> tuple[str, DataFrame]:
