@@ -13,7 +13,10 @@ from folioflow.plans.scratch import shared_folder
 def closure(steps: DataFrame, start: str, end: str) -> DataFrame:
     """Distinct (start, end) pairs with a path of one or more steps; cycles reach themselves.
 
-    Rounds go on until one adds no pair, so paths may have any length. Each round is written to the shared folder.
+    Every round joins what the last one found with all that is known, on both sides, so that known pairs meet each other once
+    and the reach still doubles; it goes on until a round finds nothing. A round writes its new pairs alone, below one
+    folder of the shared place that holds the result in the end. A midpoint of many pairs is a large key of a plain join,
+    which adaptive execution splits.
     """
     spark = steps.sparkSession
     place = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
@@ -22,12 +25,15 @@ def closure(steps: DataFrame, start: str, end: str) -> DataFrame:
         pairs.write.parquet(f"{place}/{number}")
         return spark.read.schema(pairs.schema).parquet(f"{place}/{number}")
 
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.alias("a").join(b.alias("b"), F.col(f"a.{end}") == F.col(f"b.{start}")).select(F.col(f"a.{start}"), F.col(f"b.{end}"))
+
     whole = steps.select(start, end).where(F.col(start).isNotNull() & F.col(end).isNotNull()).distinct()
-    reach, number = stored(whole, 0), 0
-    n, before = reach.count(), -1
-    while n != before:
-        number, before = number + 1, n
-        further = reach.alias("a").join(reach.alias("b"), F.col(f"a.{end}") == F.col(f"b.{start}")).select(F.col(f"a.{start}"), F.col(f"b.{end}"))
-        reach = stored(reach.union(further).distinct(), number)
-        n = reach.count()
-    return reach
+    found, number = stored(whole, 0), 0
+    known = found
+    while not found.isEmpty():
+        further = meet(found, known) if number == 0 else meet(found, known).union(meet(known, found))
+        number += 1
+        found = stored(further.distinct().join(known, [start, end], "left_anti"), number)
+        known = spark.read.schema(whole.schema).parquet(*(f"{place}/{k}" for k in range(number + 1)))
+    return known

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,17 +43,65 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _snapshots(spark: SparkSession, where: str) -> list[tuple[int, str]]:
+    """Number and data folder of every committed snapshot of a stage, in order."""
+    place, files = _place(spark, f"{where}/_commits")
+    if not files.exists(place):
+        return []
+    return sorted((int(name.split(".")[0]), name.split(".", 1)[1]) for name in (x.getPath().getName() for x in files.listStatus(place)))
+
+
 def write_stage(df: DataFrame, path: str, tag: str, inputs: tuple[str, ...] = (), force: bool = False) -> DataFrame:
     """Write one stage's rows below ``path`` under its tag and read them back.
 
-    Refuses to write over an input, and over an earlier result unless ``force`` says so; what is written appears only when
-    the job commits.
+    Refuses to write over an input, and over an earlier result unless ``force`` says so. Rows go to a new folder; only when
+    all are there an empty file of the next number names that folder, and from then on it is the result. So a writer that
+    dies leaves the earlier result as it was, and of two writers of one number one is refused. ``drop_snapshots`` deletes
+    earlier results and what dead writers left.
     """
     spark, where = df.sparkSession, f"{path.rstrip('/')}/tag={tag}"
     if any(where.rstrip("/") == x.rstrip("/") or x.startswith(f"{where}/") for x in inputs):
         raise ValueError(f"{where} holds an input")
-    df.write.mode("overwrite" if force else "errorifexists").parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    before = _snapshots(spark, where)
+    if before and not force:
+        raise FileExistsError(f"{where} already exists")
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{where}/{folder}")
+    number = before[-1][0] + 1 if before else 1
+    now = _snapshots(spark, where)
+    if now and now[-1][0] >= number:
+        raise FileExistsError(f"{where}: another writer committed {now[-1][0]}")
+    place, files = _place(spark, f"{where}/_commits/{number:09d}.{folder}")
+    files.create(place, False).close()
+    return read_stage(spark, path, tag)
+
+
+def read_stage(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """A stage's rows as last committed."""
+    where = f"{path.rstrip('/')}/tag={tag}"
+    found = _snapshots(spark, where)
+    if not found:
+        raise FileNotFoundError(f"{where} has no result")
+    return spark.read.parquet(f"{where}/{found[-1][1]}")
+
+
+def drop_snapshots(spark: SparkSession, path: str, tag: str, keep: int = 1) -> int:
+    """Delete all but the last ``keep`` results of a stage, and data that no commit names; how many folders went.
+
+    Not while a writer is at work: its data has no commit yet.
+    """
+    where = f"{path.rstrip('/')}/tag={tag}"
+    found = _snapshots(spark, where)
+    stay = {folder for _, folder in found[-max(keep, 1) :]}
+    for number, folder in found:
+        if folder not in stay:
+            place, files = _place(spark, f"{where}/_commits/{number:09d}.{folder}")
+            files.delete(place, False)
+    place, files = _place(spark, where)
+    gone = [x.getPath() for x in (files.listStatus(place) if files.exists(place) else []) if x.getPath().getName().startswith("data-") and x.getPath().getName() not in stay]
+    for one in gone:
+        files.delete(one, True)
+    return len(gone)
 
 
 def drop_stages(spark: SparkSession, path: str, *tags: str, committed: DataFrame) -> list[str]:

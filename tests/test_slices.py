@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import content, jobs
+from folioflow.plans import stages
+from folioflow.plans.closure import closure
 
 
 def fold(ops):
@@ -89,3 +91,34 @@ def test_functions_of_lengths_compose():
             for n in np.concatenate(parts).tolist():
                 length = keep if length + n > limit else length + n
             assert jobs.applied(np.array([start]), *both)[0] == jobs.applied(np.array([start]), *other)[0] == length
+
+
+def test_a_dead_writer_leaves_the_earlier_result(spark, tmp_path):
+    place = str(tmp_path / "stages")
+    with pytest.raises(FileNotFoundError):
+        stages.read_stage(spark, place, "a")
+    first = stages.write_stage(spark.range(5), place, "a")
+    broken = spark.range(9).select(F.when(F.col("id") == 7, F.raise_error(F.lit("dies"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="dies"):
+        stages.write_stage(broken, place, "a", force=True)
+    assert stages.read_stage(spark, place, "a").count() == 5
+    assert stages.write_stage(spark.range(3), place, "a", force=True).count() == 3 and first.count() == 5  # an open reader goes on
+    assert stages.drop_snapshots(spark, place, "a", keep=2) == 1 and stages.drop_snapshots(spark, place, "a") == 1
+    assert stages.read_stage(spark, place, "a").count() == 3 and stages.drop_snapshots(spark, place, "absent") == 0
+
+
+def test_closure_through_one_midpoint(spark):
+    """Many pairs through one node, circles, chains and repeated steps, against a search from every node."""
+    rng = np.random.default_rng(9)
+    steps = [(i, 500) for i in range(40)] + [(500, 600 + i) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(0, 60, (50, 2))] + [(700 + i, 701 + i) for i in range(37)] + [(1, 500)] * 3
+    want = set()
+    for start in {a for a, _ in steps}:
+        seen, waiting = set(), [start]
+        while waiting:
+            here = waiting.pop()
+            for b in {b for a, b in steps if a == here} - seen:
+                seen.add(b)
+                waiting.append(b)
+        want |= {(start, b) for b in seen}
+    got = [tuple(r) for r in closure(spark.createDataFrame(steps, "a long, b long"), "a", "b").collect()]
+    assert len(got) == len(want) and set(got) == want
