@@ -579,6 +579,21 @@ def fine_scan(spark, sf):
     return tiles.row_sums(tiles.tiled(views.vector_sheet(spark, sf, 3), "sheet", [tiles.by_factor(2), *tiles.fine_structure()], tile=64, bands=3), "sheet")
 
 
+@query
+def page_background(spark, sf):
+    """A sheet's colours without black ink, brought from 128 to 100 and toned."""
+    return tiles.row_sums(tiles.tiled(views.vector_sheet(spark, sf, 3), "sheet", tiles.background(100), tile=64, bands=3), "sheet", bands=3)
+
+
+@query
+def cluster_masks(spark, sf):
+    """Masks of the three ink colours of a sheet: how much each slot draws, row by row."""
+    found = colour.ink_colours(colour.hue_histogram(views.vector_pixels(spark, sf).withColumn("sheet", F.lit(0)), "sheet"), "sheet")
+    near = F.transform(F.sequence(F.lit(-colour.SPAN), F.lit(colour.SPAN)), lambda d: F.pmod(F.col("peak") + d, F.lit(colour.BINS)))
+    masks = tiles.slot_masks(views.vector_sheet(spark, sf, 3), "sheet", found.select("sheet", "slot", near.alias("bins")), tile=64)
+    return tiles.row_sums(masks.withColumn("sheet", F.col("slot")), "sheet").withColumnRenamed("sheet", "slot")
+
+
 @query
 def page_scalars(spark, sf):
     """Sizes, margins, specs, titles and text lines of parts."""

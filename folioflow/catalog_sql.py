@@ -236,5 +236,16 @@ SELECT page AS book, {_SUMS} FROM (SELECT page, y, x, CASE WHEN {_MARGINS} AND g
 ORACLES["smooth_scan"] = f"""WITH {_SHEET}, {_sharp("sheet")}, {_grown("sharp", 4, "large")}, cut AS MATERIALIZED (SELECT page, h, w, y, x, CASE WHEN g * 100 > 55 * 255 THEN 255 ELSE 0 END AS g FROM large), {", ".join(_SMOOTH)},
 {_shrunk("s4", "512", "100", "CAST(round_even(h // 4 * 100 / 128.0::DOUBLE, 0) AS BIGINT)", "back")}, levels AS (SELECT *, (2 * ((4 * g + 255) // 510) * 255 + 2) // 4 AS p FROM back)
 SELECT page AS sheet, {_SUMS} FROM (SELECT page, y, x, CASE WHEN {_MARGINS} THEN p ELSE 255 END AS v FROM levels) GROUP BY page, y"""
+_PAPER = [_shrunk(f"(SELECT page, h, w, y, x, {c} AS g FROM clean)", "128", "100", "CAST(round_even(h * 100 / 128.0::DOUBLE, 0) AS BIGINT)", c) for c in ("cr", "cg", "cb")]
+_TONE = "floor((g - {lo!r}::DOUBLE) * 255.0::DOUBLE / {span!r}::DOUBLE + 0.5::DOUBLE)".format(lo=0.06 * 255.0, span=(0.94 - 0.06) * 255.0)
+_CURVE = "1.0::DOUBLE / (1.0::DOUBLE + exp(3.5::DOUBLE * (0.5::DOUBLE - {})))"
+ORACLES["page_background"] = f"""WITH {_SHEET}, grey AS (SELECT page, h, w, y, x, (g * 299 + g2 * 587 + g3 * 114) // 1000 AS g FROM sheet), {_sharp("grey")},
+clean AS MATERIALIZED (SELECT page, h, w, y, x, CASE WHEN ink THEN 255 ELSE s.g END AS cr, CASE WHEN ink THEN 255 ELSE g2 END AS cg, CASE WHEN ink THEN 255 ELSE g3 END AS cb FROM (SELECT s.*, sharp.g * 100 <= 50 * 255 AND (greatest(s.g, g2, g3) - least(s.g, g2, g3)) * 100 <= 35 * 255 AS ink FROM sheet s JOIN sharp USING (page, y, x)) s),
+{", ".join(_PAPER)}, every AS (SELECT page, y, x, 0 AS c, g FROM cr UNION ALL SELECT page, y, x, 1, g FROM cg UNION ALL SELECT page, y, x, 2, g FROM cb),
+plain AS (SELECT page, y, x, c, least(255, greatest(0, {_TONE})) AS g FROM every), curve AS (SELECT {_CURVE.format("0.0::DOUBLE")} AS lo, {_CURVE.format("1.0::DOUBLE")} AS hi),
+con AS (SELECT page, y, x, c, least(255, greatest(0, floor(({_CURVE.format("g / 255.0::DOUBLE")} - lo) / (hi - lo) * 255.0::DOUBLE + 0.5::DOUBLE))) AS g FROM plain, curve),
+mid AS (SELECT *, (max(g) OVER (PARTITION BY page, y, x) + min(g) OVER (PARTITION BY page, y, x)) / 2.0::DOUBLE AS light FROM con),
+done AS (SELECT page, y, x, c, CAST(least(255, greatest(0, floor((light + (g - light) * 1.07::DOUBLE) * 1.02::DOUBLE + 0.5::DOUBLE))) AS BIGINT) AS v FROM mid)
+SELECT page AS sheet, y, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (x * 3 + c + 1)) AS BIGINT) AS moment FROM done GROUP BY page, y"""
 ORACLES["fine_scan"] = f"""WITH {_SHEET}, {_grown("sheet", 2, "large", "g,g2,g3")}, ink AS MATERIALIZED (SELECT page, h, w, y, x, CASE WHEN (greatest(g, g2, g3) - least(g, g2, g3)) * 100 > 15 * 255 AND (g * 299 + g2 * 587 + g3 * 114) // 1000 * 100 <= 72 * 255 THEN 255 ELSE 0 END AS g FROM large), {", ".join(_FINE)}
 SELECT page AS sheet, {_SUMS} FROM (SELECT page, y, x, g AS v FROM f4) GROUP BY page, y"""

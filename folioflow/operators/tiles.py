@@ -11,6 +11,7 @@ depends on how a page is cut.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators import raster
+
 Size = tuple[int, int]
 Span = tuple[int, int]
 Region = tuple[Span, Span]
@@ -244,14 +247,15 @@ def grid(steps: list[Step], size: Size, tile: int) -> list[list[tuple[Span, Span
     return out
 
 
-def tiled(pieces: DataFrame, page: str, steps: list[Step], tile: int = 512, bands: int = 1) -> DataFrame:
+def tiled(pieces: DataFrame, page: str, steps: list[Step] | Callable[[object], list[Step]], tile: int = 512, bands: int = 1) -> DataFrame:
     """The pieces of a chain's result, a tile each: (page, height, width, y, x, h, w, samples).
 
+    ``steps`` may be a function of the page, of chains that differ in what they do to samples but not in sizes and reach.
     Pages may differ in size; pieces of one page that give it different sizes are pieces of different pages. What no piece
     covers is white, also where a tile meets none; where pieces overlap the one that comes last in order of place and samples
     counts. Pieces without page, samples or a size are ignored; a page without pixels gives none.
     """
-    kind = pieces.schema[page].dataType.simpleString()
+    kind, steps_of = pieces.schema[page].dataType.simpleString(), steps if callable(steps) else lambda _: steps
     columns = ("height", "width", "y", "x", "h", "w")
     named = pieces.select(F.col(f"`{page}`").alias("page"), *columns, "samples").where(f"page is not null and samples is not null and height > 0 and width > 0 and length(samples) = h * w * {bands}")
 
@@ -261,7 +265,7 @@ def tiled(pieces: DataFrame, page: str, steps: list[Step], tile: int = 512, band
             numbers = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(np.int64) if batch.num_rows else np.zeros((0, 6), np.int64)
             for i, (height, width, y, x, h, w) in enumerate(numbers.tolist()):
                 if (height, width) not in grids:
-                    grids[height, width] = tuple((np.array([s[1][0] for s in axis]), np.array([s[1][1] for s in axis])) for axis in grid(steps, (height, width), tile))
+                    grids[height, width] = tuple((np.array([s[1][0] for s in axis]), np.array([s[1][1] for s in axis])) for axis in grid(steps_of(batch.column("page")[i].as_py()), (height, width), tile))
                 (tops, bottoms), (lefts, rights) = grids[height, width]
                 a = np.frombuffer(batch.column("samples")[i].as_buffer(), np.uint8).reshape(h, w, bands)
                 sent: dict[str, list] = {k: [] for k in ("ty", "tx", "y", "x", "h", "w", "samples")}
@@ -278,7 +282,7 @@ def tiled(pieces: DataFrame, page: str, steps: list[Step], tile: int = 512, band
     def every_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, size in enumerate(zip(batch.column("height").to_pylist(), batch.column("width").to_pylist())):
-                n_y, n_x = (len(axis) for axis in grid(steps, size, tile))
+                n_y, n_x = (len(axis) for axis in grid(steps_of(batch.column("page")[i].as_py()), size, tile))
                 n = n_y * n_x
                 fixed = {"page": pa.array([batch.column("page")[i].as_py()] * n, batch.column("page").type), "height": pa.array([size[0]] * n, pa.int32()), "width": pa.array([size[1]] * n, pa.int32())}
                 at = {"ty": pa.array(np.repeat(np.arange(n_y, dtype=np.int32), n_x)), "tx": pa.array(np.tile(np.arange(n_x, dtype=np.int32), n_y))}
@@ -286,13 +290,13 @@ def tiled(pieces: DataFrame, page: str, steps: list[Step], tile: int = 512, band
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         page_key, height, width, ty, tx = key
-        size = (int(height), int(width))
-        made, spans = sizes(steps, size)[-1], grid(steps, size, tile)
+        size, chain = (int(height), int(width)), steps_of(page_key)
+        made, spans = sizes(chain, size)[-1], grid(chain, size, tile)
         (rows_to, rows_from), (columns_to, columns_from) = spans[0][ty], spans[1][tx]
         a = np.full((rows_from[1] - rows_from[0], columns_from[1] - columns_from[0], bands), 255, dtype=np.uint8)
         for y, x, h, w, samples in sorted(rows.loc[rows["h"] > 0, ["y", "x", "h", "w", "samples"]].itertuples(index=False, name=None)):
             a[y - rows_from[0] : y - rows_from[0] + h, x - columns_from[0] : x - columns_from[0] + w] = np.frombuffer(samples, np.uint8).reshape(h, w, bands)
-        out = forwards(steps, a if bands > 1 else a[..., 0], (rows_to, columns_to), size)
+        out = forwards(chain, a if bands > 1 else a[..., 0], (rows_to, columns_to), size)
         return pd.DataFrame([(page_key, *made, rows_to[0], columns_to[0], *out.shape[:2], out.tobytes())], columns=["page", *columns, "samples"])
 
     sent = f"page {kind}, height int, width int, ty int, tx int, y int, x int, h int, w int, samples binary"
@@ -359,7 +363,7 @@ def fine_structure(large: int = 6) -> list[Step]:
     return [coloured_ink(), Without(opening), Shape("erode", 1), Shape("dilate", 1)]
 
 
-def row_sums(tiles: DataFrame, page: str) -> DataFrame:
+def row_sums(tiles: DataFrame, page: str, bands: int = 1) -> DataFrame:
     """Per row of a raster the sum of its samples and the sum of its samples times their places, counted from 1."""
     kind = tiles.schema[page].dataType.simpleString()
 
@@ -367,9 +371,9 @@ def row_sums(tiles: DataFrame, page: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 y, x, h, w = (batch.column(c)[i].as_py() for c in ("y", "x", "h", "w"))
-                a = np.frombuffer(batch.column("samples")[i].as_buffer(), np.uint8).reshape(h, w).astype(np.int64)
+                a = np.frombuffer(batch.column("samples")[i].as_buffer(), np.uint8).reshape(h, w * bands).astype(np.int64)
                 key = pa.array([batch.column("page")[i].as_py()] * h, batch.column("page").type)
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(y, y + h)), pa.array(a.sum(axis=1)), pa.array(a @ np.arange(x + 1, x + w + 1))], names=["page", "y", "total", "moment"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(y, y + h)), pa.array(a.sum(axis=1)), pa.array(a @ np.arange(x * bands + 1, (x + w) * bands + 1))], names=["page", "y", "total", "moment"])
 
     made = tiles.select(F.col(page).alias("page"), "y", "x", "h", "w", "samples").mapInArrow(sums, f"page {kind}, y long, total long, moment long")
     return made.groupBy("page", "y").agg(F.sum("total").alias("total"), F.sum("moment").alias("moment")).withColumnRenamed("page", page)
@@ -378,3 +382,116 @@ def row_sums(tiles: DataFrame, page: str) -> DataFrame:
 def grey() -> Point:
     """Grey levels of colours by whole-number weights, halves down."""
     return Point(lambda rgb: (rgb.astype(np.int64) @ np.array([299, 587, 114]) // 1000).astype(np.uint8))
+
+
+def chroma(rgb: np.ndarray) -> np.ndarray:
+    return rgb.max(axis=-1).astype(np.int64) - rgb.min(axis=-1)
+
+
+def hue_bins(rgb: np.ndarray, bins: int = 36) -> np.ndarray:
+    """The hue bin of every colour, -1 for greys; operations in the order of ``functions.geometry``."""
+    r, g, b = (rgb[..., k] / 255.0 for k in range(3))
+    high, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    span = np.where(high == low, 1.0, high - low)
+    rc, gc, bc = (high - r) / span, (high - g) / span, (high - b) / span
+    turn = np.where(r == high, bc - gc, np.where(g == high, 2.0 + rc - bc, 4.0 + gc - rc)) / 6.0
+    return np.where(high == low, -1, np.floor((turn - np.floor(turn)) * bins).astype(np.int64) % bins)
+
+
+def around(want: Region, radius: int, size: Size) -> Region:
+    return tuple(widened(want[k], radius, size[k]) for k in (0, 1))
+
+
+def cropped(a: np.ndarray, have: Region, want: Region) -> np.ndarray:
+    return a[tuple(slice(want[k][0] - have[k][0], want[k][1] - have[k][0]) for k in (0, 1))]
+
+
+@dataclass
+class Ink(Step):
+    """255 where levelled and sharpened grey is dark and chroma is on one side of the gate: black ink, or coloured."""
+
+    dark: int = 50
+    gate: int = 35
+    black: bool = True
+    reach = 4
+
+    def needs(self, axis, span, size):
+        return widened(span, self.reach, size[axis])
+
+    def run(self, a, have, want, size):
+        chain = [grey(), *ENHANCE]
+        sharp = forwards(chain, cropped(a, have, source_region(chain, want, size)[0]), want, size).astype(np.int64)
+        over = chroma(cropped(a, have, want)) * 100 > self.gate * 255
+        return np.where((sharp * 100 <= self.dark * 255) & (over != self.black), 255, 0).astype(np.uint8)
+
+
+@dataclass
+class SlotMask(Step):
+    """A colour slot's mask, 0 where it draws: coloured ink near fine structure of the slot's hue bins, small gaps closed.
+
+    Fine structure finds where the colour is text; the strokes are taken from the ink itself. No bins: all white.
+    """
+
+    bins: list[int]
+    widen: int = 4
+    large: int = 6
+    gate: int = 35
+    dark: int = 50
+
+    def needs(self, axis, span, size):
+        return widened(span, 2 + self.widen + 2 * self.large + 2, size[axis])
+
+    def run(self, a, have, want, size):
+        if not self.bins:
+            return np.full((want[0][1] - want[0][0], want[1][1] - want[1][0]), 255, dtype=np.uint8)
+        drawn_at = around(want, 2, size)
+        near_at = around(drawn_at, self.widen, size)
+        fine, ink = fine_structure(self.large), Ink(self.dark, self.gate, False)
+        band = forwards(fine, cropped(a, have, source_region(fine, near_at, size)[0]), near_at, size)
+        band = np.where(np.isin(hue_bins(cropped(a, have, near_at)), self.bins), band, 0).astype(np.uint8)
+        near = forwards([Shape("dilate", self.widen, False)], band, drawn_at, size)
+        strokes = forwards([ink], cropped(a, have, around(drawn_at, ink.reach, size)), drawn_at, size)
+        drawn = np.where((near > 0) & (strokes > 0), 255, 0).astype(np.uint8)
+        return 255 - forwards([Shape("dilate", 1, False), Shape("erode", 1, False)], drawn, want, size)
+
+
+@dataclass
+class WithoutInk(Step):
+    """Colours with black ink made white, as it stands and no wider."""
+
+    ink: Ink
+
+    def needs(self, axis, span, size):
+        return self.ink.needs(axis, span, size)
+
+    def run(self, a, have, want, size):
+        return np.where(self.ink.run(a, have, want, size)[..., None] > 0, np.uint8(255), cropped(a, have, want))
+
+
+def toned() -> Point:
+    """The tone of paper: levels, contrast along a sigmoid, lightness and saturation."""
+
+    def f(rgb: np.ndarray) -> np.ndarray:
+        return raster.modulated(raster.contrasted(raster.stretched(rgb, *raster.PAPER_LEVELS), *raster.PAPER_CONTRAST), *raster.PAPER_SATURATION).astype(np.uint8)
+
+    return Point(f)
+
+
+def background(width: int, ink: Ink | None = None) -> list[Step]:
+    """Colours without black ink at a width, toned: ink is taken out before anything is averaged."""
+    return [WithoutInk(ink or Ink()), by_width(width), toned()]
+
+
+def slot_masks(pieces: DataFrame, page: str, clusters: DataFrame, slots: int = 3, tile: int = 512, **options: int) -> DataFrame:
+    """The masks of every page's colour slots as pieces: (page, slot, height, width, y, x, h, w, samples).
+
+    ``clusters`` has the slots' hue bins (page, slot, bins); slots that a page lacks are white, so that every page has as many
+    layers. A page is sent once for each slot.
+    """
+    keyed = pieces.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    bins = clusters.select(page, F.col("slot").cast("int").alias("slot"), F.concat_ws(" ", F.transform("bins", lambda b: b.cast("string"))).alias("hues"))
+    named = keyed.join(bins, [page, "slot"], "left").withColumn("key", F.to_json(F.struct(F.col(page).alias("page"), "slot", F.coalesce("hues", F.lit("")).alias("hues"))))
+    steps = lambda key: [SlotMask([int(b) for b in json.loads(key)["hues"].split()], **options)]
+    kind = f"page {pieces.schema[page].dataType.simpleString()}, slot int"
+    made = tiled(named, "key", steps, tile, bands=3).withColumn("of", F.from_json("key", kind))
+    return made.select(F.col("of.page").alias(page), "of.slot", "height", "width", "y", "x", "h", "w", "samples")

@@ -127,3 +127,60 @@ def test_a_page_of_scan_size(spark):
     assert got.shape == (1120, 800) and (got == want).all() and (got[:11] == 255).all() and (got[:, :12] == 255).all() and 0.2 < (got == 0).mean() < 0.8
     sums = {r["y"]: (r["total"], r["moment"]) for r in tiles.row_sums(tiles.tiled(rows, "book", tiles.binarizing(800)), "book").collect()}
     assert sums == {y: (int(row.sum()), int(row.astype(int) @ np.arange(1, 801))) for y, row in enumerate(want)}
+
+
+def coloured_page(h, w, seed):
+    """Coloured and black strokes, a large coloured area, and noise."""
+    rng = np.random.default_rng(seed)
+    a = np.full((h, w, 3), 240, dtype=np.uint8)
+    for k in range(12):
+        y, x = int(rng.integers(0, h - 12)), int(rng.integers(0, w - 12))
+        a[y : y + int(rng.integers(1, 4)), x : x + 12] = [(200, 20, 20), (20, 20, 200), (10, 10, 10)][k % 3]
+    a[h // 2 : h // 2 + 30, 5:40] = (20, 180, 20)
+    return np.clip(a.astype(int) + rng.integers(-8, 9, a.shape), 0, 255).astype(np.uint8)
+
+
+def test_masks_and_background_equal_the_untiled_kernels():
+    for seed in range(3):
+        rgb = coloured_page(90, 70, seed)
+        fine = tiles.whole(tiles.fine_structure(), rgb).astype(int)
+        strokes = tiles.whole([tiles.Ink(black=False)], rgb).astype(int)
+        black = tiles.whole([tiles.Ink()], rgb)
+        assert not ((strokes > 0) & (black > 0)).any() and (black > 0).any() and (strokes > 0).any()
+        bins = tiles.hue_bins(rgb)
+        clusters = [[35, 0, 1, 2], [22, 23, 24, 25], []]
+        want = raster.cluster_masks(fine, strokes, bins, clusters)
+        for i, mine in enumerate(clusters):
+            for tile in (1000, 13):
+                assert (by_tiles([tiles.SlotMask(mine)], rgb, tile) == want[i]).all()
+        assert (want[0] == 0).any() and (want[1] == 0).any() and (want[2] == 255).all()
+        paper = raster.paper(rgb, (255 - black)[None].astype(int), 50)
+        steps = tiles.background(50)
+        made = tiles.sizes(steps, rgb.shape[:2])[-1]
+        out = np.zeros((*made, 3), dtype=np.uint8)
+        rows, columns = tiles.grid(steps, rgb.shape[:2], 17)
+        for y, from_y in rows:
+            for x, from_x in columns:
+                out[slice(*y), slice(*x)] = tiles.forwards(steps, rgb[slice(*from_y), slice(*from_x)], (y, x), rgb.shape[:2])
+        assert (out == tiles.whole(steps, rgb)).all() and np.abs(out.astype(int) - paper).max() <= 4  # the older kernel averages in fractions
+
+
+def test_hue_bins_of_colours():
+    import colorsys
+
+    rgb = np.random.default_rng(7).integers(0, 256, (40, 25, 3)).astype(np.uint8)
+    rgb[0] = rgb[0][:, :1]
+    want = [[-1 if max(p) == min(p) else int(colorsys.rgb_to_hls(*(c / 255 for c in p))[0] * 36) % 36 for p in row] for row in rgb.tolist()]
+    assert tiles.hue_bins(rgb).tolist() == want
+
+
+def test_slot_masks_of_pages(spark):
+    made = {f"p{k}": coloured_page(80, 60, 10 + k) for k in range(3)}
+    rows = [r for name, a in made.items() for r in pieces_of(name, a, [17, 50])]
+    clusters = spark.createDataFrame([("p0", 0, [35, 0, 1]), ("p0", 1, [22, 23, 24, 25]), ("p1", 0, [22, 23, 24, 25]), ("absent", 0, [1])], "book string, slot int, bins array<int>")
+    got = tiles.slot_masks(spark.createDataFrame(rows, SCHEMA), "book", clusters, tile=32).collect()
+    want = {("p0", 0): [35, 0, 1], ("p0", 1): [22, 23, 24, 25], ("p1", 0): [22, 23, 24, 25]}
+    assert {(r["book"], r["slot"]) for r in got} == {(b, s) for b in made for s in range(3)}
+    for (book, slot) in {(r["book"], r["slot"]) for r in got}:
+        page = put_together([r for r in got if (r["book"], r["slot"]) == (book, slot)])[book]
+        assert (page == tiles.whole([tiles.SlotMask(want.get((book, slot), []))], made[book])).all()
