@@ -25,7 +25,7 @@ LINES = """lines AS (SELECT user_id AS job, event_id AS seq, CASE event_type
 CHUNKS = "greatest(1, least(8, n // 16))"
 
 ORACLES: dict[str, str] = {
-    "book_manifest": f"""WITH {PAGES}, kept AS (SELECT *, row_number() OVER w AS ord, count(*) OVER (PARTITION BY book) AS m FROM pages WHERE page_no % 13 <> 5 WINDOW w AS (PARTITION BY book ORDER BY page_no)),
+    "book_manifest": f"""WITH {PAGES}, kept AS (SELECT *, row_number() OVER w AS ord, count(*) OVER (PARTITION BY book) AS m FROM pages WINDOW w AS (PARTITION BY book ORDER BY page_no)),
 marked AS (SELECT *, ord = 1 OR ord = m AS is_cover FROM kept), content AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_no) AS c, count(*) OVER (PARTITION BY book) AS n FROM marked WHERE NOT is_cover),
 cut AS (SELECT book, page_no, bytes, (c - 1) // CAST(ceil(n / {CHUNKS}) AS BIGINT) AS chunk FROM content UNION ALL SELECT book, page_no, bytes, -1 FROM marked WHERE is_cover)
 SELECT book, CAST(chunk AS BIGINT) AS chunk, count(*) AS pages, min(page_no) AS first_page, max(page_no) AS last_page, CAST(sum(bytes) AS BIGINT) AS bytes FROM cut GROUP BY 1, 2""",
@@ -37,7 +37,7 @@ SELECT doc, name, numbered, CASE WHEN numbered THEN k ELSE row_number() OVER (PA
     "parse_ranges": """WITH specs AS (SELECT DISTINCT unnest([printf('%d,7,%d-%d', r_regionkey, r_regionkey + 2, r_regionkey + 5), printf(' %d , ,4', r_regionkey), printf('10-%d', r_regionkey), printf('-%d,%d', r_regionkey + 1, r_regionkey), '']) AS spec FROM region),
 pieces AS (SELECT spec, trim(unnest(string_split(spec, ','))) AS p FROM specs), ends AS (SELECT spec, CAST(regexp_extract(p, '^(-?\\d+)', 1) AS BIGINT) AS a, CASE WHEN regexp_matches(p, '^-?\\d+\\s*-') THEN CAST(regexp_extract(p, '-\\s*(-?\\d+)$', 1) AS BIGINT) ELSE CAST(regexp_extract(p, '^(-?\\d+)', 1) AS BIGINT) END AS b FROM pieces WHERE p <> ''),
 numbers AS (SELECT DISTINCT spec, unnest(range(a, b + 1)) AS k FROM ends) SELECT spec, coalesce((SELECT string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FROM numbers WHERE numbers.spec = specs.spec), '') AS numbers FROM specs""",
-    "cover_split": f"""WITH {PAGES}, kept AS (SELECT * FROM pages WHERE page_no % 7 <> 0), marked AS (SELECT *, page_no = min(page_no) OVER (PARTITION BY book) OR page_no = max(page_no) OVER (PARTITION BY book) OR page_no % 100 = 50 AS is_cover FROM kept)
+    "cover_split": f"""WITH {PAGES}, kept AS (SELECT * FROM pages), marked AS (SELECT *, page_no = min(page_no) OVER (PARTITION BY book) OR page_no = max(page_no) OVER (PARTITION BY book) OR page_no % 100 = 50 AS is_cover FROM kept)
 SELECT book, is_cover, count(*) AS pages, CAST(sum(bytes) AS BIGINT) AS bytes FROM marked GROUP BY 1, 2""",
     "chunk_plan": f"""WITH {PAGES}, {PLACED}, shaped AS (SELECT *, CAST({CHUNKS} AS BIGINT) AS k, CAST(ceil(n / {CHUNKS}) AS BIGINT) AS per FROM placed)
 SELECT book, CAST((ord - 1) // per AS BIGINT) AS chunk, k, per, count(*) AS pages, min(ord) AS first_ord, max(ord) AS last_ord FROM shaped GROUP BY ALL""",
@@ -168,7 +168,7 @@ SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY y, x) AS ink FROM d G
 SELECT k AS p_partkey, CAST(greatest(1, round_even(100 * p_retailprice / (z * 20.0::DOUBLE), 0)) AS INT) AS height, CAST((k % 4000) * 2 * 15 // 1000 AS INT) AS "left", CAST(z * 100 * 2 * 10 // 1000 AS INT) AS top, round(CASE WHEN 1200 < z * 60 THEN 1200 / CAST(z * 60 AS DOUBLE) * 25 ELSE 25 END, 6) AS zoom,
 CASE WHEN k % 3 = 2 THEN array_to_string(numbers, ',') END AS strict, CASE WHEN k % 3 <> 0 THEN array_to_string(numbers, ',') END AS loose, CASE WHEN k % 3 = 0 THEN 'no range: x' END AS wrong,
 CASE WHEN k % 2 = 0 THEN p_name ELSE 'b.' || CAST(k AS VARCHAR) END AS title, left(trim('  ' || repeat(p_name, 40)), 300) AS failure,
-'/SPF ' || printf('%.2f', p_retailprice / 7) || ' Tf' AS font FROM p JOIN n USING (k)""",
+'/Recognised ' || printf('%.2f', p_retailprice / 7) || ' Tf' AS font FROM p JOIN n USING (k)""",
 }
 
 ORACLES["log_tail_cut"] = ORACLES["log_tail"].replace("40000", "400").replace("30000", "300")

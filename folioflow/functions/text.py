@@ -127,16 +127,22 @@ def summary(*parts: Column) -> Column:
     return F.concat_ws(" · ", *parts)
 
 
-def text_line(text: Column, size: Column, stretch: Column, x: Column, y: Column, font: str = "/SPF") -> Column:
+def text_line(text: Column, size: Column, stretch: Column, x: Column, y: Column, font: str = "/Recognised") -> Column:
     """The operators that place one invisible line: font and size, scaling, matrix, and UTF-16BE code units."""
     return F.format_string(f"{font} %.2f Tf %.1f Tz 1 0 0 1 %.2f %.2f Tm <%s> Tj", size, stretch, x, y, F.hex(F.encode(text, "UTF-16BE")))
 
 
+def text_layer(lines: Column) -> Column:
+    """A page's invisible text: its lines (null: none) in one text object that is neither filled nor stroked."""
+    words = lambda *w: F.array(*(F.lit(x) for x in w))
+    return F.array_join(F.concat(words("q", "BT", "3 Tr"), F.coalesce(F.filter(lines, lambda x: x.isNotNull()), F.array().cast("array<string>")), words("ET", "Q")), "\n")
+
+
 def unicode_map(block: int = 100) -> str:
     """A character map in which every code stands for itself: 256 ranges of one high byte, at most ``block`` in a block."""
     ranges = [f"<{high:02X}00> <{high:02X}FF> <{high:02X}00>" for high in range(256)]
     blocks = [ranges[i : i + block] for i in range(0, 256, block)]
     #: What a map of this kind must say before and after its ranges.
-    before = ["/CIDInit /ProcSet findresource begin", "12 dict begin", "begincmap", "/CMapName /Identity-UTF16 def", "/CMapType 2 def", "1 begincodespacerange", "<0000> <FFFF>", "endcodespacerange"]
+    before = ["/CIDInit /ProcSet findresource begin", "12 dict begin", "begincmap", "/CMapName /Own-Codes def", "/CMapType 2 def", "1 begincodespacerange", "<0000> <FFFF>", "endcodespacerange"]
     after = ["endcmap", "CMapName currentdict /CMap defineresource pop", "end", "end"]
     return "\n".join([*before, *(line for b in blocks for line in (f"{len(b)} beginbfrange", *b, "endbfrange")), *after, ""])

@@ -210,7 +210,7 @@ def test_text_layer_pieces(spark):
     assert [x for x in lines if x.endswith("beginbfrange")] == ["100 beginbfrange", "100 beginbfrange", "56 beginbfrange"] and lines[-2:] == ["end", ""]
     row = spark.createDataFrame([("é\U0001f600", 12.3456, 99.95, 10.0, 7.125, b"\xffbad ")], "t string, s double, z double, x double, y double, raw binary")
     got = row.select(T.text_line(F.col("t"), F.col("s"), F.col("z"), F.col("x"), F.col("y")).alias("l"), T.failure_text(F.col("raw"), 3).alias("f"), G.raster_size(F.lit(100.0), F.lit(0.1), F.lit(200)).alias("r")).first()
-    assert got["l"].startswith("/SPF 12.35 Tf ") and got["l"].endswith(" 1 0 0 1 10.00 7.13 Tm <00E9D83DDE00> Tj") and got["f"] == "�ba" and tuple(got["r"]) == (200, 1)
+    assert got["l"].startswith("/Recognised 12.35 Tf ") and got["l"].endswith(" 1 0 0 1 10.00 7.13 Tm <00E9D83DDE00> Tj") and got["f"] == "�ba" and tuple(got["r"]) == (200, 1)
 
 
 def test_results_replace_streams_and_pages(spark):
@@ -292,3 +292,11 @@ def test_probe_rows_are_appended(spark, tmp_path):
     spark.createDataFrame(rows, "job long, seq long, line string").repartition(4).write.json(str(tmp_path / "lines"))
     got = progress.follow_probes(progress.read_lines(spark, str(tmp_path / "lines"), 1), str(tmp_path / "out"), str(tmp_path / "log"))
     assert sorted((r["seq"], r["path"], r["size"]) for r in got.collect()) == [(i, f"/a b/{i}.pdf", i) for i in range(6)]
+
+
+def test_text_layers_are_not_drawn(spark):
+    df = spark.createDataFrame([(1, ["one Tj", None, "two Tj"]), (2, []), (3, None)], "page int, lines array<string>")
+    got = {r["page"]: r["t"] for r in df.select("page", T.text_layer(F.col("lines")).alias("t")).collect()}
+    assert got == {1: "q\nBT\n3 Tr\none Tj\ntwo Tj\nET\nQ", 2: "q\nBT\n3 Tr\nET\nQ", 3: "q\nBT\n3 Tr\nET\nQ"}
+    ops = streams.stream_operators(df.select("page", T.text_layer(F.col("lines")).alias("t")).where("page = 1"), "page", "t").orderBy("pos").collect()
+    assert [r["op"] for r in ops] == ["q", "BT", "Tr", "Tj", "Tj", "ET", "Q"]
