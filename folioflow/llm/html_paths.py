@@ -40,8 +40,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table select".split())
 
-#: What tags and names add to the logarithm of a path's ratio: strongly against, against, in doubt, for.
-AGAINST, WORD_AGAINST, DOUBT, FOR, HEADING = -9.0, -8.0, -4.0, 2.5, 1.5
+#: What tags and names add to the logarithm of a path's ratio: strongly against, against, in doubt, hardly against, for.
+AGAINST, WORD_AGAINST, DOUBT, MIXED, FOR, HEADING = -9.0, -8.0, -4.0, -2.5, 2.5, 1.5
 NOISE_TAGS = frozenset("nav footer aside form menu dialog button select option head object canvas audio video applet fieldset datalist".split())
 #: Words of class, id and role values of what stands beside an article.
 NOISE_WORDS = frozenset(
@@ -100,7 +100,9 @@ def opinion(tag: str, attrs: str, inside: bool) -> tuple[float, str]:
             return WORD_AGAINST, label
         return side + (DOUBT if words & NOISE_WORDS and not words & NOISE_WORDS <= {"header", "headers"} and tag not in ("p", "h1") else 0.0), label
     if tag == "header" or words & (TEXT_NOISE if tag in ("p", "h1") else NOISE_WORDS):
-        return WORD_AGAINST, label
+        # A word of many meanings beside words of another kind (legal-news, post social) leaves it to the text.
+        mixed = tag != "header" and not words & TEXT_NOISE and words - NOISE_WORDS - NOISE_ROLES - PLAIN_PARTS
+        return side + MIXED if mixed else WORD_AGAINST, label
     return side, label
 
 

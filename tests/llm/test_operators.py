@@ -206,6 +206,16 @@ def test_ratios_decide(sf_dir, monkeypatch):
     assert same(lambda x: x) == same(renamed) == same(bare) == 0
 
 
+@pytest.mark.parametrize("name", ["post social", "hidden-gems story", "form-content", "legal-news", "search-methods paper"])
+def test_words_of_many_meanings_do_not_outvote_an_article(name):
+    text = "The court ruled on Monday that the new law must be read as it stands, and that all of the parties were heard."
+    page = f'<body><div class="{name}"><h1>Ruling</h1><p>{text}</p><p>Short.</p></div><div class="x"><p>Buy now.</p></div></body>'
+    assert html_paths.main_text(page) == f"Ruling {text} Short."
+    beside = f'<body><div class="story"><h1>Ruling</h1><p>{text}</p></div><div class="{{}}"><p>Read it. We like it, too.</p></div></body>'
+    for noise in ("comments user-list", "ad-slot x", "cookie-note", "social", "footer", "newsletter box"):
+        assert html_paths.main_text(beside.format(noise)) == f"Ruling {text}", noise
+
+
 def brute_scores(page):
     """Ratios and scores anew: plain sums over tag paths spelled out, plain sums over every container's descendants."""
     spelled = {id(b): [] for b in page.blocks}
