@@ -28,6 +28,7 @@ def read_value(raw: bytes, at: int) -> tuple[str, dict[str, str], int, bytes]:
     words: list[str] = []
     entries: dict[str, str] = {}
     path: list[str | None] = []  # of open brackets: a key's name, or None for an array
+    had: list[int] = []  # entries when the dictionaries below a key were opened
     key, waiting = None, []  # the key whose value is being read, and its words so far
 
     def settle() -> None:
@@ -48,6 +49,7 @@ def read_value(raw: bytes, at: int) -> tuple[str, dict[str, str], int, bytes]:
         if word == "<<":
             if depth and not in_array:
                 path.append(key)
+                had.append(len(entries))
                 key, waiting = None, []
             elif in_array:
                 waiting.append(word)
@@ -59,6 +61,8 @@ def read_value(raw: bytes, at: int) -> tuple[str, dict[str, str], int, bytes]:
             else:
                 settle()
                 if path:
+                    if had.pop() == len(entries):  # an empty dictionary is an entry itself
+                        entries["/".join(p for p in path if p)] = "<< >>"
                     path.pop()
         elif word == "[":
             depth += 1
