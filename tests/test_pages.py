@@ -295,8 +295,8 @@ def test_probe_rows_are_appended(spark, tmp_path):
 
 
 def test_text_layers_are_not_drawn(spark):
-    df = spark.createDataFrame([(1, ["one Tj", None, "two Tj"]), (2, []), (3, None)], "page int, lines array<string>")
+    df = spark.createDataFrame([(1, ["(one) Tj", None, "(two) Tj"]), (2, []), (3, None)], "page int, lines array<string>")
     got = {r["page"]: r["t"] for r in df.select("page", T.text_layer(F.col("lines")).alias("t")).collect()}
-    assert got == {1: "q\nBT\n3 Tr\none Tj\ntwo Tj\nET\nQ", 2: "q\nBT\n3 Tr\nET\nQ", 3: "q\nBT\n3 Tr\nET\nQ"}
+    assert got == {1: "q\nBT\n3 Tr\n(one) Tj\n(two) Tj\nET\nQ", 2: "q\nBT\n3 Tr\nET\nQ", 3: "q\nBT\n3 Tr\nET\nQ"}
     ops = streams.stream_operators(df.select("page", T.text_layer(F.col("lines")).alias("t")).where("page = 1"), "page", "t").orderBy("pos").collect()
     assert [r["op"] for r in ops] == ["q", "BT", "Tr", "Tj", "Tj", "ET", "Q"]
