@@ -70,6 +70,14 @@ def chunk_plan(spark, sf):
     return rows.groupBy("book", "chunk", "k", "per").agg(F.count("*").alias("pages"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
 
 
+@query
+def shuffled_chunks(spark, sf):
+    """Pages dealt to chunks in the order of a hash of their names: a number whose span says nothing of the rows."""
+    key = F.conv(F.substring(F.md5("fname"), 1, 13), 16, 10).cast("bigint")
+    pages = views.document_pages(spark, sf).withColumn("key", key)
+    return assembly.chunked(pages, "book", "key", width=None).select("book", "page_no", "ord", "n", "chunk")
+
+
 @query
 def ordered_interleave(spark, sf):
     return assembly.interleave(views.document_pages(spark, sf), "book", "page_no").select("book", "page_no", "ord", "doc", "idx")
@@ -112,12 +120,11 @@ def layer_align(spark, sf):
 @query
 def probe_grid(spark, sf):
     sample = selection.stride_sample(views.document_pages(spark, sf), "book", "page_no", 8)
-    n = views.document_pages(spark, sf).groupBy("book").agg(F.count("*").alias("n_pages"))
     # Six cells, each sampled page once in every one.
     cells = F.array(*(F.struct(F.lit(w).alias("width"), F.lit(q).alias("quality")) for w in (1200, 1800, 2400) for q in (45, 60)))
-    each = sample.withColumn("cell", F.explode(cells)).select("book", "bytes", "cell.*").withColumn("made", F.expr("bytes * width * quality div 240000"))
-    rows = each.groupBy("book", "width", "quality").agg(F.count("*").alias("sampled"), F.sum("made").alias("made"))
-    return rows.join(n, "book").select("book", "width", "quality", "sampled", F.expr("made div sampled").alias("per_page"), F.expr("made * n_pages div sampled").alias("whole_book"))
+    each = sample.withColumn("cell", F.explode(cells)).select("book", "bytes", "n_pages", "cell.*").withColumn("made", F.expr("bytes * width * quality div 240000"))
+    rows = each.groupBy("book", "width", "quality").agg(F.count("*").alias("sampled"), F.sum("made").alias("made"), F.first("n_pages").alias("n_pages"))
+    return rows.select("book", "width", "quality", "sampled", F.expr("made div sampled").alias("per_page"), F.expr("made * n_pages div sampled").alias("whole_book"))
 
 
 @query
@@ -357,10 +364,9 @@ def active_dedup(spark, sf):
 
 @query
 def progress_milestones(spark, sf):
-    pages = ordinals(views.document_pages(spark, sf), ["book"], "page_no")
-    n = pages.groupBy("book").agg(F.count("*").alias("n"))
+    pages = ordinals(views.document_pages(spark, sf), ["book"], "page_no", total="n")
     every = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
-    return pages.join(n, "book").where((F.col("ord") % every == 0) | (F.col("ord") == F.col("n"))).select("book", "page_no", "ord", "n")
+    return pages.where((F.col("ord") % every == 0) | (F.col("ord") == F.col("n"))).select("book", "page_no", "ord", "n")
 
 
 @query

@@ -41,6 +41,8 @@ numbers AS (SELECT DISTINCT spec, unnest(range(a, b + 1)) AS k FROM ends) SELECT
 SELECT book, is_cover, count(*) AS pages, CAST(sum(bytes) AS BIGINT) AS bytes FROM marked GROUP BY 1, 2""",
     "chunk_plan": f"""WITH {PAGES}, {PLACED}, shaped AS (SELECT *, CAST({CHUNKS} AS BIGINT) AS k, CAST(ceil(n / {CHUNKS}) AS BIGINT) AS per FROM placed)
 SELECT book, CAST((ord - 1) // per AS BIGINT) AS chunk, k, per, count(*) AS pages, min(ord) AS first_ord, max(ord) AS last_ord FROM shaped GROUP BY ALL""",
+    "shuffled_chunks": f"""WITH {PAGES}, placed AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY CAST('0x' || md5(fname)[1:13] AS BIGINT), page_no) AS ord, count(*) OVER (PARTITION BY book) AS n FROM pages)
+SELECT book, page_no, ord, n, CAST((ord - 1) // CAST(ceil(n / {CHUNKS}) AS BIGINT) AS BIGINT) AS chunk FROM placed""",
     "ordered_interleave": f"""WITH {PAGES}, {PLACED}, marked AS (SELECT *, ord = 1 OR ord = n AS is_cover FROM placed)
 SELECT book, page_no, ord, CASE WHEN is_cover THEN 'cover' ELSE 'content' END AS doc, CASE WHEN is_cover THEN page_no ELSE CAST(sum(CASE WHEN is_cover THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY page_no) - 1 AS BIGINT) END AS idx FROM marked""",
     "missing_pages": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

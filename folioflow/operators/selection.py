@@ -60,9 +60,8 @@ def mark_covers(pages: DataFrame, group: str, number: str, first: bool = True, l
 
 
 def stride_sample(pages: DataFrame, group: str, order: str, size: int, capped: bool = True) -> DataFrame:
-    """Every step-th page of a group, step = max(1, pages div size), at most size of them if capped; adds ord and step."""
-    n = pages.groupBy(group).agg(F.count("*").alias("__n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("__n") / size)).cast("bigint")
-    placed = ordinals(pages, [group], order).join(n, group).withColumn("step", step)
+    """Every step-th page of a group, step = max(1, pages div size), at most size of them if capped; adds ord, n_pages and step."""
+    step = F.greatest(F.lit(1), F.floor(F.col("n_pages") / size)).cast("bigint")
+    placed = ordinals(pages, [group], order, total="n_pages").withColumn("step", step)
     taken = ((F.col("ord") - 1) % F.col("step") == 0) & (((F.col("ord") - 1) < F.col("step") * size) if capped else F.lit(True))
-    return placed.where(taken).drop("__n")
+    return placed.where(taken)

@@ -18,20 +18,21 @@ def chunk_shape(n: Column) -> tuple[Column, Column]:
     return k, F.ceil(n / k).cast("bigint")
 
 
-def chunked(pages: DataFrame, group: str, order: str) -> DataFrame:
-    """Adds ord, n, k, per and chunk: equal runs of pages, the last one shorter."""
-    n = pages.groupBy(group).agg(F.count("*").alias("n"))
+def chunked(pages: DataFrame, group: str, order: str, width: int | None = 65536) -> DataFrame:
+    """Adds ord, n, k, per and chunk: equal runs of pages, the last one shorter; ``width`` as in ``scans.running``."""
     k, per = chunk_shape(F.col("n"))
-    placed = ordinals(pages, [group], order).join(n, group)
+    placed = ordinals(pages, [group], order, width=width, total="n")
     return placed.withColumn("k", k).withColumn("per", per).withColumn("chunk", F.floor((F.col("ord") - 1) / F.col("per")).cast("bigint"))
 
 
 def manifest(pages: DataFrame, group: str, number: str, size: str) -> DataFrame:
     """Per book and chunk the pages, first and last number and bytes; covers, the first and last page, are chunk -1."""
     marked = mark_covers(pages, group, number)
-    content = chunked(marked.where("not is_cover"), group, number).select(group, number, size, "chunk")
-    covers = marked.where("is_cover").select(group, number, size, F.lit(-1).cast("bigint").alias("chunk"))
-    return content.unionByName(covers).groupBy(group, "chunk").agg(F.count("*").alias("pages"), F.min(number).alias("first_page"), F.max(number).alias("last_page"), F.sum(size).cast("bigint").alias("bytes"))
+    inner = (~F.col("is_cover")).cast("bigint")
+    placed = running(marked, [group], number, __c=("sum", inner), __n=("sum_all", inner))
+    _, per = chunk_shape(F.col("__n"))
+    chunk = F.when(F.col("is_cover"), -1).otherwise(F.floor((F.col("__c") - 1) / per)).cast("bigint")
+    return placed.withColumn("chunk", chunk).groupBy(group, "chunk").agg(F.count("*").alias("pages"), F.min(number).alias("first_page"), F.max(number).alias("last_page"), F.sum(size).cast("bigint").alias("bytes"))
 
 
 def interleave(pages: DataFrame, group: str, number: str) -> DataFrame:

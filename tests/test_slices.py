@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import content, jobs
+from folioflow.operators.scans import by_quantiles, ordinals, running
 from folioflow.plans import stages
 from folioflow.plans.closure import closure
 
@@ -122,3 +123,30 @@ def test_closure_through_one_midpoint(spark):
         want |= {(start, b) for b in seen}
     got = [tuple(r) for r in closure(spark.createDataFrame(steps, "a long, b long"), "a", "b").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_slices_follow_rows_of_any_order_column(spark):
+    """Hashes, and times that crowd at one end; one group has a third of all rows and more."""
+    df = spark.range(100_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("g"), F.xxhash64("id").alias("hash"), F.exp(F.rand(5) * 40).alias("late"), "id")
+    for order in ("hash", "late"):
+        sizes = [r["count"] for r in by_quantiles(df, order, 64).groupBy("__slice").count().collect()]
+        assert len(sizes) == 64 and max(sizes) <= 2 * 100_000 / 64
+    got = ordinals(df, ["g"], "hash", width=None, total="n").toPandas().sort_values(["g", "hash"])
+    assert (got["ord"] == got.groupby("g").cumcount() + 1).all()
+    assert (got["n"] == got.groupby("g")["id"].transform("size")).all()
+
+
+def test_whole_group_values_and_edges_of_quantile_slices(spark):
+    df = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("a", None, 3), ("b", -7, None), (None, 1, 4)], "g string, k long, v long")
+    out = running(df, ["g"], "k", None, ("v",), s=("sum", F.col("v")), t=("sum_all", F.col("v")), low=("min_all", F.col("k")), high=("max_all", F.col("k")))
+    assert sorted(map(tuple, out.select("g", "v", "s", "t", "low", "high").collect()), key=str) == sorted([("a", 1, 4, 6, 5, 5), ("a", 2, 6, 6, 5, 5), ("a", 3, 3, 6, 5, 5), ("b", None, 0, None, -7, -7), (None, 4, 4, 4, 1, 1)], key=str)
+    assert ordinals(df.limit(0), ["g"], "k", width=None).count() == 0
+    assert {r["ord"] for r in ordinals(df.where("g = 'a' and k = 5"), ["g"], "k", width=None, ties=("v",)).collect()} == {1, 2}
+
+
+def test_positions_and_totals_take_two_scans(spark, sf_dir):
+    from folioflow.catalog import QUERIES
+
+    for name in ("chunk_plan", "probe_grid", "progress_milestones"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2, name
