@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
 from folioflow.functions import text as T
-from folioflow.operators import colour, content, health, jobs, raster, selection, tiles
+from folioflow.operators import colour, content, glyphs, health, jobs, raster, selection, tiles
 from folioflow.operators.scans import ordinals
 from folioflow.plans import assembly, stages
 from folioflow.plans.closure import closure
+from folioflow.plans.scratch import stored
 from folioflow.sources import files, streams, views
 from folioflow.streaming import progress
 
@@ -600,6 +601,15 @@ def cluster_masks(spark, sf):
     return tiles.row_sums(masks.withColumn("sheet", F.col("slot")), "sheet").withColumnRenamed("sheet", "slot")
 
 
+@query
+def glyph_dictionary(spark, sf):
+    """Sheets of labels cut to black and white, their glyphs found by tiles, and the different glyphs of every three sheets."""
+    sheets = tiles.tiled(views.label_sheets(spark, sf), "label", [tiles.cut_at(38)], tile=64)
+    pieces = stored(glyphs.with_glyphs(stored(glyphs.glyph_pieces(sheets, "label"), "pieces"), "label"), "glyphs")
+    table = glyphs.glyph_table(pieces, "label").withColumn("chunk", F.floor(F.col("label") / 3).cast("bigint"))
+    return glyphs.dictionary(table, "label", "chunk").drop("code1", "code2")
+
+
 @query
 def page_scalars(spark, sf):
     """Sizes, margins, specs, titles and text lines of parts."""

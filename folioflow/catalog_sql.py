@@ -251,3 +251,10 @@ done AS (SELECT page, y, x, c, CAST(least(255, greatest(0, floor((light + (g - l
 SELECT page AS sheet, y, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (x * 3 + c + 1)) AS BIGINT) AS moment FROM done GROUP BY page, y"""
 ORACLES["fine_scan"] = f"""WITH {_SHEET}, {_grown("sheet", 2, "large", "g,g2,g3")}, ink AS MATERIALIZED (SELECT page, h, w, y, x, CASE WHEN (greatest(g, g2, g3) - least(g, g2, g3)) * 100 > 15 * 255 AND (g * 299 + g2 * 587 + g3 * 114) // 1000 * 100 <= 72 * 255 THEN 255 ELSE 0 END AS g FROM large), {", ".join(_FINE)}
 SELECT page AS sheet, {_SUMS} FROM (SELECT page, y, x, g AS v FROM f4) GROUP BY page, y"""
+ORACLES["glyph_dictionary"] = f"""WITH RECURSIVE {RASTERS}, v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, gray FROM rasters),
+px AS MATERIALIZED (SELECT label AS page, (k // 2) * 128 + k % 2 * 64 + i AS spot FROM v, range(64) z(i) WHERE gray[i + 1] * 100 <= 38 * 255),
+step AS MATERIALIZED (SELECT a.page, a.spot AS a, b.spot AS b FROM (SELECT page, spot, (spot // 128 + dy) * 128 + spot % 128 + dx AS near FROM px, (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx) WHERE spot % 128 + dx BETWEEN 0 AND 127) a JOIN px b ON a.page = b.page AND a.near = b.spot),
+reach AS (SELECT page, spot, spot AS root FROM px UNION SELECT s.page, s.b, root FROM reach r JOIN step s ON r.page = s.page AND r.spot = s.a WHERE root < s.b),
+roots AS (SELECT page, spot, min(root) AS root FROM reach GROUP BY 1, 2), boxes AS (SELECT page, root, min(spot // 128) AS top, min(spot % 128) AS lft FROM roots GROUP BY 1, 2),
+shapes AS (SELECT page, root, max(spot // 128) - min(top) + 1 AS height, max(spot % 128) - min(lft) + 1 AS width, count(*) AS n_pixels, list((spot // 128 - top) * 128 + spot % 128 - lft ORDER BY spot) AS shape FROM roots JOIN boxes USING (page, root) GROUP BY 1, 2)
+SELECT CAST(page // 3 AS BIGINT) AS chunk, CAST(height AS INT) AS height, CAST(width AS INT) AS width, n_pixels, count(*) AS occurrences, min((page, root))[1] AS first_page, CAST(min((page, root))[2] AS BIGINT) AS first_glyph FROM shapes GROUP BY page // 3, height, width, n_pixels, shape"""

@@ -1,4 +1,4 @@
-"""Everything that is reached by steps, in rounds that double the reach."""
+"""Everything that is reached by steps, and the components of links, in rounds of joins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.plans.scratch import shared_folder
+from folioflow.plans.scratch import dropped, shared_folder
 
 
 def closure(steps: DataFrame, start: str, end: str) -> DataFrame:
@@ -37,3 +37,41 @@ def closure(steps: DataFrame, start: str, end: str) -> DataFrame:
         found = stored(further.distinct().join(known, [start, end], "left_anti"), number)
         known = spark.read.schema(whole.schema).parquet(*(f"{place}/{k}" for k in range(number + 1)))
     return known
+
+
+def components(links: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """group, node and root, the least node that is reached, of every linked node but the roots; links run both ways.
+
+    Large and small stars take turns: every node's greater neighbours are linked to the least it sees, then its lesser ones.
+    Nodes' neighbours are never gathered, only their least is, so a hub is a large key of a plain join, which adaptive
+    execution splits. It goes on until a round changes no link; each round reads the last one's table, which is
+    then deleted.
+    """
+    spark = links.sparkSession
+    place = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+
+    def stored(stars: DataFrame, number: int) -> DataFrame:
+        stars.where("node <> root").distinct().write.parquet(f"{place}/{number}")
+        return spark.read.schema(stars.schema).parquet(f"{place}/{number}")
+
+    def least(of: DataFrame) -> DataFrame:
+        return of.groupBy(*group, "node").agg(F.min("root").alias("__least"))
+
+    ends = [F.greatest(a, b).alias("node"), F.least(a, b).alias("root")]
+    now, number = stored(links.select(*group, *ends), 0), 0
+    while True:
+        number += 1
+        turned = now.select(*group, F.col("root").alias("node"), F.col("node").alias("root"))
+        seen = least(now.unionByName(turned)).withColumn("__least", F.least("node", "__least"))
+        large = stored(turned.join(seen, [*group, "node"]).select(*group, F.col("root").alias("node"), F.col("__least").alias("root")), 2 * number - 1)
+        small = large.join(least(large), [*group, "node"])
+        moved = small.select(*group, F.col("root").alias("node"), F.col("__least").alias("root"))
+        then = stored(moved.unionByName(small.select(*group, "node", F.col("__least").alias("root"))), 2 * number)
+        if then.count() == now.count() and then.join(now, [*group, "node", "root"], "left_anti").isEmpty():
+            break
+        for old in (2 * number - 2, 2 * number - 1):
+            dropped(spark, f"{place}/{old}")
+        now = then
+    for old in (2 * number - 2, 2 * number - 1):
+        dropped(spark, f"{place}/{old}")
+    return then

@@ -107,6 +107,13 @@ def text_scans(spark: SparkSession, sf_dir: str, width: int = 500, strip: int =
     return texts.mapInArrow(draw, "book string, height int, width int, y int, x int, h int, w int, samples binary")
 
 
+def label_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label and pieces of one raster a label: its vectors in order of their ids, two a row."""
+    vectors = ordinals(vector_rasters(spark, sf_dir), ["label"], "vec_id", total="n")
+    place, hexed = F.col("ord") - 1, F.concat_ws("", F.transform("gray", lambda g: F.lpad(F.hex(g), 2, "0")))
+    return vectors.select("label", F.ceil(F.col("n") / 2).cast("int").alias("height"), F.lit(128).alias("width"), F.floor(place / 2).cast("int").alias("y"), (place % 2 * 64).cast("int").alias("x"), F.lit(1).alias("h"), F.lit(64).alias("w"), F.unhex(hexed).alias("samples"))
+
+
 def vector_sheet(spark: SparkSession, sf_dir: str, bands: int = 1) -> DataFrame:
     """sheet (0) and pieces of one raster of all vectors in order of their ids, two a row; band k begins at level k."""
     vectors = ordinals(vector_rasters(spark, sf_dir).withColumn("sheet", F.lit(0)), ["sheet"], "vec_id")
