@@ -6,10 +6,13 @@ starts as its share of a bin and falls as the length gets covered, an unbounded-
 configuration at these prices and, from the same table, the best one around every length, and these cover their lengths
 further. Any prices bound the optimum from below: their total over all pieces divided by the best configuration's price.
 
-Rounding goes on against what is left: in every round the configurations within a tolerance of the best price are taken
-as often as a share of the remaining bins allows, whole bins only, and prices follow the shares of each length that are
-left, so that scarce and large lengths are used before they block. What no full bin can be made of is filled up largest
-first. Pieces then look their place up in the plan by their rank among those of their length, counted where they were cut.
+The configurations found, with the weights at which they covered, are the program's solution. It is rounded by running
+sums: configurations with next to no room left, heaviest first, are taken as often as the sum of weights passes a whole
+number and as there is something left of every length. What remains is priced anew, round by round, by the shares of each
+length that are left, so that scarce and large lengths are used before they block, and what no full bin can be made of is
+filled up largest first. This is done for a few shares of the solution and the plan of fewest bins is kept. Where largest
+first alone already meets a bound, nothing needs a program. Pieces then look their place up in the plan by their rank
+among those of their length, counted where they were cut.
 """
 
 from __future__ import annotations
@@ -66,14 +69,25 @@ def best_around(which: np.ndarray, lengths: np.ndarray, choice: np.ndarray, capa
     return np.stack(taken, axis=1)
 
 
-def lower_bound(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, rate: float) -> float:
-    """The program by multiplicative weights: the best lower bound on its optimum within some rounds.
+@dataclass
+class Solution:
+    """The program's solution: configurations as rows of indices of lengths, padded with -1, the number of bins that
+    each is used in, a fraction, and the best lower bound on the optimum."""
+
+    rows: np.ndarray
+    weight: np.ndarray
+    bound: float
+
+
+def solve_program(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, rate: float) -> Solution:
+    """The program by multiplicative weights.
 
     A round's configurations are weighed by how near they come to the best one and scaled so that no length is covered
-    more than once; then the prices of covered lengths fall.
+    more than once; then the prices of covered lengths fall. Equal configurations are one, their weights added up, and all
+    weights are scaled so that lengths are covered once on average.
     """
     covered, bound = np.zeros(len(lengths)), 0.0
-    every = np.arange(len(lengths))
+    every, found, weights = np.arange(len(lengths)), [], []
     for _ in range(rounds):
         price = lengths / capacity * np.exp(-rate * (covered - covered.mean()))
         best, choice = knapsack(lengths, price, capacity)
@@ -84,7 +98,29 @@ def lower_bound(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: in
         held = rows >= 0
         gain = np.bincount(rows[held], np.repeat(weight, held.sum(axis=1)), len(lengths)) / need
         covered += gain / gain.max()
-    return bound
+        found.append(np.sort(rows, axis=1)[:, ::-1])
+        weights.append(weight / gain.max())
+    wide = max(rows.shape[1] for rows in found)
+    padded = np.concatenate([np.pad(rows, ((0, 0), (0, wide - rows.shape[1])), constant_values=-1) for rows in found])
+    rows, which = np.unique(padded, axis=0, return_inverse=True)
+    return Solution(rows, np.bincount(which.ravel(), np.concatenate(weights)) / covered.mean(), bound)
+
+
+def rounded(solution: Solution, left: np.ndarray, lengths: np.ndarray, capacity: int, share: float, room: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Whole bins of a share of the solution, taken out of ``left``: configurations with at most ``room`` unused."""
+    full = np.where(solution.rows >= 0, lengths[solution.rows], 0).sum(axis=1) >= capacity - room
+    rows, weight = solution.rows[full], solution.weight[full] * share
+    order = np.argsort(-weight, kind="stable")
+    times = np.diff(np.floor(np.cumsum(weight[order]) + 1e-9).astype(np.int64), prepend=0)
+    bins = []
+    for k in np.flatnonzero(times):
+        row = rows[order[k]]
+        which, counts = np.unique(row[row >= 0], return_counts=True)
+        n = min(int((left[which] // counts).min()), int(times[k]))
+        if n:
+            left[which] -= n * counts
+            bins.append((lengths[which], counts, n))
+    return bins
 
 
 def fill(left: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,23 +139,24 @@ def fill(left: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarr
     return np.array(which), np.array(counts)
 
 
-def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 30, share: float = 0.15, rate: float = 0.1, bend: float = 0.3, near: float = 0.03, most: int = 400) -> Plan:
-    """Configurations that together hold every length exactly as often as the histogram says.
-
-    Rounds of rounding price a length as its share of a bin to the power of 1 + ``bend`` (of equally full bins those with
-    long lengths come first) times exp(``rate`` * share of the length that is left). With ``most`` 0 no program is solved.
-    """
-    lengths = np.array(sorted(n for n, k in histogram.items() if k and n < capacity), dtype=np.int64)
-    need = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    whole = int(histogram.get(capacity, 0))
-    bins = [(np.array([capacity]), np.array([1]), whole)] if whole else []
-    left, slack = need.copy(), 0
-    bound = lower_bound(lengths, need, capacity, rounds if most else 1, 0.05) if len(lengths) else 0.0
-
-    def take(which: np.ndarray, counts: np.ndarray, n: int) -> None:
+def largest_first(left: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Bins filled largest first until nothing is left."""
+    bins = []
+    while left.any():
+        which, counts = fill(left, lengths, capacity)
+        n = int((left[which] // counts).min())
         left[which] -= n * counts
         bins.append((lengths[which], counts, n))
+    return bins
 
+
+def priced(left: np.ndarray, lengths: np.ndarray, need: np.ndarray, capacity: int, share: float, rate: float, bend: float, near: float, most: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Bins of what is left by new prices in every round, taken out of ``left``, until hardly a full bin can be made.
+
+    A length's price is its share of a bin to the power of 1 + ``bend`` (of equally full bins those with long lengths come
+    first) times exp(``rate`` * share of the length that is left).
+    """
+    bins, slack = [], 0
     for _ in range(most):
         open_ = np.flatnonzero(left)
         total = int(left @ lengths) // capacity
@@ -139,16 +176,41 @@ def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 30, share:
             n = int((left[i] // counts).min())
             if n:
                 n = min(max(1, int(2 * share * n)), budget)
-                take(i, counts, n)
+                left[i] -= n * counts
+                bins.append((lengths[i], counts, n))
                 budget -= n
             if not budget:
                 break
         if budget == allowed:  # no full bin at these prices: allow a little room, then more
             slack = max(1, 2 * slack)
-    while left.any():
-        which, counts = fill(left, lengths, capacity)
-        take(which, counts, int((left[which] // counts).min()))
-    return Plan(bins, bound + whole)
+    return bins
+
+
+def plan_bins(histogram: dict[int, int], capacity: int, rounds: int = 30, shares: tuple[float, ...] = (1.0, 0.5, 0.0), room: int = 4, share: float = 0.15, rate: float = 0.1, bend: float = 0.3, near: float = 0.03, most: int = 400) -> Plan:
+    """Configurations that together hold every length exactly as often as the histogram says.
+
+    ``shares`` of the program's solution are rounded in turn and the rest priced anew (``priced`` with the options after
+    ``room``); the plan of fewest bins counts, the first of equals. Without ``shares`` the plan is largest first.
+    """
+    lengths = np.array(sorted(n for n, k in histogram.items() if k and n < capacity), dtype=np.int64)
+    need = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
+    whole = int(histogram.get(capacity, 0))
+    bins = [(np.array([capacity]), np.array([1]), whole)] if whole else []
+    # Volume, and lengths over half a bin, which need one each, are bounds without a program.
+    plan = Plan(largest_first(need.copy(), lengths, capacity), max(float(need @ lengths) / capacity, float(need[2 * lengths > capacity].sum())))
+    if shares and plan.size > np.ceil(plan.bound - 1e-6):
+        solution = solve_program(lengths, need, capacity, rounds, 0.05)
+        plan.bound = max(plan.bound, solution.bound)
+        for part in shares:
+            if plan.size <= np.ceil(plan.bound - 1e-6):
+                break
+            left = need.copy()
+            tried = rounded(solution, left, lengths, capacity, part, room)
+            tried += priced(left, lengths, need, capacity, share, rate, bend, near, most)
+            tried += largest_first(left, lengths, capacity)
+            if sum(n for *_, n in tried) < plan.size:
+                plan.bins = tried
+    return Plan(bins + plan.bins, plan.bound + whole)
 
 
 def placement_table(bins: list[tuple[np.ndarray, np.ndarray, int]]) -> dict[str, np.ndarray]:

@@ -646,7 +646,25 @@ def test_the_program_is_what_packs(lengths, optimum):
     histogram = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True))}
     plan = packing_lp.plan_bins(histogram, 2048)
     assert plan.bound <= (optimum or plan.size) and plan.size <= 1.01 * plan.bound
-    assert packing_lp.plan_bins(histogram, 2048, most=0).size > 1.04 * plan.size  # largest first alone
+    assert packing_lp.plan_bins(histogram, 2048, shares=()).size > 1.04 * plan.size  # largest first alone
+    # The solution itself is rounded: most bins are its configurations, and without it largest first is what remains.
+    size, need = (np.array(x, dtype=np.int64) for x in zip(*sorted(histogram.items())))
+    solution, left = packing_lp.solve_program(size, need, 2048, 30, 0.05), need.copy()
+    made = packing_lp.rounded(solution, left, size, 2048, 1.0, 4)
+    assert (left >= 0).all() and sum(n for *_, n in made) > 0.75 * plan.size
+    assert sum(n for *_, n in made + packing_lp.largest_first(left, size, 2048)) < 0.97 * packing_lp.plan_bins(histogram, 2048, shares=()).size
+
+
+def test_the_solution_saves_bins():
+    lengths = np.random.default_rng(7).integers(500, 1500, 20000)
+    histogram = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True))}
+    assert packing_lp.plan_bins(histogram, 2048).size < packing_lp.plan_bins(histogram, 2048, shares=(0.0,)).size
+
+
+def test_no_program_where_largest_first_meets_a_bound(monkeypatch):
+    monkeypatch.setattr(packing_lp, "solve_program", None)
+    assert packing_lp.plan_bins({1400: 500, 1100: 500}, 2048).size == 1000
+    assert packing_lp.plan_bins({1024: 40, 512: 3, 2048: 2}, 2048).size == 23
 
 
 def test_the_bound_sees_more_than_volume():
