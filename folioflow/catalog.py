@@ -437,7 +437,7 @@ def log_tail(spark, sf):
 
 @query
 def log_tail_cut(spark, sf):
-    """Logs that are cut again and again: at 400 characters to the last 300, over slices of 2048 numbers."""
+    """Logs that are cut again and again: at 400 characters to the last 300, over slices of 2048 lines."""
     return jobs.log_tail(views.progress_lines(spark, sf), 400, 300, width=2048, fan=2)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,35 +100,83 @@ def one_after_other(first: tuple, then: tuple) -> tuple[int, np.ndarray, np.ndar
     return total + then[0], at[:asked], value[:asked].astype(np.int64)
 
 
+def by_slice(rows: DataFrame, order: str, made: Callable[[pa.RecordBatch], tuple]) -> DataFrame:
+    """What ``made`` makes of every (job, slice), its rows in order, as rows of job, slice and LENGTHS.
+
+    Slices follow each other in sorted batches, so one pass serves any number of them: jobs of a line or two cost a line or
+    two. Only a slice that goes on in the next batch is held.
+    """
+    schema = f"job {rows.schema['job'].dataType.simpleString()}, slice long, {LENGTHS}"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(batch: pa.RecordBatch, cuts: list[int]) -> pa.RecordBatch:
+            found = [made(batch.slice(lo, hi - lo)) for lo, hi in zip(cuts, cuts[1:])]
+            keys = [batch.column(c).take(pa.array(cuts[:-1], pa.int64())) for c in ("job", "slice")]
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[k]) for f in found)]), pa.int32()), pa.array(np.concatenate([f[k] for f in found]), pa.int64())) for k in (1, 2)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array([f[0] for f in found], pa.int64()), *lists], names=["job", "slice", "total", "above", "left"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = held[-1] if held else None
+            goes_on = last is not None and all(last.column(c)[last.num_rows - 1] == batch.column(c)[0] for c in ("job", "slice"))
+            if held and not goes_on:
+                one = pa.concat_batches(held)
+                yield whole(one, [0, one.num_rows])
+                held = []
+            job, slice_ = batch.column("job"), batch.column("slice")
+            new = pc.or_(pc.not_equal(job[1:], job[:-1]), pc.not_equal(slice_[1:], slice_[:-1]))
+            cuts = (np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist()
+            if held and cuts:
+                one = pa.concat_batches([*held, batch.slice(0, cuts[0])])
+                yield whole(one, [0, one.num_rows])
+                held = []
+            elif cuts:
+                cuts = [0, *cuts]
+            if len(cuts) > 1:
+                yield whole(batch, cuts)
+            held.append(batch.slice(cuts[-1]) if cuts else batch)
+        if held:
+            one = pa.concat_batches(held)
+            yield whole(one, [0, one.num_rows])
+
+    return rows.repartition("job", "slice").sortWithinPartitions("job", "slice", order).mapInArrow(scan, schema)
+
+
+def length_functions(placed: DataFrame, limit: int, keep: int, width: int, fan: int) -> Iterator[DataFrame]:
+    """Per job and slice of ``width`` lines what they do to a log's length, then that of ``fan`` slices in a row, twice."""
+
+    def of_lines(rows: pa.RecordBatch) -> tuple:
+        return what_lines_do(rows.column("n").to_numpy(), limit, keep)
+
+    def of_slices(rows: pa.RecordBatch) -> tuple:
+        parts = [[rows.column(c)[i].values.to_numpy() for i in range(rows.num_rows)] for c in ("above", "left")]
+        made = None
+        for each in zip(rows.column("total").to_pylist(), *parts):
+            made = each if made is None else one_after_other(made, each)
+        return made
+
+    sliced = F.floor((F.col("at") - 1) / width).alias("slice")
+    slices = by_slice(placed.select("job", sliced, "upto", "n"), "upto", of_lines)
+    yield slices
+    for over in (F.floor(F.col("slice") / fan), F.floor(F.col("slice") / fan), F.lit(0).cast("long")):
+        slices = by_slice(slices.select("job", over.alias("slice"), F.col("slice").alias("place"), "total", "above", "left"), "place", of_slices)
+        yield slices
+
+
 def log_tail(lines: DataFrame, limit: int = 40000, keep: int = 30000, width: int = 65536, fan: int = 256) -> DataFrame:
     """Per job its log, cut to the last ``keep`` characters whenever it outgrows ``limit``; lines in order of seq.
 
-    What is left depends on line lengths alone. A slice of lines (``width`` values of seq) is a function from the log's length
-    before it to that after it; functions of ``fan`` slices in a row are composed into one, level by level, and the
+    What is left depends on line lengths alone. A slice of a job's lines (``width`` of them) is a function from the log's
+    length before it to that after it; functions of ``fan`` slices in a row are composed into one, level by level, and the
     last one is asked for an empty log. Only the lines that reach into what is left, at most ``limit`` characters, are put
     together. Lines of equal seq are taken by their text; a null line is empty.
     """
-    sized = lines.select("job", "seq", F.coalesce("line", F.lit("")).alias("line")).withColumn("n", (F.length("line") + 1).cast("bigint"))
-    placed = running(sized, ["job"], "seq", ties=("line",), upto=("sum", F.col("n")))
-    job = f"job {lines.schema['job'].dataType.simpleString()}, slice long, "
-
-    def read(rows: pd.DataFrame) -> tuple:
-        return int(rows["total"]), np.asarray(rows["above"], dtype=np.int64), np.asarray(rows["left"], dtype=np.int64)
-
-    def of_lines(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total, above, left = what_lines_do(rows.sort_values("upto")["n"].to_numpy(), limit, keep)
-        return pd.DataFrame([(*key, total, above, left)], columns=["job", "slice", "total", "above", "left"])
-
-    def of_slices(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        made = None
-        for _, row in rows.sort_values("slice").iterrows():
-            made = read(row) if made is None else one_after_other(made, read(row))
-        return pd.DataFrame([(*key, *made)], columns=["job", "slice", "total", "above", "left"])
-
-    slices = placed.select("job", F.floor(F.col("seq") / width).alias("slice"), "upto", "n").groupBy("job", "slice").applyInPandas(of_lines, job + LENGTHS)
-    for _ in range(2):
-        slices = slices.groupBy("job", F.floor(F.col("slice") / fan).alias("slice")).applyInPandas(of_slices, job + LENGTHS)
-    last = slices.groupBy("job", F.lit(0).cast("long").alias("slice")).applyInPandas(of_slices, job + LENGTHS)
+    sized = lines.where("job is not null").select("job", "seq", F.coalesce("line", F.lit("")).alias("line")).withColumn("n", (F.length("line") + 1).cast("bigint"))
+    placed = running(sized, ["job"], "seq", ties=("line",), upto=("sum", F.col("n")), at=("sum", F.lit(1).cast("bigint")))
+    *_, last = length_functions(placed, limit, keep, width, fan)
     cut = F.filter(F.arrays_zip("above", "left"), lambda x: x["above"] < 0)
     totals = last.select("job", "total", F.coalesce(F.get(cut, F.lit(0))["left"], F.col("total")).alias("left"))
     near = placed.join(totals, "job").where(F.col("upto") > F.col("total") - F.col("left"))

@@ -150,3 +150,18 @@ def test_positions_and_totals_take_two_scans(spark, sf_dir):
     for name in ("chunk_plan", "probe_grid", "progress_milestones"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == 2, name
+
+
+def test_a_job_of_few_lines_is_one_slice_however_wide_its_numbers(spark):
+    """A slice is a call in Python: lines far apart, as in an interleaved log of many jobs, must not cost one each."""
+    lines = spark.range(3000).select((F.col("id") % 60).alias("job"), (F.col("id") * 100_003).alias("seq"), F.lit("x" * 30).alias("line"))
+    sized = lines.withColumn("n", (F.length("line") + 1).cast("bigint"))
+    placed = running(sized, ["job"], "seq", upto=("sum", F.col("n")), at=("sum", F.lit(1).cast("bigint")))
+    made = [s.groupBy("job").count().select(F.count("*"), F.max("count")).first() for s in jobs.length_functions(placed, 400, 300, 2048, 2)]
+    assert [tuple(m) for m in made] == [(60, 1)] * 4
+    again = [s.count() for s in jobs.length_functions(placed, 400, 300, 7, 2)]
+    assert again == [60 * 8, 60 * 4, 60 * 2, 60]
+    want = log_of(["x" * 30] * 50, 400, 300)
+    for width in (1, 7, 2048):
+        got = jobs.log_tail(lines, 400, 300, width, 2).collect()
+        assert len(got) == 60 and {r["log"] for r in got} == {want}
