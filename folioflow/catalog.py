@@ -383,7 +383,7 @@ def free_name(spark, sf):
 def format_scalars(spark, sf):
     part = views.read(spark, sf, "part")
     key = F.col("p_partkey")
-    size = (F.col("p_retailprice") * 1000).cast("bigint") * F.col("p_size") + key
+    size = F.rint(F.col("p_retailprice") * 1000).cast("bigint") * F.col("p_size") + key
     name = F.concat(F.lit(" "), F.translate("p_name", " ", "/"), F.lit(":v\\2 "))
     return part.select("p_partkey", T.human_size(size).alias("human"), T.duration(key * 37 % 9000).alias("took"), T.safe_name(name).alias("safe"), T.with_suffix(F.concat(F.col("p_name"), F.lit(".pdf")), "_slim").alias("slim"), T.padded("p", key, ".png").alias("page"), T.percent_literal((F.col("p_size")).cast("string")).alias("pct"), T.summary(F.col("p_brand"), F.when(F.col("p_size") > 25, F.col("p_type")), F.lit("x")).alias("summary"), F.upper(F.hex(F.encode("p_brand", "UTF-16BE"))).alias("utf16"))
 

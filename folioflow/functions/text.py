@@ -77,9 +77,10 @@ def padded(prefix: str, number: Column, suffix: str = "") -> Column:
 
 
 def human_size(bytes_: Column) -> Column:
-    """From one MiB on in MB with one decimal, else in whole KB."""
+    """From one MiB on in MB with one decimal, else in whole KB; halves to even, as printf does where Java rounds them up."""
     mib, kib = bytes_ / F.lit(1048576.0), bytes_ / F.lit(1024.0)
-    return F.when(bytes_ >= 1048576, F.format_string("%.1f MB", mib)).otherwise(F.format_string("%.0f KB", kib))
+    tenths = F.floor(mib) * 10 + F.rint((mib - F.floor(mib)) * 10).cast("bigint")
+    return F.when(bytes_ >= 1048576, F.format_string("%d.%d MB", F.floor(tenths / 10), tenths % 10)).otherwise(F.format_string("%.0f KB", F.rint(kib)))
 
 
 def duration(seconds: Column) -> Column:

@@ -88,3 +88,10 @@ def test_heights_round_half_to_even(spark):
 def test_matrix_product(spark):
     a, b = ([1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [2.0, 0.0, 0.0, 2.0, 1.0, -1.0])
     assert one(spark, G.multiply(*(F.array(*map(F.lit, m)) for m in (a, b)))) == [2.0, 4.0, 6.0, 8.0, 11.0, 11.0]
+
+
+def test_sizes_halfway_go_to_even(spark):
+    """Sizes exactly between two tenths of a MB, or two KB, at which printf and Java's format differ."""
+    want = {1310720: "1.2 MB", 1835008: "1.8 MB", 2359296: "2.2 MB", 1046749000: "998.3 MB", 2 * 1048576 - 1: "2.0 MB", 512: "0 KB", 1536: "2 KB", 2560: "2 KB", 0: "0 KB"}
+    got = spark.createDataFrame([(k,) for k in want], "n long").select("n", T.human_size(F.col("n")).alias("t")).collect()
+    assert {r["n"]: r["t"] for r in got} == want
