@@ -613,7 +613,7 @@ def glyph_dictionary(spark, sf):
 @query
 def page_scalars(spark, sf):
     """Sizes, margins, specs, titles and text lines of parts."""
-    part = views.read(spark, sf, "part")
+    part = views.spread(spark, views.read(spark, sf, "part"), "p_partkey")
     key, size = F.col("p_partkey"), F.col("p_size")
     spec = F.concat_ws(",", key.cast("string"), F.format_string("%d-%d", size, size + 3), F.when(key % 3 == 0, "x").when(key % 3 == 1, " "))
     fit, margin = G.raster_size(size * 20.0, F.col("p_retailprice"), F.lit(100)), G.border((key % 4000).cast("int"), size * 100, 2)

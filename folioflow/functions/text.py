@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,13 +35,18 @@ def is_page_image(name: Column) -> Column:
     return ~name.startswith(".") & F.lower(name).rlike(rf"\.({'|'.join(IMAGE_EXTENSIONS)})$")
 
 
+def once(column: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is worked out once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(column), f), F.lit(0))
+
+
 def parse_ranges(spec: Column, most: int = 1_000_000) -> Column:
     """'3,7,10-12' as the sorted distinct numbers; blanks are skipped, a leading '-' is a sign, 10-5 is empty.
 
     Null for a spec that ``ranges_error`` refuses.
     """
-    numbers = lambda p: F.when(range_start(p) <= range_end(p), F.sequence(range_start(p), range_end(p))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(ranges_error(spec, most).isNull(), F.array_sort(F.array_distinct(F.flatten(F.transform(range_pieces(spec), numbers)))))
+    numbers = lambda p: F.when(p["first"] <= p["last"], F.sequence(p["first"], p["last"])).otherwise(F.array().cast("array<bigint>"))
+    return once(range_parts(spec), lambda parts: F.when(parts_error(parts, most).isNull(), F.array_sort(F.array_distinct(F.flatten(F.transform(parts, numbers))))))
 
 
 def range_pieces(spec: Column) -> Column:
@@ -54,16 +61,26 @@ def range_end(piece: Column) -> Column:
     return F.coalesce(F.regexp_extract(piece, r"^-?\d+\s*-\s*(-?\d+)$", 1).try_cast("bigint"), range_start(piece))
 
 
+def range_parts(spec: Column, strict: bool = False) -> Column:
+    """A spec's pieces with their first and last number, and whether their shape is a range's."""
+    pieces = F.split(spec, ",") if strict else range_pieces(spec)
+    shape = r"^\s*\d+(\s*-\s*\d+)?\s*$" if strict else r"^-?\d+(\s*-\s*-?\d+)?$"
+    return F.transform(pieces, lambda p: F.struct(p.alias("piece"), p.rlike(shape).alias("shaped"), range_start(F.trim(p)).alias("first"), range_end(F.trim(p)).alias("last")))
+
+
+def parts_error(parts: Column, most: int) -> Column:
+    wrong = F.filter(parts, lambda p: ~p["shaped"] | p["first"].isNull() | p["last"].isNull())
+    zero = F.lit(0).cast("decimal(38,0)")
+    count = F.aggregate(parts, zero, lambda n, p: n + F.greatest(zero, p["last"].cast("decimal(38,0)") - p["first"] + 1).cast("decimal(38,0)"))
+    return once(F.get(wrong, F.lit(0))["piece"], lambda p: F.when(p.isNotNull(), F.concat(F.lit("no range: "), p)).when(count > most, F.lit("too many numbers")))
+
+
 def ranges_error(spec: Column, most: int = 1_000_000, strict: bool = False) -> Column:
     """What is wrong with a spec, null if nothing: pieces that are no range, and more than ``most`` numbers.
 
     The strict form refuses blank pieces and signs as well.
     """
-    pieces = F.split(spec, ",") if strict else range_pieces(spec)
-    shape = r"^\s*\d+(\s*-\s*\d+)?\s*$" if strict else r"^-?\d+(\s*-\s*-?\d+)?$"
-    wrong = F.filter(pieces, lambda p: ~p.rlike(shape) | range_start(F.trim(p)).isNull() | range_end(F.trim(p)).isNull())
-    count = F.aggregate(pieces, F.lit(0).cast("decimal(38,0)"), lambda n, p: n + F.greatest(F.lit(0).cast("decimal(38,0)"), range_end(F.trim(p)).cast("decimal(38,0)") - range_start(F.trim(p)) + 1).cast("decimal(38,0)"))
-    return F.when(F.size(wrong) > 0, F.concat(F.lit("no range: "), F.get(wrong, F.lit(0)))).when(count > most, F.lit("too many numbers"))
+    return once(range_parts(spec, strict), lambda parts: parts_error(parts, most))
 
 
 def parse_page_spec(spec: Column, most: int = 1_000_000) -> Column:

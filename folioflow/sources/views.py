@@ -17,6 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file, on which much is worked out, dealt to all cores: a reader's splits follow bytes, not work."""
+    return rows.repartition(max(1, spark.sparkContext.defaultParallelism), key)
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, fname, page_no, bytes: documents as pages of their sources."""
     docs = read(spark, sf_dir, "documents")

@@ -95,3 +95,11 @@ def test_sizes_halfway_go_to_even(spark):
     want = {1310720: "1.2 MB", 1835008: "1.8 MB", 2359296: "2.2 MB", 1046749000: "998.3 MB", 2 * 1048576 - 1: "2.0 MB", 512: "0 KB", 1536: "2 KB", 2560: "2 KB", 0: "0 KB"}
     got = spark.createDataFrame([(k,) for k in want], "n long").select("n", T.human_size(F.col("n")).alias("t")).collect()
     assert {r["n"]: r["t"] for r in got} == want
+
+
+def test_a_range_spec_is_cut_once_a_row(spark):
+    """What a spec's pieces cost must not be paid again for every time they are named."""
+    specs = spark.createDataFrame([("3,7,10-12",)], "spec string")
+    for made, most in ((T.parse_ranges(F.col("spec")), 1), (T.ranges_error(F.col("spec")), 1), (T.parse_page_spec(F.col("spec")), 2)):
+        plan = specs.select(made.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("split(spec") <= most
