@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -122,11 +125,11 @@ def shifted(a: np.ndarray, radius: int, diamond: bool, fill: int) -> list[np.nda
 
 
 def erode(a: np.ndarray, radius: int = 1, diamond: bool = True) -> np.ndarray:
-    return np.min(shifted(a, radius, diamond, 255), axis=0)
+    return functools.reduce(np.minimum, shifted(a, radius, diamond, 255))
 
 
 def dilate(a: np.ndarray, radius: int = 1, diamond: bool = True) -> np.ndarray:
-    return np.max(shifted(a, radius, diamond, 0), axis=0)
+    return functools.reduce(np.maximum, shifted(a, radius, diamond, 0))
 
 
 def unsharp(gray: np.ndarray, amount: float, limit: float) -> np.ndarray:
@@ -269,15 +272,25 @@ def paper(rgb: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
     return modulated(contrasted(stretched(mixed, *PAPER_LEVELS), *PAPER_CONTRAST), *PAPER_SATURATION)
 
 
+#: Rasters that a kernel works on at once, so that its memory does not follow the batch.
+AT_ONCE = 256
+
+
+def in_parts(f: Callable[..., np.ndarray], *columns: pd.Series) -> pd.Series:
+    """What ``f`` makes of arrays of samples, (n, samples) each, some rasters at a time."""
+    made: list[np.ndarray] = []
+    for lo in range(0, len(columns[0]), AT_ONCE):
+        out = f(*(np.stack(c.iloc[lo : lo + AT_ONCE].to_list()) for c in columns))
+        made.extend(out.reshape(len(out), -1).astype(np.int32))
+    return pd.Series(made, dtype=object)
+
+
 def kernel(f, width: int, height: int):
     """A column function of gray arrays of one size that runs a kernel on (n, h, w) rasters."""
 
     @F.pandas_udf("array<int>")
     def run(gray: pd.Series) -> pd.Series:
-        if not len(gray):
-            return gray
-        made = f(np.stack(gray.to_list()).astype(np.int32).reshape(-1, height, width))
-        return pd.Series(list(made.reshape(len(made), -1)))
+        return in_parts(lambda a: f(a.astype(np.int32).reshape(-1, height, width)), gray)
 
     return run
 
@@ -285,14 +298,13 @@ def kernel(f, width: int, height: int):
 def colour_kernel(f, width: int, height: int):
     """The same for kernels of gray levels and chroma, made of three channel arrays."""
 
+    def of_channels(*channels: np.ndarray) -> np.ndarray:
+        rgb = np.stack(channels, axis=-1).astype(np.int64).reshape(-1, height, width, 3)
+        return f((rgb @ np.array([299, 587, 114])) // 1000, rgb.max(axis=-1) - rgb.min(axis=-1))
+
     @F.pandas_udf("array<int>")
     def run(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(r):
-            return r
-        rgb = np.stack([np.stack(c.to_list()) for c in (r, g, b)], axis=-1).astype(np.int64).reshape(-1, height, width, 3)
-        gray = (rgb @ np.array([299, 587, 114])) // 1000
-        made = f(gray, rgb.max(axis=-1) - rgb.min(axis=-1))
-        return pd.Series(list(made.reshape(len(made), -1)))
+        return in_parts(of_channels, r, g, b)
 
     return run
 
@@ -300,14 +312,4 @@ def colour_kernel(f, width: int, height: int):
 def morphology(kind: str, width: int, height: int, radius: int = 1, diamond: bool = True):
     """A column function of gray arrays: erode, dilate, open, close or smooth (open then close)."""
     steps = {"erode": (erode,), "dilate": (dilate,), "open": (erode, dilate), "close": (dilate, erode), "smooth": (erode, dilate, dilate, erode)}[kind]
-
-    @F.pandas_udf("array<int>")
-    def run(gray: pd.Series) -> pd.Series:
-        if not len(gray):
-            return gray
-        a = np.stack(gray.to_list()).astype(np.int32).reshape(-1, height, width)
-        for step in steps:
-            a = step(a, radius, diamond)
-        return pd.Series(list(a.reshape(len(a), -1)))
-
-    return run
+    return kernel(lambda a: functools.reduce(lambda made, step: step(made, radius, diamond), steps, a), width, height)

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import colorsys
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
 from folioflow.functions import text as T
-from folioflow.operators import selection
+from folioflow.operators import raster, selection
 from folioflow.plans import assembly
 
 
@@ -103,3 +106,24 @@ def test_a_range_spec_is_cut_once_a_row(spark):
     for made, most in ((T.parse_ranges(F.col("spec")), 1), (T.ranges_error(F.col("spec")), 1), (T.parse_page_spec(F.col("spec")), 2)):
         plan = specs.select(made.alias("x"))._jdf.queryExecution().analyzed().toString()
         assert plan.count("split(spec") <= most
+
+
+def test_kernels_work_on_some_rasters_at_a_time():
+    rows, seen = pd.Series([np.arange(6) + k for k in range(1000)]), []
+
+    def f(a, b):
+        seen.append(len(a))
+        return (a + b).reshape(-1, 2, 3)
+
+    got = raster.in_parts(f, rows, rows)
+    assert max(seen) <= raster.AT_ONCE and sum(seen) == 1000
+    assert all((g == 2 * r).all() for g, r in zip(got, rows)) and len(raster.in_parts(f, rows[:0], rows[:0])) == 0
+
+
+def test_a_shape_holds_no_copy_for_every_offset():
+    a = np.random.default_rng(1).integers(0, 256, (50, 32, 32)).astype(np.int32)
+    tracemalloc.start()
+    raster.erode(a, 6, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * a.nbytes
