@@ -236,15 +236,41 @@ def whole(steps: list[Step], a: np.ndarray) -> np.ndarray:
     return forwards(steps, a, ((0, made[0]), (0, made[1])), a.shape[:2])
 
 
+class Axis:
+    """An axis of a grid of tiles: their spans in the result and in the source, each worked out when it is asked for.
+
+    What a task pays follows the tiles that it meets, not those of the page.
+    """
+
+    def __init__(self, steps: list[Step], size: Size, axis: int, tile: int):
+        self.steps, self.size, self.axis, self.tile = steps, size, axis, tile
+        self.made = sizes(steps, size)[-1][axis]
+        self.n = -(-self.made // tile)
+        self.known: dict[int, tuple[Span, Span]] = {}
+
+    def spans(self, t: int) -> tuple[Span, Span]:
+        """A tile's span in the result and in the source."""
+        if t not in self.known:
+            to = (t * self.tile, min((t + 1) * self.tile, self.made))
+            self.known[t] = to, source_region(self.steps, (to, (0, 1)) if self.axis == 0 else ((0, 1), to), self.size)[0][self.axis]
+        return self.known[t]
+
+    def meeting(self, lo: int, hi: int) -> range:
+        """The tiles whose spans in the source meet one; these follow each other along the axis."""
+        first = max(0, min(self.n - 1, lo * self.made // self.size[self.axis] // self.tile))
+        while first > 0 and self.spans(first - 1)[1][1] > lo:
+            first -= 1
+        while first < self.n and self.spans(first)[1][1] <= lo:
+            first += 1
+        end = first
+        while end < self.n and self.spans(end)[1][0] < hi:
+            end += 1
+        return range(first, end)
+
+
 def grid(steps: list[Step], size: Size, tile: int) -> list[list[tuple[Span, Span]]]:
     """For rows and for columns of tiles: their span in the result and in the source."""
-    made = sizes(steps, size)[-1]
-    out = []
-    for axis in (0, 1):
-        spans = [(lo, min(lo + tile, made[axis])) for lo in range(0, made[axis], tile)]
-        both = [((s, (0, 1)) if axis == 0 else ((0, 1), s)) for s in spans]
-        out.append([(s, source_region(steps, b, size)[0][axis]) for s, b in zip(spans, both)])
-    return out
+    return [[axis.spans(t) for t in range(axis.n)] for axis in (Axis(steps, size, k, tile) for k in (0, 1))]
 
 
 def tiled(pieces: DataFrame, page: str, steps: list[Step] | Callable[[object], list[Step]], tile: int = 512, bands: int = 1) -> DataFrame:
@@ -260,29 +286,40 @@ def tiled(pieces: DataFrame, page: str, steps: list[Step] | Callable[[object], l
     named = pieces.select(F.col(f"`{page}`").alias("page"), *columns, "samples").where(f"page is not null and samples is not null and height > 0 and width > 0 and length(samples) = h * w * {bands}")
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grids: dict[Size, tuple] = {}
+        grids: dict[Size, tuple[Axis, Axis]] = {}
+        names = ("page", "height", "width", "ty", "tx", "y", "x", "h", "w", "samples")
+
+        def sent_rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            types = [kind, *[pa.int32()] * 8, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
+
         for batch in batches:
-            numbers = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(np.int64) if batch.num_rows else np.zeros((0, 6), np.int64)
+            if not batch.num_rows:
+                continue
+            numbers = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(np.int64)
+            keys, rows, size = batch.column("page").to_pylist(), [], 0
             for i, (height, width, y, x, h, w) in enumerate(numbers.tolist()):
                 if (height, width) not in grids:
-                    grids[height, width] = tuple((np.array([s[1][0] for s in axis]), np.array([s[1][1] for s in axis])) for axis in grid(steps_of(batch.column("page")[i].as_py()), (height, width), tile))
-                (tops, bottoms), (lefts, rights) = grids[height, width]
+                    grids[height, width] = tuple(Axis(steps_of(keys[i]), (height, width), axis, tile) for axis in (0, 1))
+                down, across = grids[height, width]
                 a = np.frombuffer(batch.column("samples")[i].as_buffer(), np.uint8).reshape(h, w, bands)
-                sent: dict[str, list] = {k: [] for k in ("ty", "tx", "y", "x", "h", "w", "samples")}
-                # Regions follow each other along an axis, so those that a piece meets are a range of tiles.
-                for ty in range(int(np.searchsorted(bottoms, y, side="right")), int(np.searchsorted(tops, y + h))):
-                    for tx in range(int(np.searchsorted(rights, x, side="right")), int(np.searchsorted(lefts, x + w))):
-                        y0, y1, x0, x1 = max(y, tops[ty]), min(y + h, bottoms[ty]), max(x, lefts[tx]), min(x + w, rights[tx])
-                        for k, v in zip(sent, (ty, tx, y0, x0, y1 - y0, x1 - x0, np.ascontiguousarray(a[y0 - y : y1 - y, x0 - x : x1 - x]).tobytes())):
-                            sent[k].append(v)
-                n = len(sent["ty"])
-                fixed = {"page": pa.array([batch.column("page")[i].as_py()] * n, batch.column("page").type), "height": pa.array([height] * n, pa.int32()), "width": pa.array([width] * n, pa.int32())}
-                yield pa.RecordBatch.from_pydict(fixed | {k: pa.array(v, pa.binary() if k == "samples" else pa.int32()) for k, v in sent.items()})
+                for ty in down.meeting(y, y + h):
+                    top, bottom = down.spans(ty)[1]
+                    for tx in across.meeting(x, x + w):
+                        left, right = across.spans(tx)[1]
+                        y0, y1, x0, x1 = max(y, top), min(y + h, bottom), max(x, left), min(x + w, right)
+                        rows.append((keys[i], height, width, ty, tx, y0, x0, y1 - y0, x1 - x0, a[y0 - y : y1 - y, x0 - x : x1 - x].tobytes()))
+                        size += len(rows[-1][-1]) + 64
+                        if size > 1 << 22:
+                            yield sent_rows(rows, batch.column("page").type)
+                            rows, size = [], 0
+            if rows:
+                yield sent_rows(rows, batch.column("page").type)
 
     def every_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, size in enumerate(zip(batch.column("height").to_pylist(), batch.column("width").to_pylist())):
-                n_y, n_x = (len(axis) for axis in grid(steps_of(batch.column("page")[i].as_py()), size, tile))
+                n_y, n_x = (Axis(steps_of(batch.column("page")[i].as_py()), size, axis, tile).n for axis in (0, 1))
                 n = n_y * n_x
                 fixed = {"page": pa.array([batch.column("page")[i].as_py()] * n, batch.column("page").type), "height": pa.array([size[0]] * n, pa.int32()), "width": pa.array([size[1]] * n, pa.int32())}
                 at = {"ty": pa.array(np.repeat(np.arange(n_y, dtype=np.int32), n_x)), "tx": pa.array(np.tile(np.arange(n_x, dtype=np.int32), n_y))}
@@ -291,8 +328,8 @@ def tiled(pieces: DataFrame, page: str, steps: list[Step] | Callable[[object], l
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         page_key, height, width, ty, tx = key
         size, chain = (int(height), int(width)), steps_of(page_key)
-        made, spans = sizes(chain, size)[-1], grid(chain, size, tile)
-        (rows_to, rows_from), (columns_to, columns_from) = spans[0][ty], spans[1][tx]
+        made = sizes(chain, size)[-1]
+        (rows_to, rows_from), (columns_to, columns_from) = (Axis(chain, size, axis, tile).spans(int(t)) for axis, t in enumerate((ty, tx)))
         a = np.full((rows_from[1] - rows_from[0], columns_from[1] - columns_from[0], bands), 255, dtype=np.uint8)
         for y, x, h, w, samples in sorted(rows.loc[rows["h"] > 0, ["y", "x", "h", "w", "samples"]].itertuples(index=False, name=None)):
             a[y - rows_from[0] : y - rows_from[0] + h, x - columns_from[0] : x - columns_from[0] + w] = np.frombuffer(samples, np.uint8).reshape(h, w, bands)

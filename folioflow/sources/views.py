@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import last_number, padded, stem
+from folioflow.functions.text import last_number, once, padded, stem
 from folioflow.operators.scans import ordinals, running
 
 
@@ -124,6 +124,8 @@ def vector_sheet(spark: SparkSession, sf_dir: str, bands: int = 1) -> DataFrame:
     vectors = ordinals(vector_rasters(spark, sf_dir).withColumn("sheet", F.lit(0)), ["sheet"], "vec_id")
     height = -(-read(spark, sf_dir, "embeddings").count() // 2)
     at = F.sequence(F.lit(0), F.lit(63))
-    hexed = F.concat_ws("", F.flatten(F.transform(at, lambda i: F.array(*(F.lpad(F.hex(F.get("gray", (i + k) % 64)), 2, "0") for k in range(bands))))))
+    # The levels are worked out once a row: a filter on samples is moved below everything that would else hold them.
+    levels = F.transform("gray", lambda g: F.lpad(F.hex(g), 2, "0"))
+    hexed = once(levels, lambda a: F.concat_ws("", F.flatten(F.transform(at, lambda i: F.array(*(F.get(a, (i + k) % 64) for k in range(bands)))))))
     place = F.col("ord") - 1
     return vectors.select("sheet", F.lit(height).alias("height"), F.lit(128).alias("width"), F.floor(place / 2).cast("int").alias("y"), (place % 2 * 64).cast("int").alias("x"), F.lit(1).alias("h"), F.lit(64).alias("w"), F.unhex(hexed).alias("samples"))

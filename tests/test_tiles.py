@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from folioflow.operators import raster, tiles
+from folioflow.sources import views
 
 CHAINS = {"binarize": tiles.binarizing(40), "no shrinking": tiles.binarizing(1000), "supersample": tiles.binarizing(50, 55, 2), "smooth": tiles.smoothing(30), "smooth, width kept": tiles.smoothing(0)}
 
@@ -184,3 +185,26 @@ def test_slot_masks_of_pages(spark):
     for (book, slot) in {(r["book"], r["slot"]) for r in got}:
         page = put_together([r for r in got if (r["book"], r["slot"]) == (book, slot)])[book]
         assert (page == tiles.whole([tiles.SlotMask(want.get((book, slot), []))], made[book])).all()
+
+
+@pytest.mark.parametrize("name", ["smoothing", "binarizing", "background", "fine"])
+def test_a_tile_asks_for_its_own_spans_alone(name, monkeypatch):
+    """What a tile or a piece costs does not follow the height of its page."""
+    chain = {"smoothing": tiles.smoothing(100), "binarizing": tiles.binarizing(100), "background": tiles.background(100), "fine": [tiles.by_factor(2), *tiles.fine_structure()]}[name]
+    size = (40_000, 128)
+    whole = tiles.grid(chain, size, 64)[0]
+    asked, own = [], tiles.source_region
+    monkeypatch.setattr(tiles, "source_region", lambda *a: asked.append(1) or own(*a))
+    for lo, hi in ((0, 1), (20_011, 20_012), (31_000, 31_064), (39_999, 40_000)):
+        met = tiles.Axis(chain, size, 0, 64).meeting(lo, hi)
+        assert list(met) == [t for t, (_, (top, bottom)) in enumerate(whole) if top < hi and bottom > lo]
+    assert len(asked) < 60
+    axis = tiles.Axis(chain, size, 0, 64)
+    assert [list(axis.meeting(*p)) for p in ((-9, 0), (40_000, 40_009))] == [[], []]
+
+
+def test_a_sheets_levels_are_worked_out_once_a_row(spark, sf_dir):
+    """Also where a filter on the samples is moved down to the table."""
+    sheet = views.vector_sheet(spark, sf_dir, 3).where("length(samples) = h * w * 3").select("height", "width").distinct()
+    plan = sheet._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("0.6") for line in plan.splitlines()) == 1
