@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from folioflow.plans.scratch import dropped, shared_folder
 
 
+#: Pairs that one task makes distinct.
+PAIRS_A_TASK = 1 << 19
+
+
 def closure(steps: DataFrame, start: str, end: str) -> DataFrame:
     """Distinct (start, end) pairs with a path of one or more steps; cycles reach themselves.
 
-    Every round joins what the last one found with all that is known, on both sides, so that known pairs meet each other once
-    and the reach still doubles; it goes on until a round finds nothing. A round writes its new pairs alone, below one
-    folder of the shared place that holds the result in the end. A midpoint of many pairs is a large key of a plain join,
-    which adaptive execution splits.
+    Pairs have their least number of steps. A round joins those of exactly the reach so far with all that is known: every pair
+    of up to twice the reach has a node at that place of a shortest path, so the reach doubles and a pair is met once for
+    each such node, not for every way to cut its path. It goes on until a round finds nothing. A round writes its new pairs
+    alone, below one folder of the shared place that holds the result in the end. A midpoint of many pairs is a large key of a
+    plain join, which adaptive execution splits. How many pairs a join gives is counted first, from the pairs at every
+    midpoint, and they are dealt before they are made distinct, so that a task's memory does not follow the size of the table.
     """
     spark = steps.sparkSession
     place = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
@@ -26,17 +32,28 @@ def closure(steps: DataFrame, start: str, end: str) -> DataFrame:
         return spark.read.schema(pairs.schema).parquet(f"{place}/{number}")
 
     def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.alias("a").join(b.alias("b"), F.col(f"a.{end}") == F.col(f"b.{start}")).select(F.col(f"a.{start}"), F.col(f"b.{end}"))
+        met = a.alias("a").join(b.alias("b"), F.col(f"a.{end}") == F.col(f"b.{start}"))
+        return met.select(F.col(f"a.{start}"), F.col(f"b.{end}"), (F.col("a.__steps") + F.col("b.__steps")).alias("__steps"))
+
+    def meeting(a: DataFrame, b: DataFrame) -> int:
+        """How many rows ``meet`` gives."""
+        ends, starts = a.groupBy(F.col(end).alias("at")).agg(F.count("*").alias("n")), b.groupBy(F.col(start).alias("at")).agg(F.count("*").alias("m"))
+        return ends.join(starts, "at").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+
+    def different(pairs: DataFrame, rows: int) -> DataFrame:
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PAIRS_A_TASK))
+        return pairs.repartition(n, start, end).groupBy(start, end).agg(F.min("__steps").alias("__steps"))
 
-    whole = steps.select(start, end).where(F.col(start).isNotNull() & F.col(end).isNotNull()).distinct()
-    found, number = stored(whole, 0), 0
+    given = steps.select(start, end, F.lit(1).cast("bigint").alias("__steps")).where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    found, number = stored(different(given, steps.count()), 0), 0
     known = found
     while not found.isEmpty():
-        further = meet(found, known) if number == 0 else meet(found, known).union(meet(known, found))
+        edge = known.where(F.col("__steps") == 1 << number)
+        further = different(meet(edge, known), meeting(edge, known))
         number += 1
-        found = stored(further.distinct().join(known, [start, end], "left_anti"), number)
-        known = spark.read.schema(whole.schema).parquet(*(f"{place}/{k}" for k in range(number + 1)))
-    return known
+        found = stored(further.join(known, [start, end], "left_anti"), number)
+        known = spark.read.schema(found.schema).parquet(*(f"{place}/{k}" for k in range(number + 1)))
+    return known.select(start, end)
 
 
 def components(links: DataFrame, group: list[str], a: str, b: str) -> DataFrame:

@@ -165,3 +165,13 @@ def test_a_job_of_few_lines_is_one_slice_however_wide_its_numbers(spark):
     for width in (1, 7, 2048):
         got = jobs.log_tail(lines, 400, 300, width, 2).collect()
         assert len(got) == 60 and {r["log"] for r in got} == {want}
+
+
+def test_a_task_of_a_closure_holds_few_pairs(spark, monkeypatch):
+    """What a join fans out is dealt by its own size, not by that of its compressed input."""
+    monkeypatch.setattr("folioflow.plans.closure.PAIRS_A_TASK", 100)
+    steps = spark.range(1, 600).select(F.col("id").alias("a"), F.expr("id div 2").alias("b")).where("b > 0")
+    found = closure(steps, "a", "b")
+    want = {(k, k >> d) for k in range(1, 600) for d in range(1, 10) if k >> d}
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(want)
+    assert found.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 400
