@@ -64,7 +64,9 @@ def glyph_pieces(tiles: DataFrame, page: str) -> DataFrame:
                 heads = np.flatnonzero(np.concatenate([[True], np.diff(root[order]) > 0]))
                 first, cuts = order[heads], np.append(heads, len(order))
                 sides = np.zeros((h, w), dtype=bool)
-                sides[0], sides[-1] = y0 > 0, y0 + h < height
+                # A tile may be one row or column alone, with neighbours on both sides.
+                sides[0] |= y0 > 0
+                sides[-1] |= y0 + h < height
                 sides[:, 0] |= x0 > 0
                 sides[:, -1] |= x0 + w < width
                 of = np.empty((h, w), dtype=np.int32)

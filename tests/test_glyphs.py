@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.catalog import QUERIES
+from folioflow.catalog_sql import ORACLES
 from folioflow.operators import glyphs, tiles
 from folioflow.plans.closure import components
 
@@ -83,6 +86,25 @@ def test_glyphs_by_flooding(spark, tile):
     assert {k: (len(v), frozenset(v)) for k, v in drawn.items()} == {(n, g): (len(f), f) for n, a in pages.items() for g, f in flooded(a) if (n, g) in drawn} and len(drawn) == len(shapes)
 
 
+def test_tiles_of_one_row_or_column(spark):
+    """The last tiles of these pages are one row high or one column wide, and glyphs go on into them."""
+    rng = np.random.default_rng(4)
+    pages = {"row": rng.random((9, 12)) < 0.3, "column": rng.random((12, 9)) < 0.3, "both": rng.random((13, 13)) < 0.3, "full": np.ones((5, 5), dtype=bool)}
+    got = glyphs.glyph_table(found_in(spark, pages, 4), "page").select("page", "glyph", "n_pixels").collect()
+    assert sorted(map(tuple, got)) == sorted((name, g, len(found)) for name, a in pages.items() for g, found in flooded(a))
+
+
+def test_a_sheet_with_one_row_after_its_last_whole_tile_equals_sql(spark, tmp_path):
+    """130 vectors of a label are 65 rows, of which one is in the second tile; glyphs go on into it."""
+    rows = [(i, [float(e) for e in v], 0) for i, v in enumerate(np.random.default_rng(4).normal(0, 0.125, (130, 64)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = db.sql(ORACLES["glyph_dictionary"])
+    got = QUERIES["glyph_dictionary"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_codes_do_not_depend_on_tiles_or_slices(spark):
     pages = {"p": np.random.default_rng(1).random((30, 30)) < 0.4}
     made = []
